@@ -2,6 +2,7 @@
 
 from augur.llm.mixing import op7_mixing
 from augur.llm.sharding import op4_sharding
+from augur.llm.substrings import op10_substrings
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op4_sharding, op7_mixing, op10_substrings)}
 SQL: dict[str, str] = {}

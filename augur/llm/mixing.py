@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from augur.llm.util import WORD, running_total, save, spread, table
+from augur.llm.util import WORD, in_range, running_total, save, spread, table
 
 BLOCK, SHARD_SLOTS, PASSES, ROUNDS, SEED = 128, 1024, 3, 24, 20_240
 
@@ -39,13 +39,6 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def in_range(points: DataFrame, point: str, ranges: DataFrame, total: int) -> DataFrame:
-    """points joined with the one of ranges (_from, _to) that holds point; an equi-join on stretches of [0, total)."""
-    width = max(1, total // 4096)
-    cut = ranges.where("_to > _from").withColumn("_cut", F.explode(F.sequence(F.expr(f"_from div {width}"), F.expr(f"(_to - 1) div {width}"))))
-    return points.withColumn("_cut", F.expr(f"{point} div {width}")).join(cut, "_cut").where(f"{point} >= _from and {point} < _to").drop("_cut", "_from", "_to")
-
-
 def permuted(k: Column, n: Column, *salts: Column) -> Column:
     """A pseudorandom permutation of 0..n-1, of any n: ROUNDS rounds of swap-or-not."""
 

@@ -14,11 +14,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm.util import KEY_BITS, running_total, save, spread, table
+from augur.llm.util import KEY_BITS, in_range, running_total, save, spread, table
 
 SHARDS, VIRTUAL, OVERHEAD = 40, 64, 16
 
@@ -63,26 +62,18 @@ def assign(keys: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) -> Dat
 
     Rows that agree in _place and _tie are interchangeable. An empty table gives an empty result.
     """
+    spark = keys.sparkSession
     places, owner = ring(shards, virtual)
-
-    @F.pandas_udf("int")
-    def arc(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(places, place.to_numpy(), side="left").astype(np.int32))
-
-    found = {r["arc"]: r["n"] for r in keys.groupBy(arc("_place").alias("arc")).agg(F.count("*").alias("n")).collect()}
+    ends = [-1, *places.tolist(), (1 << KEY_BITS) - 1]
+    arcs = spark.createDataFrame([(i, a + 1, b + 1) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))], "arc int, _from long, _to long")
+    found = {r["arc"]: r["n"] for r in in_range(keys.select("_place"), "_place", arcs, 1 << KEY_BITS, bounded=True).groupBy("arc").agg(F.count("*").alias("n")).collect()}
     counts = [found.get(a, 0) for a in range(len(owner))]
     n = sum(counts)
-    runs = fill(counts, owner, capacities(n, shards)) or [(0, 0, 0)]
-    starts, to, slots = (np.array(x, dtype=np.int64) for x in zip(*runs, strict=True))
-
-    @F.pandas_udf("shard int, slot long")
-    def seat(rank: pd.Series) -> pd.DataFrame:
-        r = rank.to_numpy()
-        i = np.searchsorted(starts, r, side="right") - 1
-        return pd.DataFrame({"shard": to[i].astype(np.int32), "slot": slots[i] + r - starts[i]})
-
+    runs = fill(counts, owner, capacities(n, shards))
+    ends = [*(r[0] for r in runs), n][1:]
+    seats = spark.createDataFrame([(shard, slot - start, start, end) for (start, shard, slot), end in zip(runs, ends, strict=True)], "shard int, _shift long, _from long, _to long")
     ranked = running_total(keys, [], "_place", ["_tie"], F.lit(1), "_rank", n)
-    return ranked.withColumn("_seat", seat("_rank")).withColumns({"shard": F.col("_seat.shard"), "slot": F.col("_seat.slot")}).drop("_seat", "_rank")
+    return in_range(ranked, "_rank", seats, n, bounded=True).withColumn("slot", F.col("_rank") + F.col("_shift")).drop("_rank", "_shift")
 
 
 def place_columns(docs: DataFrame) -> DataFrame:

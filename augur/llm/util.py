@@ -73,3 +73,13 @@ def running_total(df: DataFrame, by: list[str], key: str, order: list[str], valu
 
     base = bases(df.groupBy(*by, "_leaf").agg(F.sum("_value").alias("_value")), depth)
     return local.join(base, [*by, "_leaf"]).withColumn(out, F.col(out) + F.col("_base")).drop("_leaf", "_value", "_base")
+
+
+def in_range(points: DataFrame, point: str, ranges: DataFrame, total: int, bounded: bool = False) -> DataFrame:
+    """points joined with the one of ranges (_from, _to) that holds point; an equi-join on stretches of [0, total).
+
+    bounded: the number of ranges has a fixed bound, so they are broadcast (with at most 4096 stretches more).
+    """
+    width = max(1, total // 4096)
+    cut = ranges.where("_to > _from").withColumn("_cut", F.explode(F.sequence(F.expr(f"_from div {width}"), F.expr(f"(_to - 1) div {width}"))))
+    return points.withColumn("_cut", F.expr(f"{point} div {width}")).join(F.broadcast(cut) if bounded else cut, "_cut").where(f"{point} >= _from and {point} < _to").drop("_cut", "_from", "_to")

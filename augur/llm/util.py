@@ -83,3 +83,9 @@ def in_range(points: DataFrame, point: str, ranges: DataFrame, total: int, bound
     width = max(1, total // 4096)
     cut = ranges.where("_to > _from").withColumn("_cut", F.explode(F.sequence(F.expr(f"_from div {width}"), F.expr(f"(_to - 1) div {width}"))))
     return points.withColumn("_cut", F.expr(f"{point} div {width}")).join(F.broadcast(cut) if bounded else cut, "_cut").where(f"{point} >= _from and {point} < _to").drop("_cut", "_from", "_to")
+
+
+def labelled_sample(labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, label) of at most `rows` documents, drawn by a hash of doc_id; nulls don't count, the largest label holds."""
+    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    return known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(rows)

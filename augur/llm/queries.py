@@ -4,6 +4,7 @@ from augur.llm.mixing import op7_mixing
 from augur.llm.quality import op2_quality
 from augur.llm.sharding import op4_sharding
 from augur.llm.substrings import op10_substrings
+from augur.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_sharding, op7_mixing, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_sharding, op7_mixing, op8_toxicity, op10_substrings)}
 SQL: dict[str, str] = {}

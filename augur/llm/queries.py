@@ -1,5 +1,6 @@
 """The training-data queries: one for each operator, over its whole table. SQL has those that DuckDB can express."""
 
+from augur.llm.decontamination import op5_decontamination
 from augur.llm.mixing import op7_mixing
 from augur.llm.pii import op3_pii
 from augur.llm.quality import op2_quality
@@ -7,5 +8,5 @@ from augur.llm.sharding import op4_sharding
 from augur.llm.substrings import op10_substrings
 from augur.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_pii, op4_sharding, op7_mixing, op8_toxicity, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_pii, op4_sharding, op5_decontamination, op7_mixing, op8_toxicity, op10_substrings)}
 SQL: dict[str, str] = {}

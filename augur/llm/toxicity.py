@@ -1,9 +1,10 @@
 """Toxicity (8): Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
 The lexicon is learned: over a bounded sample of labelled documents, words (and word stems that many such words share)
-whose documents are toxic far beyond chance. The terms form a trie; running the Levenshtein automata of all terms
-against it gives one deterministic automaton, whose states (sets of trie nodes with the edits spent) are made as texts
-need them, so a clean word ends after two or three letters. A term of 5 letters may be met with one edit, of 9 with two.
+whose documents are toxic far beyond chance; copies of a document are one witness. The terms form a trie; running the
+Levenshtein automata of all terms against it gives one deterministic automaton, whose states (sets of trie nodes with
+the edits spent) are made as texts need them, so a clean word ends after two or three letters. A term of 5 letters may
+be met with one edit, of 9 with two.
 
 Each hit is scored by its context window: quotation marks around it or words of attribution before it tell of
 quotation, not abuse. A logistic model over the hits of the sample turns both into a score.
@@ -28,13 +29,13 @@ from augur.llm.quality import newton
 from augur.llm.util import labelled_sample, table
 
 #: Labelled documents that are fitted at most (a sample by hash); terms of the lexicon at most, strongest first.
-MAX_LABELLED, MAX_TERMS = 40_000, 4_000
+MAX_LABELLED, MAX_TERMS = 20_000, 4_000
 
 #: A term's documents are toxic by this share at least, and beyond chance by this likelihood ratio (G squared).
 SHARE, CHANCE = 0.8, 24.0
 
 #: Letters of a stem; words it must have at least.
-STEMS, STEM_WORDS = (4, 5, 6), 3
+STEMS, STEM_WORDS = (4, 5, 6, 7, 8), 3
 
 #: Words on either side of a hit that are its context; states of the automaton kept at once.
 WINDOW, MAX_STATES = 8, 50_000
@@ -190,6 +191,27 @@ def features(docs: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
     return docs.mapInArrow(find, schema)
 
 
+def witnesses(texts: DataFrame, stems: set[str], words: set[str]) -> DataFrame:
+    """(term, stem, df, tf): in how many ways a term is met, by the two words before it, so that copies of a text count once."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: set[tuple[str, bool, str, int]] = set()
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                last = before = ""
+                for raw in text.split():
+                    w = raw.lower() if raw.isalpha() else EDGES.sub("", raw.lower())
+                    if w in words:
+                        out.add((w, False, before, label))
+                    out.update((w[:k], True, before, label) for k in STEMS if w[:k] in stems and len(w) > k)
+                    last, before = w, f"{last} {w}"
+            cols = list(zip(*sorted(out), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names=["term", "stem", "before", "label"])
+
+    met = texts.select("text", F.col("label").cast("long")).mapInArrow(find, "term string, stem boolean, before string, label long")
+    return met.groupBy("term", "stem", "before").agg(F.avg("label").alias("share")).groupBy("term", "stem").agg(F.count("*").alias("df"), F.sum("share").alias("tf"))
+
+
 def lexicon(texts: DataFrame) -> list[tuple[str, bool]]:
     """Terms of the labelled texts (text, label), stems first; at most MAX_TERMS."""
     rows = texts.agg(F.count("*").alias("n"), F.sum("label").alias("t")).first()
@@ -199,7 +221,7 @@ def lexicon(texts: DataFrame) -> list[tuple[str, bool]]:
     word = F.regexp_replace(F.col("w"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     counts = (
         texts.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("w"))
-        .groupBy(word.alias("term")).agg(F.count("*").alias("df"), F.sum("label").alias("tf")).where(F.length("term").between(4, 40))
+        .groupBy(word.alias("term")).agg(F.count("*").alias("df"), F.sum("label").alias("tf")).where(F.length("term").between(min(STEMS), 40))
     )
 
     def strong(c: DataFrame) -> DataFrame:
@@ -213,12 +235,17 @@ def lexicon(texts: DataFrame) -> list[tuple[str, bool]]:
         .groupBy(F.col("stem").alias("term")).agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"), F.count("*").alias("words"), F.max("tf").alias("largest"))
         .where((F.col("words") >= STEM_WORDS) & (F.col("largest") * 2 <= F.col("tf"))).drop("words", "largest")
     )
-    found = []
-    for frame, stem in ((stems, True), (counts, False)):
-        best = strong(frame).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
-        for r in sorted(best, key=lambda r: (len(r["term"]), r["term"])) if stem else best:
-            if not any(s and r["term"].startswith(t) for t, s in found):
-                found.append((r["term"], stem))
+    likely = [{r["term"] for r in strong(c).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()} for c in (stems, counts)]
+    witnessed = strong(witnesses(texts, *likely)).orderBy(F.desc("g"), "term").collect()
+    best = {r["term"]: r["tf"] for r in witnessed if r["stem"]}
+    found: list[tuple[str, bool]] = []
+    for stem in sorted(best, key=lambda t: (-len(t), t)):  # a longer stem goes before a shorter one of which it has nearly all
+        if not any(t.startswith(stem) and best[t] >= 0.95 * best[stem] for t, _ in found):
+            found.append((stem, True))
+    found = [(t, True) for t, _ in found if not any(t != o and t.startswith(o) for o, _ in found)]
+    for r in witnessed:
+        if not r["stem"] and not any(stem and r["term"].startswith(t) for t, stem in found):
+            found.append((r["term"], False))
     return found[:MAX_TERMS]
 
 

@@ -1,17 +1,19 @@
 """N-gram Jaccard join (6): universe-partition pigeonhole.
 
-A document's set is its distinct 5-word shingles (hashed to 64 bits, as is the set itself: equal sets are one node).
-Sets that link, 100 * |A & B| >= 80 * |A | B|, have sizes in one band or in neighbouring bands, and differ in at most
-H = band's largest size // 4 shingles. A band's allocation cuts the universe of shingles into segments by hash: an
-exact segment (weight 1) is indexed by its subset; one with deletions (weight 2) also by its one-deletion
-neighbourhood, so it finds a difference of one. Weights add up to H + slack + 1, so a linked pair agrees in segments
-of weight slack + 1 at least; the split that costs least in entries and chance matches is taken.
-
-That slack pays for skipped entries: a set may skip empty segments and entries that more than COMMON sets have, while
-they weigh no more than its slack; the pair is then met at another entry. Sets over their slack (near copies by the
-thousand) are linked to a few pivots of each common entry first; what is left in other components is compared in full.
-Every candidate is verified on its whole text. Pairs are verified one for each set first, and those that components
-have made needless are dropped.
+A document's set is its distinct 5-word shingles, each hashed to 64 bits, as is the set itself: equal sets are one node.
+Sets that link, 100 * |A & B| >= 80 * |A | B|, have sizes in one band or in neighbouring ones, and differ in at most
+H = a quarter of the band's largest size. A band's allocation cuts the universe of shingles into segments by hash. An
+exact segment (weight 1) is indexed by its subset; one with deletions (weight 2) also by its one-deletion neighbourhood,
+so it finds a difference of one. The weights add up to H + slack + 1, so a linked pair agrees in segments of weight
+slack + 1 at least. The split that costs least in entries and chance matches is taken.
+
+The slack pays for entries that are skipped: empty segments, and common entries that still join several components, as
+long as they weigh no more than the set's slack. A set over its slack tells of its empty segments too.
+
+Candidates are compared in rounds, so that copies by the thousand are no square. First each entry gives a star: its
+members against one pivot. Then entries of up to COMMON members give the pairs that components have left apart. Sets over
+their slack by common entries are compared by prefixes: of a linked pair, the rarest fifth of the shingles share one.
+Every candidate is verified with the shingles of its whole texts.
 """
 
 from __future__ import annotations
@@ -26,28 +28,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from augur.llm.components import connected
 from augur.llm.util import save, table
-from augur.llm.words import Hashes, U, by_part, chunks, grouped, long, mix, multipliers, shingle_hashes, short
+from augur.llm.words import Hashes, U, by_part, chunks, long, mix, shingle_hashes, short
 
-SHINGLE, SMALLEST, COMMON, PIVOTS = 5, 4, 10, 2
-BUCKET_BYTES, PACK_ENTRIES, PACK_DOCS = 20 << 20, 4_000_000, 60_000
+SHINGLE, SMALLEST, COMMON = 5, 4, 24
 
-#: kind 0: documents; 1: candidate pairs; 2: entries before, common entries after counting.
-PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
-SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcde"]])
+#: Bytes of text that a bucket of entries or of comparisons stands for; entries and documents that a task packs at once.
+BUCKET_BYTES, PACK_ENTRIES, PACK_DOCS = 12 << 20, 2_000_000, 30_000
 
 
 @functools.cache
-def bands(up_to: int) -> tuple[np.ndarray, tuple[tuple[int, int, int], ...]]:
-    """Smallest sizes of the bands, and (exact segments, segments with deletions, slack) of each."""
-    low, plans = [], []
+def bands(up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest and largest sizes of the bands, and (exact segments, segments with deletions, slack) of each."""
+    low, high, plans = [], [], []
     at = SMALLEST
     while not low or at <= up_to:
-        high = at * 5 // 4
         low.append(at)
-        plans.append(allocation(at, high // 4))
-        at = high + 1
-    return np.array(low), tuple(plans)
+        high.append(at * 8 // 5)
+        plans.append(allocation(at, high[-1] // 4))
+        at = high[-1] + 1
+    return np.array(low), np.array(high), np.array(plans)
 
 
 def allocation(size: int, differ: int) -> tuple[int, int, int]:
@@ -56,19 +57,20 @@ def allocation(size: int, differ: int) -> tuple[int, int, int]:
         slack = 2
         for _ in range(8):
             exact = max(0, differ + slack + 1 - 2 * deletions)
-            tokens = size / (exact + deletions)
+            tokens = size / max(1, exact + deletions)
             none = math.exp(-tokens)
             skipped = exact * none + 2 * deletions * none * (1 + tokens)
-            slack = math.ceil(skipped + 3 * math.sqrt(skipped)) + 2
+            slack = min(math.ceil(skipped + 3 * math.sqrt(skipped)) + 2, 2 * differ + 4)
         entries = exact + deletions * (1 + tokens)
-        cost = entries + 4 * (exact * none + deletions * (1 + tokens) * math.exp(1 - tokens))
-        if exact + 2 * deletions >= differ + slack + 1 and (best is None or cost < best[0]):
+        # a set over its slack by empty segments meets strangers there
+        cost = entries + 4 * (exact * none + deletions * (1 + tokens) * math.exp(1 - tokens)) + 1000 * (skipped > exact + 2 * deletions - differ - 1)
+        if exact + deletions and (best is None or cost < best[0]):
             best = cost, (exact, deletions, exact + 2 * deletions - differ - 1)
     return best[1]
 
 
 def shingle_sets(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle) of the distinct shingles, by document. Fewer than SHINGLE words count as one shingle."""
+    """(document, shingle) of the distinct shingles, sorted. Fewer than SHINGLE words count as one shingle."""
     doc, stop = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts)
     code = shingle_hashes(words, SHINGLE, 21)
     inside = doc[: len(code)] == doc[SHINGLE - 1 :] if len(code) else np.zeros(0, bool)
@@ -86,91 +88,115 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
 
 def set_names(doc: np.ndarray, code: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit name of each document's set (as int64), and its size."""
-    size = np.bincount(doc, minlength=docs)
-    total = np.zeros(docs, U)
+    size, total = np.bincount(doc, minlength=docs), np.zeros(docs, U)
     np.add.at(total, doc, mix(code ^ U(77)))
     return mix(total + size.astype(U)).view(np.int64), size
 
 
-def entries_of(doc: np.ndarray, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(entry, document, weight) of all entries; then for each document its slack in its own band and in the one below (-1: none)."""
-    low, plans = bands(int(size.max(initial=SMALLEST)))
+def entries_of(doc: np.ndarray, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, owner, weight) of all entries, and by owner the slack left. Owner: twice the document, plus 1 in the band below its own."""
+    low, high, plans = bands(int(size.max(initial=SMALLEST)))
     own = np.searchsorted(low, size, side="right") - 1
-    out, slacks = [], []
-    for below in (0, 1):
-        band = own - below
-        real = (size >= SMALLEST) & (band >= 0)
-        shape = np.array(plans)[np.maximum(band, 0)]
-        exact, deletions, slack = (shape * real[:, None]).T
+    out, left = [], np.zeros(2 * len(size), np.int64)
+    for side in (0, 1):
+        band = np.maximum(own - side, 0)
+        real = (size >= SMALLEST) & (own >= side) & ((side == 0) | (4 * size <= 5 * high[band]))
+        exact, deletions, slack = (plans[band] * real[:, None]).T
         segments = exact + deletions
         base = np.cumsum(segments) - segments
         mine = real[doc]
-        d, x = doc[mine], code[mine]
-        salt = mix(np.maximum(band, 0).astype(U) + U(500))
-        x = mix(x ^ salt[d])
+        d, salt = doc[mine], mix(band.astype(U) + U(500))
+        x = mix(code[mine] ^ salt[d])
         segment = base[d] + (x % segments[d].astype(U)).astype(np.int64)
-        total, held = np.zeros(int(segments.sum()), U), np.bincount(segment, minlength=int(segments.sum()))
-        np.add.at(total, segment, x)
+        n = int(segments.sum())
+        order = np.argsort(segment, kind="stable")
+        held = np.bincount(segment, minlength=n)
+        total = np.zeros(n, U)
+        if len(order):
+            total[held > 0] = np.add.reduceat(x[order], (np.cumsum(held) - held)[held > 0])
         owner = np.repeat(np.arange(len(size)), segments)
-        index = np.arange(len(owner)) - base[owner]
+        index = np.arange(n) - base[owner]
         twice = index >= exact[owner]
         tag = mix(salt[owner] + index.astype(U))
         spare = np.where(twice, held <= 1, held == 0)
         slack = slack - np.bincount(owner, weights=spare * (1 + twice), minlength=len(size)).astype(np.int64)
-        told = ~spare | (slack < 0)[owner]  # a set over its slack tells all
-        out.append((mix(total + tag)[told], owner[told], (1 + twice)[told]))
+        told = ~spare | (slack < 0)[owner]
+        out.append((mix(total + tag)[told], 2 * owner[told] + side, (1 + twice)[told]))
         gone = np.flatnonzero(twice[segment] & told[segment])
         at = segment[gone]
-        out.append((mix(total[at] - x[gone] + tag[at]), owner[at], np.full(len(at), 2)))
-        slacks.append(np.where(real, np.maximum(slack, -1), -1))
-    entry, owner, weight = (np.concatenate([o[i] for o in out]) for i in range(3))
-    return entry, owner, weight, *slacks
+        out.append((mix(total[at] - x[gone] + tag[at]), 2 * owner[at] + side, np.full(len(at), 2)))
+        left[side::2] = slack
+    return *(np.concatenate([o[i] for o in out]) for i in range(3)), left
+
+
+def batch(kinds: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def rows(kinds: dict[str, pa.DataType], found: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([batch(kinds, [[f[i] for f in found] for i in range(len(kinds))])])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with tie, which tells texts apart; text as bytes."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.lit(6), "text").alias("tie"), F.col("text").cast("binary").alias("text"))
+
+
+MEMBER = {"doc_id": pa.int64(), "tie": pa.int64(), "name": pa.int64(), "size": pa.int64()}
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id, tie, name (null: an empty set) and size of each document's set."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes(bytes.lower)
+        for piece, texts in chunks(batches):
+            doc, code = shingle_sets(*known.of(texts))
+            names, size = set_names(doc, code, len(texts))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tie"), pa.array(names, mask=size == 0), pa.array(size)], names=list(MEMBER))
+
+    return docs.mapInArrow(name, "doc_id long, tie long, name long, size long")
 
 
-def linked(a: int, b: int, both: int) -> bool:
-    return 100 * both >= 80 * (a + b - both)
+#: part 0: candidate pairs (a, b: names). Part 1: entries of a bucket, or its groups of three members or more.
+PACKED = "bucket int, part int, a binary, b binary, names binary, sizes binary, left binary, weights binary"
+PACK = {"bucket": pa.int32(), "part": pa.int32()} | {k: pa.binary() for k in ("a", "b", "names", "sizes", "left", "weights")}
+
+
+def first_of(*sorted_: np.ndarray) -> np.ndarray:
+    """Whether each item differs from the one before it."""
+    if not len(sorted_[0]):
+        return np.zeros(0, bool)
+    return np.concatenate(([True], functools.reduce(np.logical_or, [s[1:] != s[:-1] for s in sorted_])))
+
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
 
 def index(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed documents, candidate pairs and common entries."""
+    """Packed star pairs, and groups: the sets that share an entry."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes(bytes.lower)
-        held: list[tuple] = []
-        entries = count = turn = 0
+        known, held, entries, count = Hashes(bytes.lower), [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal turn
-            ids, ties, names, size = (np.concatenate([h[i] for h in held]) for i in range(4))
-            turn += 1
-            yield pa.RecordBatch.from_pylist([{"bucket": int(ties[0] % buckets) if len(ties) else 0, "kind": 0, "a": ids.tobytes(), "b": names.tobytes(), "c": size.astype(np.int64).tobytes(), "d": ties.tobytes()}], SCHEMA)
-            entry, owner, weight, slack = (np.concatenate([h[i] for h in held]) for i in range(4, 8))
-            if not len(entry):
-                return
+            names, size, left, entry, owner, weight = (np.concatenate([h[i] for h in held]) for i in range(6))
             _, first = np.unique(names, return_index=True)  # one document tells for all with its set
-            tells = np.isin(owner, first)
-            entry, owner, weight, slack = entry[tells], owner[tells], weight[tells], slack[tells]
-            bucket = ((entry >> U(32)) % U(buckets)).astype(np.int64)
-            found = []
-            for b, at in by_part(bucket):
-                # an owner is a set in one of its two bands: told apart by its slack and weight there
+            tells = np.zeros(len(names), bool)
+            tells[first] = True
+            tells = tells[owner // 2]
+            entry, owner, weight = entry[tells], owner[tells], weight[tells]
+            for b, at in by_part(((entry >> U(32)) % U(buckets)).astype(np.int32)):
                 distinct, place = short(owner[at])
-                found.append({"bucket": b, "kind": 2, "a": entry[at].astype(np.uint32).tobytes(), "b": place, "c": names[distinct].tobytes(), "d": size[distinct].astype(np.int64).tobytes(), "e": (weight[at] + 4 * slack[at]).astype(np.int32).tobytes()})
-            yield from pa.Table.from_pylist(found, SCHEMA).to_batches(max_chunksize=32)
+                yield batch(PACK, [[b], [1], [entry[at].astype(np.uint32).tobytes()], [place], [names[distinct // 2].tobytes()], [size[distinct // 2].astype(np.int32).tobytes()], [left[distinct].astype(np.int32).tobytes()], [weight[at].astype(np.int8).tobytes()]])
 
-        for piece, texts in chunks(batches):
-            words, counts = known.of(texts)
-            doc, code = shingle_sets(words, counts)
+        for _, texts in chunks(batches):
+            doc, code = shingle_sets(*known.of(texts))
             names, size = set_names(doc, code, len(texts))
-            entry, owner, weight, own, below = entries_of(doc, code, size)
-            half = len(entry)
-            slack = np.zeros(half, np.int64)  # per entry: the slack of its band
-            cut = first_of_second(own, below, owner)
-            slack[:cut], slack[cut:] = own[owner[:cut]] + 1, below[owner[cut:]] + 1
-            side = np.arange(half) >= cut
-            ids = np.array([np.iinfo(np.int64).max if v is None else v for v in piece.column("doc_id").to_pylist()], np.int64)
-            held.append((ids, piece.column("tie").to_numpy(zero_copy_only=False), names, size, entry, owner + count, weight, slack * 2 + side))
-            entries, count = entries + half, count + len(texts)
+            entry, owner, weight, left = entries_of(doc, code, size)
+            held.append((names, size, left, entry, owner + 2 * count, weight.astype(np.int8)))
+            entries, count = entries + len(entry), count + len(texts)
             if entries >= PACK_ENTRIES or count >= PACK_DOCS:
                 yield from flush()
                 held, entries, count = [], 0, 0
@@ -178,42 +204,242 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        bucket, found, parts = group.column("bucket")[0].as_py(), [], []
+        bucket, parts = group.column("bucket")[0].as_py(), []
         for r in group.to_pylist():
-            if r["kind"] == 0:
-                found.append(r)
-                continue
-            names, size = np.frombuffer(r["c"], np.int64), np.frombuffer(r["d"], np.int64)
+            names = np.frombuffer(r["names"], np.int64)
             at = long(r["b"], len(names))
-            parts.append((np.frombuffer(r["a"], np.uint32), names[at], size[at], np.frombuffer(r["e"], np.int32)))
-        if not parts:
-            return pa.Table.from_pylist(found, SCHEMA)
-        entry, name, size, more = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            parts.append((np.frombuffer(r["a"], np.uint32), names[at], np.frombuffer(r["sizes"], np.int32)[at], np.frombuffer(r["left"], np.int32)[at], np.frombuffer(r["weights"], np.int8)))
+        entry = np.concatenate([p[0] for p in parts])
+        order = np.argsort(entry, kind="stable")
+        new = first_of(entry[order])
+        many = np.repeat(np.diff(np.append(np.flatnonzero(new), len(entry))) > 1, np.diff(np.append(np.flatnonzero(new), len(entry))))
+        order = order[many]
+        entry = entry[order]
+        name, size, left, weight = (np.concatenate([p[i] for p in parts])[order] for i in range(1, 5))
         order = np.lexsort((name, entry))
-        entry, name, size, more = entry[order], name[order], size[order], more[order]
-        new = np.concatenate(([True], (entry[1:] != entry[:-1]) | (name[1:] != name[:-1])))
-        entry, name, size, more = entry[new], name[new], size[new], more[new]
-        first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1])))
-        count = np.diff(np.append(first, len(entry)))
-        pairs = []
-        for gap in range(1, COMMON):
-            start = first[(count > gap) & (count <= COMMON)]
-            room = count[(count > gap) & (count <= COMMON)] - gap
-            a = np.repeat(start, room) + np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room)
-            near = 5 * np.minimum(size[a], size[a + gap]) >= 4 * np.maximum(size[a], size[a + gap])
-            pairs.append(np.stack([name[a[near]], name[a[near] + gap]]))
-        pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        if pairs.shape[1]:
-            found.append({"bucket": bucket, "kind": 1, "a": pairs[0].tobytes(), "b": pairs[1].tobytes()})
-        group_of = np.repeat(np.arange(len(first)), count)
-        hot = np.flatnonzero(count[group_of] > COMMON)
-        if len(hot):
-            found.append({"bucket": bucket, "kind": 2, "a": name[hot].tobytes(), "b": np.unique(group_of[hot], return_inverse=True)[1].astype(np.uint32).tobytes(), "c": more[hot].tobytes(), "d": size[hot].tobytes()})
-        return pa.Table.from_pylist(found, SCHEMA)
+        entry, name, size, left, weight = entry[order], name[order], size[order], left[order], weight[order]
+        once = first_of(entry, name)
+        entry, name, size, left, weight = entry[once], name[once], size[once], left[once], weight[once]
+        start = np.flatnonzero(first_of(entry))
+        count = np.diff(np.append(start, len(entry)))
+        group_of = np.repeat(np.arange(len(start)), count)
+        distinct, who = np.unique(name, return_inverse=True)
+        central = np.bincount(who, weights=count[group_of] > COMMON, minlength=len(distinct))[who]
+        rank = np.lexsort((name, np.where(count[group_of] > COMMON, -central, 0), group_of))
+        pivot = rank[start][group_of] if len(start) else rank
+        pair = (name != name[pivot]) & near(size, size[pivot])
+        pairs = np.unique(np.stack([name[pivot][pair], name[pair]]), axis=1)
+        found = [(bucket, 0, pairs[0].tobytes(), pairs[1].tobytes(), None, None, None, None)]
+        rest = np.flatnonzero(count[group_of] > 2)
+        if len(rest):
+            distinct, place = np.unique(name[rest], return_inverse=True)
+            found.append((bucket, 1, group_of[rest].astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes(), distinct.tobytes(), size[rest].astype(np.int32).tobytes(), left[rest].astype(np.int32).tobytes(), weight[rest].tobytes()))
+        return rows(PACK, found)
 
     return docs.mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(meet, PACKED)
 
 
-def first_of_second(own: np.ndarray, below: np.ndarray, owner: np.ndarray) -> int:
-    """Where the entries of the lower band begin: the concatenation starts again at the first document there."""
-    raise NotImplementedError
+PAIR = {"a": pa.int64(), "b": pa.int64()}
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """Rows (a, b) of packed pairs."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                yield batch(PAIR, [np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)])
+
+    return packed.select("a", "b").mapInArrow(unpack, "a long, b long").distinct()
+
+
+def apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """From groups and components: packed pairs still apart (part 0) of small groups; of large ones (part 1) the sets, their weight there and slack.
+
+    labels: node, component; a set without a label is a component of its own.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, names in zip(b.column("bucket").to_pylist(), b.column("names").to_pylist(), strict=True):
+                names = np.frombuffer(names, np.int64)
+                yield batch({"bucket": pa.int32(), "node": pa.int64()}, [np.full(len(names), bucket), names])
+
+    known = groups.select("bucket", "names").mapInArrow(unpack, "bucket int, node long").join(labels, "node")
+
+    def cross(own: pa.Table, known: pa.Table) -> pa.Table:
+        found = []
+        node = known.column("node").to_numpy()
+        order = np.argsort(node)
+        node, component = node[order], known.column("component").to_numpy()[order]
+        for r in own.to_pylist():
+            names = np.frombuffer(r["names"], np.int64)
+            label = names.copy()
+            if len(node):
+                at = np.minimum(np.searchsorted(node, names), len(node) - 1)
+                label = np.where(node[at] == names, component[at], names)
+            group_of, place, size, left, weight = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["left"], np.int32), np.frombuffer(r["weights"], np.int8)
+            order = np.lexsort((label[place], group_of))
+            group_of, place, size, left, weight = group_of[order], place[order], size[order], left[order], weight[order]
+            start = np.flatnonzero(first_of(group_of))
+            count = np.diff(np.append(start, len(group_of)))
+            mixed = np.repeat(np.add.reduceat(first_of(group_of, label[place]).astype(np.int64), start) > 1, count)
+            spread = np.repeat(count, count)
+            last = np.repeat(start + count, count)
+            pairs = []
+            small = np.flatnonzero(mixed & (spread <= COMMON))
+            for gap in range(1, COMMON):
+                a = small[small + gap < last[small]]
+                b = a + gap
+                a, b = a[keep := (label[place[a]] != label[place[b]]) & near(size[a], size[b])], b[keep]
+                pairs.append(np.stack([names[place[a]], names[place[b]]]))
+            pairs = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+            found.append((r["bucket"], 0, pairs[0].tobytes(), pairs[1].tobytes(), None, None, None, None))
+            hot = np.flatnonzero(mixed & (spread > COMMON))
+            if len(hot):
+                key, at = np.unique(np.stack([place[hot].astype(np.int64), left[hot]]), axis=1, return_inverse=True)
+                total = np.bincount(np.ravel(at), weights=weight[hot], minlength=key.shape[1]).astype(np.int64)
+                found.append((r["bucket"], 1, names[key[0]].tobytes(), key[1].tobytes(), total.tobytes(), None, None, None))
+        return rows(PACK, found)
+
+    return groups.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(cross, PACKED)
+
+
+def over(packed: DataFrame) -> DataFrame:
+    """name of the sets whose common entries weigh more than their slack in one of their bands."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("a", "b", "names")), strict=True):
+                yield batch({k: pa.int64() for k in ("name", "left", "weight")}, [np.frombuffer(x, np.int64) for x in row])
+
+    hot = packed.select("a", "b", "names").mapInArrow(unpack, "name long, left long, weight long")
+    # the sum over both bands and the smaller slack: too many at worst, never too few
+    return hot.groupBy("name").agg(F.sum("weight").alias("w"), F.min("left").alias("left")).where("w > left").select("name")
+
+
+def texts_of(docs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, name, text of homes (bucket, name); one text for each."""
+    one = sets.where("name is not null").groupBy("name").agg(F.min(F.struct("tie", F.coalesce("doc_id", F.lit(1 << 62)).alias("id"))).alias("key"))
+    wanted = homes.join(one, "name").select("bucket", "name", F.col("key.tie").alias("tie"), F.col("key.id").alias("id"))
+    return docs.withColumn("id", F.coalesce("doc_id", F.lit(1 << 62))).join(wanted, ["tie", "id"]).select("bucket", "name", "text")
+
+
+def sets_in(own: pa.Table) -> dict[int, np.ndarray]:
+    """name -> sorted shingles, of a table (name, text)."""
+    known, out = Hashes(bytes.lower), {}
+    for piece, texts in chunks(own.to_batches()):
+        doc, code = shingle_sets(*known.of(texts))
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        out |= {n: code[bounds[i] : bounds[i + 1]] for i, n in enumerate(piece.column("name").to_pylist())}
+    return out
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
+    """Edges (a, b) that join the same sets as those of the pairs (a, b) that link.
+
+    A pair is compared in the bucket of its b; a (a pivot, if there is one) is sent to each bucket that needs it.
+    """
+    dealt = save(pairs.select(F.pmod(F.xxhash64("b"), F.lit(buckets)).cast("int").alias("bucket"), "a", "b"), "pairs")
+    homes = dealt.select((F.col("bucket") + 0).alias("bucket"), F.explode(F.array("a", "b")).alias("name")).distinct()
+
+    def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
+        sets, root = sets_in(own), {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        found = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            if (x := top(a)) == (y := top(b)):
+                continue
+            p, q = sets[a], sets[b]
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if 100 * both >= 80 * (len(p) + len(q) - both):
+                root[max(x, y)] = min(x, y)
+                found.append((a, b))
+        return rows(PAIR, found)
+
+    return dealt.groupBy("bucket").cogroup(texts_of(docs, homes, sets).groupBy("bucket")).applyInArrow(compare, "a long, b long")
+
+
+def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """Pairs (a, b), in different components, of the named sets that share one of the rarest shingles of each (prefix filter)."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, code in sets_in(pa.Table.from_batches([b])).items():
+                yield batch({"name": pa.int64(), "token": pa.int64(), "size": pa.int64()}, [np.full(len(code), name), code.view(np.int64), np.full(len(code), len(code))])
+
+    homes = names.withColumn("bucket", F.lit(0))
+    held = save(texts_of(docs, homes, sets).select("name", "text").mapInArrow(tokens, "name long, token long, size long"), "tokens")
+    often = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+
+    def prefix(group: pa.Table) -> pa.Table:
+        order = np.lexsort((group.column("token").to_numpy(), group.column("df").to_numpy()))
+        return group.take(order[: len(order) // 5 + 1])
+
+    # of A's shingles a fifth at most is missing from a linked B, so one of the rarest fifth plus one is shared, and so for B
+    ranked = held.join(often, "token", "left").fillna({"df": 1}).groupBy("name").applyInArrow(prefix, "name long, token long, size long, df long")
+    ranked = ranked.where("df > 1").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+
+    def cross(group: pa.Table) -> pa.Table:
+        name, label, size = (group.column(c).to_numpy() for c in ("name", "component", "size"))
+        order = np.argsort(size, kind="stable")
+        name, label, size = name[order], label[order], size[order]
+        reach, found = np.searchsorted(4 * size, 5 * size, side="right"), []
+        for i in range(len(name)):
+            other = np.arange(i + 1, reach[i])
+            other = other[label[other] != label[i]]
+            found.append(np.sort(np.stack([np.full(len(other), name[i]), name[other]]), axis=0))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.Table.from_batches([batch(PAIR, [pairs[0], pairs[1]])])
+
+    return ranked.groupBy("token").applyInArrow(cross, "a long, b long").distinct()
+
+
+def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, (node, component) of the sets that link with another)."""
+    docs = keyed(docs)
+    sets = save(members(docs), "members")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(12, size // BUCKET_BYTES)
+    packed = save(index(docs, buckets), "index")
+    groups = packed.where("part = 1")
+    links = save(verified(docs, sets, unpacked(packed.where("part = 0")), buckets), "links")
+    labels = connected(links)
+    rest = save(apart(groups, labels), "rest")
+    hot = save(over(rest.where("part = 1")), "over")
+    pairs = unpacked(rest.where("part = 0")).unionByName(by_prefix(docs, sets, hot, labels, buckets)).distinct()
+    more = save(verified(docs, sets, pairs, buckets), "links")
+    return sets, connected(links.unionByName(more)) if not more.isEmpty() else labels
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, tie, n_shingles and component_id of each row of docs (doc_id, text, any others).
+
+    A null or wordless text has no shingles and is a component of its own. A row without doc_id takes part, but names no
+    component unless all rows of its component are without (component_id is null then). Repeated rows give repeated rows.
+    """
+    sets, labels = components(docs)
+    own = sets.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = own.join(least, "component", "left")
+    return found.select("doc_id", "tie", F.col("size").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", F.xxhash64("doc_id", "tie")).alias("component"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, any others) without near copies: of each component the row with the smallest doc_id."""
+    key = [F.coalesce("doc_id", F.lit(1 << 62)).alias("_id"), F.col("tie").alias("_tie")]
+    keep = near_duplicates(docs).where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(*key)).alias("k")).select("k._id", "k._tie", F.lit(True).alias("_keep"))
+    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)), "_tie": F.xxhash64(F.lit(6), "text")})
+    blank = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    copies = F.row_number().over(W.partitionBy("_id", "_tie").orderBy(F.lit(0)))
+    kept = marked.where(~blank).join(keep, ["_id", "_tie"]).withColumn("_n", copies).where("_n = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(blank))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

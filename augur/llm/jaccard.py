@@ -379,20 +379,23 @@ def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFr
 
     def prefix(group: pa.Table) -> pa.Table:
         order = np.lexsort((group.column("token").to_numpy(), group.column("df").to_numpy()))
-        return group.take(order[: len(order) // 5 + 1])
+        order = order[: len(order) // 5 + 1]
+        return group.take(order).append_column("place", pa.array(np.arange(len(order))))
 
-    # of A's shingles a fifth at most is missing from a linked B, so one of the rarest fifth plus one is shared, and so for B
-    ranked = held.join(often, "token", "left").fillna({"df": 1}).groupBy("name").applyInArrow(prefix, "name long, token long, size long, df long")
+    # of A's shingles a fifth at most is missing from a linked B, so one of the rarest fifth plus one is shared, and so for B;
+    # what stands before the first they share, they don't share
+    ranked = held.join(often, "token", "left").select("name", "token", "size", F.coalesce("df", F.lit(1)).alias("df")).groupBy("name").applyInArrow(prefix, "name long, token long, size long, df long, place long")
     ranked = ranked.where("df > 1").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
 
     def cross(group: pa.Table) -> pa.Table:
-        name, label, size = (group.column(c).to_numpy() for c in ("name", "component", "size"))
+        name, label, size, place = (group.column(c).to_numpy() for c in ("name", "component", "size", "place"))
         order = np.argsort(size, kind="stable")
-        name, label, size = name[order], label[order], size[order]
+        name, label, size, rest = name[order], label[order], size[order], (size - place)[order]
         reach, found = np.searchsorted(4 * size, 5 * size, side="right"), []
         for i in range(len(name)):
             other = np.arange(i + 1, reach[i])
-            other = other[label[other] != label[i]]
+            most = np.minimum(rest[i], rest[other])  # shared, if this is the first shingle they share
+            other = other[(label[other] != label[i]) & (100 * most >= 80 * (size[i] + size[other] - most))]
             found.append(np.sort(np.stack([np.full(len(other), name[i]), name[other]]), axis=0))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.Table.from_batches([batch(PAIR, [pairs[0], pairs[1]])])

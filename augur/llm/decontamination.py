@@ -55,10 +55,12 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     return code[inside], owner[: len(code)][inside]
 
 
+MULTIPLIERS = multipliers(2 * FUNCTIONS, 50)
+
+
 def functions(code: np.ndarray, i: int) -> np.ndarray:
     """The i-th hash function, of values that are well mixed already."""
-    m = multipliers(2 * FUNCTIONS, 50)
-    return (code ^ m[2 * i]) * m[2 * i + 1]
+    return (code ^ MULTIPLIERS[2 * i]) * MULTIPLIERS[2 * i + 1]
 
 
 @dataclasses.dataclass
@@ -102,22 +104,25 @@ def build(rows: list[tuple[int | None, str | None]]) -> Block:
     return block
 
 
-def candidates(part: Partition, code: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
+def candidates(partitions: list[Partition], code: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
     """(text, item) that agree in a minimum of one window. code, owner: the shingles of some texts, in order."""
     if not len(code):
         return set()
     first = np.concatenate(([True], owner[1:] != owner[:-1]))
     place = np.arange(len(owner)) - np.maximum.accumulate(np.where(first, np.arange(len(owner)), 0))
-    start = np.flatnonzero(first | (place % part.below == 0))  # stretches of `below` shingles; two make a window
-    text = owner[start]
-    same = np.append(text[1:] == text[:-1], False)
+    cuts = [np.flatnonzero(first | (place % p.below == 0)) for p in partitions]  # stretches of `below` shingles; two make a window
+    same = [np.append(owner[c][1:] == owner[c][:-1], False) for c in cuts]
     found = set()
     for f in range(FUNCTIONS):
-        low = np.minimum.reduceat(functions(code, f), start)
-        low = np.where(same, np.minimum(low, np.append(low[1:], low[-1:])), low)
-        a, b = np.searchsorted(part.minima[f], low, "left"), np.searchsorted(part.minima[f], low, "right")
-        for w in np.flatnonzero(b > a):
-            found.update((int(text[w]), int(i)) for i in part.items[f][a[w] : b[w]])
+        value = functions(code, f)
+        for part, start, whole in zip(partitions, cuts, same, strict=True):
+            low = np.minimum.reduceat(value, start)
+            low = np.where(whole, np.minimum(low, np.append(low[1:], low[-1:])), low)
+            minima = part.minima[f]
+            a = np.searchsorted(minima, low)
+            hit = np.flatnonzero(minima[np.minimum(a, len(minima) - 1)] == low)
+            for w, i, j in zip(hit, a[hit], np.searchsorted(minima, low[hit], "right"), strict=True):
+                found.update((int(owner[start[w]]), int(x)) for x in part.items[f][i:j])
     return found
 
 
@@ -125,7 +130,7 @@ def matches(block: Block, known: Hashes, texts: list[bytes]) -> list[tuple[int,
     """(text, item, shared shingles) of the leaks, sorted."""
     words, counts = words_of(known, texts)
     code, owner = shingles(words, counts, SHINGLE)
-    pairs = set().union(*[candidates(p, code, owner) for p in block.partitions])
+    pairs = candidates(block.partitions, code, owner)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     out, own, at = [], np.zeros(0, U), -1
     for text, item in sorted(pairs):

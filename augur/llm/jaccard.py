@@ -7,13 +7,12 @@ exact segment (weight 1) is indexed by its subset; one with deletions (weight 2)
 so it finds a difference of one. The weights add up to H + slack + 1, so a linked pair agrees in segments of weight
 slack + 1 at least. The split that costs least in entries and chance matches is taken.
 
-The slack pays for entries that are skipped: empty segments, and common entries that still join several components, as
-long as they weigh no more than the set's slack. A set over its slack tells of its empty segments too.
-
-Candidates are compared in rounds, so that copies by the thousand are no square. First each entry gives a star: its
-members against one pivot. Then entries of up to COMMON members give the pairs that components have left apart. Sets over
-their slack by common entries are compared by prefixes: of a linked pair, the rarest fifth of the shingles share one.
-Every candidate is verified with the shingles of its whole texts.
+The slack makes the count of what two sets share a filter: linked sets share entries that weigh more than the slack
+that empty segments leave to either. Entries of up to COMMON members give their pairs, counted over all entries; a
+common entry gives a star, its members against the most central one. What half a set's slack can't cover of common
+entries that still join several components makes it an over set: those are compared by prefixes (of a linked pair, the
+rarest fifth of the shingles share one), and their candidates must pass bounds on what they can share. So copies by the
+thousand are no square. Every candidate is verified with the shingles of its whole texts.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from augur.llm.components import connected
 from augur.llm.util import save, table
 from augur.llm.words import Hashes, U, by_part, chunks, long, mix, shingle_hashes, short
 
-SHINGLE, SMALLEST, COMMON = 5, 4, 24
+SHINGLE, SMALLEST, COMMON, CLASSES, PIVOTS = 5, 4, 24, 128, 8
 
 #: Bytes of text that a bucket of entries or of comparisons stands for; entries and documents that a task packs at once.
 BUCKET_BYTES, PACK_ENTRIES, PACK_DOCS = 12 << 20, 2_000_000, 30_000
@@ -142,23 +141,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.lit(6), "text").alias("tie"), F.col("text").cast("binary").alias("text"))
 
 
-MEMBER = {"doc_id": pa.int64(), "tie": pa.int64(), "name": pa.int64(), "size": pa.int64()}
-
-
-def members(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, name (null: an empty set) and size of each document's set."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes(bytes.lower)
-        for piece, texts in chunks(batches):
-            doc, code = shingle_sets(*known.of(texts))
-            names, size = set_names(doc, code, len(texts))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tie"), pa.array(names, mask=size == 0), pa.array(size)], names=list(MEMBER))
-
-    return docs.mapInArrow(name, "doc_id long, tie long, name long, size long")
-
-
-#: part 0: candidate pairs (a, b: names). Part 1: entries of a bucket, or its groups of three members or more.
+#: part 0: pairs of small entries; 1: entries of a bucket, or its common ones; 2: stars of common entries; 3: members.
 PACKED = "bucket int, part int, a binary, b binary, names binary, sizes binary, left binary, weights binary"
 PACK = {"bucket": pa.int32(), "part": pa.int32()} | {k: pa.binary() for k in ("a", "b", "names", "sizes", "left", "weights")}
 
@@ -175,13 +158,14 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def index(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed star pairs, and groups: the sets that share an entry."""
+    """Packed members, pairs, stars, and common entries with their sets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, entries, count = Hashes(bytes.lower), [], 0, 0
+        known, held, entries, count, turn = Hashes(bytes.lower), [], 0, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            names, size, left, entry, owner, weight = (np.concatenate([h[i] for h in held]) for i in range(6))
+            names, size, left, entry, owner, weight, ids, none, ties = (np.concatenate([h[i] for h in held]) for i in range(9))
+            yield batch(PACK, [[(turn + int(ties[0])) % buckets], [3], [ids.tobytes()], [none.tobytes()], [names.tobytes()], [size.astype(np.int32).tobytes()], [ties.tobytes()], [None]])
             _, first = np.unique(names, return_index=True)  # one document tells for all with its set
             tells = np.zeros(len(names), bool)
             tells[first] = True
@@ -189,75 +173,120 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
             entry, owner, weight = entry[tells], owner[tells], weight[tells]
             for b, at in by_part(((entry >> U(32)) % U(buckets)).astype(np.int32)):
                 distinct, place = short(owner[at])
-                yield batch(PACK, [[b], [1], [entry[at].astype(np.uint32).tobytes()], [place], [names[distinct // 2].tobytes()], [size[distinct // 2].astype(np.int32).tobytes()], [left[distinct].astype(np.int32).tobytes()], [weight[at].astype(np.int8).tobytes()]])
+                side = (distinct % 2).astype(np.int32)
+                yield batch(PACK, [[b], [1], [entry[at].astype(np.uint32).tobytes()], [place], [names[distinct // 2].tobytes()], [(2 * size[distinct // 2] + side).astype(np.int32).tobytes()], [left[distinct].astype(np.int32).tobytes()], [weight[at].astype(np.int8).tobytes()]])
 
-        for _, texts in chunks(batches):
+        for piece, texts in chunks(batches):
             doc, code = shingle_sets(*known.of(texts))
             names, size = set_names(doc, code, len(texts))
             entry, owner, weight, left = entries_of(doc, code, size)
-            held.append((names, size, left, entry, owner + 2 * count, weight.astype(np.int8)))
+            ids = piece.column("doc_id")
+            held.append((names, size, left, entry, owner + 2 * count, weight.astype(np.int8), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), piece.column("tie").to_numpy()))
             entries, count = entries + len(entry), count + len(texts)
             if entries >= PACK_ENTRIES or count >= PACK_DOCS:
                 yield from flush()
-                held, entries, count = [], 0, 0
+                held, entries, count, turn = [], 0, 0, turn + 1
         if held:
             yield from flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        bucket, parts = group.column("bucket")[0].as_py(), []
+        bucket, parts, found = group.column("bucket")[0].as_py(), [], []
         for r in group.to_pylist():
+            if r["part"] == 3:
+                found.append(tuple(r[k] for k in PACK))
+                continue
             names = np.frombuffer(r["names"], np.int64)
             at = long(r["b"], len(names))
             parts.append((np.frombuffer(r["a"], np.uint32), names[at], np.frombuffer(r["sizes"], np.int32)[at], np.frombuffer(r["left"], np.int32)[at], np.frombuffer(r["weights"], np.int8)))
+        if not parts:
+            return rows(PACK, found)
         entry = np.concatenate([p[0] for p in parts])
         order = np.argsort(entry, kind="stable")
-        new = first_of(entry[order])
-        many = np.repeat(np.diff(np.append(np.flatnonzero(new), len(entry))) > 1, np.diff(np.append(np.flatnonzero(new), len(entry))))
-        order = order[many]
+        start = np.flatnonzero(first_of(entry[order]))
+        count = np.diff(np.append(start, len(entry)))
+        order = order[np.repeat(count, count) > 1]
         entry = entry[order]
         name, size, left, weight = (np.concatenate([p[i] for p in parts])[order] for i in range(1, 5))
-        order = np.lexsort((name, entry))
-        entry, name, size, left, weight = entry[order], name[order], size[order], left[order], weight[order]
-        once = first_of(entry, name)
-        entry, name, size, left, weight = entry[once], name[once], size[once], left[once], weight[once]
+        order = np.lexsort((size % 2, name, entry))
+        order = order[first_of(entry[order], name[order])]
+        entry, name, left, weight = entry[order], name[order], left[order], weight[order]
+        size, side = size[order] // 2, size[order] % 2
         start = np.flatnonzero(first_of(entry))
         count = np.diff(np.append(start, len(entry)))
-        group_of = np.repeat(np.arange(len(start)), count)
-        distinct, who = np.unique(name, return_inverse=True)
-        central = np.bincount(who, weights=count[group_of] > COMMON, minlength=len(distinct))[who]
-        rank = np.lexsort((name, np.where(count[group_of] > COMMON, -central, 0), group_of))
-        pivot = rank[start][group_of] if len(start) else rank
-        pair = (name != name[pivot]) & near(size, size[pivot])
-        pairs = np.unique(np.stack([name[pivot][pair], name[pair]]), axis=1)
-        found = [(bucket, 0, pairs[0].tobytes(), pairs[1].tobytes(), None, None, None, None)]
-        rest = np.flatnonzero(count[group_of] > 2)
-        if len(rest):
-            distinct, place = np.unique(name[rest], return_inverse=True)
-            found.append((bucket, 1, group_of[rest].astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes(), distinct.tobytes(), size[rest].astype(np.int32).tobytes(), left[rest].astype(np.int32).tobytes(), weight[rest].tobytes()))
+        many, last, group_of = np.repeat(count, count), np.repeat(start + count, count), np.repeat(np.arange(len(start)), count)
+
+        def told(part: int, a: np.ndarray, b: np.ndarray) -> None:
+            """Pairs of places, with the weight they share here and the smaller slack; sets from the band above meet in their own band."""
+            keep = near(size[a], size[b]) & (side[a] + side[b] < 2) & (name[a] != name[b])
+            a, b = a[keep], b[keep]
+            swap = name[a] > name[b]
+            low, high = (np.where(swap, b, a), np.where(swap, a, b)) if part == 0 else (a, b)
+            order = np.lexsort((side[high], side[low], name[high], name[low]))
+            low, high = low[order], high[order]
+            new = np.flatnonzero(first_of(name[low], name[high], side[low], side[high]))
+            if len(new):
+                found.append((bucket, part, name[low][new].tobytes(), name[high][new].tobytes(), None, (side[low] + 2 * side[high])[new].astype(np.int32).tobytes(), np.minimum(left[low], left[high])[new].astype(np.int32).tobytes(), np.add.reduceat(weight[low].astype(np.int64), new).astype(np.int32).tobytes()))
+
+        small = np.flatnonzero((many > 1) & (many <= COMMON))
+        one = [small[small + gap < last[small]] for gap in range(1, COMMON)]
+        told(0, np.concatenate(one), np.concatenate([a + gap for gap, a in enumerate(one, 1)]))
+        hot = np.flatnonzero(many > COMMON)
+        if len(hot):
+            distinct, who = np.unique(name[hot], return_inverse=True)
+            central = np.bincount(who, minlength=len(distinct))[who]
+            rank = hot[np.lexsort((name[hot], -central, group_of[hot]))]
+            pivot = rank[first_of(group_of[rank])]
+            told(2, np.repeat(pivot, count[group_of[pivot]]), rank)
+            found.append((bucket, 1, group_of[hot].astype(np.uint32).tobytes(), who.astype(np.uint32).tobytes(), distinct.tobytes(), side[hot].astype(np.int32).tobytes(), left[hot].astype(np.int32).tobytes(), weight[hot].tobytes()))
         return rows(PACK, found)
 
     return docs.mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(meet, PACKED)
 
 
+MEMBER = {"doc_id": pa.int64(), "tie": pa.int64(), "name": pa.int64(), "size": pa.int64()}
 PAIR = {"a": pa.int64(), "b": pa.int64()}
+COUNTED = PAIR | {"sides": pa.int64(), "left": pa.int64(), "weight": pa.int64()}
 
 
-def unpacked(packed: DataFrame) -> DataFrame:
-    """Rows (a, b) of packed pairs."""
+def members(packed: DataFrame) -> DataFrame:
+    """doc_id, tie, name (null: an empty set) and size of each document's set."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-                yield batch(PAIR, [np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)])
+            for r in b.to_pylist():
+                size = np.frombuffer(r["sizes"], np.int32)
+                ids = pa.array(np.frombuffer(r["a"], np.int64), mask=np.frombuffer(r["b"], bool))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(r["left"], np.int64)), pa.array(np.frombuffer(r["names"], np.int64), mask=size == 0), pa.array(size.astype(np.int64))], names=list(MEMBER))
 
-    return packed.select("a", "b").mapInArrow(unpack, "a long, b long").distinct()
+    return packed.where("part = 3").mapInArrow(unpack, "doc_id long, tie long, name long, size long")
 
 
-def apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """From groups and components: packed pairs still apart (part 0) of small groups; of large ones (part 1) the sets, their weight there and slack.
+def counted(packed: DataFrame, part: int) -> DataFrame:
+    """a, b, left, weight: what pairs share over all buckets, in one band."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield batch(COUNTED, [np.frombuffer(r[k], np.int64) for k in ("a", "b")] + [np.frombuffer(r[k], np.int32).astype(np.int64) for k in ("sizes", "left", "weights")])
+
+    pairs = packed.where(F.col("part") == part).mapInArrow(unpack, "a long, b long, sides long, left long, weight long")
+    return pairs.groupBy("a", "b", "sides").agg(F.min("left").alias("left"), F.sum("weight").alias("weight"))
+
+
+def candidates(packed: DataFrame) -> DataFrame:
+    """Pairs (a, b) that small entries can't rule out, and each set's best pivots of common entries (PIVOTS at most: stars only save work, what they miss is compared by prefixes)."""
+    shared = counted(packed, 0).where("weight > greatest(left, 0) div 2").select("a", "b")
+    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("weight"), "a"))
+    stars = counted(packed, 2).withColumn("n", best).where(F.col("n") <= PIVOTS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return shared.unionByName(stars).distinct()
+
+
+def over(packed: DataFrame, labels: DataFrame) -> DataFrame:
+    """name of the sets for which common entries that join several components weigh more than half their slack in one of their bands.
 
     labels: node, component; a set without a label is a component of its own.
     """
+    groups = packed.where("part = 1")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,56 +295,30 @@ def apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
                 yield batch({"bucket": pa.int32(), "node": pa.int64()}, [np.full(len(names), bucket), names])
 
     known = groups.select("bucket", "names").mapInArrow(unpack, "bucket int, node long").join(labels, "node")
+    kinds = {k: pa.int64() for k in ("name", "side", "left", "weight")}
 
-    def cross(own: pa.Table, known: pa.Table) -> pa.Table:
-        found = []
+    def weigh(own: pa.Table, known: pa.Table) -> pa.Table:
+        out = [rows(kinds, [])]
         node = known.column("node").to_numpy()
         order = np.argsort(node)
         node, component = node[order], known.column("component").to_numpy()[order]
         for r in own.to_pylist():
             names = np.frombuffer(r["names"], np.int64)
-            label = names.copy()
+            label = names
             if len(node):
                 at = np.minimum(np.searchsorted(node, names), len(node) - 1)
                 label = np.where(node[at] == names, component[at], names)
-            group_of, place, size, left, weight = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["left"], np.int32), np.frombuffer(r["weights"], np.int8)
+            group_of, place, side, left, weight = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["left"], np.int32), np.frombuffer(r["weights"], np.int8)
             order = np.lexsort((label[place], group_of))
-            group_of, place, size, left, weight = group_of[order], place[order], size[order], left[order], weight[order]
+            group_of, place, side, left, weight = group_of[order], place[order], side[order], left[order], weight[order]
             start = np.flatnonzero(first_of(group_of))
-            count = np.diff(np.append(start, len(group_of)))
-            mixed = np.repeat(np.add.reduceat(first_of(group_of, label[place]).astype(np.int64), start) > 1, count)
-            spread = np.repeat(count, count)
-            last = np.repeat(start + count, count)
-            pairs = []
-            small = np.flatnonzero(mixed & (spread <= COMMON))
-            for gap in range(1, COMMON):
-                a = small[small + gap < last[small]]
-                b = a + gap
-                a, b = a[keep := (label[place[a]] != label[place[b]]) & near(size[a], size[b])], b[keep]
-                pairs.append(np.stack([names[place[a]], names[place[b]]]))
-            pairs = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
-            found.append((r["bucket"], 0, pairs[0].tobytes(), pairs[1].tobytes(), None, None, None, None))
-            hot = np.flatnonzero(mixed & (spread > COMMON))
-            if len(hot):
-                key, at = np.unique(np.stack([place[hot].astype(np.int64), left[hot]]), axis=1, return_inverse=True)
-                total = np.bincount(np.ravel(at), weights=weight[hot], minlength=key.shape[1]).astype(np.int64)
-                found.append((r["bucket"], 1, names[key[0]].tobytes(), key[1].tobytes(), total.tobytes(), None, None, None))
-        return rows(PACK, found)
-
-    return groups.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(cross, PACKED)
-
-
-def over(packed: DataFrame) -> DataFrame:
-    """name of the sets whose common entries weigh more than their slack in one of their bands."""
+            mixed = np.repeat(np.add.reduceat(first_of(group_of, label[place]).astype(np.int64), start) > 1, np.diff(np.append(start, len(group_of))))
+            key, at = np.unique(np.stack([place[mixed].astype(np.int64), side[mixed], left[mixed]]), axis=1, return_inverse=True)
+            out.append(pa.Table.from_batches([batch(kinds, [names[key[0]], key[1], key[2], np.bincount(np.ravel(at), weights=weight[mixed], minlength=key.shape[1]).astype(np.int64)])]))
+        return pa.concat_tables(out)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("a", "b", "names")), strict=True):
-                yield batch({k: pa.int64() for k in ("name", "left", "weight")}, [np.frombuffer(x, np.int64) for x in row])
-
-    hot = packed.select("a", "b", "names").mapInArrow(unpack, "name long, left long, weight long")
-    # the sum over both bands and the smaller slack: too many at worst, never too few
-    return hot.groupBy("name").agg(F.sum("weight").alias("w"), F.min("left").alias("left")).where("w > left").select("name")
+    hot = groups.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(weigh, "name long, side long, left long, weight long")
+    return hot.groupBy("name", "side").agg(F.sum("weight").alias("w"), F.min("left").alias("left")).where("w > greatest(left, 0) div 2").select("name").distinct()
 
 
 def texts_of(docs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -365,7 +368,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, buckets: int) -
     return dealt.groupBy("bucket").cogroup(texts_of(docs, homes, sets).groupBy("bucket")).applyInArrow(compare, "a long, b long")
 
 
-def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b), in different components, of the named sets that share one of the rarest shingles of each (prefix filter)."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,24 +381,30 @@ def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFr
     often = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
 
     def prefix(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group.column("token").to_numpy(), group.column("df").to_numpy()))
+        token = group.column("token").to_numpy()
+        classes = np.bincount((token.view(U) >> U(20)) % U(CLASSES), minlength=CLASSES).astype(np.uint16).tobytes()
+        order = np.lexsort((token, group.column("df").to_numpy()))
         order = order[: len(order) // 5 + 1]
-        return group.take(order).append_column("place", pa.array(np.arange(len(order))))
+        return group.take(order).append_column("place", pa.array(np.arange(len(order)))).append_column("classes", pa.array([classes] * len(order), pa.binary()))
 
     # of A's shingles a fifth at most is missing from a linked B, so one of the rarest fifth plus one is shared, and so for B;
-    # what stands before the first they share, they don't share
-    ranked = held.join(often, "token", "left").select("name", "token", "size", F.coalesce("df", F.lit(1)).alias("df")).groupBy("name").applyInArrow(prefix, "name long, token long, size long, df long, place long")
+    # what stands before the first they share, they don't share,
+    # and of each class of shingles they share no more than the smaller number
+    ranked = held.join(often, "token", "left").select("name", "token", "size", F.coalesce("df", F.lit(1)).alias("df")).groupBy("name").applyInArrow(prefix, "name long, token long, size long, df long, place long, classes binary")
     ranked = ranked.where("df > 1").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
 
     def cross(group: pa.Table) -> pa.Table:
         name, label, size, place = (group.column(c).to_numpy() for c in ("name", "component", "size", "place"))
         order = np.argsort(size, kind="stable")
         name, label, size, rest = name[order], label[order], size[order], (size - place)[order]
+        classes = np.frombuffer(b"".join(group.column("classes").to_pylist()), np.uint16).reshape(len(name), -1)[order]
         reach, found = np.searchsorted(4 * size, 5 * size, side="right"), []
         for i in range(len(name)):
             other = np.arange(i + 1, reach[i])
             most = np.minimum(rest[i], rest[other])  # shared, if this is the first shingle they share
             other = other[(label[other] != label[i]) & (100 * most >= 80 * (size[i] + size[other] - most))]
+            most = np.minimum(classes[i], classes[other]).sum(1, dtype=np.int64)
+            other = other[100 * most >= 80 * (size[i] + size[other] - most)]
             found.append(np.sort(np.stack([np.full(len(other), name[i]), name[other]]), axis=0))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.Table.from_batches([batch(PAIR, [pairs[0], pairs[1]])])
@@ -406,16 +415,13 @@ def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFr
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, (node, component) of the sets that link with another)."""
     docs = keyed(docs)
-    sets = save(members(docs), "members")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, size // BUCKET_BYTES)
     packed = save(index(docs, buckets), "index")
-    groups = packed.where("part = 1")
-    links = save(verified(docs, sets, unpacked(packed.where("part = 0")), buckets), "links")
+    sets = members(packed)
+    links = save(verified(docs, sets, candidates(packed), buckets), "links")
     labels = connected(links)
-    rest = save(apart(groups, labels), "rest")
-    hot = save(over(rest.where("part = 1")), "over")
-    pairs = unpacked(rest.where("part = 0")).unionByName(by_prefix(docs, sets, hot, labels, buckets)).distinct()
+    pairs = by_prefix(docs, sets, save(over(packed, labels), "over"), labels)
     more = save(verified(docs, sets, pairs, buckets), "links")
     return sets, connected(links.unionByName(more)) if not more.isEmpty() else labels
 

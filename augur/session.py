@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +20,12 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or (where it is unset) one of our own."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        known = tempfile.mkdtemp(prefix="augur-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known

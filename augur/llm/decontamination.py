@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm.util import table
+from augur.llm.util import shielded, table
 from augur.llm.words import Hashes, U, chunks, mix, multipliers, shingle_hashes
 
 SHINGLE, CONTAINED, FUNCTIONS, SMALLEST = 5, 0.8, 64, 8
@@ -182,6 +182,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
+@shielded("text")
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (text, any others) without the rows that hold a test item."""
     for block in blocks(items):

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augur.llm.components import connected
-from augur.llm.util import save, table
+from augur.llm.util import save, shielded, table
 from augur.llm.words import Hashes, U, by_part, chunks, long, mix, shingle_hashes, short
 
 SHINGLE, SMALLEST, COMMON, CLASSES, PIVOTS = 5, 4, 24, 128, 8
@@ -439,6 +439,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "tie", F.col("size").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", F.xxhash64("doc_id", "tie")).alias("component"))
 
 
+@shielded("doc_id", "text")
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, any others) without near copies: of each component the row with the smallest doc_id."""
     key = [F.coalesce("doc_id", F.lit(1 << 62)).alias("_id"), F.col("tie").alias("_tie")]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from augur.llm.util import WORD, in_range, running_total, save, spread, table
+from augur.llm.util import WORD, in_range, running_total, save, shielded, spread, table
 
 BLOCK, SHARD_SLOTS, PASSES, ROUNDS, SEED = 128, 1024, 3, 24, 20_240
 
@@ -92,6 +92,7 @@ def uses_by_document(placed: DataFrame, slots: DataFrame) -> DataFrame:
     return spans.join(uses, ["s", "block"]).withColumns({"_lo": F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("_start")), "_hi": F.least("size", (F.col("block") + 1) * BLOCK - F.col("_start"))})
 
 
+@shielded("doc_id", "source", "text", "n_chars")
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of docs: of each document one row for each pass that takes words of it.
 

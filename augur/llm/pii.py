@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm.util import save, table
+from augur.llm.util import save, shielded, table
 
 #: Kinds in the order of the results.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -187,6 +187,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
+@shielded("text")
 def private_spans(docs: DataFrame) -> DataFrame:
     """docs (text, any others) without text, with _base and _spans: sorted arrays of (kind, start, end). Base spans are in both."""
     found_ = save(candidates(docs), "candidates")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm.util import labelled_sample, table
+from augur.llm.util import labelled_sample, shielded, table
 
 #: Labelled documents that are fitted at most (a sample by hash), pairs for each of them, weight of the L2 penalty.
 MAX_LABELLED, PAIRS, PENALTY, SEED, CLIP = 20_000, 8, 1.0, 20_262, 5.0
@@ -106,6 +106,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Ranking:
     return fit(rows[:, 2:], rows[:, 1])
 
 
+@shielded("doc_id", "text")
 def quality_scores(docs: DataFrame, rank: Ranking) -> DataFrame:
     """The columns of docs without text, score and predicted."""
     scored = measures(docs).withColumn("score", rank.score())

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm.util import KEY_BITS, in_range, running_total, save, spread, table
+from augur.llm.util import KEY_BITS, in_range, running_total, save, shielded, spread, table
 
 SHARDS, VIRTUAL, OVERHEAD = 40, 64, 16
 
@@ -83,8 +83,9 @@ def place_columns(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_place": F.when(F.col("doc_id").isNull(), spread(tie)).otherwise(spread("doc_id")), "_tie": tie})
 
 
+@shielded("doc_id", "text")
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs (doc_id, text, any others) with shard and slot. Extra columns named _place or _tie would clash; none other."""
+    """docs (doc_id, text, any others) with shard and slot. Columns named shard or slot give way."""
     return assign(save(place_columns(docs), "keys"), shards).drop("_place", "_tie")
 
 

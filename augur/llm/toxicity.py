@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augur.llm.quality import newton
-from augur.llm.util import labelled_sample, table
+from augur.llm.util import labelled_sample, shielded, table
 
 #: Labelled documents that are fitted at most (a sample by hash); terms of the lexicon at most, strongest first.
 MAX_LABELLED, MAX_TERMS = 20_000, 4_000
@@ -267,6 +267,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(terms, newton(np.concatenate([rows[:, 2:], np.ones((len(y), 1))], axis=1), y, PENALTY).tolist())
 
 
+@shielded("text")
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and predicted (1 from THRESHOLD on). A doc's text is never shuffled."""
     found = features(docs, model.terms)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -89,3 +91,23 @@ def labelled_sample(labels: DataFrame, rows: int) -> DataFrame:
     """(doc_id, label) of at most `rows` documents, drawn by a hash of doc_id; nulls don't count, the largest label holds."""
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     return known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(rows)
+
+
+def shielded(*core: str) -> Callable:
+    """For an operator over docs: columns other than the core ones have neutral names while it runs, so none can clash.
+
+    They come back under their own names; one named like a column of the result gives way to it.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def call(docs: DataFrame, *args: object, **named: object) -> DataFrame:
+            hidden = {c: f"extra__{i}" for i, c in enumerate(docs.columns) if c not in core}
+            out = operator(docs.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in docs.columns]), *args, **named)
+            back = {h: c for c, h in hidden.items()}
+            results = {c.lower() for c in out.columns if c not in back}
+            return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns if c not in back or back[c].lower() not in results])
+
+        return call
+
+    return wrap

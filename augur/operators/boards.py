@@ -106,7 +106,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str) -> Column:
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, rho, n: correlation of average ranks; null with fewer than three pairs or no spread."""
     ranked = df.withColumns({"_rx": average_ranks(df, by, x), "_ry": average_ranks(df, by, y)})
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("_r"), F.count("*").alias("n")).select(*by, F.when((F.col("n") >= 3) & ~F.isnan("_r"), F.col("_r")).alias("rho"), "n")
+    return ranked.groupBy(*by).agg(F.covar_pop("_rx", "_ry").alias("_c"), (F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_s"), F.count("*").alias("n")).select(*by, F.when((F.col("n") >= 3) & (F.col("_s") > 0), F.try_divide("_c", "_s")).alias("rho"), "n")
 
 
 def head_to_head(scores: DataFrame, key: str = "round_id") -> DataFrame:

@@ -145,3 +145,30 @@ def roster(generated: DataFrame, registered: DataFrame) -> DataFrame:
     prefixes = generated.withColumn("_parts", F.split("entrant", "-")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_parts"))))
     prefixes = prefixes.withColumn("base", F.array_join(F.slice("_parts", F.lit(1), F.col("_k")), "-"))
     return prefixes.join(registered.select(F.col("entrant").alias("base")), "base").groupBy("entrant").agg(F.max_by("base", "_k").alias("base"))
+
+
+def shape_board(scores: DataFrame, measures: list[str], null: str = "persistence") -> DataFrame:
+    """entrant, skill, the mean of each measure, rounds: for profiles and lists, whose loss is the first measure. scores: round_id, entrant, measures."""
+    base = scores.where(F.col("entrant") == null).select("round_id", F.col(measures[0]).alias("null_loss"))
+    return scores.join(base, "round_id").groupBy("entrant").agg(F.avg(skill(F.col(measures[0]), F.col("null_loss"))).alias("skill"), *[F.avg(m).alias(m) for m in measures], F.count("*").alias("rounds"))
+
+
+def attach_scores(rounds: DataFrame, scores: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """rounds with outcome, resolved and scores (a map of entrant to loss); rounds without either stay as they are."""
+    kept = scores.groupBy("round_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entrant", "loss")))).alias("scores"))
+    return rounds.join(outcomes.select("round_id", "outcome"), "round_id", "left").join(kept, "round_id", "left").withColumn("resolved", F.col("outcome").isNotNull())
+
+
+def trackers(obs: DataFrame, days: int = 30) -> DataFrame:
+    """series, date, value, change: the newest value and how it moved since the last one at least `days` days older."""
+    newest = obs.groupBy("series").agg(F.max_by(F.struct("date", "value"), "date").alias("n"))
+    older = obs.join(newest, "series").where(F.datediff("n.date", "date") >= days).groupBy("series").agg(F.max_by("value", "date").alias("before"))
+    return newest.join(older, "series", "left").select("series", "n.date", "n.value", (F.col("n.value") - F.col("before")).alias("change"))
+
+
+def revisions(prints: DataFrame) -> DataFrame:
+    """series, periods, revised, mean_change: how many first prints the next capture changed. prints: series, period, capture, value."""
+    w = W.partitionBy("series", "period").orderBy("capture")
+    both = prints.withColumns({"k": F.row_number().over(w), "following": F.lead("value").over(w)}).where("k = 1")
+    firsts = both.withColumn("step", F.col("value") - F.lag("value").over(W.partitionBy("series").orderBy("period")))
+    return firsts.groupBy("series").agg(F.count("*").alias("periods"), F.count_if(F.col("following") != F.col("value")).alias("revised"), F.avg(F.abs("step")).alias("mean_change"))

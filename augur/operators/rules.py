@@ -50,3 +50,33 @@ def job_still_due(now: str, least_minutes: int = 30, most_hours: int = 24) -> Co
     """Whether a job is to be run: its lock is between half an hour and a day away, and it has not been answered."""
     left = F.unix_timestamp("lock_at") - F.unix_timestamp(F.lit(now).cast("timestamp"))
     return left.between(least_minutes * 60, most_hours * 3600) & F.col("answered_at").isNull()
+
+
+def candidates(series: DataFrame, start: str, weeks: int) -> DataFrame:
+    """series, round_id, lock_at, release_at of the rounds to come: one a week on each series' weekday, locked 48 hours before. series: series, weekday (0 is Monday)."""
+    monday = F.date_trunc("week", F.lit(start).cast("timestamp"))
+    weekly = series.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))))
+    release = monday + F.make_dt_interval(F.col("week") * 7 + F.col("weekday"), F.lit(12))
+    dated = weekly.select("series", release.alias("release_at"), (release - F.make_dt_interval(F.lit(2))).alias("lock_at")).where(F.col("lock_at") > F.lit(start).cast("timestamp"))
+    return dated.select("series", F.concat_ws("-", "series", F.date_format("release_at", "yyyy-MM-dd")).alias("round_id"), "lock_at", "release_at")
+
+
+def schedule_slips(releases: DataFrame, keep: int = 8, expected_days: int = 7) -> DataFrame:
+    """series, slips, seen: of the last `keep` steps between releases, how many were not as long as expected. releases: series, date."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("series").orderBy("date")
+    steps = releases.withColumn("step", F.datediff("date", F.lag("date").over(w))).withColumn("_n", F.row_number().over(W.partitionBy("series").orderBy(F.desc("date"))))
+    return steps.where((F.col("_n") <= keep) & F.col("step").isNotNull()).groupBy("series").agg(F.count_if(F.col("step") != expected_days).alias("slips"), F.count("*").alias("seen"))
+
+
+def usable_from(models: DataFrame, margin_days: int = 30) -> DataFrame:
+    """models (entrant, cutoff) with usable_from, and common_start: the day from which all of them can be compared."""
+    own = models.withColumn("usable_from", F.date_add("cutoff", margin_days))
+    return own.crossJoin(F.broadcast(own.agg(F.max("usable_from").alias("common_start"))))  # one row
+
+
+def retries(failures: DataFrame, every_hours: int = 6) -> DataFrame:
+    """failures (failed_at, deadline, any others) with next_retry and at_risk: whether the next retry comes too late."""
+    following = F.col("failed_at") + F.make_dt_interval(F.lit(0), F.lit(every_hours))
+    return failures.withColumn("next_retry", following).withColumn("at_risk", F.col("next_retry") >= F.col("deadline"))

@@ -4,8 +4,9 @@ Candidate spans come from one pattern for each kind, the base patterns and loose
 without a plus, secrets). Five labelers vote on each candidate (1 for, -1 against, 0 abstains): validity of the base
 form, a gazetteer, context words before it, its boundaries, and its shape. Counts of the vote patterns, at most 3**5
 for each kind, go to the driver, where expectation-maximisation estimates each labeler's reliability without labels.
-The posteriors train the final span classifier, a logistic model over the votes, and that decides on every candidate
-that is not a valid base span. Base spans always stay.
+The posteriors train the final span classifier, a logistic model over the votes, and that decides on every looser
+candidate. Base spans always stay; matches of a base pattern that fail its checks (a number that is no card) only teach
+what is false, and are never added.
 
 Places are code points. A null text counts as empty and has no spans; a table without candidates trains nothing.
 Rows are independent: repeated rows, null doc_ids and extra columns pass through.
@@ -35,7 +36,7 @@ BASE = {
 #: Candidates beyond the base.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,64}|\.[A-Za-z0-9-]{1,64}){1,6}",
-    "phone": r"(?<![0-9A-Za-z+.\x20(-])(?<![+0-9][\x20(])[\x20(]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+.(-])(?<![0-9][\x20.-])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,64}|[A-Za-z0-9_-]{32,64})(?![A-Za-z0-9])",
 }
 
@@ -119,7 +120,7 @@ def candidate(kind: str, x: Column, base: bool) -> Column:
         vote(good, F.lit(base)), vote(F.regexp_like(x["value"], F.lit(GAZETTEER[kind])), F.lit(True)), vote(F.regexp_like(x["before"], F.lit(FOR[kind])), F.regexp_like(x["before"], F.lit(AGAINST[kind]))),
         vote(whole, ~whole), vote(F.regexp_like(x["value"], F.lit(SHAPE[kind])), F.lit(True)),
     ]
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), good.alias("base"), *[v.alias(f"v{i}") for i, v in enumerate(votes)])
+    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), good.alias("base"), F.lit(not base).alias("loose"), *[v.alias(f"v{i}") for i, v in enumerate(votes)])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     text = F.coalesce("text", F.lit(""))
     staged = docs.select(*others, *[F.when(text.rlike(HINT[k]), found(text, p)).alias(f"_{b}_{k}") for b, by in (("base", BASE), ("loose", LOOSE)) for k, p in by.items()])
-    none = F.expr("array_repeat(named_struct('kind', 0, 'start', 0, 'end', 0, 'base', true, 'v0', 0, 'v1', 0, 'v2', 0, 'v3', 0, 'v4', 0), 0)")
+    none = F.expr("array_repeat(named_struct('kind', 0, 'start', 0, 'end', 0, 'base', true, 'loose', true, 'v0', 0, 'v1', 0, 'v2', 0, 'v3', 0, 'v4', 0), 0)")
     voted = lambda kind, base: lambda x: candidate(kind, x, base)
     parts = [F.coalesce(F.transform(f"_{b}_{k}", voted(k, b == "base")), none) for b, by in (("base", BASE), ("loose", LOOSE)) for k in by]
     return staged.select(*others, F.concat(*parts).alias("_candidates"))
@@ -196,7 +197,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     score = lambda c: F.coalesce(*[F.when(c["kind"] == k, w[-1] + sum((c[f"v{i}"] * w[i] for i in range(VOTES)), F.lit(0.0))) for k, w in models.items()], logit)
     span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     base = F.transform(F.filter("_candidates", lambda c: c["base"]), span)
-    more = F.transform(F.filter("_candidates", lambda c: ~c["base"] & (score(c) >= math.log(THRESHOLD / (1 - THRESHOLD)))), span)
+    more = F.transform(F.filter("_candidates", lambda c: c["loose"] & (score(c) >= math.log(THRESHOLD / (1 - THRESHOLD)))), span)
     docs = found_.withColumn("_base", F.array_sort(base)).withColumn("_more", more)
     apart = lambda m: ~F.exists("_base", lambda b: (b["kind"] == m["kind"]) & (b["start"] < m["end"]) & (m["start"] < b["end"]))
     return docs.withColumn("_spans", F.array_sort(F.array_distinct(F.concat("_base", F.filter("_more", apart))))).drop("_candidates", "_more")

@@ -31,7 +31,7 @@ from augur.llm.words import Hashes, U, by_part, chunks, grouped, long, mix, mult
 WINDOW, ROUNDS, CONTEXT = 13, 2, 2
 
 #: Bytes of text a part holds and a bucket of anchors or windows stands for; entries and documents that a task packs at once.
-PART_BYTES, BUCKET_BYTES, PACK_ENTRIES, PACK_DOCS = 4 << 20, 20 << 20, 4_000_000, 60_000
+PART_BYTES, BUCKET_BYTES, PACK_ENTRIES, PACK_DOCS = 4 << 20, 20 << 20, 2_000_000, 30_000
 
 #: A null doc_id comes after all others.
 LAST = np.iinfo(np.int64).max
@@ -93,6 +93,15 @@ def arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
+def narrow(place: np.ndarray) -> bytes:
+    """Places in a text, in two bytes each where that is enough."""
+    return place.astype(np.uint16 if place.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def wide(place: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(place, np.uint16 if len(place) == 2 * n else np.uint32).astype(np.uint32)
+
+
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(ids.astype(U)) % U(parts)).astype(np.int32)
 
@@ -214,7 +223,7 @@ def repeated_windows(docs: DataFrame, flags: DataFrame, buckets: int, parts: int
             part = own.column("part")[0].as_py()
             for b, at in by_part(np.where(least, (mix(code) % U(buckets)).astype(np.int64), -1)):
                 distinct, index = short(owner[at])
-                entry = {"bucket": b, "keys": code[at].tobytes(), "owners": index, "ids": ids[distinct].tobytes(), "ties": ties[distinct].tobytes(), "places": place[at].astype(np.uint32).tobytes()}
+                entry = {"bucket": b, "keys": code[at].tobytes(), "owners": index, "ids": ids[distinct].tobytes(), "ties": ties[distinct].tobytes(), "places": narrow(place[at])}
                 found.append(entry | {"bucket": part % buckets, "part": part, "keys": None} if b < 0 else entry)
         return rows(found, arrow(ENTRIES))
 
@@ -229,7 +238,7 @@ def repeated_windows(docs: DataFrame, flags: DataFrame, buckets: int, parts: int
             keys.append(np.frombuffer(r["keys"], U))
             ids.append(own[at])
             ties.append(tie[at])
-            places.append(np.frombuffer(r["places"], np.uint32))
+            places.append(wide(r["places"], len(at)))
         if keys:
             _, own, tie, place, first, group_of = grouped(np.concatenate(keys), np.concatenate(ids), np.concatenate(ties), np.concatenate(places))
             later = np.flatnonzero(np.minimum.reduceat(own, first)[group_of] < own)
@@ -237,7 +246,7 @@ def repeated_windows(docs: DataFrame, flags: DataFrame, buckets: int, parts: int
             row, at_row = np.unique(np.stack([own, tie]), axis=1, return_inverse=True) if len(own) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
             for p, at in by_part(part_of(own, parts)):
                 distinct, index = short(np.ravel(at_row)[at])
-                found.append({"bucket": 0, "part": p, "owners": index, "ids": row[0][distinct].tobytes(), "ties": row[1][distinct].tobytes(), "places": place[at].tobytes()})
+                found.append({"bucket": 0, "part": p, "owners": index, "ids": row[0][distinct].tobytes(), "ties": row[1][distinct].tobytes(), "places": narrow(place[at])})
         return rows(found, arrow(ENTRIES))
 
     packed = docs.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(pack, ENTRIES)
@@ -275,7 +284,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
             at = long(r["owners"], len(i))
             ids.append(i[at])
             ties.append(t[at])
-            places.append(np.frombuffer(r["places"], np.uint32))
+            places.append(wide(r["places"], len(at)))
         row, place, first, _ = grouped(pair_code(np.concatenate(ids), np.zeros(1, U), np.concatenate(ties)), np.concatenate(places))
         slices = {int(row[a]): place[a:b] for a, b in zip(first, np.append(first[1:], len(row)), strict=False)}
         codes = pair_code(ids_of(own), np.zeros(1, U), own.column("tie").combine_chunks().to_numpy(zero_copy_only=False))

@@ -276,6 +276,12 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+@shielded("text")
+def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs (text, any others) that don't score as toxic, as they are."""
+    return toxicity_scores(docs, model).where("predicted = 0").select(*docs.columns)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     quarter = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))

@@ -13,14 +13,14 @@ from augur.llm.decontamination import clean
 from augur.llm.jaccard import one_of_each
 from augur.llm.mixing import mix_documents
 from augur.llm.sharding import shard_documents
-from augur.llm.toxicity import toxicity_scores, train
+from augur.llm.toxicity import reject_toxic, train
 from augur.llm.util import save, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score as toxic; the model learns from all labels of sf_dir, on the documents given."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return toxicity_scores(docs, train(docs, labels)).where("predicted = 0").select(*docs.columns)
+    return reject_toxic(docs, train(docs, labels))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ from augur.functions.special import published
 #: Points before the first forecast, the look-backs, the constant spread of persistence and the floors.
 WARMUP, TREND_POINTS, CLIMATE_POINTS, EWMA_STEPS, ALPHA, PERSISTENCE_SD, MIN_SD, CLAMP_DAYS = 8, 8, 24, 12, 0.4, 1.5, 1.0, 21
 
+#: 0.6 to this power is below 1e-17.
+EWMA_MEMORY = 80
+
 
 def series_window() -> object:
     return W.partitionBy("series").orderBy("date")
@@ -25,7 +28,7 @@ def with_nulls(obs: DataFrame, places: int | None = 2) -> DataFrame:
     """obs (series, date, value) with the four nulls' mean and sd for each date, from what came before it.
 
     persistence_*, trend_*, ewma_*, climatology_*; all null on a series' first date. Published with `places` decimals.
-    The level of ewma is a fold over the series' past: one array a series, folded once with all its prefixes' results.
+    The level of ewma is a fold over the last EWMA_MEMORY points: what came before weighs less than a double can hold.
     """
     w = series_window()
     back = lambda k: w.rowsBetween(-k, -1)
@@ -41,7 +44,7 @@ def with_nulls(obs: DataFrame, places: int | None = 2) -> DataFrame:
     obs = obs.withColumn("_rse", F.sqrt(total(lambda p: miss(p) * miss(p)) / F.greatest(F.col("_n") - 2, F.lit(1))))
     fits, horizon = (F.col("_n") >= 3) & (F.col("_sxx") > 0), F.greatest(F.col("_x") - F.col("_last_x"), F.lit(0.0))
     target = F.least("_x", F.col("_last_x") + CLAMP_DAYS)
-    obs = obs.withColumn("_past", F.collect_list("value").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    obs = obs.withColumn("_past", F.collect_list("value").over(back(EWMA_MEMORY)))
     known = F.col("n_before") > 0
     spread = F.greatest(F.coalesce(F.avg("_step").over(w.rowsBetween(-EWMA_STEPS, -1)), F.lit(MIN_SD)), F.lit(MIN_SD))
     climate = back(CLIMATE_POINTS)

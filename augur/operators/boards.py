@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 from augur.functions.scores import skill
 
 
+def with_null(scores: DataFrame, by: list[str], null: str, loss: str) -> DataFrame:
+    """scores with null_loss, that of the null in the same group: a window, so no second scan."""
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # without `by` there is a row for each entrant
+    return scores.withColumn("null_loss", F.max(F.when(F.col("entrant") == null, F.col(loss))).over(group))
+
+
 def mean_of_skills(scores: DataFrame, key: str = "round_id", null: str = "persistence") -> DataFrame:
     """entrant, skill, rounds: the live board, the mean of per-round skill. scores: key, entrant, loss."""
-    base = scores.where(F.col("entrant") == null).select(key, F.col("loss").alias("null_loss"))
-    return scores.join(base, key).groupBy("entrant").agg(F.avg(skill(F.col("loss"), F.col("null_loss"))).alias("skill"), F.avg("loss").alias("mean_loss"), F.count("*").alias("rounds"))
+    known = with_null(scores, [key], null, "loss").where("null_loss is not null")
+    return known.groupBy("entrant").agg(F.avg(skill(F.col("loss"), F.col("null_loss"))).alias("skill"), F.avg("loss").alias("mean_loss"), F.count("*").alias("rounds"))
 
 
 def skill_of_means(scores: DataFrame, by: list[str], null: str = "persistence") -> DataFrame:
     """by, entrant, skill, mean_loss, n: the backtest board, the skill of mean losses."""
     means = scores.groupBy(*by, "entrant").agg(F.avg("loss").alias("mean_loss"), F.count("*").alias("n"))
-    base = means.where(F.col("entrant") == null).select(*by, F.col("mean_loss").alias("null_loss"))
-    joined = means.join(base, by) if by else means.crossJoin(F.broadcast(base))  # one row
-    return joined.withColumn("skill", skill(F.col("mean_loss"), F.col("null_loss"))).drop("null_loss")
+    return with_null(means, by, null, "mean_loss").where("null_loss is not null").withColumn("skill", skill(F.col("mean_loss"), F.col("null_loss"))).drop("null_loss")
 
 
 def answered_all(scores: DataFrame, key: str) -> DataFrame:
     """Rows of the keys that every entrant has answered."""
-    roster = scores.agg(F.countDistinct("entrant").alias("_roster"))
-    full = scores.groupBy(key).agg(F.countDistinct("entrant").alias("_n")).join(F.broadcast(roster), F.col("_n") == F.col("_roster")).select(key)
-    return scores.join(full, key, "left_semi")
+    roster = scores.agg(F.countDistinct("entrant").alias("_roster"))  # one row
+    here = F.size(F.collect_set("entrant").over(W.partitionBy(key)))  # at most the roster
+    return scores.withColumn("_n", here).join(F.broadcast(roster), F.col("_n") == F.col("_roster")).drop("_n", "_roster")
 
 
 def full_coverage(scores: DataFrame, key: str) -> DataFrame:
@@ -149,8 +153,8 @@ def roster(generated: DataFrame, registered: DataFrame) -> DataFrame:
 
 def shape_board(scores: DataFrame, measures: list[str], null: str = "persistence") -> DataFrame:
     """entrant, skill, the mean of each measure, rounds: for profiles and lists, whose loss is the first measure. scores: round_id, entrant, measures."""
-    base = scores.where(F.col("entrant") == null).select("round_id", F.col(measures[0]).alias("null_loss"))
-    return scores.join(base, "round_id").groupBy("entrant").agg(F.avg(skill(F.col(measures[0]), F.col("null_loss"))).alias("skill"), *[F.avg(m).alias(m) for m in measures], F.count("*").alias("rounds"))
+    known = with_null(scores, ["round_id"], null, measures[0]).where("null_loss is not null")
+    return known.groupBy("entrant").agg(F.avg(skill(F.col(measures[0]), F.col("null_loss"))).alias("skill"), *[F.avg(m).alias(m) for m in measures], F.count("*").alias("rounds"))
 
 
 def attach_scores(rounds: DataFrame, scores: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -131,3 +131,53 @@ def bullets(pages: DataFrame) -> DataFrame:
     items = marked.withColumn("leaf", leaf).where("leaf").select("day", "category", "at", strip_markup(F.regexp_replace("line", r"^\*+\s*", "")).alias("item"))
     first = F.row_number().over(W.partitionBy("day", "item").orderBy("at"))
     return items.withColumn("_n", first).where("_n = 1").select("day", "category", F.row_number().over(w).alias("place"), "item")
+
+
+def topline_report(pages: DataFrame, least_base: int = 500) -> DataFrame:
+    """date, base, approve, disapprove, unsure of report texts (column body). Refuses a small base, shares that don't add up to 100, and another wording."""
+    share = lambda word: F.regexp_extract("body", rf"(?im)^\s*{word}[^0-9\n]*([0-9]+(?:\.[0-9]+)?)\s*%", 1).cast("double")
+    rows = pages.select(
+        "body", F.try_to_timestamp(F.regexp_extract("body", r"(?i)produced(?: on)? ([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})", 1), F.lit("MMMM d, yyyy")).cast("date").alias("date"),
+        F.regexp_replace(F.regexp_extract("body", r"(?i)base:?\s*([0-9,]+)", 1), ",", "").cast("int").alias("base"), share("approve").alias("approve"), share("disapprove").alias("disapprove"), share("(?:unsure|don't know)").alias("unsure"),
+    )
+    total = F.col("approve") + F.col("disapprove") + F.col("unsure")
+    problem = F.when(~F.regexp_like("body", F.lit("(?i)approve or disapprove")), "another wording").when(F.col("date").isNull(), "no date").when(F.col("base") < least_base, "a small base").when(F.abs(total - 100) > 1.5, "shares don't add up to 100")
+    return rows.withColumn("date", F.when(problem.isNull(), F.col("date")).otherwise(F.raise_error(F.concat(F.lit("a report was refused: "), problem)).cast("date"))).drop("body")
+
+
+def group_table(pages: DataFrame, groups: list[str]) -> DataFrame:
+    """month, group, value of texts (column body) with lines of a month, a year and a number for each group."""
+    line = r"(?m)^\s*(" + "|".join(MONTHS) + r")\s+([0-9]{4})" + r"\s+([0-9]+\.[0-9])" * len(groups) + r"\s*$"
+    lines = pages.select(F.explode(F.regexp_extract_all("body", F.lit(line), F.lit(0))).alias("line"))
+    part = lambda i: F.regexp_extract("line", line, i)
+    month = F.make_date(part(2).cast("int"), F.array_position(F.lit(list(MONTHS)), part(1)).cast("int"), F.lit(1))
+    return lines.select(month.alias("month"), F.explode(F.array(*[F.struct(F.lit(g).alias("group"), part(3 + i).cast("double").alias("value")) for i, g in enumerate(groups)])).alias("g")).select("month", "g.group", "g.value")
+
+
+def contiguous_months(rows: DataFrame, first: str, low: float, high: float) -> DataFrame:
+    """rows (month, value) as they are; fails on a gap, on a value out of range and on another first month."""
+    index = F.year("month") * 12 + F.month("month")
+    step = index - F.lag(index).over(W.partitionBy(F.lit(0)).orderBy("month"))  # a row for each month
+    problem = F.when(step.isNull() & (F.col("month") != F.lit(first).cast("date")), "another first month").when(step != 1, "a gap").when(~F.col("value").between(low, high), "a value out of range")
+    checked = rows.withColumn("_problem", problem)
+    return checked.withColumn("value", F.when(F.col("_problem").isNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("monthly values were refused: "), F.col("_problem"))).cast("double"))).drop("_problem")
+
+
+def complete_waves(cells: DataFrame, labels: list[str], measures: list[str]) -> DataFrame:
+    """cells (date, cell, measure, value) of the waves that have every measure of every cell."""
+    wanted = cells.where(F.col("cell").isin(labels) & F.col("measure").isin(measures) & F.col("value").isNotNull())
+    full = wanted.groupBy("date").agg(F.countDistinct("cell", "measure").alias("_n")).where(F.col("_n") == len(labels) * len(measures)).select("date")
+    return wanted.join(full, "date", "left_semi")
+
+
+def catalogue(body: DataFrame) -> DataFrame:
+    """name, slug, updated of an index (column body, JSON with trackers), by name. Refuses an empty one."""
+    parsed = F.from_json("body", "struct<trackers:array<struct<name:string,slug:string,updated:bigint>>>")["trackers"]
+    held = F.when(F.size(parsed) > 0, parsed).otherwise(F.raise_error(F.lit("an index without trackers")).cast("array<struct<name:string,slug:string,updated:bigint>>"))
+    return body.select(F.explode(held).alias("t")).select("t.name", "t.slug", F.timestamp_millis("t.updated").alias("updated")).orderBy("name")
+
+
+def ignored_filters(snapshots: DataFrame) -> DataFrame:
+    """Snapshots whose reply was made with other filters than were asked for. Columns: asked, applied (maps)."""
+    plain = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"], e["value"])))
+    return snapshots.where(~plain("asked").eqNullSafe(plain("applied")))

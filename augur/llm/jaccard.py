@@ -33,6 +33,9 @@ from augur.llm.words import Hashes, U, by_part, chunks, long, mix, shingle_hashe
 
 SHINGLE, SMALLEST, COMMON, CLASSES, PIVOTS = 5, 4, 24, 128, 8
 
+#: For the allocation: share of the sets that hold a common shingle, and what a chance match costs, in entries.
+RARE, COMPARED = 0.2, 20
+
 #: Bytes of text that a bucket of entries or of comparisons stands for; entries and documents that a task packs at once.
 BUCKET_BYTES, PACK_ENTRIES, PACK_DOCS = 12 << 20, 2_000_000, 30_000
 
@@ -51,20 +54,29 @@ def bands(up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def allocation(size: int, differ: int) -> tuple[int, int, int]:
+    """The split that costs least: an entry costs 1, and what chance matches of its few shingles cost in comparisons."""
     best = None
     for deletions in range(min(differ + 1, 8) + 1):
-        slack = 2
+        slack = 0 if deletions == 1 and differ < 2 else 2
         for _ in range(8):
             exact = max(0, differ + slack + 1 - 2 * deletions)
-            tokens = size / max(1, exact + deletions)
-            none = math.exp(-tokens)
-            skipped = exact * none + 2 * deletions * none * (1 + tokens)
-            slack = min(math.ceil(skipped + 3 * math.sqrt(skipped)) + 2, 2 * differ + 4)
-        entries = exact + deletions * (1 + tokens)
-        # a set over its slack by empty segments meets strangers there
-        cost = entries + 4 * (exact * none + deletions * (1 + tokens) * math.exp(1 - tokens)) + 1000 * (skipped > exact + 2 * deletions - differ - 1)
-        if exact + deletions and (best is None or cost < best[0]):
-            best = cost, (exact, deletions, exact + 2 * deletions - differ - 1)
+            parts = exact + deletions
+            if not parts:
+                break
+            tokens = size / parts
+            none = math.exp(-tokens) if parts > 1 else 0.0  # one segment holds all
+            unsure = none * (1 + tokens + tokens * tokens / 2)
+            skipped = exact * none + 2 * deletions * unsure
+            slack = min(math.ceil(skipped + 3 * math.sqrt(skipped)) + 2 * (parts > 1), 2 * differ + 4)
+        if not parts:
+            continue
+        alike = math.exp(-tokens * (1 - RARE))
+        one = 1 - none + COMPARED * (alike - none)
+        cost = exact * one + deletions * (one + tokens + COMPARED * tokens * alike)
+        left = exact + 2 * deletions - differ - 1
+        cost += 1000 * (skipped > left)  # most sets would be over their slack
+        if left >= 0 and (best is None or cost < best[0]):
+            best = cost, (exact, deletions, left)
     return best[1]
 
 
@@ -117,8 +129,9 @@ def entries_of(doc: np.ndarray, code: np.ndarray, size: np.ndarray) -> tuple[np.
         index = np.arange(n) - base[owner]
         twice = index >= exact[owner]
         tag = mix(salt[owner] + index.astype(U))
-        spare = np.where(twice, held <= 1, held == 0)
-        slack = slack - np.bincount(owner, weights=spare * (1 + twice), minlength=len(size)).astype(np.int64)
+        # not told: what no shingle or only an empty deletion would name; unsure: what a linked set might not tell
+        spare, unsure = np.where(twice, held <= 1, held == 0), np.where(twice, held <= 2, held == 0)
+        slack = slack - np.bincount(owner, weights=unsure * (1 + twice), minlength=len(size)).astype(np.int64)
         told = ~spare | (slack < 0)[owner]
         out.append((mix(total + tag)[told], 2 * owner[told] + side, (1 + twice)[told]))
         gone = np.flatnonzero(twice[segment] & told[segment])

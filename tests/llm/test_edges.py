@@ -362,3 +362,44 @@ def test_contract_columns(spark):
     for name, k, rest in (("op2_quality", 3, 1), ("op8_toxicity", 4, 2)):
         found = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
         assert found and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % k == rest) for r in found)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_of_small_sets(spark, seed):
+    rnd, texts = random.Random(seed), []
+    for n in (5, 6, 8, 9, 10, 11, 13, 15, 16, 20, 25, 30, 40, 60):
+        for k in range(6):
+            base = [f"{n}w{k}x{i}" for i in range(n)]
+            texts += [" ".join(w) for w in (base, base[1:], base[:-1], [*base, f"z{rnd.randrange(9)}"], [*base[1:], f"e{rnd.randrange(9)}"], [f"c{rnd.randrange(9)}", *base[1:]])]
+    data = [(i, t, "s") for i, t in enumerate(rnd.sample(texts, len(texts)))]
+    found = jaccard.near_duplicates(docs(spark, data)).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == components(data)
+
+
+@pytest.mark.parametrize("deletions", [0, 1, 3, 6])
+def test_pigeonhole_with_deletions(monkeypatch, deletions):
+    """Of linked sets, what they share weighs more than the slack left to either, for any split into segments."""
+
+    def plan(size, differ):
+        d = min(deletions, differ // 2 + 1)
+        exact = max(1, differ + 12 - 2 * d)
+        return exact, d, exact + 2 * d - differ - 1
+
+    jaccard.bands.cache_clear()
+    monkeypatch.setattr(jaccard, "allocation", plan)
+    rnd = np.random.default_rng(deletions)
+    try:
+        for _ in range(300):
+            n = int(rnd.integers(5, 120))
+            a = rnd.integers(0, 2**63, n).astype(np.uint64)
+            gone = int(rnd.integers(0, n // 5 + 1))
+            new = int(rnd.integers(0, (n - gone) // 4 + 1)) if gone == 0 else 0
+            b = np.concatenate([a[gone:], rnd.integers(0, 2**63, new).astype(np.uint64)])
+            assert 100 * (n - gone) >= 80 * (n + new)
+            code, doc = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
+            entry, owner, weight, left = jaccard.entries_of(doc, code, np.array([len(a), len(b)]))
+            own = [{int(e): int(w) for e, o, w in zip(entry, owner, weight, strict=True) if o == k} for k in range(4)]
+            best = [(sum(own[i][e] for e in own[i].keys() & own[j].keys()), max(left[i], left[j])) for i in (0, 1) for j in (2, 3) if i + j < 4 + (i == 0)]
+            assert any(w > max(slack, 0) for w, slack in best if w), (n, gone, new, best)
+    finally:
+        jaccard.bands.cache_clear()

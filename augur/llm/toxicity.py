@@ -47,6 +47,9 @@ LEET = str.maketrans("013457@$", "oieastas")
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 THRESHOLD, PENALTY = 0.3, 0.1
+
+#: Rows that a task gives back at once.
+SLICE = 128
 FEATURES = ("exact", "fuzzy", "quoted", "density")
 
 
@@ -174,20 +177,20 @@ def text_features(text: str, automaton: Automaton, known: dict) -> tuple[float,
     return float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(told)), 10 * (exact + fuzzy) / (10 + len(words))
 
 
-def features(docs: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
-    """docs (text, any others) with exact, fuzzy, quoted and density. The terms are at most MAX_TERMS."""
+def features(docs: DataFrame, terms: list[tuple[str, bool]], with_text: bool = False) -> DataFrame:
+    """docs (text, any others) with exact, fuzzy, quoted and density; without text, unless with_text. The terms are at most MAX_TERMS."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
-    names = docs.columns
+    names = [c for c in docs.columns if with_text or c != "text"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, known = Automaton(shared.value), {}
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             if len(known) > MAX_STATES:
                 known.clear()
             found = np.array([text_features(t.as_py() or "", automaton, known) for t in batch.column("text")], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array(found[:, i]) for i in range(len(FEATURES))]], names=[*names, *[f"_{f}" for f in FEATURES]])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], *[f"_{f} double" for f in FEATURES]])
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names], *[f"_{f} double" for f in FEATURES]])
     return docs.mapInArrow(find, schema)
 
 
@@ -268,9 +271,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 @shielded("text")
-def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted (1 from THRESHOLD on). A doc's text is never shuffled."""
-    found = features(docs, model.terms)
+def toxicity_scores(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
+    """docs (without text, unless with_text) with score and predicted (1 from THRESHOLD on). A doc's text is never shuffled."""
+    found = features(docs, model.terms, with_text)
     total = functools.reduce(lambda a, b: a + b, [F.col(f"_{f}") * w for f, w in zip(FEATURES, model.weights, strict=False)], F.lit(model.weights[-1]))
     scored = found.withColumn("score", 1 / (1 + F.exp(-total))).drop(*[f"_{f}" for f in FEATURES])
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -286,4 +289,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     quarter = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     model = train(docs, labels.where(quarter != 2).select("doc_id", F.col("toxic").alias("label")))
-    return toxicity_scores(docs, model).select("doc_id", F.coalesce(quarter == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    return toxicity_scores(docs, model, with_text=False).select("doc_id", F.coalesce(quarter == 2, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -31,7 +31,7 @@ SAMPLE, MAX_CELLS = 20_000, 1024
 
 #: Share of all rows that a query's cells hold at least, and their number (a cell counts as four average ones at most); subvectors, codewords of each; share of a
 #: cell that is reranked; rows of a part.
-PROBED_SHARE, PROBED_ROWS, SUBVECTORS, CODEWORDS, RERANK, PART_ROWS = 0.7, 400, 8, 256, 0.25, 4_000
+PROBED_SHARE, PROBED_ROWS, SUBVECTORS, CODEWORDS, RERANK, PART_ROWS = 0.75, 400, 8, 256, 0.25, 4_000
 TOP, QUERY_STEP, SEED, ROUNDS = 20, 20, 20_269, 8
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm.util import shielded, table
+from augur.llm.util import shielded, small_batches, table
 from augur.llm.words import Hashes, U, chunks, mix, multipliers, shingle_hashes
 
 SHINGLE, CONTAINED, FUNCTIONS, SMALLEST = 5, 0.8, 64, 8
@@ -157,6 +157,7 @@ def blocks(items: DataFrame) -> Iterator[Block]:
 
 
 def bytes_of_text(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.withColumn("text", F.col("text").cast("binary"))
 
 

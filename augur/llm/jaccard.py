@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augur.llm.components import connected
-from augur.llm.util import save, shielded, table
+from augur.llm.util import save, shielded, small_batches, table
 from augur.llm.words import Hashes, U, by_part, chunks, long, mix, shingle_hashes, short
 
 SHINGLE, SMALLEST, COMMON, CLASSES, PIVOTS = 5, 4, 24, 128, 8
@@ -151,6 +151,7 @@ def rows(kinds: dict[str, pa.DataType], found: list[tuple]) -> pa.Table:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with tie, which tells texts apart; text as bytes."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.lit(6), "text").alias("tie"), F.col("text").cast("binary").alias("text"))
 
 

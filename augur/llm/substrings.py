@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm.util import table
+from augur.llm.util import small_batches, table
 from augur.llm.words import Hashes, U, by_part, chunks, grouped, long, mix, multipliers, shingle_hashes, short
 
 WINDOW, ROUNDS, CONTEXT = 13, 2, 2
@@ -263,6 +263,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     has no words; a null doc_id comes after all others; rows with one doc_id don't count against each other. Columns
     of docs other than doc_id and text are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, buckets = max(16, size // PART_BYTES), max(16, size // BUCKET_BYTES)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm.util import shielded, table
+from augur.llm.util import shielded, small_batches, table
 
 #: The vocabulary (ranks of a byte-level BPE) and its pre-token pattern (a fixed value).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -130,6 +130,7 @@ RESULTS = {"n_tokens": pa.int64(), "n_tokens_edited": pa.int64(), "n_chars_encod
 @shielded("text", "edits")
 def count_edited(docs: DataFrame, vocabulary: str = VOCABULARY, with_text: bool = True) -> DataFrame:
     """docs (text, edits as EDITS, any others) without edits, with the tokens before and after, the characters that were encoded again, and the new text (null unless with_text)."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("edits", *RESULTS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augur.llm.quality import newton
-from augur.llm.util import labelled_sample, shielded, table
+from augur.llm.util import labelled_sample, shielded, small_batches, table
 
 #: Labelled documents that are fitted at most (a sample by hash); terms of the lexicon at most, strongest first.
 MAX_LABELLED, MAX_TERMS = 20_000, 4_000
@@ -179,6 +179,7 @@ def text_features(text: str, automaton: Automaton, known: dict) -> tuple[float,
 
 def features(docs: DataFrame, terms: list[tuple[str, bool]], with_text: bool = False) -> DataFrame:
     """docs (text, any others) with exact, fuzzy, quoted and density; without text, unless with_text. The terms are at most MAX_TERMS."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     names = [c for c in docs.columns if with_text or c != "text"]
 

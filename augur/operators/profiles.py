@@ -27,12 +27,16 @@ def permutations(spark: SparkSession, cells: int, draws: int = DRAWS, seed: int
     return spark.range(cells).select(F.col("id").cast("int").alias("cell")).select("cell", order.alias("levels"))
 
 
+def spread(cells: DataFrame) -> DataFrame:
+    """cells, refusing a spread that isn't positive."""
+    return cells.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.raise_error(F.lit("a spread must be positive")).cast("double")))
+
+
 def cell_samples(cells: DataFrame, draws: int = DRAWS) -> DataFrame:
     """cells (cell, mean, sd, any others) with samples, an array of draws. Refuses a spread that isn't positive."""
     spark = cells.sparkSession
     count = (cells.agg(F.max("cell")).first()[0] or 0) + 1  # cells of a profile: a fixed, small number
-    known = cells.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.raise_error(F.lit("a spread must be positive")).cast("double")))
-    sampled = known.join(F.broadcast(permutations(spark, count, draws)), "cell")
+    sampled = spread(cells).join(F.broadcast(permutations(spark, count, draws)), "cell")
     return sampled.withColumn("samples", F.transform("levels", lambda p: normal_quantile(F.col("mean"), F.col("sd"), p))).drop("levels")
 
 
@@ -63,6 +67,35 @@ def with_energy(profiles: DataFrame) -> DataFrame:
     return profiles.mapInPandas(score, schema)
 
 
+def level(samples: np.ndarray, outcome: np.ndarray) -> float:
+    """CRPS of the mean over the cells, as level_score."""
+    x, y = np.sort(samples.mean(0)), outcome.mean()
+    return float(np.abs(x - y).mean() - (x * (2 * np.arange(len(x)) - len(x) + 1)).sum() / len(x) ** 2)
+
+
+def joint_scores(cells: DataFrame, by: list[str], draws: int = DRAWS) -> DataFrame:
+    """by, energy, structure, level: as with_energy and level_score of the cells' samples, which are drawn row by row and never shuffled.
+
+    cells: by, cell, mean, sd, outcome. The orders of the cells (cells of a profile by draws) are all that reaches the driver.
+    """
+    count = (cells.agg(F.max("cell")).first()[0] or 0) + 1  # cells of a profile: a fixed, small number
+    order = permutations(cells.sparkSession, count, draws).select("cell", F.transform("levels", lambda p: normal_quantile(F.lit(0.0), F.lit(1.0), p)).alias("z"))
+    z = np.array([r["z"] for r in order.orderBy("cell").collect()])
+    rows = F.array_sort(F.collect_list(F.struct("cell", "mean", "sd", "outcome")))
+    profiles = spread(cells).groupBy(*by).agg(rows.alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(f"_{c}") for c in ("cell", "mean", "sd", "outcome")])
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for cell, mean, sd, y in zip(frame["_cell"], frame["_mean"], frame["_sd"], frame["_outcome"], strict=True):
+                x = mean[:, None] + sd[:, None] * z[cell]
+                out.append((energy(x, y), energy(x - x.mean(0), y - y.mean()), level(x, y)))
+            yield frame[by].assign(**dict(zip(("energy", "structure", "level"), np.array(out).reshape(-1, 3).T, strict=True)))
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in profiles.select(*by).schema], "energy double", "structure double", "level double"])
+    return profiles.mapInPandas(score, schema)
+
+
 def energy_native(samples: Column, outcome: Column) -> Column:
     """The energy score as an expression, for few draws: pairs of draws are folded in place, not joined."""
     draws, cells = F.size(F.get(samples, F.lit(0))), F.size(samples)

@@ -216,8 +216,7 @@ def panel_weights(spark: SparkSession, d: str) -> DataFrame:
 def profile_scores(spark: SparkSession, d: str) -> DataFrame:
     """Energy, level and structure of 400 joint draws of 16 cells, and the mean CRPS of the cells."""
     cells = profile_cells(spark, d)
-    joint = profiles.with_energy(profiles.vectors(profiles.cell_samples(cells), ["vec_id"]))
-    return joint.select("vec_id", "energy", "structure", profiles.level_score(F.col("samples"), F.col("outcome")).alias("level")).join(profiles.cell_scores(cells, ["vec_id"]), "vec_id")
+    return profiles.joint_scores(cells, ["vec_id"]).join(profiles.cell_scores(cells, ["vec_id"]), "vec_id")
 
 
 @query(f"""WITH c AS (SELECT vec_id, [{r('CAST(embedding[i] AS DOUBLE) * 90', 3)} for i in range(1, 5)] AS y, [[{r('CAST(embedding[i + 4 * k] AS DOUBLE) * 100', 3)} for i in range(1, 5)] for k in range(1, 9)] AS xs FROM embeddings WHERE vec_id < 60)

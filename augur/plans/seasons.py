@@ -54,8 +54,7 @@ def profile_board(spark: SparkSession, d: str) -> DataFrame:
     """Energy, level and structure by entrant against a null that spreads wider; draws of a Latin hypercube, which SQL has no normal quantile for."""
     cells = profile_cells(spark, d)
     both = cells.withColumn("who", F.lit("own")).unionByName(cells.withColumn("who", F.lit("persistence")).withColumn("sd", F.col("sd") * 2))
-    scored = profiles.with_energy(profiles.vectors(profiles.cell_samples(both, 100), ["vec_id", "who"]))
-    scored = scored.select(F.col("vec_id").alias("round_id"), F.col("who").alias("entrant"), "energy", "structure", profiles.level_score(F.col("samples"), F.col("outcome")).alias("level"))
+    scored = profiles.joint_scores(both.select(F.col("vec_id").alias("round_id"), F.col("who").alias("entrant"), "cell", "mean", "sd", "outcome"), ["round_id", "entrant"], 100)
     return boards.shape_board(scored, ["energy", "structure", "level"])
 
 

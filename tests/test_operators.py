@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from augur.functions import calendar as C
 from augur.functions import text as T
 from augur.operators import boards, crowd, health, nulls, panel, polls, profiles, rankings, resolution, rules
+from augur.plans import registry
+from augur.plans.fixtures import profile_cells
 from augur.sources import documents, readers, sinks
 
 
@@ -135,6 +137,19 @@ def test_profile_shift_is_all_level(spark):
         profiles.cell_samples(cells.withColumn("sd", F.lit(0.0)), 10).collect()
 
 
+def test_every_profile_is_scored(spark, tmp_path):
+    rnd = np.random.default_rng(5)
+    data = [(i, [float(v) for v in rnd.normal(size=20)], 1) for i in (0, 59, 60, 61, 5000)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cells = profile_cells(spark, str(tmp_path))
+    drawn = profiles.with_energy(profiles.vectors(profiles.cell_samples(cells), ["vec_id"])).withColumn("level", profiles.level_score(F.col("samples"), F.col("outcome")))
+    expected = {r["vec_id"]: [r["energy"], r["structure"], r["level"]] for r in drawn.collect()}
+    found = {r["vec_id"]: [r["energy"], r["structure"], r["level"]] for r in registry.QUERIES["profile_scores"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == [0, 59, 60, 61, 5000]
+    assert all(found[k] == pytest.approx(expected[k]) for k in expected)
+    assert {r["entrant"]: r["rounds"] for r in registry.QUERIES["profile_board"](spark, str(tmp_path)).collect()} == {"own": 5, "persistence": 5}
+
+
 def test_crowd_needs_two(spark):
     f = spark.createDataFrame([("r", "a", (0.0, 1.0, {})), ("r", "b", (2.0, 1.0, {"0.5": 2.0})), ("q", "a", (0.0, 1.0, {}))], "round_id string, entrant string, topline struct<mean:double,sd:double,quantiles:map<string,double>>")
     found = crowd.crowd_numbers(f, ["round_id"]).collect()

@@ -7,7 +7,9 @@ with that window. A window and an item are candidates if one of FUNCTIONS minima
 0.8 with a chance of 1e-6, and a whole item with less. Candidates are verified with the shingles of the whole document.
 
 Test items come in blocks of bounded size: each block's sets are broadcast and all documents pass it, with no shuffle
-at all. Items of fewer than five words count as one shingle of all their words, and are looked up directly.
+at all. Items of fewer than five words count as one shingle of all their words, and are looked up directly. So are sets
+of fewer than SMALLEST shingles, which windows would dilute: of n shingles a leak lacks n - needed(n) at most, so any
+n - needed(n) + 1 of them hold one that it has, and no leak is missed.
 
 Nulls: a null text has no words; documents and items without words match nothing. Repeated document rows each give
 their rows; repeated (item_id, text) rows count once. Extra columns are ignored by leaks() and kept by clean().
@@ -16,6 +18,7 @@ their rows; repeated (item_id, text) rows count once. Extra columns are ignored
 from __future__ import annotations
 
 import dataclasses
+import math
 import re
 from collections.abc import Iterator
 
@@ -78,10 +81,16 @@ class Block:
     sets: list[np.ndarray]
     partitions: list[Partition]
     short: dict[int, dict[int, list[int]]]  # words of an item -> its hash -> items
+    few: dict[int, list[int]]  # shingles that are looked up -> items of small sets
+
+
+def needed(n: int) -> int:
+    """Shingles of n that a leak has at least."""
+    return math.ceil(CONTAINED * n)
 
 
 def build(rows: list[tuple[int | None, str | None]]) -> Block:
-    block = Block([r[0] for r in rows], [], [], {})
+    block = Block([r[0] for r in rows], [], [], {}, {})
     known = Hashes(plain)
     by_band: dict[int, list[int]] = {}
     for i, (_, text) in enumerate(rows):
@@ -91,8 +100,11 @@ def build(rows: list[tuple[int | None, str | None]]) -> Block:
         block.sets.append(code)
         if 0 < n < SHINGLE:
             block.short.setdefault(n, {}).setdefault(int(code[0]), []).append(i)
+        elif 0 < len(code) < SMALLEST:
+            for c in code[: len(code) - needed(len(code)) + 1]:
+                block.few.setdefault(int(c), []).append(i)
         elif n:
-            by_band.setdefault(max(SMALLEST, 1 << int(len(code)).bit_length()), []).append(i)
+            by_band.setdefault(1 << int(len(code)).bit_length(), []).append(i)
     for below, items in sorted(by_band.items()):
         part = Partition(below, [], [])
         for f in range(FUNCTIONS):
@@ -131,6 +143,8 @@ def matches(block: Block, known: Hashes, texts: list[bytes]) -> list[tuple[int,
     words, counts = words_of(known, texts)
     code, owner = shingles(words, counts, SHINGLE)
     pairs = candidates(block.partitions, code, owner)
+    hit = np.isin(code, np.array(list(block.few), U))
+    pairs.update((int(o), i) for c, o in zip(code[hit], owner[hit], strict=True) for i in block.few[int(c)])
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     out, own, at = [], np.zeros(0, U), -1
     for text, item in sorted(pairs):

@@ -223,6 +223,17 @@ def test_decontamination(spark, frame):
     assert kept.count() == frame.count() - len(dirty)
 
 
+def test_decontamination_misses_no_small_item():
+    rnd = random.Random(11)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    own = [words(n + 4) for n in (1,) * 4000 + (2, 3, 4, 5, 6, 7) * 300]  # items of n shingles
+    block = decontamination.build([(i, " ".join(w)) for i, w in enumerate(own)])
+    cut = [w[:-1] if len(w) >= 9 and i % 4 else w for i, w in enumerate(own)]  # of five to seven shingles one may be missing
+    texts = [" ".join(words(20) + w + words(20)).encode() for w in cut]
+    found = decontamination.matches(block, decontamination.Hashes(decontamination.plain), texts)
+    assert sorted(found) == [(i, i, len(w) - 4) for i, w in enumerate(cut)]
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())

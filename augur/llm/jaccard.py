@@ -382,6 +382,21 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, buckets: int) -
     return dealt.groupBy("bucket").cogroup(texts_of(docs, homes, sets).groupBy("bucket")).applyInArrow(compare, "a long, b long")
 
 
+#: A class that holds so many shingles or more.
+FULL = np.iinfo(np.uint16).max
+
+
+def class_counts(token: np.ndarray) -> np.ndarray:
+    """Shingles of each class, FULL at most."""
+    return np.minimum(np.bincount((token.view(U) >> U(20)) % U(CLASSES), minlength=CLASSES), FULL).astype(np.uint16)
+
+
+def most_shared(own: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bounds on the shingles that a set shares with others, by their class_counts; a class that is full in both bounds nothing. sizes: of the smaller sets."""
+    both = np.minimum(own, others)
+    return np.where((both == FULL).any(1), sizes, both.sum(1, dtype=np.int64))
+
+
 def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b), in different components, of the named sets that share one of the rarest shingles of each (prefix filter)."""
 
@@ -396,7 +411,7 @@ def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFr
 
     def prefix(group: pa.Table) -> pa.Table:
         token = group.column("token").to_numpy()
-        classes = np.bincount((token.view(U) >> U(20)) % U(CLASSES), minlength=CLASSES).astype(np.uint16).tobytes()
+        classes = class_counts(token).tobytes()
         order = np.lexsort((token, group.column("df").to_numpy()))
         order = order[: len(order) // 5 + 1]
         return group.take(order).append_column("place", pa.array(np.arange(len(order)))).append_column("classes", pa.array([classes] * len(order), pa.binary()))
@@ -417,7 +432,7 @@ def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFr
             other = np.arange(i + 1, reach[i])
             most = np.minimum(rest[i], rest[other])  # shared, if this is the first shingle they share
             other = other[(label[other] != label[i]) & (100 * most >= 80 * (size[i] + size[other] - most))]
-            most = np.minimum(classes[i], classes[other]).sum(1, dtype=np.int64)
+            most = most_shared(classes[i], classes[other], np.minimum(size[i], size[other]))
             other = other[100 * most >= 80 * (size[i] + size[other] - most)]
             found.append(np.sort(np.stack([np.full(len(other), name[i]), name[other]]), axis=0))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)

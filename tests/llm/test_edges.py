@@ -223,6 +223,15 @@ def test_decontamination(spark, frame):
     assert kept.count() == frame.count() - len(dirty)
 
 
+def test_jaccard_bounds_hold_for_classes_of_any_size():
+    for n in (100, 65_535, 65_536, 70_000):  # shingles of one class
+        a, b = np.arange(n), np.arange(n + 10)
+        bound = jaccard.most_shared(jaccard.class_counts(a), jaccard.class_counts(b)[None], np.array([n]))
+        assert bound.tolist() == [n]
+    small, large = jaccard.class_counts(np.arange(100)), jaccard.class_counts(np.arange(70_000))
+    assert jaccard.most_shared(small, large[None], np.array([100])).tolist() == [100]
+
+
 def test_decontamination_misses_no_small_item():
     rnd = random.Random(11)
     words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]

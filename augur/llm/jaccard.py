@@ -11,8 +11,9 @@ The slack makes the count of what two sets share a filter: linked sets share ent
 that empty segments leave to either. Entries of up to COMMON members give their pairs, counted over all entries; a
 common entry gives a star, its members against the most central one. What half a set's slack can't cover of common
 entries that still join several components makes it an over set: those are compared by prefixes (of a linked pair, the
-rarest fifth of the shingles share one), and their candidates must pass bounds on what they can share. So copies by the
-thousand are no square. Every candidate is verified with the shingles of its whole texts.
+rarest fifth of the shingles share one), and their candidates must pass bounds on what they can share, by parity sketches
+of one to two bits a shingle. So neither copies by the thousand nor families that are alike but don't link are a square
+of pairs. Every candidate is verified with the shingles of its whole texts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +33,13 @@ from augur.llm.components import connected
 from augur.llm.util import save, shielded, small_batches, table
 from augur.llm.words import Hashes, U, by_part, chunks, long, mix, shingle_hashes, short
 
-SHINGLE, SMALLEST, COMMON, CLASSES, PIVOTS = 5, 4, 24, 128, 8
+SHINGLE, SMALLEST, COMMON, PIVOTS = 5, 4, 24, 8
+
+#: Bits of a sketch, by the set's size; members of a common shingle that meet in one task.
+LEAST_BITS, MOST_BITS, MEET = 256, 8192, 2_000
+
+#: Tasks over which the rows of one set or component are spread.
+SPREAD = 16
 
 #: For the allocation: share of the sets that hold a common shingle, and what a chance match costs, in entries.
 RARE, COMPARED = 0.2, 20
@@ -382,23 +390,29 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, buckets: int) -
     return dealt.groupBy("bucket").cogroup(texts_of(docs, homes, sets).groupBy("bucket")).applyInArrow(compare, "a long, b long")
 
 
-#: A class that holds so many shingles or more.
-FULL = np.iinfo(np.uint16).max
+def sketch(token: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by hash classes, as bits: one to two for each shingle, MOST_BITS at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(token) - 1).bit_length()))
+    odd = np.bincount((mix(token.view(U) + U(91)) % U(bits)).astype(np.int64), minlength=bits) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
 
 
-def class_counts(token: np.ndarray) -> np.ndarray:
-    """Shingles of each class, FULL at most."""
-    return np.minimum(np.bincount((token.view(U) >> U(20)) % U(CLASSES), minlength=CLASSES), FULL).astype(np.uint16)
+def folded(parities: np.ndarray, words: int) -> np.ndarray:
+    """The rows' sketches with fewer classes, as the same shingles give them."""
+    return np.bitwise_xor.reduce(parities.reshape(len(parities), -1, words), axis=1)
 
 
-def most_shared(own: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bounds on the shingles that a set shares with others, by their class_counts; a class that is full in both bounds nothing. sizes: of the smaller sets."""
-    both = np.minimum(own, others)
-    return np.where((both == FULL).any(1), sizes, both.sum(1, dtype=np.int64))
+def unlike(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A lower bound on the shingles that just one of two sets has: an odd class of one that is even of the other holds such a shingle."""
+    return np.bitwise_count(own ^ others).sum(1, dtype=np.int64)
 
 
 def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b), in different components, of the named sets that share one of the rarest shingles of each (prefix filter)."""
+    """Pairs (a, b), in different components, of the named sets that share one of the rarest shingles of each (prefix filter) and can still link.
+
+    What two sets don't share is bounded from below by their sketches before a pair is told, so families that are alike,
+    but not enough, give no pairs. A shingle with many members is met in blocks of about MEET of them, block by block.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,34 +425,45 @@ def by_prefix(docs: DataFrame, sets: DataFrame, names: DataFrame, labels: DataFr
 
     def prefix(group: pa.Table) -> pa.Table:
         token = group.column("token").to_numpy()
-        classes = class_counts(token).tobytes()
+        parities = sketch(token).tobytes()
         order = np.lexsort((token, group.column("df").to_numpy()))
         order = order[: len(order) // 5 + 1]
-        return group.take(order).append_column("place", pa.array(np.arange(len(order)))).append_column("classes", pa.array([classes] * len(order), pa.binary()))
+        return group.take(order).append_column("place", pa.array(np.arange(len(order)))).append_column("sketch", pa.array([parities] * len(order), pa.binary()))
 
     # of A's shingles a fifth at most is missing from a linked B, so one of the rarest fifth plus one is shared, and so for B;
-    # what stands before the first they share, they don't share,
-    # and of each class of shingles they share no more than the smaller number
-    ranked = held.join(often, "token", "left").select("name", "token", "size", F.coalesce("df", F.lit(1)).alias("df")).groupBy("name").applyInArrow(prefix, "name long, token long, size long, df long, place long, classes binary")
+    # and what stands before the first they share, they don't share
+    ranked = held.join(often, "token", "left").select("name", "token", "size", F.coalesce("df", F.lit(1)).alias("df")).groupBy("name").applyInArrow(prefix, "name long, token long, size long, df long, place long, sketch binary")
     ranked = ranked.where("df > 1").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
 
+    blocks = F.ceil(F.col("df") / MEET).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(MEET), "name"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(own, b).alias("x"), F.greatest(own, b).alias("y")))
+    dealt = ranked.withColumn("own", own).withColumn("meet", F.explode(meets)).select("token", "meet.x", "meet.y", "own", "name", "component", "size", "place", "sketch")
+
     def cross(group: pa.Table) -> pa.Table:
-        name, label, size, place = (group.column(c).to_numpy() for c in ("name", "component", "size", "place"))
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        name, label, size, place, own = (group.column(c).to_numpy() for c in ("name", "component", "size", "place", "own"))
         order = np.argsort(size, kind="stable")
-        name, label, size, rest = name[order], label[order], size[order], (size - place)[order]
-        classes = np.frombuffer(b"".join(group.column("classes").to_pylist()), np.uint16).reshape(len(name), -1)[order]
-        reach, found = np.searchsorted(4 * size, 5 * size, side="right"), []
-        for i in range(len(name)):
-            other = np.arange(i + 1, reach[i])
-            most = np.minimum(rest[i], rest[other])  # shared, if this is the first shingle they share
-            other = other[(label[other] != label[i]) & (100 * most >= 80 * (size[i] + size[other] - most))]
-            most = most_shared(classes[i], classes[other], np.minimum(size[i], size[other]))
-            other = other[100 * most >= 80 * (size[i] + size[other] - most)]
-            found.append(np.sort(np.stack([np.full(len(other), name[i]), name[other]]), axis=0))
+        name, label, size, rest, own = name[order], label[order], size[order], (size - place)[order], own[order]
+        parities = group.column("sketch").combine_chunks().take(pa.array(order))
+        words = pc.binary_length(parities).to_numpy(zero_copy_only=False) // 8
+        reach, found = np.searchsorted(4 * size, 5 * size, side="right"), [np.zeros((2, 0), np.int64)]
+        for level in np.unique(words):  # larger sets have as many classes or more, those in reach twice as many at most
+            within = np.flatnonzero((words == level) | (words == 2 * level))
+            bits = np.concatenate([folded(np.frombuffer(b"".join(parities.take(pa.array(at)).to_pylist()), U).reshape(len(at), -1), level) for at in (within[words[within] == level], within[words[within] != level]) if len(at)])
+            for i, here in enumerate(within[words[within] == level]):
+                other = np.arange(i + 1, np.searchsorted(within, reach[here]))
+                to = within[other]
+                most = np.minimum(rest[here], rest[to])  # shared, if this is the first shingle they share
+                keep = (label[to] != label[here]) & (100 * most >= 80 * (size[here] + size[to] - most)) & ((own[to] != own[here]) if x != y else True)
+                other, to = other[keep], to[keep]
+                apart = unlike(bits[i], bits[other])  # linked sets of n shingles together differ in n / 9 at most
+                to = to[9 * apart <= size[here] + size[to]]
+                found.append(np.sort(np.stack([np.full(len(to), name[here]), name[to]]), axis=0))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.Table.from_batches([batch(PAIR, [pairs[0], pairs[1]])])
 
-    return ranked.groupBy("token").applyInArrow(cross, "a long, b long").distinct()
+    return dealt.groupBy("token", "x", "y").applyInArrow(cross, "a long, b long").distinct()
 
 
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -455,6 +480,13 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, connected(links.unionByName(more)) if not more.isEmpty() else labels
 
 
+def spread_join(rows: DataFrame, single: DataFrame, key: str) -> DataFrame:
+    """Left join with a side that has one row for each key, SPREAD times over, so that no task has all rows of a key. rows: doc_id, tie, any others."""
+    salt = F.pmod(F.xxhash64(F.lit(8), "doc_id", "tie"), F.lit(SPREAD)).cast("int")
+    copies = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, tie, n_shingles and component_id of each row of docs (doc_id, text, any others).
 
@@ -462,9 +494,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component unless all rows of its component are without (component_id is null then). Repeated rows give repeated rows.
     """
     sets, labels = components(docs)
-    own = sets.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    own = spread_join(sets, labels.withColumnRenamed("node", "name"), "name").withColumn("component", F.coalesce("component", "name"))
     least = own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = own.join(least, "component", "left")
+    found = spread_join(own, least, "component")
     return found.select("doc_id", "tie", F.col("size").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", F.xxhash64("doc_id", "tie")).alias("component"))
 
 
@@ -481,4 +513,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, over whole texts; edge cases as near_duplicates states."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

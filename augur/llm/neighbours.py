@@ -33,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augur.llm.util import save, table
+from augur.llm.words import grouped
 
 #: Vectors that are fitted at most (a sample by hash); rows of a cell on average, and vectors of the sample for each.
 SAMPLE, CELL_ROWS, CELL_SAMPLE = 20_000, 8, 5
@@ -210,13 +211,14 @@ def search(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFr
             order = np.argsort(-(q @ index.value.centres.T), axis=1, kind="stable")
             enough = np.cumsum(rows[order], axis=1) >= share * rows.sum()
             probes = np.where(enough.any(1), enough.argmax(1) + 1, len(rows))
-            who: list[tuple[int, int, list[int]]] = []
+            who: list[tuple[int, int, np.ndarray]] = []
             for i in range(len(q)):
-                cells: dict[int, list[int]] = {}
-                for c in order[i, : probes[i]]:
-                    for p in range(first[c], first[c] + split[c]) if rows[c] else ():
-                        cells.setdefault(p, []).append(int(c))
-                who.extend((i, p, c) for p, c in cells.items())
+                cells = order[i, : probes[i]]
+                cells = cells[rows[cells] > 0]
+                held = np.repeat(cells, split[cells])  # once for each part of a cell that is split
+                part = first[held] + np.arange(len(held)) - np.repeat(np.cumsum(split[cells]) - split[cells], split[cells])
+                part, held, start, _ = grouped(part, held)
+                who.extend((i, int(part[a]), held[a:b]) for a, b in zip(start, np.append(start[1:], len(part)), strict=False))
             at = pa.array([w[0] for w in who], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("embedding").take(at), pa.array([w[1] for w in who], pa.int32()), pa.array([w[2] for w in who], pa.list_(pa.int32()))], names=["query_id", "embedding", "part", "cells"])
 

@@ -223,13 +223,65 @@ def test_decontamination(spark, frame):
     assert kept.count() == frame.count() - len(dirty)
 
 
-def test_jaccard_bounds_hold_for_classes_of_any_size():
-    for n in (100, 65_535, 65_536, 70_000):  # shingles of one class
-        a, b = np.arange(n), np.arange(n + 10)
-        bound = jaccard.most_shared(jaccard.class_counts(a), jaccard.class_counts(b)[None], np.array([n]))
-        assert bound.tolist() == [n]
-    small, large = jaccard.class_counts(np.arange(100)), jaccard.class_counts(np.arange(70_000))
-    assert jaccard.most_shared(small, large[None], np.array([100])).tolist() == [100]
+def test_sketches_never_tell_more_than_what_sets_do_not_share():
+    draw = np.random.default_rng(2)
+    for n in (4, 60, 127, 129, 900, 5000, 20_000):
+        for share in (0.5, 0.8, 0.9, 1.0):
+            a = draw.integers(0, 1 << 62, n)
+            b = np.concatenate([a[: int(share * n)], draw.integers(0, 1 << 62, int(1.2 * n) - int(share * n))])
+            p, q = jaccard.sketch(a), jaccard.sketch(b)
+            apart = jaccard.unlike(p, jaccard.folded(q[None], len(p)))[0]
+            assert apart <= len(np.setxor1d(a, b))
+            assert share > 0.5 or n < 60 or n > 4000 or 9 * apart > len(a) + len(b)
+
+
+def alike(kind, n, seed=4):
+    """n texts of one template that are alike by about 0.6 to 0.7, none of which link."""
+    rnd = random.Random(seed)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(240)]
+    out = []
+    for i in range(n):
+        own = list(words)
+        if kind == "edits":
+            for at in rnd.sample(range(240), 8):
+                own[at] = f"e{rnd.randrange(10**6)}"
+        elif kind == "slots":  # fields that take one of 40 values
+            for at in range(10, 240, 24):
+                own[at] = f"v{rnd.randrange(40)}"
+        else:  # a passage that all share, and a list of values of their own
+            own = words[:180] + [f"v{rnd.randrange(60)}" for _ in range(60)]
+        out.append((i, " ".join(own), "s0"))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["edits", "slots", "lists"])
+def test_families_that_do_not_link_give_no_square_of_candidates(spark, monkeypatch, kind):
+    told = []
+    real = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda d, s, pairs, b: told.append(pairs.count()) or real(d, s, pairs, b))
+    counts = []
+    for n in (200, 400, 800):
+        told.clear()
+        data = alike(kind, n)
+        found = jaccard.near_duplicates(docs(spark, data)).collect()
+        links = n * 1.0 - len({r["component_id"] for r in found})
+        counts.append(sum(told) / (n + links))
+    assert max(counts) <= 40 and counts[2] <= 1.5 * counts[0] + 1, counts
+
+
+@pytest.mark.parametrize("meet", [3, 40])
+def test_blocks_of_common_shingles_lose_no_link(spark, monkeypatch, meet):
+    monkeypatch.setattr(jaccard, "MEET", meet)
+    monkeypatch.setattr(jaccard, "COMMON", 2)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    rnd = random.Random(8)
+    data = alike("edits", 60, 9)
+    for i in range(60, 90):  # near copies of some of them
+        own = data[rnd.randrange(60)][1].split()
+        own[rnd.randrange(240)] = f"n{i}"
+        data.append((i, " ".join(own), "s0"))
+    found = jaccard.near_duplicates(docs(spark, data)).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == components(data)
 
 
 def test_decontamination_misses_no_small_item():

@@ -8,14 +8,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: All white space, in a form that Java and RE2 read alike; the longest title.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LONGEST_TITLE = 256
+
+#: What the rule main_page_and_namespaces_v1 keeps out, by title and by prefix.
+RULES = {"main_page_and_namespaces_v1": (
+    ("Main_Page",),
+    ("Special:", "Wikipedia:", "Portal:", "Help:", "File:", "Template:", "Category:", "Draft:", "User:", "Talk:", "Wikipedia_talk:", "Portal_talk:", "Help_talk:", "File_talk:", "Template_talk:", "Category_talk:", "Draft_talk:", "User_talk:"),
+)}
+
+
+def _plain_title(title: Column) -> Column:
+    return F.trim(F.regexp_replace(title, f"{SPACE}+", "_"), F.lit("_"))
+
+
+def title_problem(title: Column) -> Column:
+    """Why a title is refused; null for a good one."""
+    plain = _plain_title(title)
+    return F.when(title.isNull(), "missing").when(plain == "", "empty").when(F.length(plain) > LONGEST_TITLE, "too long")
+
+
 def canonical_title(title: Column) -> Column:
-    """White space runs as one underscore, none at the ends, 256 characters at most, the first letter alone in upper case."""
-    joined = F.substring(F.trim(F.regexp_replace(title, r"[\s_]+", "_"), F.lit("_")), 1, 256)
-    return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 256))
+    """White space runs as one underscore, none at the ends, the first letter alone in upper case. Null for what title_problem refuses: no title is ever cut."""
+    plain = _plain_title(title)
+    return F.when(title_problem(title).isNull(), F.concat(F.upper(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2))))
 
 
-def excluded(title: Column, titles: list[str], prefixes: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.startswith(title, F.lit(p)) for p in prefixes], title.isin(titles))
+def excluded(title: Column, rule: str) -> Column:
+    """Whether a rule keeps a canonical title out; an unknown rule is an error."""
+    if rule not in RULES:
+        raise ValueError(f"unknown exclusion rule {rule!r}; known: {sorted(RULES)}")
+    titles, prefixes = RULES[rule]
+    return reduce(lambda a, b: a | b, [F.startswith(title, F.lit(p)) for p in prefixes], title.isin(list(titles)))
 
 
 def archive_key(*parts: Column) -> Column:
@@ -27,10 +52,10 @@ def strip_junk(body: Column) -> Column:
     return F.regexp_replace(body, r"^\)\]\}'[^\n]*\n", "")
 
 
-#: Wiki markup that goes, in this order, and what stays of it.
+#: Wiki markup in the order in which it goes, and what stays of it. Comments and all other tags go last.
 MARKUP = (
-    (r"<!--[\s\S]*?-->", ""), (r"<ref[^>/]*/>", ""), (r"<ref[^>]*>[\s\S]*?</ref>", ""), (r"\{\{[^{}]*\}\}", ""), (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"),
-    (r"\[\[([^\[\]]*)\]\]", "$1"), (r"\[https?://\S+ ([^\]]*)\]", "$1"), (r"\[https?://\S+\]", ""), (r"'{2,}", ""), (r"\s+", " "),
+    (r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/>", ""), (r"\{\{ill\|([^|}]+)[^}]*\}\}", "$1"), (r"\{\{[^{}]*\}\}", ""), (r"\[\[[^\]|]*\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]]+)\]\]", "$1"),
+    (rf"\[https?://\S+?{SPACE}+([^\]]+)\]", "($1)"), (r"\[https?://\S+?\]", ""), (r"'''?", ""), (r"<[^>]+>", ""), (f"{SPACE}+", " "),
 )
 
 
@@ -47,22 +72,40 @@ def harness(entrant: Column) -> Column:
     return F.when(F.endswith(entrant, F.lit("-web-superfc")), "web-superfc").when(F.endswith(entrant, F.lit("-web")), "web").otherwise("plain")
 
 
+#: The labels that are told in public, in order, and what in a message stands for each; wordings that no retry can help.
+LABELS = (
+    (r"\bno [a-z0-9_]+ in the environment\b", "provider credential not configured"), (r"output limit|finish_reason=length", "provider output limit"), (r"timeout|timed out", "provider timeout"),
+    (r"rate limit", "provider rate limit"), (r"stream|connection", "provider transport failure"), (r"parse|non-json|no text", "provider response invalid"),
+)
+TERMINAL = (
+    "invalid_api_key", "incorrect api key", "account_deactivated", "organization has been disabled", "does not exist or you do not have access", "permission denied", "forbidden", "unauthorized", "authentication",
+    "insufficient_quota", "credit_balance_exhausted", "no credits remaining", "billing", "unknown entrant", "unknown model", "no configured route",
+)
+MALFORMED = ("malformed", "parsed to zero", "built to zero", "zero points", "parse error", "failed to parse", "structure changed", "schema changed", "missing required", "refusing to guess", "invalid extraction")
+
+
+def error_text(message: Column) -> Column:
+    """One line of 1,000 characters at most; an empty message is an unknown error."""
+    line = F.trim(F.regexp_replace(message, f"{SPACE}+", " "))
+    return F.when(message.isNull(), F.lit(None).cast("string")).when(line == "", "unknown error").otherwise(F.substring(line, 1, 1000))
+
+
 def http_status(message: Column) -> Column:
-    return F.nullif(F.regexp_extract(message, r"(?i)\b(?:http|status)\D{0,12}([1-5][0-9]{2})\b", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(error_text(message), r"(?i)\bHTTP\s+([0-9]{3})\b", 1), F.lit("")).cast("int")
 
 
-def error_class(message: Column) -> Column:
-    """What of an error is told in public; the first rule that fits."""
-    rule = lambda pattern: message.rlike(f"(?i){pattern}")
-    return (
-        F.when(message.isNull() | (message == ""), F.lit(None).cast("string")).when(rule("timed? ?out|deadline"), "timeout").when(http_status(message) == 429, "rate_limited").when(rule("rate.?limit|quota"), "rate_limited")
-        .when(http_status(message).isin(401, 403), "not_authorised").when(http_status(message).between(500, 599), "provider_error").when(rule("json|parse|schema|invalid"), "invalid_answer").otherwise("error")
-    )
+def public_error(message: Column) -> Column:
+    """What of a failed call is told in public: fixed labels only, the status first."""
+    lower, status = F.coalesce(F.lower(error_text(message)), F.lit("")), http_status(message)
+    label = reduce(lambda acc, rule: acc.when(lower.rlike(rule[0]), rule[1]), LABELS, F.when(status.isNotNull(), F.concat(F.lit("provider HTTP "), status)))
+    return label.otherwise("provider call failed")
 
 
-def terminal(message: Column) -> Column:
-    """Whether a retry can't help."""
-    return F.coalesce(error_class(message).isin("not_authorised", "invalid_answer"), F.lit(False))
+def terminal(message: Column, source: bool = False) -> Column:
+    """Whether a retry can't help. source: of a source's reply, where malformed bytes stay malformed."""
+    lower = F.coalesce(F.lower(error_text(message)), F.lit(""))
+    words = reduce(lambda a, w: a | F.contains(lower, F.lit(w)), TERMINAL + (MALFORMED if source else ()), F.lit(False))
+    return F.coalesce(http_status(message).isin(401, 403, 404), F.lit(False)) | words | lower.rlike(LABELS[0][0])
 
 
 def identity(*parts: Column) -> Column:

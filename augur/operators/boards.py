@@ -176,3 +176,41 @@ def revisions(prints: DataFrame) -> DataFrame:
     both = prints.withColumns({"k": F.row_number().over(w), "following": F.lead("value").over(w)}).where("k = 1")
     firsts = both.withColumn("step", F.col("value") - F.lag("value").over(W.partitionBy("series").orderBy("period")))
     return firsts.groupBy("series").agg(F.count("*").alias("periods"), F.count_if(F.col("following") != F.col("value")).alias("revised"), F.avg(F.abs("step")).alias("mean_change"))
+
+
+def as_teams(scores: DataFrame, members: DataFrame, key: str = "round_id") -> DataFrame:
+    """scores with teams in place of their members: of a round the first member, in declared order, who has a score. members: team, entrant, place. Others stand for themselves."""
+    own = scores.join(F.broadcast(members), "entrant", "left")  # a roster of bounded size
+    others = [c for c in scores.columns if c not in ("entrant", key)]
+    chosen = own.where("team is not null").groupBy(key, "team").agg(F.min_by(F.struct(*others), F.struct("place", "entrant")).alias("_r")).select(key, F.col("team").alias("entrant"), "_r.*")
+    return own.where("team is null").select(*scores.columns).unionByName(chosen.select(*scores.columns))
+
+
+def pairwise_windows(scores: DataFrame, since: str, season: list[str]) -> DataFrame:
+    """window, entrant, pairwise, top3, answered, place over three scopes: all rounds and methods; s0, the season's methods in rounds that lock from its start on; matched, the rounds that every method answered.
+
+    scores: round_id, entrant, loss, lock_at.
+    """
+    live = scores.where((F.col("lock_at") >= F.lit(since).cast("timestamp")) & F.col("entrant").isin(season))
+    scopes = {"all": scores, "s0": live, "matched": answered_all(scores, "round_id")}
+    found = [pairwise_board(s).withColumn("window", F.lit(name)) for name, s in scopes.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("window", "entrant", "pairwise", "top3", "answered", "place")
+
+
+def matched_shape_board(scores: DataFrame, measures: list[str], null: str = "persistence") -> DataFrame:
+    """As shape_board, of the entrants who answered every scored round only: the table to cite."""
+    known = with_null(scores, ["round_id"], null, measures[0]).where("null_loss is not null").drop("null_loss")
+    return shape_board(full_coverage(known, "round_id"), measures, null)
+
+
+def board_rows(board: DataFrame, score: str, places: int = 4) -> DataFrame:
+    """The board in published order: place, entrant, and its numbers rounded; ties by name."""
+    numbers = [c for c, kind in board.dtypes if kind == "double"]
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc(score), "entrant")  # a row for each entrant
+    return board.withColumn("place", F.row_number().over(order)).select("place", "entrant", *[F.round(c, places).alias(c) for c in numbers], *[c for c in board.columns if c not in ("place", "entrant", *numbers)])
+
+
+def series_of_days(trajectory: DataFrame, places: int = 2) -> DataFrame:
+    """entrant, dates, values: each entrant's cumulative means as two arrays in order of days, for a chart. trajectory: entrant, date, pairwise."""
+    points = F.array_sort(F.collect_list(F.struct("date", F.round("pairwise", places).alias("value"))))
+    return trajectory.groupBy("entrant").agg(points.alias("_p")).select("entrant", F.col("_p.date").alias("dates"), F.col("_p.value").alias("values"))

@@ -15,10 +15,11 @@ def pooled_samples(forecasts: DataFrame, by: list[str]) -> DataFrame:
     return forecasts.groupBy(*by).agg(F.count("*").alias("members"), F.flatten(F.collect_list(pooled_values(F.col("topline")))).alias("samples")).where(F.col("members") >= MEMBERS)
 
 
-def crowd_numbers(forecasts: DataFrame, by: list[str]) -> DataFrame:
-    """by, members, mean, sd (population) and quantiles (map of level to value, four decimals), of two members at least."""
+def crowd_numbers(forecasts: DataFrame, by: list[str], places: int | None = 4) -> DataFrame:
+    """by, members, mean, sd (population) and quantiles (map of level to value), published to `places` decimals, of two members at least."""
+    published = lambda c: c if places is None else F.bround(c, places)
     values = forecasts.select(*by, "entrant", F.explode(pooled_values(F.col("topline"))).alias("x"))
     levels = F.array(*[F.lit(x) for x in LEVELS])
     pooled = values.groupBy(*by).agg(F.countDistinct("entrant").alias("members"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.percentile("x", levels).alias("_q")).where(F.col("members") >= MEMBERS)
     names = F.array(*[F.lit(f"{x:g}") for x in LEVELS])
-    return pooled.select(*by, "members", F.bround("mean", 4).alias("mean"), F.greatest(F.bround("sd", 4), F.lit(LEAST_SD)).alias("sd"), F.map_from_arrays(names, F.transform("_q", lambda q: F.bround(q, 4))).alias("quantiles"))
+    return pooled.select(*by, "members", published(F.col("mean")).alias("mean"), F.greatest(published(F.col("sd")), F.lit(LEAST_SD)).alias("sd"), F.map_from_arrays(names, F.transform("_q", published)).alias("quantiles"))

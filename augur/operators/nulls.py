@@ -99,6 +99,14 @@ def weekly_movement(obs: DataFrame, lag: int = 7, points: int = 60) -> DataFrame
     return recent.withColumn("d", F.abs(F.col("value") - F.lag("value", lag).over(w))).groupBy("series").agg(F.avg("d").alias("movement"))
 
 
-def signal_to_noise(obs: DataFrame) -> DataFrame:
-    """series, ratio: movement over noise; infinite where there is no noise."""
-    return noise_floor(obs).select("series", F.when(F.col("noise") == 0, F.lit(float("inf"))).otherwise(F.col("movement") / F.col("noise")).alias("ratio"))
+def signal_to_noise(obs: DataFrame, points: int = 260) -> DataFrame:
+    """series, ratio, movement, noise of the last `points` points: movement over noise, infinite where there is no noise, 0 below four points.
+
+    A series of polls is measured by its weekly average (operators.polls.weekly_series), which its rounds resolve by: give that as obs.
+    """
+    recent = obs.withColumn("_n", F.row_number().over(W.partitionBy("series").orderBy(F.desc("date")))).where(F.col("_n") <= points).drop("_n")
+    counts = recent.where("value is not null").groupBy("series").agg(F.count("*").alias("_points"))
+    found = counts.join(noise_floor(recent.where("value is not null")), "series", "left")
+    few = (F.col("_points") < 4) | F.col("noise").isNull()
+    ratio = F.when(few, 0.0).when(F.col("noise") == 0, F.lit(float("inf"))).otherwise(F.col("movement") / F.col("noise"))
+    return found.select("series", ratio.alias("ratio"), F.when(few, 0.0).otherwise(F.col("movement")).alias("movement"), F.when(few, 0.0).otherwise(F.col("noise")).alias("noise"))

@@ -21,12 +21,17 @@ def frozen_value(obs: DataFrame, rounds: DataFrame) -> DataFrame:
     return joined.groupBy("round_id").agg(F.max_by(F.struct("date", "value"), "date").alias("_r")).select("round_id", "_r.*")
 
 
-def first_release(obs: DataFrame, rounds: DataFrame) -> DataFrame:
-    """round_id, observed_date, value: the first point from the release on that was not frozen as it is (date and value)."""
-    later = rounds.select("round_id", "series", "freeze_date", "release_date").join(obs, "series")
-    seen = later.where("date < freeze_date").select("round_id", "date", "value")
-    new = later.where("date >= release_date").join(seen, ["round_id", "date", "value"], "left_anti")
-    return earliest(new.select("round_id", "date", "value"), ["round_id"], "date", "value").withColumnRenamed("date", "observed_date")
+def first_release(published: DataFrame, rounds: DataFrame, frozen: DataFrame) -> DataFrame:
+    """round_id, observed_date, value: the first release that a round's frozen history did not contain, by date and value.
+
+    A revision of the last frozen date is a release too, but any later date goes before it. Of a daily source no reading
+    from before the lock counts. A round without frozen history or without a new release has no row.
+    published: series, date, value. rounds: round_id, series, lock_day, daily. frozen: round_id, date, value.
+    """
+    last = frozen.groupBy("round_id").agg(F.max("date").alias("_last"))
+    due = rounds.select("round_id", "series", "lock_day", "daily").join(last, "round_id")
+    new = due.join(published, "series").where("date >= _last and (not daily or date >= lock_day)").join(frozen.select("round_id", "date", "value"), ["round_id", "date", "value"], "left_anti")
+    return earliest(new.select("round_id", "date", "value", (F.col("date") <= F.col("_last")).alias("_old")), ["round_id"], "_old", "date", "value").select("round_id", F.col("date").alias("observed_date"), "value")
 
 
 def one_claim(resolutions: DataFrame, prior: DataFrame) -> DataFrame:

@@ -80,3 +80,24 @@ def retries(failures: DataFrame, every_hours: int = 6) -> DataFrame:
     """failures (failed_at, deadline, any others) with next_retry and at_risk: whether the next retry comes too late."""
     following = F.col("failed_at") + F.make_dt_interval(F.lit(0), F.lit(every_hours))
     return failures.withColumn("next_retry", following).withColumn("at_risk", F.col("next_retry") >= F.col("deadline"))
+
+
+#: Wordings of an error that tell of a source that stands still.
+STALE = ("stale", "frozen page", "stopped moving", "unchanged for", "newest row is", "newest observation")
+
+
+def source_state(ok: Column, stale: Column, error: Column, at: Column, deadline: Column) -> Column:
+    """The state of a source after an attempt: healthy, stale, retryable_failure, deadline_risk or unresolvable.
+
+    A failure whose next retry would come at or after the deadline is a risk, unless no retry can mend it. An error
+    that tells of a source standing still is stale first of all.
+    """
+    from augur.functions.text import error_text, terminal
+
+    text = F.lower(error_text(error))
+    still = reduce(lambda a, w: a | F.contains(text, F.lit(w)), STALE, F.lit(False))
+    risk = F.coalesce(at + F.make_dt_interval(F.lit(0), F.lit(6)) >= deadline, F.lit(False))
+    return (
+        F.when(ok & stale, "stale").when(ok, "healthy").when(still, F.when(risk, "deadline_risk").otherwise("stale")).when(terminal(error, source=True), "unresolvable")
+        .when(risk, "deadline_risk").otherwise("retryable_failure")
+    )

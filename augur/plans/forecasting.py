@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augur.functions import scores as S
-from augur.functions.special import erf, normal_quantile
+from augur.functions.special import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, TAIL, erf, normal_quantile
 from augur.operators import boards, crowd, nulls, panel, polls, profiles
 from augur.plans.fixtures import FORECASTS, OBS, PANEL, POLLS, profile_cells, r, rounded
 from augur.plans.fixtures import forecasts as forecast_table
@@ -24,6 +24,20 @@ def erf_sql(x: str) -> str:
     return ERF.replace("{x}", x)
 
 
+def horner_sql(coefficients: list[float], x: str) -> str:
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r})::DOUBLE)"
+    return out
+
+
+def quantile_sql(p: str) -> str:
+    """The standard normal's quantile, by the same rational functions."""
+    tail = lambda q: f"({horner_sql(ACKLAM_C, q)} / {horner_sql(ACKLAM_D, q)})"
+    mid = f"(({p}) - 0.5)"
+    return f"(CASE WHEN {p} < {TAIL} THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > 1 - {TAIL} THEN -{tail(f'sqrt(-2 * ln(1 - ({p})))')} ELSE {horner_sql(ACKLAM_A, f'({mid} * {mid})')} * {mid} / {horner_sql(ACKLAM_B, f'({mid} * {mid})')} END)"
+
+
 def crps_sql(mean: str, sd: str, y: str) -> str:
     z = f"(({y} - {mean}) / {sd})"
     return f"({sd} * ({z} * {erf_sql(f'({z} / sqrt(2.0))')} + 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())))"
@@ -68,11 +82,16 @@ def backtest_spans(spark: SparkSession, d: str) -> DataFrame:
     return boards.spans(long, []).select("span", "entrant", rounded("mean_loss").alias("mean_loss"), "n", rounded("skill").alias("skill"))
 
 
-@query()
+CRPS_WALK = f"""{NULLS}, wide AS (SELECT series, date, value, i - 1 AS n_before, last AS persistence_mean, 1.5 AS persistence_sd, CASE WHEN n >= 3 THEN icept + slope * least(d, last_d + 21) ELSE last END AS trend_mean, CASE WHEN n >= 3 THEN greatest(1.5 * sqrt(greatest(syy - slope * sxy, 0.0) / greatest(n - 2, 1)), 1.0) * sqrt(1 + (d - last_d) / 30.0) ELSE 1.5 END AS trend_sd, ewma AS ewma_mean, ewma_sd, clim AS climatology_mean, greatest(clim_sd, 1.0) AS climatology_sd FROM past),
+  lg AS ({' UNION ALL '.join(f"SELECT series, date, '{b}' AS entrant, {b}_mean AS m, {b}_sd AS s, value FROM wide WHERE n_before >= 8" for b in nulls.BASELINES)}), ls AS (SELECT series, entrant, {crps_sql('m', 's', 'value')} AS loss FROM lg), bm AS (SELECT series, entrant, avg(loss) AS l, count(*) AS n FROM ls GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {CRPS_WALK} SELECT b.series, b.entrant, {r('b.l', 5)} AS mean_loss, b.n, {r('CASE WHEN p.l = 0 THEN 0.0 ELSE 1 - b.l / p.l END', 5)} AS skill FROM bm b JOIN bm p ON b.series = p.series AND p.entrant = 'persistence'""")
 def walk_forward_crps(spark: SparkSession, d: str) -> DataFrame:
-    """The four nulls by CRPS, published to two decimals before they are scored; those roundings are not DuckDB's."""
-    losses = nulls.walk_forward(obs_table(spark, d)).select("series", "entrant", S.crps_normal(F.col("mean"), F.col("sd"), F.col("outcome")).alias("loss"))
-    return boards.skill_of_means(losses, ["series"])
+    """The four nulls by CRPS, as they are (walk_forward publishes them to two decimals where a report wants that)."""
+    wide = nulls.with_nulls(obs_table(spark, d), places=None).where(F.col("n_before") >= nulls.WARMUP)
+    losses = nulls.long_nulls(wide).select("series", "entrant", S.crps_normal(F.col("mean"), F.col("sd"), F.col("outcome")).alias("loss"))
+    return boards.skill_of_means(losses, ["series"]).select("series", "entrant", rounded("mean_loss", 5).alias("mean_loss"), "n", rounded("skill", 5).alias("skill"))
 
 
 @query(f"""WITH {OBS}, {FORECASTS} SELECT series, date, entrant, {r(crps_sql('mean', 'sd', 'value'), 5)} AS crps FROM fc JOIN obs USING (series, date)""")
@@ -170,21 +189,23 @@ def trailing_average(spark: SparkSession, d: str) -> DataFrame:
 def crowd_numbers(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("date"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("entrant")).agg(F.min("value").alias("a"), F.avg("value").alias("b"), F.max("value").alias("c"))
     q = F.map_from_arrays(F.array(F.lit("0.1"), F.lit("0.5"), F.lit("0.9")), F.array("a", "b", "c"))
-    values = e.select("series", "date", "entrant", F.explode(S.pooled_values(F.struct(F.lit(0.0).alias("mean"), F.lit(1.0).alias("sd"), q.alias("quantiles")))).alias("x"))
-    pooled = values.groupBy("series", "date").agg(F.countDistinct("entrant").alias("members"), rounded(F.avg("x"), 4).alias("mean"), rounded(F.stddev_pop("x"), 4).alias("sd"), rounded(F.percentile("x", F.lit(0.5)), 4).alias("median"))
-    return pooled.where(F.col("members") >= crowd.MEMBERS)
+    answers = e.select("series", "date", "entrant", F.struct(F.lit(0.0).alias("mean"), F.lit(1.0).alias("sd"), q.alias("quantiles")).alias("topline"))
+    found = crowd.crowd_numbers(answers, ["series", "date"], None)
+    return found.select("series", "date", "members", rounded("mean", 4).alias("mean"), rounded("sd", 4).alias("sd"), rounded(F.element_at("quantiles", "0.5"), 4).alias("median"))
 
 
-@query()
+@query(f"""WITH {FORECASTS}, lv AS (SELECT i / 40.0 AS lv FROM range(1, 40) t(i)), x AS (SELECT series, date, entrant, mean + sd * {quantile_sql('lv')} AS x FROM fc, lv), c AS (SELECT series, date, count(DISTINCT entrant) AS members, avg(x) AS mean, stddev_pop(x) AS sd, quantile_cont(x, [i / 40.0 for i in range(1, 40)]) AS q FROM x GROUP BY 1, 2 HAVING count(DISTINCT entrant) >= 2)
+  SELECT series, date, members, {r('mean', 3)} AS mean, {r('sd', 3)} AS sd, [{r('v', 3)} for v in q] AS quantiles FROM c""")
 def crowd_of_normals(spark: SparkSession, d: str) -> DataFrame:
-    """The mixture of normal answers: their quantiles at 39 levels, pooled; DuckDB has no normal quantile."""
+    """The mixture of normal answers: their quantiles at 39 levels, pooled."""
     f = forecast_table(spark, d).withColumn("topline", F.struct("mean", "sd", F.expr("map_from_arrays(array_repeat('', 0), array_repeat(0D, 0))").alias("quantiles")))
-    return crowd.crowd_numbers(f, ["series", "date"]).withColumn("quantiles", F.to_json("quantiles"))
+    found = crowd.crowd_numbers(f, ["series", "date"], None)
+    return found.select("series", "date", "members", rounded("mean", 3).alias("mean"), rounded("sd", 3).alias("sd"), F.transform(F.map_values("quantiles"), lambda v: rounded(v, 3)).alias("quantiles"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT CAST(i AS BIGINT) AS id, i / 1000.0 AS p FROM range(1, 1000) t(i)) SELECT id, {r(quantile_sql('p'), 9)} AS z FROM p""")
 def normal_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 1000).select(F.col("id"), normal_quantile(F.lit(0.0), F.lit(1.0), F.col("id") / 1000).alias("z"))
+    return spark.range(1, 1000).select(F.col("id"), rounded(normal_quantile(F.lit(0.0), F.lit(1.0), F.col("id") / 1000), 9).alias("z"))
 
 
 @query(f"""WITH {PANEL}, b AS (SELECT grp, item, 100 * sum(CASE WHEN option = 'approve' THEN w ELSE 0 END) / sum(w) AS plus, 100 * sum(CASE WHEN option = 'disapprove' THEN w ELSE 0 END) / sum(w) AS minus, sum(w) AS w, sum(w * w) AS w2, count(*) AS n FROM panel WHERE option IS NOT NULL GROUP BY 1, 2)
@@ -219,11 +240,11 @@ def profile_scores(spark: SparkSession, d: str) -> DataFrame:
     return profiles.joint_scores(cells, ["vec_id"]).join(profiles.cell_scores(cells, ["vec_id"]), "vec_id")
 
 
-@query(f"""WITH c AS (SELECT vec_id, [{r('CAST(embedding[i] AS DOUBLE) * 90', 3)} for i in range(1, 5)] AS y, [[{r('CAST(embedding[i + 4 * k] AS DOUBLE) * 100', 3)} for i in range(1, 5)] for k in range(1, 9)] AS xs FROM embeddings WHERE vec_id < 60)
+@query(f"""WITH c AS (SELECT vec_id, [{r('CAST(embedding[i] AS DOUBLE) * 90', 3)} for i in range(1, 5)] AS y, [[{r('CAST(embedding[i + 4 * k] AS DOUBLE) * 100', 3)} for i in range(1, 5)] for k in range(1, 9)] AS xs FROM embeddings)
   SELECT vec_id, {r('list_avg([list_distance(x, y) for x in xs]) - 0.5 * list_avg([list_avg([list_distance(a, b) for b in xs]) for a in xs])', 5)} AS energy FROM c""")
 def energy_native(spark: SparkSession, d: str) -> DataFrame:
     """The energy score as an expression, for eight draws of four cells."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 60")
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
     at = lambda i, scale: rounded(F.get("embedding", F.lit(i - 1)).cast("double") * scale, 3)
     samples = F.array(*[F.array(*[at(i + 4 * k, 100) for k in range(1, 9)]) for i in range(1, 5)])
     return e.select("vec_id", samples.alias("s"), F.array(*[at(i, 90) for i in range(1, 5)]).alias("y")).select("vec_id", rounded(profiles.energy_native(F.col("s"), F.col("y")), 5).alias("energy"))

@@ -34,6 +34,9 @@ def horizons(spark: SparkSession, d: str) -> DataFrame:
 
 ROUNDS = "rounds AS (SELECT event_type || '-' || k AS round_id, event_type AS series, DATE '2024-01-05' + CAST(3 * k AS INTEGER) AS freeze_date, DATE '2024-01-07' + CAST(3 * k AS INTEGER) AS release_date, k AS season_order FROM (SELECT DISTINCT event_type FROM events), range(0, 9) t(k))"
 
+#: What had been read of each day by noon: the frozen histories, of which the last day is revised later.
+NOON = f"noon AS (SELECT event_type AS series, CAST(ts AS DATE) AS date, {r('avg(value)', 4)} AS value FROM events WHERE hour(ts) < 12 GROUP BY 1, 2), due AS (SELECT event_type || '-' || k AS round_id, event_type AS series, DATE '2024-01-04' + CAST(3 * k AS INTEGER) AS last_day, DATE '2024-01-06' + CAST(3 * k AS INTEGER) AS lock_day, event_type = 'view' AS daily FROM (SELECT DISTINCT event_type FROM events), range(0, 10) t(k))"
+
 
 def rounds(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k").cast("int") * 3
@@ -51,9 +54,17 @@ def frozen_values(spark: SparkSession, d: str) -> DataFrame:
     return resolution.frozen_value(obs_table(spark, d), rounds(spark, d))
 
 
-@query(f"""WITH {OBS}, {ROUNDS}, j AS (SELECT * FROM rounds JOIN obs USING (series)), c AS (SELECT * FROM j WHERE date >= release_date AND NOT EXISTS (SELECT 1 FROM j s WHERE s.round_id = j.round_id AND s.date < s.freeze_date AND s.date = j.date AND s.value = j.value)) SELECT round_id, min(date) AS observed_date, min_by(value, date) AS value FROM c GROUP BY 1""")
+@query(f"""WITH {OBS}, {NOON}, fr AS (SELECT round_id, n.date, CASE WHEN n.date = last_day THEN n.value ELSE o.value END AS value FROM due JOIN noon n USING (series) JOIN obs o USING (series, date) WHERE n.date <= last_day), lf AS (SELECT round_id, max(date) AS last FROM fr GROUP BY 1),
+  c AS (SELECT round_id, o.date, o.value, o.date <= last AS old FROM due JOIN lf USING (round_id) JOIN obs o USING (series) WHERE o.date >= last AND (NOT daily OR o.date >= lock_day) AND NOT EXISTS (SELECT 1 FROM fr WHERE fr.round_id = due.round_id AND fr.date = o.date AND fr.value = o.value))
+  SELECT round_id, date AS observed_date, value FROM c QUALIFY row_number() OVER (PARTITION BY round_id ORDER BY old, date, value) = 1""")
 def first_releases(spark: SparkSession, d: str) -> DataFrame:
-    return resolution.first_release(obs_table(spark, d), rounds(spark, d))
+    e, o = table(spark, d, "events"), obs_table(spark, d)
+    noon = e.where(F.hour("ts") < 12).groupBy(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("date")).agg(rounded(F.avg("value"), 4).alias("noon"))
+    k, start = F.col("k") * 3, lambda day: F.lit(day).cast("date")
+    due = e.select(F.col("event_type").alias("series")).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(
+        F.concat_ws("-", "series", "k").alias("round_id"), "series", F.date_add(start("2024-01-04"), k).alias("last_day"), F.date_add(start("2024-01-06"), k).alias("lock_day"), (F.col("series") == "view").alias("daily"))
+    frozen = due.join(noon, "series").where("date <= last_day").join(o, ["series", "date"]).select("round_id", "date", F.when(F.col("date") == F.col("last_day"), F.col("noon")).otherwise(F.col("value")).alias("value"))
+    return resolution.first_release(o, due, frozen)
 
 
 @query(f"WITH {OBS}, {ROUNDS}, k AS (SELECT round_id, freeze_date, max(date) AS date, max_by(value, date) AS value FROM rounds JOIN obs USING (series) WHERE date <= release_date GROUP BY 1, 2) SELECT round_id, date, value FROM k WHERE date >= freeze_date")
@@ -69,18 +80,20 @@ def single_claims(spark: SparkSession, d: str) -> DataFrame:
     return resolution.one_claim(claims, prior).select("round_id", "series", "observed_date")
 
 
-@query("""WITH q AS (SELECT event_id, event_type, ts FROM events WHERE event_id % 10 = 0), s AS (SELECT event_type, ts, value, event_id AS sid FROM events WHERE event_id % 10 = 1), u AS (SELECT event_type, ts, max_by(value, sid) AS value FROM s GROUP BY 1, 2) SELECT q.event_id, u.value FROM q ASOF LEFT JOIN u ON q.event_type = u.event_type AND q.ts >= u.ts""")
+@query("""WITH u AS (SELECT user_id, ts, max_by(value, event_id) AS value FROM events GROUP BY 1, 2) SELECT q.event_id, u.value FROM events q ASOF LEFT JOIN u ON q.user_id = u.user_id AND q.ts > u.ts""")
 def asof_backward(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with the value of its user's event before it."""
     e = table(spark, d, "events")
-    seen = e.where("event_id % 10 = 1").groupBy("event_type", "ts").agg(F.max_by("value", "event_id").alias("value"))
-    return asof.asof_backward(e.where("event_id % 10 = 0").select("event_id", "event_type", "ts"), seen, ["event_type"], "ts", "ts", ["value"]).select("event_id", "value")
+    seen = e.groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return asof.asof_backward(e.select("event_id", "user_id", "ts"), seen, ["user_id"], "ts", "ts", ["value"], strict=True, stretch=1_000_000).select("event_id", "value")
 
 
-@query("""WITH q AS (SELECT event_id, event_type, ts FROM events WHERE event_id % 10 = 0), s AS (SELECT event_type, ts, value, event_id AS sid FROM events WHERE event_id % 10 = 1), u AS (SELECT event_type, ts, max_by(value, sid) AS value FROM s GROUP BY 1, 2) SELECT q.event_id, u.value FROM q ASOF LEFT JOIN u ON q.event_type = u.event_type AND q.ts <= u.ts""")
+@query("""WITH u AS (SELECT user_id, ts, max_by(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT q.event_id, u.value FROM events q ASOF LEFT JOIN u ON q.user_id = u.user_id AND q.ts <= u.ts""")
 def asof_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with the value of its user's first purchase from then on."""
     e = table(spark, d, "events")
-    seen = e.where("event_id % 10 = 1").groupBy("event_type", "ts").agg(F.max_by("value", "event_id").alias("value"))
-    return asof.asof_forward(e.where("event_id % 10 = 0").select("event_id", "event_type", "ts"), seen, ["event_type"], "ts", "ts", ["value"]).select("event_id", "value")
+    seen = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return asof.asof_forward(e.select("event_id", "user_id", "ts"), seen, ["user_id"], "ts", "ts", ["value"], stretch=1_000_000).select("event_id", "value")
 
 
 @query(f"""WITH {OBS}, cap AS (SELECT series, date AS capture_day, date - 1 AS end_date FROM obs WHERE day(date) % 4 = 1), pts AS (SELECT c.series, c.capture_day, o.date, o.value + day(c.capture_day) / 100.0 AS value FROM cap c JOIN obs o ON o.series = c.series AND o.date <= c.end_date), sh AS (SELECT o.series, o.date AS day, min(c.capture_day) AS capture_day FROM obs o JOIN cap c ON c.series = o.series AND c.capture_day >= o.date GROUP BY 1, 2)
@@ -112,12 +125,12 @@ def last_before_lock(spark: SparkSession, d: str) -> DataFrame:
     return resolution.last_before_lock(v).select("entrant", "round_id", "version")
 
 
-@query("""WITH m AS (SELECT event_type AS source, user_id % 4 AS key, max(ts) AS fetched_at FROM events WHERE event_type <> 'view' OR user_id % 4 <> 2 GROUP BY 1, 2), b AS (SELECT DISTINCT event_type AS source, 1.0 + length(event_type) % 3 AS stale, 3.0 + length(event_type) % 3 AS failing FROM events UNION ALL SELECT 'nowhere', 1.0, 2.0), j AS (SELECT source, fetched_at, stale, failing, epoch(TIMESTAMP '2024-02-02' - date_trunc('second', fetched_at)) / 86400.0 AS age FROM m FULL JOIN b USING (source)),
+@query("""WITH m AS (SELECT event_type AS source, user_id % 4 AS key, max(ts) AS fetched_at FROM events GROUP BY 1, 2), b AS (SELECT DISTINCT event_type AS source, 1.0 + length(event_type) % 3 AS stale, 3.0 + length(event_type) % 3 AS failing FROM events WHERE event_type <> 'view' UNION ALL SELECT 'nowhere', 1.0, 2.0), j AS (SELECT source, fetched_at, stale, failing, epoch(TIMESTAMP '2024-02-02' - date_trunc('second', fetched_at)) / 86400.0 AS age FROM m FULL JOIN b USING (source)),
   k AS (SELECT source, max(CASE WHEN fetched_at IS NULL OR stale IS NULL THEN 1 WHEN age > failing THEN 3 WHEN age > stale THEN 2 ELSE 0 END) AS w FROM j GROUP BY 1) SELECT source, ['ok', 'unknown', 'stale', 'failing'][w + 1] AS state FROM k""")
 def source_health(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    manifest = e.where("event_type <> 'view' or user_id % 4 <> 2").groupBy(F.col("event_type").alias("source"), (F.col("user_id") % 4).alias("key")).agg(F.max("ts").cast("timestamp").alias("fetched_at"))
-    budgets = e.select(F.col("event_type").alias("source")).distinct().unionByName(spark.range(1).select(F.lit("nowhere").alias("source")))
+    manifest = e.groupBy(F.col("event_type").alias("source"), (F.col("user_id") % 4).alias("key")).agg(F.max("ts").cast("timestamp").alias("fetched_at"))
+    budgets = e.where("event_type <> 'view'").select(F.col("event_type").alias("source")).distinct().unionByName(spark.range(1).select(F.lit("nowhere").alias("source")))
     n = F.when(F.col("source") == "nowhere", 0).otherwise(F.length("source") % 3)
     budgets = budgets.select("source", (1.0 + n).alias("stale_days"), F.when(F.col("source") == "nowhere", 2.0).otherwise(3.0 + n).alias("failing_days"))
     return health.source_health(manifest, budgets, "2024-02-02").select("source", "state")
@@ -196,22 +209,22 @@ def exact_answers(spark: SparkSession, d: str) -> DataFrame:
     return rules.exact_set(e.where("event_type = 'click'"), e.where("event_type = 'view' and value > 30"), ["user_id"])
 
 
-@query("""WITH o AS (SELECT o_custkey AS k, sha256(max(o_orderstatus)) AS h FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1), n AS (SELECT o_custkey AS k, sha256(max(o_orderstatus)) AS h FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1) SELECT k, CASE WHEN o.h IS NULL THEN 'created' WHEN n.h IS NULL THEN 'kept' WHEN o.h = n.h THEN 'unchanged' ELSE 'replaced' END AS verdict FROM n FULL JOIN o USING (k)""")
+@query("""WITH o AS (SELECT o_custkey AS k, sha256(max(o_orderstatus)) AS h FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1), n AS (SELECT o_custkey AS k, sha256(max(o_orderstatus)) AS h FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1) SELECT k, CASE WHEN o.h IS NULL THEN 'created' WHEN n.h IS NULL THEN 'kept' WHEN o.h = n.h THEN 'unchanged' ELSE 'replaced' END AS verdict FROM n FULL JOIN o USING (k)""")
 def file_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda rest: table(spark, d, "orders").where(F.col("o_orderkey") % 3 != rest).groupBy(F.col("o_custkey").alias("k")).agg(F.sha2(F.max("o_orderstatus"), 256).alias("h"))
-    return rules.verdicts(side(1), side(0), ["k"], "h")
+    side = lambda rest: table(spark, d, "orders").where(F.col("o_orderpriority") != rest).groupBy(F.col("o_custkey").alias("k")).agg(F.sha2(F.max("o_orderstatus"), 256).alias("h"))
+    return rules.verdicts(side("5-LOW"), side("1-URGENT"), ["k"], "h")
 
 
-@query("""SELECT o_orderkey FROM orders WHERE epoch(CAST(o_orderdate AS TIMESTAMP)) - epoch(TIMESTAMP '1998-03-03 12:00:00') BETWEEN 1800 AND 86400 AND o_orderkey % 2 = 0""")
+@query("""SELECT o_orderkey FROM orders WHERE epoch(CAST(o_orderdate AS TIMESTAMP)) - epoch(TIMESTAMP '1998-03-03 12:00:00') BETWEEN 1800 AND 86400 AND o_orderstatus <> 'F'""")
 def jobs_due(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("lock_at"), F.when(F.col("o_orderkey") % 2 == 1, F.lit(1)).alias("answered_at"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("lock_at"), F.when(F.col("o_orderstatus") == "F", F.lit(1)).alias("answered_at"))
     return o.where(rules.job_still_due("1998-03-03 12:00:00")).select("o_orderkey")
 
 
-@query("""SELECT p_partkey, CASE p_brand WHEN 'Brand#1' THEN false ELSE true END AS trusted FROM (SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3'))""")
+@query("""SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS trusted FROM orders""")
 def evidence_levels(spark: SparkSession, d: str) -> DataFrame:
-    levels = ["Brand#1", "Brand#2", "Brand#3"]
-    return table(spark, d, "part").where(F.col("p_brand").isin(levels)).select("p_partkey", rules.at_least(F.col("p_brand"), "Brand#2", levels).alias("trusted"))
+    """Orders by an ordinal level; one that is not among the levels never reaches a threshold."""
+    return table(spark, d, "orders").select("o_orderkey", rules.at_least(F.col("o_orderpriority"), "2-HIGH", ["5-LOW", "3-MEDIUM", "2-HIGH", "1-URGENT"]).alias("trusted"))
 
 
 @query("""WITH e AS (SELECT CAST(ts AS DATE) AS day, user_id % 7 AS entrant, list(event_type ORDER BY event_id)[1:4] AS items FROM events GROUP BY 1, 2) SELECT day, entrant, array_to_string(list_filter([CASE WHEN len(items) <> 3 THEN 'length' END, CASE WHEN len(list_distinct(items)) <> len(items) THEN 'duplicate' END, CASE WHEN len(list_filter(items, lambda x: x NOT IN ('click', 'view', 'purchase'))) > 0 THEN 'outside_basket' END, CASE WHEN list_contains(items, 'error') THEN 'excluded' END], lambda x: x IS NOT NULL), ',') AS problems FROM e""")
@@ -220,7 +233,8 @@ def list_problems(spark: SparkSession, d: str) -> DataFrame:
     return e.select("day", "entrant", F.array_join(rankings.list_problems(F.col("items"), F.lit(["click", "view", "purchase"]), F.lit(["error"]), 3), ",").alias("problems"))
 
 
-@query()
+@query("""WITH q AS (SELECT o_orderkey, [0.1, CASE WHEN o_orderkey % 3 = 0 THEN 0.4 ELSE 0.5 END, CASE WHEN o_orderkey % 7 = 0 THEN 1.5 ELSE 0.9 END] AS lv, [o_totalprice, o_totalprice + o_orderkey % 5 - 1, o_totalprice + 10] AS v FROM orders)
+  SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT list_contains(lv, 0.5) THEN 'no_median' END, CASE WHEN lv[3] >= 1 THEN 'level' END, CASE WHEN v[1] > v[2] OR v[2] > v[3] THEN 'order' END], lambda x: x IS NOT NULL), ',') AS problems FROM q""")
 def quantile_problems(spark: SparkSession, d: str) -> DataFrame:
     q = F.map_from_arrays(F.array(F.lit("0.1"), F.when(F.col("o_orderkey") % 3 == 0, "0.4").otherwise("0.5"), F.when(F.col("o_orderkey") % 7 == 0, "1.5").otherwise("0.9")), F.array(F.col("o_totalprice"), F.col("o_totalprice") + F.col("o_orderkey") % 5 - 1, F.col("o_totalprice") + 10))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(rankings.quantile_problems(q), ",").alias("problems"))
@@ -234,11 +248,33 @@ def poll_filters(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("pollster", "population").agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("mean"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, substr(trim(regexp_replace(text[1:60], '[\s_]+', '_', 'g'), '_'), 1, 256) AS t FROM documents) SELECT doc_id, upper(t[1]) || substr(t, 2) AS title, starts_with(t, 'The') OR starts_with(t, 'Is_') OR t = 'Main_Page' AS excluded FROM w""")
+TITLES = f"""t AS (SELECT 'd' || doc_id AS id, text AS t FROM documents UNION ALL SELECT 'p' || p_partkey, CASE p_size WHEN 1 THEN 'main page ' WHEN 2 THEN ' special:' || p_name WHEN 3 THEN 'Talk:_' || p_name ELSE p_name END FROM part), w AS (SELECT id, trim(regexp_replace(t, '{T.SPACE}+', '_', 'g'), '_') AS t FROM t), g AS (SELECT id, t, CASE WHEN t IS NULL THEN 'missing' WHEN t = '' THEN 'empty' WHEN length(t) > 256 THEN 'too long' END AS problem FROM w), k AS (SELECT id, problem, CASE WHEN problem IS NULL THEN upper(t[1]) || substr(t, 2) END AS title FROM g)"""
+
+
+@query(f"""WITH {TITLES} SELECT id, title, problem, title IN ({', '.join(f"'{x}'" for x in T.RULES['main_page_and_namespaces_v1'][0])}) OR {' OR '.join(f"starts_with(title, '{x}')" for x in T.RULES['main_page_and_namespaces_v1'][1])} AS excluded FROM k""")
 def titles(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
-    plain = F.trim(F.regexp_replace("t", r"[\s_]+", "_"), F.lit("_"))
-    return t.select("doc_id", T.canonical_title(F.col("t")).alias("title"), T.excluded(plain, ["Main_Page"], ["The", "Is_"]).alias("excluded"))
+    """Whole texts and part names as article titles; what is refused says why."""
+    size, name = F.col("p_size"), F.col("p_name")
+    parts = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.when(size == 1, "main page ").when(size == 2, F.concat(F.lit(" special:"), name)).when(size == 3, F.concat(F.lit("Talk:_"), name)).otherwise(name).alias("t"))
+    t = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("t")).unionByName(parts)
+    title = T.canonical_title(F.col("t"))
+    return t.select("id", title.alias("title"), T.title_problem(F.col("t")).alias("problem"), T.excluded(title, "main_page_and_namespaces_v1").alias("excluded"))
+
+
+def markup_sql(x: str) -> str:
+    for pattern, stays in T.MARKUP:
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{stays.replace('$1', chr(92) + '1')}', 'g')"
+    return f"trim({x})"
+
+
+WIKITEXT = "'* [[' || url || '|the page]] of {{ill|Name ' || page_id || '|fr}}, {{cite|x}} [[plain]] bold [' || url || ' (Source)] <ref name=\"a\">' || page_id || '</ref><ref/> ' || html"
+
+
+@query(f"""SELECT page_id, {markup_sql(f'({WIKITEXT})')} AS plain FROM pages""")
+def plain_wikitext(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages as wikitext without its markup."""
+    parts = ["* [[", F.col("url"), "|the page]] of {{ill|Name ", F.col("page_id").cast("string"), "|fr}}, {{cite|x}} [[plain]] '''bold''' [", F.col("url"), " (Source)] <ref name=\"a\">", F.col("page_id").cast("string"), "</ref><ref/> ", F.col("html")]
+    return table(spark, d, "pages").select("page_id", T.strip_markup(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).alias("plain"))
 
 
 @query(r"""SELECT page_id, regexp_replace(url || '__' || length(html), '[^A-Za-z0-9._-]+', '_', 'g') AS key, regexp_replace(e, '-web(-superfc)?$', '') AS family, CASE WHEN ends_with(e, '-web-superfc') THEN 'web-superfc' WHEN ends_with(e, '-web') THEN 'web' ELSE 'plain' END AS harness FROM (SELECT *, 'model' || page_id % 3 || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '-web' ELSE '-web-superfc' END AS e FROM pages)""")
@@ -247,17 +283,23 @@ def identifiers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").withColumn("e", e).select("page_id", T.archive_key(F.col("url"), F.length("html").cast("string")).alias("key"), T.family(F.col("e")).alias("family"), T.harness(F.col("e")).alias("harness"))
 
 
-@query(r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN m ILIKE '%timed out%' THEN 'timeout' WHEN s = 429 THEN 'rate_limited' WHEN s IN (401, 403) THEN 'not_authorised' WHEN s BETWEEN 500 AND 599 THEN 'provider_error' WHEN m ILIKE '%json%' THEN 'invalid_answer' ELSE 'error' END AS kind FROM
-  (SELECT *, CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 503 WHEN 5 THEN 404 END AS s, CASE event_id % 6 WHEN 3 THEN 'it timed out' WHEN 4 THEN 'bad JSON' ELSE 'HTTP ' || CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 503 ELSE 404 END END AS m FROM events)""")
+MESSAGES = ("HTTP 429 slow down", "HTTP 401", "https 503 http  503:", "it timed  out", "bad non-JSON reply", "http 404", "No xyz_key in the environment", "finish_reason=length", "Rate limit hit", "connection reset", "billing: no credits remaining", " ", "something else", "organization has been disabled")
+
+
+@query(r"""WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, [{messages}][event_id % 14 + 1] AS m FROM events), t AS (SELECT event_id, k, CASE WHEN trim(m) = '' THEN 'unknown error' ELSE lower(trim(regexp_replace(m, '\s+', ' ', 'g'))) END AS t FROM e),
+  s AS (SELECT *, nullif(regexp_extract(t, '\bhttp\s+([0-9]{3})\b', 1), '') AS s FROM t)
+  SELECT event_id, k, CASE WHEN s IS NOT NULL THEN 'provider HTTP ' || s WHEN regexp_matches(t, '\bno [a-z0-9_]+ in the environment\b') THEN 'provider credential not configured' WHEN contains(t, 'output limit') OR contains(t, 'finish_reason=length') THEN 'provider output limit' WHEN contains(t, 'timeout') OR contains(t, 'timed out') THEN 'provider timeout'
+    WHEN contains(t, 'rate limit') THEN 'provider rate limit' WHEN contains(t, 'stream') OR contains(t, 'connection') THEN 'provider transport failure' WHEN contains(t, 'parse') OR contains(t, 'non-json') OR contains(t, 'no text') THEN 'provider response invalid' ELSE 'provider call failed' END AS label,
+    coalesce(s IN ('401', '403', '404'), false) OR regexp_matches(t, '\bno [a-z0-9_]+ in the environment\b|invalid_api_key|incorrect api key|account_deactivated|organization has been disabled|does not exist or you do not have access|permission denied|forbidden|unauthorized|authentication|insufficient_quota|credit_balance_exhausted|no credits remaining|billing|unknown entrant|unknown model|no configured route') AS terminal FROM s""".replace("{messages}", ", ".join(f"'{m}'" for m in MESSAGES)))
 def error_classes(spark: SparkSession, d: str) -> DataFrame:
-    message = F.element_at(F.lit(["HTTP 429", "HTTP 401", "HTTP 503", "it timed out", "bad JSON", "HTTP 404"]), (F.col("event_id") % 6 + 1).cast("int"))
+    message = F.element_at(F.lit(list(MESSAGES)), (F.col("event_id") % 14 + 1).cast("int"))
     k = F.from_json("props", "k bigint")["k"]
-    return table(spark, d, "events").select("event_id", k.alias("k"), T.error_class(message).alias("kind"))
+    return table(spark, d, "events").select("event_id", k.alias("k"), T.public_error(message).alias("label"), T.terminal(message).alias("terminal"))
 
 
-@query("""SELECT conv_id, turn, sha256(role || ':' || text) AS digest, CASE WHEN contains(text, '?') THEN true ELSE false END AS asks FROM conversations""")
+@query("""SELECT conv_id, turn, sha256('{"role":"' || role || '","turn":' || turn || ',"length":' || length(text) || '}') AS digest, contains(text, '?') AS asks FROM conversations""")
 def call_identities(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws(":", "role", "text"), 256).alias("digest"), F.contains("text", F.lit("?")).alias("asks"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.identity(F.col("role"), F.col("turn"), F.length("text").alias("length")).alias("digest"), F.contains("text", F.lit("?")).alias("asks"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY role, length(text) ORDER BY conv_id DESC, turn DESC) AS n FROM conversations) SELECT role, length(text) AS len, conv_id, turn FROM l WHERE n = 1""")
@@ -273,10 +315,11 @@ def finals_and_preliminary(spark: SparkSession, d: str) -> DataFrame:
     return readers.finals_first(finals, months.withColumn("preliminary", F.lit(True)))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) SELECT event_id, '{"z": {"k": ' || k || '}, "a": "' || event_id || '}é"}' AS json, sha256('{"a":"' || event_id || '}\\u00e9","z":{"k":' || k || '}}') AS sha256 FROM e""")
 def embedded_json(spark: SparkSession, d: str) -> DataFrame:
-    """The first whole JSON in free text, and its hash with sorted keys: text scans that SQL has no words for."""
-    e = table(spark, d, "events").select("event_id", F.concat(F.lit("answer {so} far: "), "props", F.lit(" thanks")).alias("reply"))
+    """The first whole JSON object in free text, and its hash with sorted keys, in ASCII."""
+    reply = F.concat(F.lit('answer {so} far [1]: {"z": '), "props", F.lit(', "a": "'), "event_id", F.lit('}é"} thanks {"b": 1}'))
+    e = table(spark, d, "events").select("event_id", reply.alias("reply"))
     return e.withColumn("json", documents.embedded_json(F.col("reply"))).select("event_id", "json", documents.canonical_hash(F.col("json")).alias("sha256"))
 
 

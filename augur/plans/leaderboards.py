@@ -153,14 +153,14 @@ def ranked_list_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("week_end", rounded("loss").alias("loss"), F.col("overlap").cast("long").alias("overlap"), F.col("exact_positions").cast("long").alias("exact_positions"))
 
 
-BASKET = f"{BRAND_WEEKS}, bk AS (SELECT week_end, list(brand ORDER BY revenue DESC, brand) AS items FROM bw WHERE brand IN (SELECT brand FROM (SELECT DISTINCT brand FROM bw) ORDER BY brand LIMIT 5) GROUP BY 1 HAVING count(*) = 5), pr AS (SELECT a.week_end, b.items AS p, a.items AS t FROM bk a JOIN bk b ON b.week_end = a.week_end - 7)"
+BASKET = f"{BRAND_WEEKS}, bk AS (SELECT week_end, list(brand ORDER BY revenue DESC, brand) AS items FROM bw GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT p_brand) FROM part)), pr AS (SELECT a.week_end, b.items AS p, a.items AS t FROM bk a JOIN bk b ON b.week_end = a.week_end - 7)"
 
 
-@query(f"""WITH {BASKET} SELECT week_end, {r('list_sum([list_sum([CASE WHEN j > i AND list_position(t, p[i]) > list_position(t, p[j]) THEN 1 ELSE 0 END for j in range(1, 6)]) for i in range(1, 6)]) / 10.0')} AS loss FROM pr""")
+@query(f"""WITH {BASKET} SELECT week_end, {r('list_sum([list_sum([CASE WHEN j > i AND list_position(t, p[i]) > list_position(t, p[j]) THEN 1 ELSE 0 END for j in range(1, len(p) + 1)]) for i in range(1, len(p) + 1)]) / (len(p) * (len(p) - 1) / 2.0)')} AS loss FROM pr""")
 def basket_order_scores(spark: SparkSession, d: str) -> DataFrame:
-    weeks = brand_weeks(spark, d)
-    five = weeks.select("brand").distinct().orderBy("brand").limit(5)
-    own = weeks.join(F.broadcast(five), "brand").groupBy("week_end").agg(F.array_sort(F.collect_list(F.struct((-F.col("revenue")).alias("r"), "brand"))).alias("l")).where(F.size("l") == 5).select("week_end", F.col("l.brand").alias("items"))
+    """The order of all brands in the weeks that sold each, by the week before."""
+    brands = table(spark, d, "part").agg(F.countDistinct("p_brand").alias("n"))  # one row
+    own = brand_weeks(spark, d).groupBy("week_end").agg(F.array_sort(F.collect_list(F.struct((-F.col("revenue")).alias("r"), "brand"))).alias("l")).join(F.broadcast(brands), F.size("l") == F.col("n")).select("week_end", F.col("l.brand").alias("items"))
     pairs = own.join(own.select(F.date_add("week_end", 7).alias("week_end"), F.col("items").alias("p")), "week_end")
     return pairs.select("week_end", rounded(S.kendall_loss(F.col("p"), F.col("items"))).alias("loss"))
 
@@ -185,9 +185,11 @@ def complete_weeks(spark: SparkSession, d: str) -> DataFrame:
     return rankings.complete_weeks(daily, ["event_type"]).select("week_end", "event_type", rounded("total", 3).alias("total"))
 
 
-@query("""WITH m AS (SELECT s_name AS entrant, s_nationkey AS vendor, CAST(s_acctbal AS BIGINT) AS cutoff FROM supplier WHERE s_suppkey <= 40) SELECT a.entrant AS newer, b.entrant AS older FROM m a JOIN m b ON a.vendor = b.vendor AND a.cutoff > b.cutoff""")
+@query("""WITH m AS (SELECT min(s_name) AS entrant, s_nationkey AS vendor, CAST(floor(s_acctbal / 1000) AS BIGINT) AS cutoff FROM supplier GROUP BY 2, 3) SELECT a.entrant AS newer, b.entrant AS older FROM m a JOIN m b ON a.vendor = b.vendor AND a.cutoff > b.cutoff""")
 def same_family_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return boards.same_family_pairs(table(spark, d, "supplier").where("s_suppkey <= 40").select(F.col("s_name").alias("entrant"), F.col("s_nationkey").alias("vendor"), F.bround("s_acctbal").cast("long").alias("cutoff")))
+    """One model for each nation and class of balance, out of all suppliers: a vendor has a dozen classes, so its pairs have a bound."""
+    models = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("vendor"), F.floor(F.col("s_acctbal") / 1000).cast("long").alias("cutoff")).agg(F.min("s_name").alias("entrant"))
+    return boards.same_family_pairs(models)
 
 
 @query("""WITH g AS (SELECT DISTINCT s_name || '-' || (s_suppkey % 3) AS entrant FROM supplier), b AS (SELECT s_name AS base FROM supplier UNION ALL SELECT 'Supplier'), k AS (SELECT entrant, base, row_number() OVER (PARTITION BY entrant ORDER BY length(base) DESC) AS n FROM g JOIN b ON entrant = base OR starts_with(entrant, base || '-')) SELECT entrant, base FROM k WHERE n = 1""")

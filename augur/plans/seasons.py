@@ -20,21 +20,21 @@ def round_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rules.candidates(s, "2026-09-16 12:00:00", 6).select("round_id", F.date_format("lock_at", "yyyy-MM-dd HH").alias("lock_at"))
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id AS series, CAST(ts AS DATE) AS date FROM events WHERE event_id % 3 = 0), s AS (SELECT *, date - lag(date) OVER (PARTITION BY series ORDER BY date) AS step, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS n FROM e) SELECT series, count(*) FILTER (step <> 1) AS slips, count(*) AS seen FROM s WHERE n <= 8 AND step IS NOT NULL GROUP BY 1""")
+@query("""WITH e AS (SELECT DISTINCT user_id AS series, CAST(ts AS DATE) AS date FROM events), s AS (SELECT *, date - lag(date) OVER (PARTITION BY series ORDER BY date) AS step, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS n FROM e) SELECT series, count(*) FILTER (step <> 1) AS slips, count(*) AS seen FROM s WHERE n <= 8 AND step IS NOT NULL GROUP BY 1""")
 def schedule_slips(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("series"), F.col("ts").cast("date").alias("date")).distinct()
+    e = table(spark, d, "events").select(F.col("user_id").alias("series"), F.col("ts").cast("date").alias("date")).distinct()
     return rules.schedule_slips(e, 8, 1)
 
 
-@query("""WITH m AS (SELECT o_custkey AS entrant, CAST(max(o_orderdate) AS DATE) AS cutoff FROM orders WHERE o_custkey % 10 = 1 GROUP BY 1) SELECT entrant, cutoff, cutoff + 30 AS usable_from, (SELECT max(cutoff) + 30 FROM m) AS common_start FROM m""")
+@query("""WITH m AS (SELECT o_custkey AS entrant, CAST(max(o_orderdate) AS DATE) AS cutoff FROM orders GROUP BY 1) SELECT entrant, cutoff, cutoff + 30 AS usable_from, (SELECT max(cutoff) + 30 FROM m) AS common_start FROM m""")
 def usable_windows(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "orders").where("o_custkey % 10 = 1").groupBy(F.col("o_custkey").alias("entrant")).agg(F.max("o_orderdate").cast("date").alias("cutoff"))
+    m = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entrant")).agg(F.max("o_orderdate").cast("date").alias("cutoff"))
     return rules.usable_from(m)
 
 
-@query("""SELECT event_id, strftime(ts + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S') AS next_retry, ts + INTERVAL 6 HOURS >= TIMESTAMP '2024-01-15' AS at_risk FROM events WHERE event_type = 'error' OR event_id % 17 = 0""")
+@query("""SELECT event_id, strftime(ts + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S') AS next_retry, ts + INTERVAL 6 HOURS >= TIMESTAMP '2024-01-15' AS at_risk FROM events""")
 def retry_ledger(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "events").where("event_type = 'error' or event_id % 17 = 0").select("event_id", F.col("ts").alias("failed_at"), F.lit("2024-01-15").cast("timestamp_ntz").alias("deadline"))
+    f = table(spark, d, "events").select("event_id", F.col("ts").alias("failed_at"), F.lit("2024-01-15").cast("timestamp_ntz").alias("deadline"))
     return rules.retries(f).select("event_id", F.date_format("next_retry", "yyyy-MM-dd HH:mm:ss").alias("next_retry"), "at_risk")
 
 
@@ -91,9 +91,9 @@ def dictionary_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return digests.decoded(*digests.encoded(rows))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, substr(text, 1, 40) AS item, row_number() OVER (PARTITION BY conv_id ORDER BY turn, substr(text, 1, 40)) AS n FROM conversations) SELECT conv_id, '- ' || string_agg(item, chr(10) || '- ' ORDER BY n) AS digest FROM l WHERE n <= 3 GROUP BY 1""")
+@query("""WITH l AS (SELECT conv_id, turn, text AS item, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) SELECT conv_id, '- ' || string_agg(item, chr(10) || '- ' ORDER BY n) AS digest FROM l WHERE n <= 3 GROUP BY 1""")
 def conversation_digests(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), F.substring("text", 1, 40).alias("item"))
+    items = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), F.col("text").alias("item"))
     return digests.digest(items, ["conv_id"], 3)
 
 

@@ -1,63 +1,85 @@
-"""Queries: the streams, run over the events table to its end, so that they give a batch result."""
+"""Queries: the streams, run over the events table to its end and closed, so that they give the batch result."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from augur.plans.fixtures import table
+from augur.plans.fixtures import r, rounded, table
 from augur.plans.registry import query
 from augur.session import shared_dir
 from augur.streaming import live
 
+#: Later than all events: a row of this time alone moves the watermark beyond them. It has no other values.
+END = "2100-01-01 00:00:00"
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream has to say once its input is used up. Results and checkpoints lie in the shared folder."""
-    spark = stream.sparkSession
+
+def drained(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str, key: list[str] | None = None) -> DataFrame:
+    """All that a stream over events has to say once its input is used up and closed.
+
+    The stream runs twice from one checkpoint: over the events, then over a row of time END, by which the watermark
+    closes what is still open. key: of update streams, of which the last version holds. Results and checkpoints lie in
+    the shared folder.
+    """
     base = f"{shared_dir(spark).rstrip('/')}/augur/stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    closing = spark.range(1).select(*[F.lit(END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in schema])
+    closing.limit(0).write.parquet(f"{base}/closing")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = build(events.unionByName(spark.readStream.schema(schema).parquet(f"{base}/closing")).withColumn("ts", F.col("ts").cast("timestamp")))
 
     def put(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    empty = spark.createDataFrame([], stream.schema)
-    try:
-        return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{base}/out")
-    except Exception as error:  # noqa: BLE001  no batch at all
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return empty
+    for end in (False, True):
+        if end:
+            closing.coalesce(1).write.mode("append").parquet(f"{base}/closing")
+        stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.option("recursiveFileLookup", "true").schema(stream.schema.add("_batch", "integer")).parquet(f"{base}/out")
+    if key:
+        found = found.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("_batch")))).where("_n = 1").drop("_n")
+    return found.drop("_batch")
 
 
-def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+@query(f"""SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, {r('sum(value)', 4)} AS total FROM events GROUP BY 1, 2 HAVING count(DISTINCT CAST(ts AS DATE)) = 7""")
+def stream_weekly_totals(spark: SparkSession, d: str) -> DataFrame:
+    return drained(spark, d, live.weekly_totals, "append").select("week_start", "event_type", rounded("total", 4).alias("total"))
 
 
-@query()
-def stream_weekly_totals(spark: SparkSession, d: str) -> DataFrame:
-    return drained(live.weekly_totals(event_stream(spark, d)), "append")
+@query(f"""WITH w AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(k AS INTEGER)) AS started, event_type, value FROM events, range(0, 21) t(k)) SELECT CAST(started AS DATE) AS started, event_type, {r('avg(value)', 4)} AS mean, count(*) AS n FROM w GROUP BY 1, 2""")
+def stream_sliding_means(spark: SparkSession, d: str) -> DataFrame:
+    found = drained(spark, d, live.trailing, "append").where("event_type is not null")
+    return found.select(F.col("window.start").cast("date").alias("started"), "event_type", rounded("mean", 4).alias("mean"), "n")
 
 
-@query()
+@query("""SELECT 'u' || user_id AS entrant, event_type AS round_id, max_by(event_id, (ts, event_id)) AS version, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS received_at FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2""")
 def stream_last_before_lock(spark: SparkSession, d: str) -> DataFrame:
-    answers = event_stream(spark, d).select(F.concat(F.lit("u"), "user_id").alias("entrant"), F.col("event_type").alias("round_id"), F.col("event_id").cast("int").alias("version"), F.col("ts").alias("received_at"), F.lit("2024-01-20").cast("timestamp").alias("lock_at"))
-    return drained(live.last_before_lock(answers), "update")
+    answers = lambda e: e.select(F.concat(F.lit("u"), "user_id").alias("entrant"), F.col("event_type").alias("round_id"), F.col("event_id").alias("version"), F.col("ts").alias("received_at"), F.lit("2024-01-20").cast("timestamp").alias("lock_at"))
+    found = drained(spark, d, lambda e: live.last_before_lock(answers(e)), "update", ["entrant", "round_id"])
+    return found.select("entrant", "round_id", "version", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("received_at"))
 
 
-@query()
+@query("""WITH a AS (SELECT 's' || user_id % 40 AS source, ts, event_id, event_type <> 'error' AS ok, event_type = 'signup' AS stale, CASE WHEN event_id % 5 = 0 THEN 'HTTP 403' WHEN event_id % 5 = 1 THEN 'HTTP 503: a frozen page' ELSE 'it timed out' END AS error, TIMESTAMP '2024-01-28' AS deadline FROM events),
+  s AS (SELECT *, CASE WHEN ok THEN CASE WHEN stale THEN 'stale' ELSE 'healthy' END WHEN contains(error, 'frozen') THEN CASE WHEN ts + INTERVAL 6 HOURS >= deadline THEN 'deadline_risk' ELSE 'stale' END WHEN contains(error, '403') THEN 'unresolvable' WHEN ts + INTERVAL 6 HOURS >= deadline THEN 'deadline_risk' ELSE 'retryable_failure' END AS state FROM a)
+  SELECT source, count(*) AS attempts, max_by(state, (ts, event_id)) AS state FROM s GROUP BY 1""")
 def stream_run_states(spark: SparkSession, d: str) -> DataFrame:
-    outcomes = event_stream(spark, d).select(F.col("user_id").cast("string").alias("key"), "ts", F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("outcome"))
-    return drained(live.run_states(outcomes), "update")
+    i = F.col("event_id") % 5
+    error = F.when(i == 0, "HTTP 403").when(i == 1, "HTTP 503: a frozen page").otherwise("it timed out")
+    attempts = lambda e: e.where("event_id is not null").select(F.concat(F.lit("s"), F.col("user_id") % 40).alias("source"), "ts", F.col("event_id").alias("attempt"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "signup").alias("stale"), error.alias("error"), F.lit("2024-01-28").cast("timestamp").alias("deadline"))
+    return drained(spark, d, lambda e: live.source_states(attempts(e)), "update", ["source"]).select("source", "attempts", "state")
 
 
-@query()
+@query("""SELECT DISTINCT user_id, event_type FROM events""")
 def stream_first_arrivals(spark: SparkSession, d: str) -> DataFrame:
-    return drained(live.first_arrivals(event_stream(spark, d), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "append")
+    return drained(spark, d, lambda e: live.first_arrivals(e, ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "append").where("user_id is not null")
 
 
-@query()
+@query(f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g)
+  SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, user_id, count(*) AS n, {r('sum(value)', 4)} AS total FROM s GROUP BY user_id, s""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return drained(live.sessions(event_stream(spark, d)).select(F.col("session_window.start").alias("started"), "user_id", "n", "total"), "append")
+    found = drained(spark, d, live.sessions, "append")
+    return found.select(F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"), "user_id", "n", rounded("total", 4).alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,16 +14,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Namespaces and types of workbooks.
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+WORKSHEET = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet"
 
 
-def first_json(text: str | None, marker: str = "") -> str | None:
-    """The first complete JSON object or array after the marker, as text."""
+#: What a JSON value of each kind opens with.
+OPENINGS = {"object": r"\{", "array": r"\[", "any": r"[\[{]"}
+
+
+def first_json(text: str | None, marker: str = "", kind: str = "object") -> str | None:
+    """The first complete JSON value of this kind after the marker, as text."""
     if text is None:
         return None
     at = text.find(marker)
     decoder = json.JSONDecoder()
-    for m in re.finditer(r"[\[{]", text[at + len(marker) :]) if at >= 0 else ():
+    for m in re.finditer(OPENINGS[kind], text[at + len(marker) :]) if at >= 0 else ():
         start = at + len(marker) + m.start()
         try:
             return text[start : decoder.raw_decode(text, start)[1]]
@@ -31,24 +40,25 @@ def first_json(text: str | None, marker: str = "") -> str | None:
     return None
 
 
-def embedded_json(text: Column, marker: str = "") -> Column:
-    """As first_json, over a column."""
+def embedded_json(text: Column, marker: str = "", kind: str = "object", required: bool = False) -> Column:
+    """As first_json, over a column; null where there is none, or (required) the job fails."""
 
     @F.pandas_udf("string")
     def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: first_json(t, marker))
+        return texts.map(lambda t: first_json(t, marker, kind))
 
-    return find(text)
+    found = find(text)
+    return F.coalesce(found, F.raise_error(F.lit(f"no JSON {kind} in a reply")).cast("string")) if required else found
 
 
 def canonical_hash(document: Column) -> Column:
-    """SHA-256 of JSON text with sorted keys and no spaces; null for what is no JSON."""
+    """SHA-256 of JSON text with sorted keys, no spaces and \\u escapes for what is not ASCII; null for what is no JSON."""
 
     @F.pandas_udf("string")
     def canonical(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
             try:
-                return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+                return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"))
             except ValueError:
                 return None
 
@@ -67,17 +77,33 @@ def exact_round(x: Column, places: int) -> Column:
     return rounded(x)
 
 
+def sheet_members(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(sheet, member of the archive), by the workbook's relationships: the order of sheets says nothing about their files."""
+    if "xl/_rels/workbook.xml.rels" not in book.namelist():
+        raise ValueError("a workbook without relationships: sheets can't be told apart")
+    targets: dict[str, str] = {}
+    for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")).iter(f"{PACKAGE}Relationship"):
+        if not r.get("Id") or r.get("Id") in targets:
+            raise ValueError("a relationship without an id of its own")
+        targets[r.get("Id")] = r.get("Target", "") if r.get("Type") == WORKSHEET else ""
+    found: list[tuple[str, str]] = []
+    for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet"):
+        name, target = s.get("name"), targets.get(s.get(f"{RELATION}id") or "")
+        member = posixpath.normpath(target.lstrip("/") if (target or "").startswith("/") else posixpath.join("xl", target or ""))
+        if not name or not target or member not in book.namelist() or any(name == n or member == m for n, m in found):
+            raise ValueError(f"sheet {name!r} has no file of its own")
+        found.append((name, member))
+    return found
+
+
 def workbook_cells(content: bytes) -> list[tuple[str, int, str, str]]:
     """(sheet, row, column letters, text) of a workbook's cells."""
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         shared = ["".join(t.text or "" for t in s.iter(f"{SHEET}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")] if "xl/sharedStrings.xml" in names else []
-        sheets = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet")]
-        for i, sheet in enumerate(sheets, 1):
-            if f"xl/worksheets/sheet{i}.xml" not in names:
-                continue
-            for cell in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{SHEET}c"):
+        for sheet, member in sheet_members(book):
+            for cell in ElementTree.fromstring(book.read(member)).iter(f"{SHEET}c"):
                 value, place = cell.find(f"{SHEET}v"), re.match(r"([A-Z]+)([0-9]+)", cell.get("r", ""))
                 text = "".join(t.text or "" for t in cell.iter(f"{SHEET}t")) if cell.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if cell.get("t") == "s" else value.text
                 if place and text is not None:

@@ -79,29 +79,74 @@ def weekly_timeline(body: DataFrame) -> DataFrame:
 
 
 def basket_timeline(body: DataFrame, queries: list[str]) -> DataFrame:
-    """week_start, query, value: one value for each query of a basket."""
+    """week_start, query, value: one value for each query of a basket. The job fails on a week without a value for each and on a step that is not seven days."""
     parsed = F.from_json("body", "struct<timeline:array<struct<time:bigint,value:array<double>>>>")["timeline"]
-    rows = body.select(F.explode(parsed).alias("t")).select("t.time", F.explode(F.arrays_zip(F.lit(queries).alias("query"), F.col("t.value").alias("value"))).alias("p"))
+    values = "array<double>"
+    times = F.transform(parsed, lambda t: t["time"])
+    steady = F.forall(F.zip_with(F.slice(times, F.lit(1), F.greatest(F.size(times) - 1, F.lit(0))), F.slice(times, F.lit(2), F.greatest(F.size(times) - 1, F.lit(0))), lambda a, b: b - a), lambda gap: gap == 604_800)
+    weeks = body.select(F.explode(F.when(F.size(times) < 2, parsed).when(steady, parsed).otherwise(refused("a weekly timeline has a gap", "array<struct<time:bigint,value:array<double>>>"))).alias("t"))
+    whole = F.when(F.size("t.value") == len(queries), F.col("t.value")).otherwise(refused("a week without a value for each query", values))
+    rows = weeks.select("t.time", F.explode(F.arrays_zip(F.lit(queries).alias("query"), whole.alias("value"))).alias("p"))
     return rows.select(F.timestamp_seconds("time").cast("date").alias("week_start"), "p.query", "p.value")
 
 
+#: The survey table's header and rows, what its shares may miss of 100, days between rows and days since the newest.
+SENTIMENT_HEADER = r"(?s)>\s*Reported Date\s*<.*?>\s*Bullish\s*<.*?>\s*Neutral\s*<.*?>\s*Bearish\s*<"
+SENTIMENT_ROW = r'(?s)<td\s+align="left"\s+class="tableTxt">\s*([A-Za-z]{3,9})\s+(\d{1,2})\s*</td>' + r'\s*<td\s+align="right"\s+class="tableTxt">\s*(\d{1,3}(?:\.\d+)?)%\s*</td>' * 3
+SHARE_TOLERANCE, MOST_GAP_DAYS, MOST_STALE_DAYS = 1.0, 45, 21
+
+
+def refused(message: str, kind: str) -> Column:
+    return F.raise_error(F.lit(message)).cast(kind)
+
+
 def sentiment_rows(page: DataFrame) -> DataFrame:
-    """date, bull, neutral, bear, spread of weekly HTML tables (column body, newest first; dates without a year; column newest, a date).
+    """date, bull, neutral, bear, spread of weekly HTML tables (column body, newest first; dates without a year; column asof, the reply's own date).
 
-    The year falls by one whenever a date does not lie before the one above it: a fold over the rows.
+    The year falls by one whenever a date does not lie before the one above it: a fold over the rows. The job fails on
+    another header, a date that is none, rows that are not 1 to 45 days apart, shares that don't add up to 100, a page
+    without rows and one whose newest row is more than 21 days old.
     """
-    cells = F.regexp_extract_all("body", F.lit(r"<tr>\s*<td>([A-Z][a-z]+ [0-9]{1,2})</td>\s*<td>([0-9.]+)%?</td>\s*<td>([0-9.]+)%?</td>\s*<td>([0-9.]+)%?</td>\s*</tr>"), F.lit(0))
-    part = lambda c, i: F.regexp_extract(c, r"<td>([^<%]*)%?</td>\s*<td>([0-9.]+)%?</td>\s*<td>([0-9.]+)%?</td>\s*<td>([0-9.]+)%?</td>", i)
-    start = F.struct(F.col("newest").alias("last"), F.expr("array_repeat(named_struct('date', cast(null as date), 'bull', 0D, 'neutral', 0D, 'bear', 0D), 0)").alias("rows"))
+    part = lambda c, i: F.regexp_extract(c, SENTIMENT_ROW, i)
+    month = lambda name: F.coalesce(F.nullif(F.array_position(F.lit(list(MONTHS)), name), F.lit(0)), F.nullif(F.array_position(F.lit([m[:3] for m in MONTHS]), F.when(name == "Sept", "Sep").otherwise(name)), F.lit(0)), refused("a row without a month", "bigint")).cast("int")
+    texts = F.when(F.col("body").rlike(SENTIMENT_HEADER), F.regexp_extract_all("body", F.lit(SENTIMENT_ROW), F.lit(0))).otherwise(refused("the table's header is another", "array<string>"))
+    cells = F.transform(texts, lambda c: F.struct(month(part(c, 1)).alias("month"), part(c, 2).cast("int").alias("day"), *[part(c, i).cast("double").alias(n) for i, n in ((3, "bull"), (4, "neutral"), (5, "bear"))]))
+    none = F.expr("array_repeat(named_struct('date', cast(null as date), 'bull', 0D, 'neutral', 0D, 'bear', 0D), 0)")
 
     def step(s: Column, c: Column) -> Column:
-        guess = F.try_to_timestamp(F.concat(part(c, 1), F.lit(" "), F.year(s["last"])), F.lit("MMMM d yyyy")).cast("date")
-        date = F.when((guess < s["last"]) | (F.size(s["rows"]) == 0) & (guess <= s["last"]), guess).otherwise(F.add_months(guess, -12))
-        return F.struct(date.alias("last"), F.concat(s["rows"], F.array(F.struct(date.alias("date"), *[part(c, i).cast("double").alias(n) for i, n in ((2, "bull"), (3, "neutral"), (4, "bear"))]))).alias("rows"))
-
-    rows = page.select(F.explode(F.aggregate(cells, start, step)["rows"]).alias("r")).select("r.*")
+        first, year = s["last"].isNull(), F.year(F.coalesce(s["last"], F.col("asof")))
+        guess = F.make_date(year, c["month"], c["day"])
+        date = F.when(F.when(first, guess > F.col("asof")).otherwise(guess >= s["last"]), F.make_date(year - 1, c["month"], c["day"])).otherwise(guess)
+        gap = F.datediff(s["last"], date)
+        date = F.when(date.isNull(), refused("a date that is none", "date")).when(first | gap.between(1, MOST_GAP_DAYS), date).otherwise(refused("rows are no weekly sequence", "date"))
+        return F.struct(date.alias("last"), F.concat(s["rows"], F.array(F.struct(date.alias("date"), *[c[n].alias(n) for n in ("bull", "neutral", "bear")]))).alias("rows"))
+
+    folded = page.withColumn("_rows", F.aggregate(cells, F.struct(F.lit(None).cast("date").alias("last"), none.alias("rows")), step)["rows"])
+    newest = F.get(F.col("_rows"), F.lit(0))["date"]
+    kind = folded.schema["_rows"].dataType.simpleString()
+    fine = F.when(F.size("_rows") == 0, refused("a page without rows", kind)).when(F.datediff(F.col("asof"), newest) > MOST_STALE_DAYS, refused("a stale page", kind)).otherwise(F.col("_rows"))
+    rows = folded.select(F.explode(fine).alias("r")).select("r.*")
     total = F.col("bull") + F.col("neutral") + F.col("bear")
-    return rows.select("date", *[F.when(F.abs(total - 100) <= 1.5, F.col(c)).otherwise(F.raise_error(F.lit("shares don't add up to 100")).cast("double")).alias(c) for c in ("bull", "neutral", "bear")], (F.col("bull") - F.col("bear")).alias("spread"))
+    share = lambda c: F.when(F.abs(total - 100) <= SHARE_TOLERANCE, F.col(c)).otherwise(refused("shares don't add up to 100", "double")).alias(c)
+    return rows.select("date", *[share(c) for c in ("bull", "neutral", "bear")], F.round(F.col("bull") - F.col("bear"), 2).alias("spread"))
+
+
+def top_articles(days: DataFrame) -> DataFrame:
+    """day, title, views of daily lists (columns day, a date; body, JSON with items of articles).
+
+    The job fails on a list without items or articles, on one of another day than was asked for, and on a title that a
+    day lists twice. Articles without a title or views are left out.
+    """
+    kind = "array<struct<article:string,views:bigint>>"
+    item = F.get(F.from_json("body", f"struct<items:array<struct<year:string,month:string,day:string,articles:{kind}>>>")["items"], F.lit(0))
+    own = F.concat_ws("-", F.coalesce(item["year"], F.lit("")), F.lpad(F.coalesce(item["month"], F.lit("")), 2, "0"), F.lpad(F.coalesce(item["day"], F.lit("")), 2, "0"))
+    held = F.filter(item["articles"], lambda a: a["article"].isNotNull() & (a["article"] != "") & a["views"].isNotNull())
+    titles = F.transform(held, lambda a: a["article"])
+    fine = (
+        F.when(item.isNull(), refused("a day without items", kind)).when(own != F.col("day").cast("string"), refused("a list of another day", kind))
+        .when(F.size(F.array_distinct(titles)) != F.size(titles), refused("a day lists a title twice", kind)).when(F.coalesce(F.size(held), F.lit(0)) < 1, refused("a day without articles", kind)).otherwise(held)
+    )
+    return days.select("day", F.explode(fine).alias("a")).select("day", F.col("a.article").alias("title"), "a.views")
 
 
 def tracker_points(snapshots: DataFrame) -> DataFrame:

@@ -1,26 +1,28 @@
-"""The refresh as streams: first prints, complete weeks, answers before a deadline, and a state machine per key."""
+"""The refresh as streams: first prints, complete weeks, answers before a deadline, and the state of each source.
 
-from __future__ import annotations
+Everything is a windowed or keyed aggregation that Spark plans; no Python runs per row.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Where a Monday week starts, counted from the epoch (a Thursday).
-MONDAY = "4 days"
+from augur.operators.rules import source_state
+
+#: Where a Monday week and a Sunday week start, counted from the epoch (a Thursday).
+MONDAY, SUNDAY = "4 days", "3 days"
 
 
-def weekly_totals(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Sums of complete weeks, Monday to Sunday, closed by the watermark; a week counts if it saw all seven days."""
-    weeks = events.withWatermark("ts", late).groupBy(F.window("ts", "7 days", startTime=MONDAY), "event_type")
+def weekly_totals(events: DataFrame, late: str = "2 days", starts: str = MONDAY) -> DataFrame:
+    """Sums of complete weeks, Monday to Sunday (starts=SUNDAY: Sunday to Saturday), closed by the watermark; a week counts if it saw all seven days."""
+    weeks = events.withWatermark("ts", late).groupBy(F.window("ts", "7 days", startTime=starts), "event_type")
     days = F.size(F.collect_set(F.to_date("ts")))
     return weeks.agg(F.sum("value").alias("total"), days.alias("days")).where("days = 7").select(F.col("window.start").cast("date").alias("week_start"), "event_type", "total")
 
 
 def trailing(events: DataFrame, span: str = "21 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Means over sliding windows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", span, step), "event_type").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
@@ -33,40 +35,29 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def last_before_lock(answers: DataFrame) -> DataFrame:
-    """entrant, round_id, version, received_at: updates of the last version received before the lock. answers: entrant, round_id, version, received_at, lock_at."""
-
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        before = best
-        for f in frames:
-            for r in f[f["received_at"] < f["lock_at"]].itertuples():
-                at = r.received_at.value // 1000
-                if best is None or (at, r.version) > (best[1], best[0]):
-                    best = (r.version, at)
-        if best is not None and best != before:
-            state.update(best)
-            yield pd.DataFrame([(*key, best[0], pd.Timestamp(best[1], unit="us"))], columns=["entrant", "round_id", "version", "received_at"])
-
-    return answers.groupBy("entrant", "round_id").applyInPandasWithState(keep, "entrant string, round_id string, version int, received_at timestamp", "version int, at long", "update", GroupStateTimeout.NoTimeout)
+def last_before_lock(answers: DataFrame, late: str = "7 days") -> DataFrame:
+    """entrant, round_id, lock_at, version, received_at: updates of the last version received before the lock; late ones don't count.
 
+    answers: entrant, round_id, version, received_at, lock_at. The watermark runs on the locks, so the state of a round
+    goes when it can take no more answers.
+    """
+    held = answers.where("received_at < lock_at").withWatermark("lock_at", late)
+    return held.groupBy("entrant", "round_id", "lock_at").agg(F.max_by(F.struct("version", "received_at"), F.struct("received_at", "version")).alias("_r")).select("entrant", "round_id", "lock_at", "_r.*")
 
-#: States of a run, and what an outcome makes of them.
-MOVES = {("ok", "success"): "ok", ("ok", "failure"): "retrying", ("retrying", "success"): "recovered", ("retrying", "failure"): "at_risk", ("recovered", "success"): "ok", ("recovered", "failure"): "retrying", ("at_risk", "success"): "recovered", ("at_risk", "failure"): "at_risk"}
 
+def late_answers(answers: DataFrame) -> DataFrame:
+    """The answers that last_before_lock refuses, for a side output."""
+    return answers.where("received_at >= lock_at")
 
-def run_states(outcomes: DataFrame) -> DataFrame:
-    """key, state, runs: the state of each key after every batch. outcomes: key, ts, outcome (success or failure)."""
 
-    def move(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, runs = state.get if state.exists else ("ok", 0)
-        for f in frames:
-            for outcome in f.sort_values("ts")["outcome"]:
-                now, runs = MOVES.get((now, outcome), now), runs + 1
-        state.update((now, runs))
-        yield pd.DataFrame([(*key, now, runs)], columns=["key", "state", "runs"])
+def source_states(attempts: DataFrame) -> DataFrame:
+    """source, attempts, state, at: updates of each source's state by its newest attempt. One row of state for each source.
 
-    return outcomes.groupBy("key").applyInPandasWithState(move, "key string, state string, runs long", "state string, runs long", "update", GroupStateTimeout.NoTimeout)
+    attempts: source, ts, ok, stale, error, deadline (see rules.source_state).
+    """
+    state = source_state(F.col("ok"), F.col("stale"), F.col("error"), F.col("ts"), F.col("deadline"))
+    newest = F.max_by(F.struct(state.alias("state"), F.col("ts").alias("at")), F.struct("ts", "attempt"))
+    return attempts.groupBy("source").agg(F.count("*").alias("attempts"), newest.alias("_r")).select("source", "attempts", "_r.*")
 
 
 def write_resolved(df: DataFrame, path: str, key: list[str], checkpoint: str):  # noqa: ANN201

@@ -165,7 +165,11 @@ def test_resolution(spark):
     obs = series(spark, [1, 2, 3, 4, 5], "x")
     rounds = spark.createDataFrame([("r", "x", day(2), day(3)), ("late", "x", day(9), day(9))], "round_id string, series string, freeze_date date, release_date date")
     assert [tuple(r) for r in resolution.frozen_value(obs, rounds).where("round_id = 'r'").collect()] == [("r", day(1), 2.0)]
-    assert [tuple(r) for r in resolution.first_release(obs, rounds).collect()] == [("r", day(3), 4.0)]
+    months = spark.createDataFrame([("u", dt.date(2026, 7, 1), 42.8), ("u", dt.date(2026, 8, 1), 40.2), ("u", dt.date(2026, 9, 1), 35.2), ("f", dt.date(2026, 8, 1), 40.2), ("c", dt.date(2026, 9, 11), 1.0), ("c", dt.date(2026, 9, 18), 2.0), ("n", dt.date(2026, 8, 1), 1.0)], "series string, date date, value double")
+    due = spark.createDataFrame([(s, s, dt.date(2026, 9, 16), s == "c") for s in "ufcn"], "round_id string, series string, lock_day date, daily boolean")
+    frozen = spark.createDataFrame([("u", dt.date(2026, 7, 1), 42.8), ("u", dt.date(2026, 8, 1), 39.1), ("f", dt.date(2026, 8, 1), 39.1), ("c", dt.date(2026, 9, 4), 0.5), ("n", dt.date(2026, 8, 1), 1.0)], "round_id string, date date, value double")
+    # a new period goes before a revision, a revision counts where there is none, and a daily source needs a reading from the lock on
+    assert sorted(map(tuple, resolution.first_release(months, due, frozen).collect())) == [("c", dt.date(2026, 9, 18), 2.0), ("f", dt.date(2026, 8, 1), 40.2), ("u", dt.date(2026, 9, 1), 35.2)]
     assert resolution.cell_outcomes(obs, rounds).count() == 1
     claims = spark.createDataFrame([("a", "x", day(3), 2), ("b", "x", day(3), 1), ("c", "y", day(3), 3)], "round_id string, series string, observed_date date, season_order int")
     prior = spark.createDataFrame([("x", day(3), True), ("y", day(3), False)], "series string, observed_date date, voided boolean")
@@ -193,12 +197,16 @@ def test_rules(spark):
 
 
 def test_text(spark):
-    t = spark.createDataFrame([("  foo  bar_",), ("Éa b",)], "t string").select(T.canonical_title(F.col("t"))).collect()
-    assert [r[0] for r in t] == ["Foo_bar", "Éa_b"]
-    m = spark.range(1).select(T.strip_markup(F.lit("[[A|The ''A'']] met [[B]] {{cite|x}} <ref>z</ref> [https://x.org here]"))).first()[0]
-    assert m == "The A met B here"
+    t = spark.createDataFrame([("  foo  bar_",), ("Éa b",), ("donald TRUMP",), ("_ _",), ("x" * 256,), ("x" * 257,), (None,)], "t string").select(T.canonical_title(F.col("t")), T.title_problem(F.col("t"))).collect()
+    assert [tuple(r) for r in t] == [("Foo_bar", None), ("Éa_b", None), ("Donald_TRUMP", None), (None, "empty"), ("X" + "x" * 255, None), (None, "too long"), (None, "missing")]
+    with pytest.raises(ValueError, match="unknown exclusion rule"):
+        T.excluded(F.lit("x"), "other")
+    m = spark.range(1).select(T.strip_markup(F.lit("[[A|The ''A'']] met [[B]] {{cite|x}} <ref>z</ref> [https://x.org here] {{ill|Name|ar|x}} <b>b</b> [https://y.org]"))).first()[0]
+    assert m == "The A met B (here) Name b"
     assert spark.range(1).select(T.strip_junk(F.lit(")]}',\n{\"a\":1}"))).first()[0] == '{"a":1}'
-    assert spark.range(1).select(F.struct(T.error_class(F.lit("HTTP 503")), T.error_class(F.lit("Read timed out")), T.terminal(F.lit("status: 401")))).first()[0] == ("provider_error", "timeout", True)
+    said = [("HTTP 503 oh", "provider HTTP 503", False), ("Read timed  out", "provider timeout", False), ("HTTP 404", "provider HTTP 404", True), ("HTTP 429: insufficient_quota", "provider HTTP 429", True), ("status: 401", "provider call failed", False), ("no OPEN_KEY in the environment", "provider credential not configured", True), ("page structure changed", "provider call failed", False), (None, "provider call failed", False)]
+    e = spark.createDataFrame([(i, m) for i, (m, _, _) in enumerate(said)], "i int, m string").orderBy("i").select(T.public_error(F.col("m")), T.terminal(F.col("m")), T.terminal(F.col("m"), source=True)).collect()
+    assert [(r[0], r[1]) for r in e] == [x[1:] for x in said] and e[6][2]
 
 
 def test_readers(spark, tmp_path):
@@ -209,9 +217,29 @@ def test_readers(spark, tmp_path):
     assert [(r["value"], r["partial"]) for r in t.orderBy("week_start").collect()] == [(5.0, False), (6.0, True)]
     with pytest.raises(Exception, match="gap"):
         readers.weekly_timeline(spark.createDataFrame([("q", body.replace("1767830400", "1767830401"))], "query string, body string")).collect()
-    page = "<tr><td>January 7</td><td>40.0%</td><td>30.0%</td><td>30.0%</td></tr><tr><td>December 31</td><td>35.0%</td><td>30.0%</td><td>35.0%</td></tr>"
-    s = readers.sentiment_rows(spark.createDataFrame([(page, dt.date(2026, 1, 8))], "body string, newest date")).orderBy("date").collect()
-    assert [(r["date"], r["spread"]) for r in s] == [(dt.date(2025, 12, 31), 0.0), (dt.date(2026, 1, 7), 10.0)]
+    head = "<th>Reported Date</th><th> Bullish </th><th>Neutral</th><th>Bearish</th>"
+    line = lambda day, *shares: f'<tr><td align="left" class="tableTxt"> {day} </td>' + "".join(f'<td align="right" class="tableTxt">{x}%</td>' for x in shares) + "</tr>"
+    read = lambda body, asof=dt.date(2026, 1, 8): [(r["date"], r["spread"]) for r in readers.sentiment_rows(spark.createDataFrame([(body, asof)], "body string, asof date")).orderBy("date").collect()]
+    good = head + line("January 7", "40.0", "30.0", "30.0") + line("Dec 31", "34.7", "27.4", "37.9") + line("December 17", "35", "30.0", "35.0")
+    assert read(good) == [(dt.date(2025, 12, 17), 0.0), (dt.date(2025, 12, 31), -3.2), (dt.date(2026, 1, 7), 10.0)]
+    for body, asof, problem in (
+        (good.replace("Neutral", "x"), dt.date(2026, 1, 8), "header"), (good.replace("40.0", "50.0"), dt.date(2026, 1, 8), "add up"), (head, dt.date(2026, 1, 8), "without rows"), (good, dt.date(2026, 2, 8), "stale"),
+        (good.replace("Dec 31", "January 7"), dt.date(2026, 1, 8), "weekly sequence"), (good.replace("Dec 31", "Foo 31"), dt.date(2026, 1, 8), "month"), (good.replace("Dec 31", "Feb 30"), dt.date(2026, 1, 8), "(?i)date"),
+    ):
+        with pytest.raises(Exception, match=problem):
+            read(body, asof)
+    top = lambda body, d=dt.date(2026, 1, 2): sorted(map(tuple, readers.top_articles(spark.createDataFrame([(d, body)], "day date, body string")).collect()))
+    listed = '{"items":[{"year":"2026","month":"01","day":"02","articles":[{"article":"A","views":5},{"article":"B","views":7},{"article":"","views":1}]}]}'
+    assert top(listed) == [(dt.date(2026, 1, 2), "A", 5), (dt.date(2026, 1, 2), "B", 7)]
+    for body, problem in (('{"items":[]}', "without items"), (listed.replace('"02"', '"03"'), "another day"), (listed.replace('"B"', '"A"'), "twice"), (listed.replace('"A"', '""').replace('"B"', '""'), "without articles")):
+        with pytest.raises(Exception, match=problem):
+            top(body)
+    week = '{"timeline":[{"time":1767225600,"value":[5,1]},{"time":1767830400,"value":[6,2]}]}'
+    basket = lambda body: readers.basket_timeline(spark.createDataFrame([(body,)], "body string"), ["p", "q"])
+    assert basket(week).count() == 4
+    for body, problem in ((week.replace("1767830400", "1767830401"), "gap"), (week.replace("[6,2]", "[6]"), "each query")):
+        with pytest.raises(Exception, match=problem):
+            basket(body).collect()
     wiki = "'''Sport'''\n* Parent\n** [[A|leaf]] one\n** leaf two\n* ''leaf'' three\n** leaf two\n"
     b = readers.bullets(spark.createDataFrame([(day(0), wiki)], "day date, body string")).orderBy("place").collect()
     assert [(r["category"], r["item"]) for r in b] == [("Sport", "leaf one"), ("Sport", "leaf two")]
@@ -227,13 +255,22 @@ def test_documents(spark, tmp_path):
     assert documents.first_json('so {x} then {"a": "}"} end') == '{"a": "}"}' and documents.first_json("none") is None and documents.first_json(None) is None
     import zipfile
 
-    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
-        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="One"/></sheets></workbook>')
+    ns, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:  # the first sheet's file is the second
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="One" r:id="rId7"/><sheet name="Two" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="{i}" Type="{rel}/worksheet" Target="{t}"/>' for i, t in (("rId2", "worksheets/sheet1.xml"), ("rId7", "/xl/worksheets/sheet2.xml"))) + "</Relationships>")
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Month</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="B1" t="s"><v>0</v></c></row><row><c r="B2"><v>7.5</v></c></row></sheetData></worksheet>')
+        for i, value in ((1, "1.5"), (2, "7.5")):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet {ns}><sheetData><row><c r="B1" t="s"><v>0</v></c></row><row><c r="B2"><v>{value}</v></c></row></sheetData></worksheet>')
     cells = documents.workbooks(spark, str(tmp_path))
-    assert [(r["header"], r["text"]) for r in documents.by_header(cells, 1).collect()] == [("Month", "7.5")]
+    assert sorted((r["sheet"], r["header"], r["text"]) for r in documents.by_header(cells, 1).collect()) == [("One", "Month", "7.5"), ("Two", "Month", "1.5")]
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="One"/></sheets></workbook>')
+    with pytest.raises(ValueError, match="relationships"):
+        documents.workbook_cells((tmp_path / "c.xlsx").read_bytes())
+    assert documents.first_json('[1] {"a": 1}') == '{"a": 1}' and documents.first_json('{"a": [2]}', kind="array") == "[2]"
+    with pytest.raises(Exception, match="no JSON object"):
+        spark.range(1).select(documents.embedded_json(F.lit("[1]"), required=True)).collect()
 
 
 def test_sinks(spark, tmp_path):

@@ -15,28 +15,31 @@ def events(spark):
     return spark.read.parquet(f"{DATA}/events.parquet")
 
 
-def test_weekly_totals_are_the_complete_weeks_that_the_watermark_closed(spark):
+def test_everything_that_was_open_is_closed(spark):
     batch = {(r["week_end"] - dt.timedelta(6), r["event_type"]): r["total"] for r in registry.QUERIES["complete_weeks"](spark, DATA).collect()}
     found = {(r["week_start"], r["event_type"]): r["total"] for r in registry.QUERIES["stream_weekly_totals"](spark, DATA).collect()}
-    assert found and all(abs(batch[k] - v) < 0.01 for k, v in found.items())
+    assert found.keys() == batch.keys() and all(abs(batch[k] - v) < 0.01 for k, v in found.items())
+    sessions = registry.QUERIES["stream_sessions"](spark, DATA).collect()
+    assert sum(r["n"] for r in sessions) == events(spark).count()
 
 
-def test_last_before_lock(spark):
-    batch = {(r["entrant"], r["round_id"]): r["version"] for r in registry.QUERIES["last_before_lock"](spark, DATA).collect()}
-    assert {(r["entrant"], r["round_id"]): r["version"] for r in registry.QUERIES["stream_last_before_lock"](spark, DATA).collect()} == batch
+def test_late_answers_go_to_the_side(spark):
+    answers = events(spark).select(F.col("ts").alias("received_at"), F.lit("2024-01-20").cast("timestamp_ntz").alias("lock_at"))
+    assert 0 < live.late_answers(answers).count() == answers.where("received_at >= lock_at").count() < answers.count()
 
 
-def test_run_states(spark):
-    states = {}
-    for r in events(spark).orderBy("ts").collect():
-        now, n = states.get(str(r["user_id"]), ("ok", 0))
-        states[str(r["user_id"])] = live.MOVES[now, "failure" if r["event_type"] == "error" else "success"], n + 1
-    found = {r["key"]: (r["state"], r["runs"]) for r in registry.QUERIES["stream_run_states"](spark, DATA).collect()}
-    assert found == states
+def test_source_states(spark):
+    from augur.operators.rules import source_state
 
-
-def test_first_arrivals(spark):
-    assert registry.QUERIES["stream_first_arrivals"](spark, DATA).count() == events(spark).select("user_id", "event_type").distinct().count()
+    at, deadline = "2026-09-16 10:00:00", "2026-09-16 20:00:00"
+    cases = [
+        (True, False, None, at, deadline, "healthy"), (True, True, None, at, deadline, "stale"), (False, False, "timed out", at, deadline, "retryable_failure"), (False, False, "timed out", "2026-09-16 14:00:00", deadline, "deadline_risk"),
+        (False, False, "timed out", at, None, "retryable_failure"), (False, False, "HTTP 404", "2026-09-16 14:00:00", deadline, "unresolvable"), (False, False, "failed to parse", at, deadline, "unresolvable"), (False, False, "a frozen page", at, deadline, "stale"),
+        (False, False, "newest row is old; HTTP 403", "2026-09-16 14:00:00", deadline, "deadline_risk"),
+    ]
+    frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, ok boolean, stale boolean, error string, at string, deadline string, want string")
+    state = source_state(F.col("ok"), F.col("stale"), F.col("error"), F.col("at").cast("timestamp"), F.col("deadline").cast("timestamp"))
+    assert all(r["want"] == r["got"] for r in frame.select("want", state.alias("got")).collect())
 
 
 def test_asof_stretches_agree(spark):

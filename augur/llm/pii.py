@@ -1,15 +1,21 @@
 """PII (3): weak-supervision aggregation, with DataFrame operations only.
 
-Candidate spans come from one pattern for each kind, the base patterns and looser ones (written-out addresses, numbers
-without a plus, secrets). Five labelers vote on each candidate (1 for, -1 against, 0 abstains): validity of the base
-form, a gazetteer, context words before it, its boundaries, and its shape. Counts of the vote patterns, at most 3**5
-for each kind, go to the driver, where expectation-maximisation estimates each labeler's reliability without labels.
-The posteriors train the final span classifier, a logistic model over the votes, and that decides on every looser
-candidate. Base spans always stay; matches of a base pattern that fail its checks (a number that is no card) only teach
-what is false, and are never added.
-
-Places are code points. A null text counts as empty and has no spans; a table without candidates trains nothing.
-Rows are independent: repeated rows, null doc_ids and extra columns pass through.
+Candidate spans come from one pattern for each kind, the base patterns and looser ones (addresses and numbers written
+out or with other separators, long IP addresses, numbers without a plus, secrets of any length). Five labelers vote on
+each candidate (1 for, -1 against, 0 abstains): validity of the base form, gazetteers, context words in the CONTEXT
+characters before it, its boundaries, and its shape. Counts of the patterns of votes and features go to the driver, at
+most 3**5 * 2**10 for each kind and some dozens in practice. There expectation-maximisation estimates each labeler's
+reliability without labels.
+
+The final span classifier doesn't see the votes: it is a logistic model over ten features of the span and its
+surroundings (FEATURES), trained on the posteriors that EM gives each candidate, and it decides on every looser
+candidate. So what labelers agree on where they vote reaches spans on which they abstain. Base spans always stay;
+matches of a base pattern that fail its checks (a number that is no card) only teach what is false, and are never added.
+
+Places are code points. A null text counts as empty and has no spans; a table without candidates trains nothing; a text
+may have any number of candidates. Rows are independent: repeated rows, null doc_ids and extra columns pass through,
+but for columns named like the results (_base, _spans), which give way. Of looser candidates that overlap base spans of
+their kind none is added; overlapping spans of different kinds all stay.
 """
 
 from __future__ import annotations
@@ -33,36 +39,39 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: Candidates beyond the base.
+#: Candidates beyond the base, of any length.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,64}|\.[A-Za-z0-9-]{1,64}){1,6}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++|\x20(?:at|AT)\x20[A-Za-z0-9-]++(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]++)++)",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\x20dot\x20)[0-9]{1,3}){3}(?![0-9]))",
+    "card": r"(?<![0-9./_])[0-9]{4}(?:(?:[./_]|\x20{2,3}|\x20-\x20)[0-9]{4}){3}(?![0-9]|[./_][0-9])",
     "phone": r"(?<![0-9A-Za-z+.(-])(?<![0-9][\x20.-])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,64}|[A-Za-z0-9_-]{32,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9][A-Za-z0-9_-]{31,}+",
 }
 
 #: A quick test that a text can hold a kind at all.
-HINT = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": "[0-9]", "card": "[0-9]{1}", "phone": "[0-9]", "secret": "[A-Za-z0-9_-]{32}"}
-
-#: Gazetteers (for a candidate's value), and context words before it, for and against.
-GAZETTEER = {
-    "email": r"(?i)[.)\]](com|org|net|edu|gov|info|io|fr|de|es|uk|eu|example)$",
-    "ip": r"^(?!0+\.)(?!127\.)(?!255\.)[0-9.]+$",
-    "card": r"^(4|5[1-5]|3[47]|6011|65|35|2[2-7])",
-    "phone": r"^[\x20(]*\+?\(?(1|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58]|0)",
-    "secret": r"^(?=.*[0-9])(?=.*[A-Za-z]).*$",
-}
+HINT = {"email": r"@|[\[(\x20](?:at|AT)[\])\x20]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]", "secret": "[A-Za-z0-9_-]{32}"}
+
+#: Gazetteers. Endings of domains, the first digits of card numbers, calling codes, networks that name nobody.
+DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "io", "biz", "name", "example", "at", "au", "be", "br", "ca", "ch", "cn", "cz", "de", "dk", "es", "eu", "fi", "fr", "gr", "ie", "in", "it", "jp", "kr", "mx", "nl", "no", "nz", "pl", "pt", "ru", "se", "uk", "us")
+ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "6011", "65", "35", "30", "36", "38", "50", "56", "57", "58", "62")
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "212", "213", "216", "351", "352", "353", "354", "358", "359", "370", "371", "372", "380", "420", "421", "852", "886", "966", "971", "972")
+NOBODY = ("0", "127", "255")
+
+#: Context words before a candidate, for and against.
 FOR = {
-    "email": r"(?i)(e-?mail|contact|write|reach|courriel|correo)\W*$", "ip": r"(?i)(ip|host|server|address|login)\W*\w*\W*$", "card": r"(?i)(card|visa|carte|karte|tarjeta|payment)\W*\w*\W*$",
-    "phone": r"(?i)(tel|phone|call|mobile|fax|ruf|llam)\w*\W*$", "secret": r"(?i)(token|secret|key|password|passwd|api)\W*$",
+    "email": r"(?i)\b(e-?mail|contact|write|reach|courriel|correo|mailto)", "ip": r"(?i)\b(ip|host|server|address|login|client)", "card": r"(?i)\b(card|visa|carte|karte|tarjeta|payment)", "phone": r"(?i)\b(tel|phone|call|mobile|fax|ruf|llam)", "secret": r"(?i)\b(token|secret|key|password|passwd|api|bearer)",
 }
 AGAINST = {
-    "email": r"(?i)(package|version)\W*$", "ip": r"(?i)(version|release|v|section|chapter)\W*$", "card": r"(?i)(isbn|order|invoice|token|sha|id)\W*$", "phone": r"(?i)(isbn|order|version|page)\W*$", "secret": r"(?i)(commit|sha|md5|hash|checksum)\W*$",
+    "email": r"(?i)\b(package|version)", "ip": r"(?i)\b(version|release|v|section|chapter)\W*$", "card": r"(?i)\b(isbn|order|invoice|sha|id)\b", "phone": r"(?i)\b(isbn|order|version|page)\b", "secret": r"(?i)\b(commit|sha|md5|hash|checksum|revision)",
 }
 SHAPE = {
-    "email": r"^\S{6,80}$", "ip": r"^[1-9][0-9]{0,2}\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})$", "card": r"^([0-9]{13,19}|([0-9]{4}[\x20-]){3}[0-9]{1,7})$",
-    "phone": r"^[\x20(]?\+?[0-9(][0-9().\x20-]{7,20}[0-9]$", "secret": r"^([a-f0-9]{32,64}|[A-F0-9]{32,64})$",
+    "email": r"^\S{6,}$", "ip": r"^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^[1-9][0-9]{0,2}\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})$", "card": r"^([0-9]{13,19}|([0-9]{4}[\x20./_-]){3}[0-9]{1,7})$",
+    "phone": r"^[\x20(]?\+?[0-9(][0-9().\x20-]{7,20}[0-9]$", "secret": r"^([a-f0-9]{32,}|[A-F0-9]{32,})$",
 }
-VOTES, ROUNDS, BLOCK, CONTEXT, THRESHOLD = 5, 50, 256, 40, 0.5
+VOTES, ROUNDS, BLOCK, CONTEXT, THRESHOLD = 5, 50, 256, 60, 0.5
+
+#: What the span classifier sees of a candidate.
+FEATURES = ("long", "half_digits", "letters", "separators", "plus_or_bracket", "opened", "closed", "told_for", "told_against", "mixed")
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -110,17 +119,44 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def listed(kind: str, value: Column) -> Column:
+    """Whether a gazetteer knows the value."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    starts = lambda known: F.substring(digits, 1, 1).isin(*known) | F.substring(digits, 1, 2).isin(*known) | F.substring(digits, 1, 3).isin(*known) | F.substring(digits, 1, 4).isin(*known)
+    if kind == "email":
+        return F.lower(F.regexp_extract(value, "([A-Za-z]+)$", 1)).isin(*DOMAINS)
+    if kind == "ip":
+        return ~F.regexp_extract(value, "^([0-9]+)", 1).isin(*NOBODY)
+    if kind == "card":
+        return starts(ISSUERS)
+    if kind == "phone":
+        return F.when(F.startswith(value, F.lit("+")), starts(CALLING)).otherwise(F.regexp_like(value, F.lit(r"^\(?0|^\([2-9]|^[2-9]")))
+    return F.regexp_like(value, F.lit("^(?=.*[0-9])(?=.*[A-Za-z])"))
+
+
 def candidate(kind: str, x: Column, base: bool) -> Column:
-    """A candidate with its votes."""
+    """A candidate with its votes (v0 to v4) and its features, as bits of f."""
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-    good = valid(kind, x["value"]) if base else F.lit(False)
+    value, before, after = x["value"], x["before"], x["after"]
+    good = valid(kind, value) if base else F.lit(False)
     inside = F.lit(r"[\p{L}\p{N}]")
-    whole = ~F.regexp_like(F.substring(x["before"], -1, 1), inside) & ~F.regexp_like(F.substring(x["after"], 1, 1), inside)
-    votes = [
-        vote(good, F.lit(base)), vote(F.regexp_like(x["value"], F.lit(GAZETTEER[kind])), F.lit(True)), vote(F.regexp_like(x["before"], F.lit(FOR[kind])), F.regexp_like(x["before"], F.lit(AGAINST[kind]))),
-        vote(whole, ~whole), vote(F.regexp_like(x["value"], F.lit(SHAPE[kind])), F.lit(True)),
+    whole = ~F.regexp_like(F.substring(before, -1, 1), inside) & ~F.regexp_like(F.substring(after, 1, 1), inside)
+    told, denied = F.regexp_like(before, F.lit(FOR[kind])), F.regexp_like(before, F.lit(AGAINST[kind]))
+    fits = F.regexp_like(value, F.lit(SHAPE[kind]))
+    if kind in ("ip", "card") and not base:  # what the base's checks say of the digits alone
+        plain = F.regexp_replace(value, r"[\[\](). /_-]|dot", "." if kind == "ip" else "")
+        checked = valid(kind, F.regexp_replace(plain, r"\.+", ".")) if kind == "card" else F.lit(True)
+        votes0 = vote(checked, ~checked)
+    else:
+        votes0 = vote(good, F.lit(base))
+    votes = [votes0, vote(listed(kind, value), F.lit(True)), vote(told & ~denied, denied), vote(whole, ~whole), vote(fits, F.lit(True))]
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    features = [
+        F.length(value) > 20, 2 * digits >= F.length(value), F.regexp_like(value, F.lit(r"\p{L}")), F.regexp_like(value, F.lit(r"[\x20().-]")), F.regexp_like(value, F.lit(r"^[+(]")),
+        F.regexp_like(before, F.lit(r"(^|[\"'=:|<(\n])\x20*$")), F.regexp_like(after, F.lit(r"^([\"'|>).,;\n]|$)")), told, denied, (digits > 0) & F.regexp_like(value, F.lit("[a-z]")) & F.regexp_like(value, F.lit("[A-Z]")),
     ]
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), good.alias("base"), F.lit(not base).alias("loose"), *[v.alias(f"v{i}") for i, v in enumerate(votes)])
+    bits = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(features)), F.lit(0))
+    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), good.alias("base"), F.lit(not base).alias("loose"), *[v.alias(f"v{i}") for i, v in enumerate(votes)], bits.alias("f"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -128,7 +164,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     text = F.coalesce("text", F.lit(""))
     staged = docs.select(*others, *[F.when(text.rlike(HINT[k]), found(text, p)).alias(f"_{b}_{k}") for b, by in (("base", BASE), ("loose", LOOSE)) for k, p in by.items()])
-    none = F.expr("array_repeat(named_struct('kind', 0, 'start', 0, 'end', 0, 'base', true, 'loose', true, 'v0', 0, 'v1', 0, 'v2', 0, 'v3', 0, 'v4', 0), 0)")
+    none = F.expr("array_repeat(named_struct('kind', 0, 'start', 0, 'end', 0, 'base', true, 'loose', true, 'v0', 0, 'v1', 0, 'v2', 0, 'v3', 0, 'v4', 0, 'f', 0), 0)")
     voted = lambda kind, base: lambda x: candidate(kind, x, base)
     parts = [F.coalesce(F.transform(f"_{b}_{k}", voted(k, b == "base")), none) for b, by in (("base", BASE), ("loose", LOOSE)) for k in by]
     return staged.select(*others, F.concat(*parts).alias("_candidates"))
@@ -159,30 +195,47 @@ def posterior(votes: tuple[int, ...], share: float, table_: list[dict[int, tuple
     return sigmoid(odds)
 
 
-def classifier(counts: dict[tuple[int, ...], int]) -> list[float]:
-    """Weights of the votes and the intercept of the span classifier, fitted to EM's posteriors over the patterns."""
-    share, table_ = reliabilities(counts)
-    post, total = {v: posterior(v, share, table_) for v in counts}, sum(counts.values())
-    w = [0.0] * (VOTES + 1)
-    for _ in range(400):
-        grad = [0.01 * x for x in w]
-        for v, n in counts.items():
-            error = sigmoid(sum(a * b for a, b in zip(w, (*v, 1), strict=True))) - post[v]
-            for j, x in enumerate((*v, 1)):
-                grad[j] += error * x * n / total
+def classifier(counts: dict[tuple[tuple[int, ...], int], int]) -> list[float]:
+    """Weights of the FEATURES and the intercept of the span classifier. counts: of (votes, features as bits).
+
+    Each pattern of features is trained on the mean of the posteriors that EM gives the votes of its candidates.
+    """
+    votes: dict[tuple[int, ...], int] = {}
+    for (v, _), n in counts.items():
+        votes[v] = votes.get(v, 0) + n
+    share, table_ = reliabilities(votes)
+    rows: dict[int, list[float]] = {}
+    for (v, f), n in counts.items():
+        row = rows.setdefault(f, [0.0, 0.0])
+        row[0] += n
+        row[1] += n * posterior(v, share, table_)
+    total, w = sum(counts.values()), [0.0] * (len(FEATURES) + 1)
+    data = [([f >> i & 1 for i in range(len(FEATURES))] + [1], n / total, p / n) for f, (n, p) in rows.items()]
+    for _ in range(600):
+        grad = [0.003 * x for x in w[:-1]] + [0.0]
+        for x, n, p in data:
+            error = n * (sigmoid(sum(a * b for a, b in zip(w, x, strict=True))) - p)
+            for j, on in enumerate(x):
+                grad[j] += error * on
         w = [a - 1.0 * g for a, g in zip(w, grad, strict=True)]
     return w
 
 
 def train(found_: DataFrame) -> dict[int, list[float]]:
-    """The span classifier of each kind. Reads counts of vote patterns only: at most len(KINDS) * 3**VOTES rows."""
-    rows = found_.select(F.explode("_candidates").alias("c")).groupBy("c.kind", *[f"c.v{i}" for i in range(VOTES)]).agg(F.count("*").alias("n")).collect()
-    kinds: dict[int, dict[tuple[int, ...], int]] = {}
+    """The span classifier of each kind. Reads counts of patterns of votes and features only: their number has a bound, whatever the table's size."""
+    rows = found_.select(F.explode("_candidates").alias("c")).groupBy("c.kind", *[f"c.v{i}" for i in range(VOTES)], "c.f").agg(F.count("*").alias("n")).collect()
+    kinds: dict[int, dict[tuple[tuple[int, ...], int], int]] = {}
     for r in rows:
-        kinds.setdefault(r["kind"], {})[tuple(r[f"v{i}"] for i in range(VOTES))] = r["n"]
+        kinds.setdefault(r["kind"], {})[tuple(r[f"v{i}"] for i in range(VOTES)), r["f"]] = r["n"]
     return {k: classifier(dict(sorted(c.items()))) for k, c in sorted(kinds.items())}
 
 
+def logit_of(candidate: Column, models: dict[int, list[float]]) -> Column:
+    """The classifier's log odds of a candidate; far below zero where nothing was trained."""
+    own = lambda w: sum((F.when(F.shiftright(candidate["f"], i) % 2 == 1, w[i]).otherwise(0.0) for i in range(len(FEATURES))), F.lit(w[-1]))
+    return F.coalesce(*[F.when(candidate["kind"] == k, own(w)) for k, w in models.items()], F.lit(-1e9))
+
+
 def joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
@@ -193,17 +246,16 @@ def private_spans(docs: DataFrame) -> DataFrame:
     """docs (text, any others) without text, with _base and _spans: sorted arrays of (kind, start, end). Base spans are in both."""
     found_ = save(candidates(docs), "candidates")
     models = train(found_)
-    logit = F.lit(-1e9)
-    score = lambda c: F.coalesce(*[F.when(c["kind"] == k, w[-1] + sum((c[f"v{i}"] * w[i] for i in range(VOTES)), F.lit(0.0))) for k, w in models.items()], logit)
     span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     base = F.transform(F.filter("_candidates", lambda c: c["base"]), span)
-    more = F.transform(F.filter("_candidates", lambda c: c["loose"] & (score(c) >= math.log(THRESHOLD / (1 - THRESHOLD)))), span)
+    more = F.transform(F.filter("_candidates", lambda c: c["loose"] & (logit_of(c, models) >= math.log(THRESHOLD / (1 - THRESHOLD)))), span)
     docs = found_.withColumn("_base", F.array_sort(base)).withColumn("_more", more)
     apart = lambda m: ~F.exists("_base", lambda b: (b["kind"] == m["kind"]) & (b["start"] < m["end"]) & (m["start"] < b["end"]))
     return docs.withColumn("_spans", F.array_sort(F.array_distinct(F.concat("_base", F.filter("_more", apart))))).drop("_candidates", "_more")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every whole text the counts and digest of its base spans, and all spans; n_spans counts these. Edge cases as in the module's docstring."""
     docs = private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("_base", lambda b: b["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return docs.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    return docs.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"), F.size("_spans").cast("long").alias("n_spans"))

@@ -9,10 +9,13 @@ After ROUNDS rounds, every window of 13 words in which no word and no two words
 CONTEXT words on either side, that all its occurrences parse alike (a run or pair can be cut off only at the ends: at
 most two words and two symbols are lost at each). These anchors, and the other windows themselves, are counted over
 all documents in Spark: one that only one document has rules its windows out. The windows that hold a shared
-anchor are then compared exactly (by fingerprint of all 13 words) to find the smallest doc_id of each.
+anchor are then compared by a second, independent naming of all 13 words, to find the smallest doc_id of each: 64 bits,
+16 more, and the bucket (22 bits at 100 TB), so that among 1e13 windows a false equality is expected once in some 1e5
+such corpora. Names of anchors (64 bits) only choose candidates: if two collide, windows are compared in vain.
 
 Both countings deal (bucket, packed arrays) rows: a task sends one entry for an anchor or window however many of its
-documents hold it, so huge groups of copies don't meet in one task. Text is shuffled once and reused.
+documents hold it, so huge groups of copies don't meet in one task. Text is shuffled once, as compressed bytes, and
+reused. A doc_id of 2**63 - 1 is taken for a null one: both come after all others.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ WINDOW, ROUNDS, CONTEXT = 13, 2, 2
 #: Bytes of text a part holds and a bucket of anchors or windows stands for; entries and documents that a task packs at once.
 PART_BYTES, BUCKET_BYTES, PACK_ENTRIES, PACK_DOCS = 4 << 20, 20 << 20, 2_000_000, 30_000
 
+#: How texts are compressed while they are shuffled.
+PRESS = "zstd"
+
 #: A null doc_id comes after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -80,6 +86,20 @@ def anchors(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.append(code, whole), np.append(start, odd), np.append(end, odd + WINDOW), np.append(owner, doc[odd])
 
 
+def window_names(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent names of every WINDOW consecutive words; crosses texts, callers drop those."""
+    return shingle_hashes(words, WINDOW, 9), mix(shingle_hashes(mix(words ^ U(0xA5A5)), WINDOW, 10))
+
+
+def named(code: np.ndarray, other: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As words.grouped, by both names."""
+    order = np.lexsort((other, code))
+    code, other = code[order], other[order]
+    new = np.concatenate(([True], (code[1:] != code[:-1]) | (other[1:] != other[:-1])))[: len(code)]
+    first = np.flatnonzero(new)
+    return code, other, *(r[order] for r in rest), first, np.cumsum(new) - 1
+
+
 def coded(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((code >> U(32)) % U(buckets)).astype(np.int32), code.astype(np.uint32)
 
@@ -102,6 +122,14 @@ def wide(place: bytes, n: int) -> np.ndarray:
     return np.frombuffer(place, np.uint16 if len(place) == 2 * n else np.uint32).astype(np.uint32)
 
 
+def plain(own: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tie, length, pressed) with their text, a few at a time; a null text has become an empty one."""
+    press = pa.Codec(PRESS)
+    for b in own.to_batches(max_chunksize=200):
+        texts = [press.decompress(z, n, asbytes=True) if n else b"" for n, z in zip(b.column("length").to_pylist(), b.column("pressed").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(texts, pa.binary())], names=["doc_id", "tie", "text"])
+
+
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(ids.astype(U)) % U(parts)).astype(np.int32)
 
@@ -190,12 +218,12 @@ def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, flags: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """Packed (row, first word) of the windows that a smaller doc_id has too, by part. docs: part, doc_id, tie, text."""
+    """Packed (row, first word) of the windows that a smaller doc_id has too, by part. docs: part, doc_id, tie, length, pressed."""
 
     def pack(own: pa.Table, flagged: pa.Table) -> pa.Table:
         known, ordered = Hashes(), unpacked(flagged)
-        codes, owners, places, ids, ties, held = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for piece, texts in chunks(own.to_batches()) if len(ordered) else ():
+        codes, others, owners, places, ids, ties, held = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for piece, texts in chunks(plain(own)) if len(ordered) else ():
             words, counts = known.of(texts)
             own_ids = ids_of(piece)
             code, start, end, owner = anchors(words, counts)
@@ -209,38 +237,42 @@ def repeated_windows(docs: DataFrame, flags: DataFrame, buckets: int, parts: int
             np.add.at(marks, high[real], -1)
             at = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             doc = np.repeat(np.arange(len(counts)), counts)[at]
-            codes.append(shingle_hashes(words, WINDOW, 9)[at] if len(at) else np.zeros(0, U))
+            if len(at):
+                code, other = window_names(words)
+                codes.append(code[at])
+                others.append(other[at])
             owners.append(doc + held)
             places.append(at - (stop - counts)[doc])
             ids.append(own_ids)
             ties.append(piece.column("tie").to_numpy(zero_copy_only=False))
             held += len(texts)
         ids, ties = np.concatenate(ids), np.concatenate(ties)
-        code, owner, place, first, group = grouped(np.concatenate(codes), np.concatenate(owners), np.concatenate(places))
+        code, other, owner, place, first, group = named(np.concatenate(codes), np.concatenate(others), np.concatenate(owners), np.concatenate(places))
         found = []
         if len(code):
             least = np.minimum.reduceat(ids[owner], first)[group] == ids[owner]
             part = own.column("part")[0].as_py()
-            for b, at in by_part(np.where(least, (mix(code) % U(buckets)).astype(np.int64), -1)):
+            for b, at in by_part(np.where(least, ((other >> U(16)) % U(buckets)).astype(np.int64), -1)):
                 distinct, index = short(owner[at])
-                entry = {"bucket": b, "keys": code[at].tobytes(), "owners": index, "ids": ids[distinct].tobytes(), "ties": ties[distinct].tobytes(), "places": narrow(place[at])}
+                entry = {"bucket": b, "keys": code[at].tobytes() + other[at].astype(np.uint16).tobytes(), "owners": index, "ids": ids[distinct].tobytes(), "ties": ties[distinct].tobytes(), "places": narrow(place[at])}
                 found.append(entry | {"bucket": part % buckets, "part": part, "keys": None} if b < 0 else entry)
         return rows(found, arrow(ENTRIES))
 
     def least(group: pa.Table) -> pa.Table:
-        found, keys, ids, ties, places = [], [], [], [], []
+        found, keys, others, ids, ties, places = [], [], [], [], [], []
         for r in group.to_pylist():
             if r["part"] is not None:
                 found.append(r)
                 continue
             own, tie = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ties"], np.int64)
             at = long(r["owners"], len(own))
-            keys.append(np.frombuffer(r["keys"], U))
+            keys.append(np.frombuffer(r["keys"], U, len(at)))
+            others.append(np.frombuffer(r["keys"], np.uint16, len(at), 8 * len(at)))
             ids.append(own[at])
             ties.append(tie[at])
             places.append(wide(r["places"], len(at)))
         if keys:
-            _, own, tie, place, first, group_of = grouped(np.concatenate(keys), np.concatenate(ids), np.concatenate(ties), np.concatenate(places))
+            _, _, own, tie, place, first, group_of = named(np.concatenate(keys), np.concatenate(others), np.concatenate(ids), np.concatenate(ties), np.concatenate(places))
             later = np.flatnonzero(np.minimum.reduceat(own, first)[group_of] < own)
             own, tie, place = own[later], tie[later], place[later]
             row, at_row = np.unique(np.stack([own, tie]), axis=1, return_inverse=True) if len(own) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
@@ -268,13 +300,14 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, buckets = max(16, size // PART_BYTES), max(16, size // BUCKET_BYTES)
 
-    @F.pandas_udf("int")
-    def own_part(ids):  # noqa: ANN001, ANN202  pandas.Series
-        import pandas as pd
-
-        return pd.Series(part_of(ids.to_numpy(), parts))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = pa.Codec(PRESS, compression_level=1)
+        for b in batches:
+            texts = [t or b"" for t in b.column("text").to_pylist()]
+            pressed = [press.compress(t, asbytes=True) if t else b"" for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(part_of(ids_of(b), parts)), pa.array(list(map(len, texts)), pa.int64()), pa.array(pressed, pa.binary())], names=["doc_id", "tie", "part", "length", "pressed"])
 
-    dealt = docs.withColumn("part", own_part(F.coalesce("doc_id", F.lit(int(LAST)))))
+    dealt = docs.select("doc_id", "tie", "text").mapInArrow(deal, "doc_id long, tie long, part int, length long, pressed binary")
 
     def finish(own: pa.Table, covers: pa.Table) -> pa.Table:
         if not own.num_rows:
@@ -290,7 +323,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
         slices = {int(row[a]): place[a:b] for a, b in zip(first, np.append(first[1:], len(row)), strict=False)}
         codes = pair_code(ids_of(own), np.zeros(1, U), own.column("tie").combine_chunks().to_numpy(zero_copy_only=False))
         found, at = [], 0
-        for piece, texts in chunks(own.to_batches()):
+        for piece, texts in chunks(plain(own)):
             for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
                 words = text.split()
                 gone = slices.get(int(codes[at]))
@@ -316,4 +349,5 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every whole text without the passages of documents with smaller doc_ids; edge cases as drop_repeats states."""
     return drop_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")

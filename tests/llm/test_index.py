@@ -46,3 +46,25 @@ def test_recall(spark, monkeypatch, kind, element):
         assert all(known.get(v, s) == s for v, s in got)  # exactly the measure, on the original vectors
         hits += len({v for v, _ in got} & known.keys())
     assert hits >= 0.9 * 20 * len(true)
+
+
+def test_windows_whose_first_names_collide_are_told_apart(spark, monkeypatch):
+    """op10 with 64-bit names that hold two bits only: the second names decide."""
+    import collections
+    import random
+
+    from augur.llm import substrings
+    from tests.llm.test_edges import docs, removed
+
+    real = substrings.window_names
+    monkeypatch.setattr(substrings, "window_names", lambda words: (real(words)[0] % np.uint64(4), real(words)[1]))
+    rnd = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    data = []
+    for i in range(60):
+        words = [f"w{rnd.randrange(50)}" for _ in range(120)]
+        if i % 3 == 0:
+            words[30:30] = passage
+        data.append((i, " ".join(words), "s0"))
+    found = substrings.drop_repeats(docs(spark, data)).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == removed(data)

@@ -1,7 +1,8 @@
 """Toxicity (8): Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
 The lexicon is learned: over a bounded sample of labelled documents, words (and word stems that many such words share)
-whose documents are toxic far beyond chance; copies of a document are one witness. The terms form a trie; running the
+whose documents are toxic far beyond chance, by a likelihood ratio that holds for as many terms as were tried; copies of
+a document are one witness. There is no cap on terms: the bound on labelled documents is the only one. The terms form a trie; running the
 Levenshtein automata of all terms against it gives one deterministic automaton, whose states (sets of trie nodes with
 the edits spent) are made as texts need them, so a clean word ends after two or three letters. A term of 5 letters may
 be met with one edit, of 9 with two.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augur.llm.quality import newton
-from augur.llm.util import labelled_sample, shielded, small_batches, table
+from augur.llm.util import labelled_sample, save, shielded, small_batches, table
 
-#: Labelled documents that are fitted at most (a sample by hash); terms of the lexicon at most, strongest first.
-MAX_LABELLED, MAX_TERMS = 20_000, 4_000
+#: Labelled documents that are fitted at most (a sample by hash).
+MAX_LABELLED = 20_000
 
-#: A term's documents are toxic by this share at least, and beyond chance by this likelihood ratio (G squared).
-SHARE, CHANCE = 0.8, 24.0
+#: A term's documents are toxic by this share at least; chance terms that are let through on average, among all that are tried.
+SHARE, CHANCE_TERMS = 0.8, 0.05
 
 #: Letters of a stem; words it must have at least.
 STEMS, STEM_WORDS = (4, 5, 6, 7, 8), 3
@@ -53,6 +55,15 @@ SLICE = 128
 FEATURES = ("exact", "fuzzy", "quoted", "density")
 
 
+def chance_ratio(tried: int) -> float:
+    """The likelihood ratio (G squared, chi-square with one degree of freedom) that CHANCE_TERMS of `tried` terms pass by chance: x with erfc(sqrt(x / 2)) = CHANCE_TERMS / tried."""
+    low, high = 0.0, 400.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.erfc(math.sqrt(mid / 2)) > CHANCE_TERMS / max(1, tried) else (low, mid)
+    return high
+
+
 def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -178,7 +189,7 @@ def text_features(text: str, automaton: Automaton, known: dict) -> tuple[float,
 
 
 def features(docs: DataFrame, terms: list[tuple[str, bool]], with_text: bool = False) -> DataFrame:
-    """docs (text, any others) with exact, fuzzy, quoted and density; without text, unless with_text. The terms are at most MAX_TERMS."""
+    """docs (text, any others) with exact, fuzzy, quoted and density; without text, unless with_text. The terms are those of at most MAX_LABELLED documents."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     names = [c for c in docs.columns if with_text or c != "text"]
@@ -217,7 +228,7 @@ def witnesses(texts: DataFrame, stems: set[str], words: set[str]) -> DataFrame:
 
 
 def lexicon(texts: DataFrame) -> list[tuple[str, bool]]:
-    """Terms of the labelled texts (text, label), stems first; at most MAX_TERMS."""
+    """Terms of the labelled texts (text, label), stems first. All of them come from at most MAX_LABELLED documents."""
     rows = texts.agg(F.count("*").alias("n"), F.sum("label").alias("t")).first()
     n, toxic = rows["n"] or 0, rows["t"] or 0
     if not 0 < toxic < n:
@@ -225,21 +236,22 @@ def lexicon(texts: DataFrame) -> list[tuple[str, bool]]:
     word = F.regexp_replace(F.col("w"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     counts = (
         texts.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("w"))
-        .groupBy(word.alias("term")).agg(F.count("*").alias("df"), F.sum("label").alias("tf")).where(F.length("term").between(min(STEMS), 40))
+        .groupBy(word.alias("term")).agg(F.count("*").alias("df"), F.sum("label").alias("tf")).where(F.length("term") >= min(STEMS))
     )
+    chance = chance_ratio(counts.count())
 
     def strong(c: DataFrame) -> DataFrame:
         base = toxic / n
         part = lambda k, of, p: F.when(k > 0, k * F.log(k / (of * p))).otherwise(0.0)
         g = 2 * (part(F.col("tf"), F.col("df"), base) + part(F.col("df") - F.col("tf"), F.col("df"), 1 - base))
-        return c.withColumn("g", g).where((F.col("tf") >= SHARE * F.col("df")) & (F.col("g") >= CHANCE))
+        return c.withColumn("g", g).where((F.col("tf") >= SHARE * F.col("df")) & (F.col("g") >= chance))
 
     stems = (
         counts.where(F.length("term") > min(STEMS)).withColumn("stem", F.explode(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEMS]))).where("stem is not null")
         .groupBy(F.col("stem").alias("term")).agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"), F.count("*").alias("words"), F.max("tf").alias("largest"))
         .where((F.col("words") >= STEM_WORDS) & (F.col("largest") * 2 <= F.col("tf"))).drop("words", "largest")
     )
-    likely = [{r["term"] for r in strong(c).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()} for c in (stems, counts)]
+    likely = [{r["term"] for r in strong(c).select("term").collect()} for c in (stems, counts)]  # of the labelled sample
     witnessed = strong(witnesses(texts, *likely)).orderBy(F.desc("g"), "term").collect()
     best = {r["term"]: r["tf"] for r in witnessed if r["stem"]}
     found: list[tuple[str, bool]] = []
@@ -250,7 +262,7 @@ def lexicon(texts: DataFrame) -> list[tuple[str, bool]]:
     for r in witnessed:
         if not r["stem"] and not any(stem and r["term"].startswith(t) for t, stem in found):
             found.append((r["term"], False))
-    return found[:MAX_TERMS]
+    return found
 
 
 @dataclasses.dataclass
@@ -261,7 +273,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id, label. Fits at most MAX_LABELLED documents."""
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labelled_sample(labels, MAX_LABELLED)), "doc_id")
+    sample = save(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labelled_sample(labels, MAX_LABELLED)), "doc_id"), "labelled")
     terms = lexicon(sample)
     rows = np.array(sorted(tuple(r) for r in features(sample, terms).select("doc_id", "label", *[f"_{f}" for f in FEATURES]).collect()), dtype=float).reshape(-1, 2 + len(FEATURES))
     y = rows[:, 1]
@@ -287,6 +299,7 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text; labels are learned but from rows whose crc32 of doc_id mod 4 is not 2. Edge cases as in the module's docstring."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     quarter = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     model = train(docs, labels.where(quarter != 2).select("doc_id", F.col("toxic").alias("label")))

@@ -36,19 +36,23 @@ EDITS = "array<struct<start:int,end:int,text:string>>"
 
 
 @functools.cache
-def encoding(path: str):  # noqa: ANN201
+def encoding_of(vocabulary: bytes):  # noqa: ANN201
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoding(path: str):  # noqa: ANN201
+    with open(path, "rb") as file:
+        return encoding_of(file.read())
+
+
 class Counts(dict):
     """piece -> its number of tokens; forgets all when there are KNOWN_PIECES."""
 
-    def __init__(self, path: str):
-        self.encode = encoding(path).encode_ordinary
+    def __init__(self, vocabulary: bytes):
+        self.encode = encoding_of(vocabulary).encode_ordinary
 
     def __missing__(self, piece: str) -> int:
         n = len(self.encode(piece))
@@ -131,10 +135,12 @@ RESULTS = {"n_tokens": pa.int64(), "n_tokens_edited": pa.int64(), "n_chars_encod
 def count_edited(docs: DataFrame, vocabulary: str = VOCABULARY, with_text: bool = True) -> DataFrame:
     """docs (text, edits as EDITS, any others) without edits, with the tokens before and after, the characters that were encoded again, and the new text (null unless with_text)."""
     small_batches(docs.sparkSession)
+    with open(vocabulary, "rb") as file:  # the driver alone needs the file: a vocabulary is about a megabyte
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
     names = [c for c in docs.columns if c not in ("edits", *RESULTS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(vocabulary)
+        counts = Counts(shared.value)
         for batch in batches:
             found = []
             for text, edits in zip(batch.column("text"), batch.column("edits").to_pylist(), strict=True):

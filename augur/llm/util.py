@@ -31,9 +31,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (where it is unset) one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster must name one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="augur-")
         spark.sparkContext.setCheckpointDir(known)
     return known

@@ -179,3 +179,89 @@ PUBLIC = ("round_id", "tracker", "series", "question", "unit", "release_at", "re
 def public_rows(rounds: DataFrame) -> DataFrame:
     """rounds without anything but their public fields, as far as they have them."""
     return rounds.select(*[c for c in PUBLIC if c in rounds.columns])
+
+
+#: How far ahead rounds are listed, in weeks.
+MAX_WEEKS_AHEAD = 8
+
+
+def _listed(dated: DataFrame, by: str, taken: DataFrame, now: str, weeks: int) -> DataFrame:
+    """The first `weeks` rounds of each `by` that can still be answered, of a listed week, and not taken yet. dated: by, round_id, lock_at, release_at."""
+    at = F.lit(now).cast("timestamp")
+    ahead = F.floor((F.unix_timestamp("release_at") - F.unix_timestamp(at)) / 86_400)
+    free = dated.where((effective_deadline(F.col("lock_at")) > at) & (ahead <= MAX_WEEKS_AHEAD * 7)).join(taken.select("round_id"), "round_id", "left_anti")
+    return free.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy("release_at", "round_id"))).where(F.col("_n") <= weeks).drop("_n")
+
+
+def scalar_candidates(series: DataFrame, taken: DataFrame, now: str, weeks: int) -> DataFrame:
+    """series, round_id, lock_at, release_at of the next releases: the first declared weekday a week or more after the newest point, then weekly, each locked 48 hours before.
+
+    series: series, prefix and suffix (of its round ids), last (its newest date), weekday (0 is Monday), hour. taken: round_id.
+    """
+    soonest = F.date_add("last", 7)
+    first = F.date_add(soonest, F.pmod(F.col("weekday") - F.weekday(soonest), F.lit(7)).cast("int"))
+    span = F.greatest(F.lit(0), F.ceil((F.datediff(F.lit(now).cast("date"), first) + 7 * (MAX_WEEKS_AHEAD + 1)) / 7)).cast("int")
+    weekly = series.withColumn("_first", first).withColumn("_week", F.explode(F.sequence(F.lit(0), span)))
+    release = F.date_add("_first", F.col("_week") * 7).cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("hour"))
+    dated = weekly.withColumns({"release_at": release, "lock_at": release - F.make_dt_interval(F.lit(0), F.lit(HOURS))}).where((F.col("release_at") > F.lit(now).cast("timestamp")) & governed_by_batch(F.col("lock_at")))
+    named = dated.withColumn("round_id", F.concat_ws("-", "prefix", iso_week_id(F.col("release_at")), "suffix"))
+    return _listed(named, "series", taken, now, weeks).select("series", "round_id", "lock_at", "release_at")
+
+
+def iso_week_id(at: Column) -> Column:
+    """2026-w38 of a time, by the ISO year and week."""
+    return F.format_string("%d-w%02d", F.extract(F.lit("YEAROFWEEK"), at), F.weekofyear(at))
+
+
+def weekly_candidates(templates: DataFrame, taken: DataFrame, now: str, weeks: int) -> DataFrame:
+    """family, round_id, lock_at, release_at, week_start, week_end of the rounds that follow each family's newest one: all of its times a week on, again and again.
+
+    templates: family, prefix, suffix, named_by (iso_week or week_end), lock_at, release_at, week_start, week_end (null for
+    families without a measured week): the newest reviewed round. Lists, baskets and both kinds of profiles are such families.
+    """
+    span = F.greatest(F.lit(1), F.ceil((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("release_at")) / 604_800) + MAX_WEEKS_AHEAD + 1).cast("int")
+    later = templates.withColumn("_k", F.explode(F.sequence(F.lit(1), span)))
+    shift, step = lambda c: F.col(c) + F.make_dt_interval(F.col("_k") * 7), lambda c: F.date_add(F.col(c), F.col("_k") * 7)
+    moved = later.withColumns({"lock_at": shift("lock_at"), "release_at": shift("release_at"), "week_start": step("week_start"), "week_end": step("week_end")})
+    name = F.when(F.col("named_by") == "week_end", F.col("week_end").cast("string")).otherwise(iso_week_id(F.col("release_at")))
+    named = moved.withColumn("round_id", F.concat_ws("-", "prefix", name, F.nullif("suffix", F.lit(""))))
+    return _listed(named, "family", taken, now, weeks).select("family", "round_id", "lock_at", "release_at", "week_start", "week_end")
+
+
+def monthly_candidates(horizons: DataFrame, releases: DataFrame, taken: DataFrame, last: str, now: str, weeks: int, hour: int = 15) -> DataFrame:
+    """series, round_id, lock_at, release_at of the survey months after `last` (yyyy-MM), up to the first month that the release calendar lacks.
+
+    horizons: series, prefix, suffix. releases: month (yyyy-MM), day. A release dated within or before its month fails the job.
+    """
+    index = lambda c: F.substring(c, 1, 4).cast("int") * 12 + F.substring(c, 6, 2).cast("int")
+    follows = F.when(F.date_format("day", "yyyy-MM") > F.col("month"), F.col("day")).otherwise(F.raise_error(F.lit("a release that doesn't follow its month")).cast("date"))
+    ahead = releases.where(F.col("month") > F.lit(last)).select("month", follows.alias("day")).withColumn("_gap", index(F.col("month")) - index(F.lit(last)) - F.row_number().over(W.partitionBy(F.lit(0)).orderBy("month")))  # a row a month
+    at = F.col("day").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(hour))
+    dated = ahead.where("_gap = 0").join(F.broadcast(horizons)).withColumns({"release_at": at, "lock_at": at - F.make_dt_interval(F.lit(0), F.lit(HOURS)), "round_id": F.concat_ws("-", "prefix", "month", "suffix")})
+    return _listed(dated, "series", taken, now, weeks).select("series", "round_id", "lock_at", "release_at")
+
+
+#: Days after a page's own on which it is archived, and the hour.
+ARCHIVE_DAYS, ARCHIVE_HOUR = 16, 14
+
+
+def archive_times(pages: DataFrame) -> DataFrame:
+    """day, asof: the times at which a day's page is archived. pages: day."""
+    return pages.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(ARCHIVE_DAYS)))).select("day", (F.date_add("day", F.col("_k")).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(ARCHIVE_HOUR))).alias("asof"))
+
+
+def restored_runs(lines: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the records to restore, one row of counts). The last record of a call wins, by file, then line; what is cached already stays.
+
+    lines: file, line, entrant, prompt_sha256, topline (null for a failure), any others. cached: entrant, prompt_sha256.
+    A record without an entrant or with a digest that is none fails the job.
+    """
+    key = ["entrant", "prompt_sha256"]
+    bad = F.col("entrant").isNull() | ~F.coalesce(F.col("prompt_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    checked = lines.withColumn("entrant", F.when(bad, F.raise_error(F.concat_ws(":", "file", F.col("line").cast("string"), F.lit("invalid record"))).cast("string")).otherwise(F.col("entrant")))
+    last = checked.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("file"), F.desc("line")))).where("_n = 1").drop("_n")
+    marked = last.join(cached.select(*key).distinct().withColumn("_cached", F.lit(True)), key, "left")
+    new = F.col("_cached").isNull()
+    kept = marked.agg(F.count("*").alias("unique"), F.count_if(new).alias("restored"), F.count_if(~new).alias("skipped_existing"), F.count_if(new & F.col("topline").isNotNull()).alias("successful"), F.count_if(new & F.col("topline").isNull()).alias("failures"))
+    counts = lines.agg(F.countDistinct("file").alias("files"), F.count("*").alias("lines")).join(F.broadcast(kept)).withColumn("superseded", F.col("lines") - F.col("unique"))  # one row each
+    return marked.where(new).drop("_cached"), counts

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.operators import answers, boards, nulls, season
+from augur.operators import answers, boards, nulls, panel, season
 from augur.plans.fixtures import OBS, SCORES, r, rounded, table
 from augur.plans.fixtures import obs as obs_table
 from augur.plans.fixtures import scores as score_table
 from augur.plans.registry import query
+from augur.sources import registry
 
 
 def picked(n: str, choices: list[str]) -> Column:
@@ -217,3 +218,78 @@ def published_board(spark: SparkSession, d: str) -> DataFrame:
 def trajectory_arrays(spark: SparkSession, d: str) -> DataFrame:
     found = boards.series_of_days(boards.pairwise_trajectory(score_table(spark, d)), 9)
     return found.select("entrant", F.size("dates").cast("long").alias("days"), rounded(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query("""WITH s AS (SELECT event_type AS series, max(CAST(ts AS DATE)) + 953 AS last, CAST(length(event_type) % 7 AS INTEGER) AS wd FROM events GROUP BY 1), f AS (SELECT *, last + 7 + CAST((wd - (isodow(last + 7) - 1) + 7) % 7 AS INTEGER) AS first FROM s), k AS (SELECT series, CAST(first + CAST(7 * w AS INTEGER) AS TIMESTAMP) + INTERVAL 14 HOURS AS rel FROM f, range(0, 60) t(w)),
+  c AS (SELECT series, rel, rel - INTERVAL 48 HOURS AS lock, 'mc-' || isoyear(rel) || '-w' || lpad(CAST(week(rel) AS VARCHAR), 2, '0') || '-' || series AS round_id FROM k WHERE rel > TIMESTAMP '2026-09-20 09:00:00' AND date_trunc('week', rel - INTERVAL 48 HOURS - INTERVAL 12 HOURS - INTERVAL 1 MICROSECOND) + INTERVAL 12 HOURS >= TIMESTAMP '2026-09-14 12:00:00'),
+  l AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY rel) AS n FROM c WHERE lock > TIMESTAMP '2026-09-20 09:00:00' AND floor(epoch(rel - TIMESTAMP '2026-09-20 09:00:00') / 86400) <= 56 AND round_id NOT LIKE '%-w40-click') SELECT series, round_id, strftime(lock, '%Y-%m-%d %H') AS lock_at FROM l WHERE n <= 5""")
+def scalar_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The next five rounds of every series, one of which is listed already."""
+    s = table(spark, d, "events").groupBy(F.col("event_type").alias("series")).agg(F.date_add(F.max("ts").cast("date"), 953).alias("last"))
+    s = s.select("series", F.lit("mc").alias("prefix"), F.col("series").alias("suffix"), "last", (F.length("series") % 7).alias("weekday"), F.lit(14).alias("hour"))
+    taken = spark.createDataFrame([("mc-2026-w40-click",)], "round_id string")
+    return season.scalar_candidates(s, taken, "2026-09-20 09:00:00", 5).select("series", "round_id", F.date_format("lock_at", "yyyy-MM-dd HH").alias("lock_at"))
+
+
+@query("""WITH k AS (SELECT n_nationkey % 4 AS f, n_nationkey, DATE '2026-08-31' + CAST(7 * w AS INTEGER) AS ws, TIMESTAMP '2026-08-29 12:00:00' + to_days(CAST(7 * w AS INTEGER)) AS lock, TIMESTAMP '2026-09-08 15:00:00' + to_days(CAST(7 * w AS INTEGER)) AS rel FROM nation, range(1, 30) t(w)),
+  c AS (SELECT *, 'f' || n_nationkey || '-' || CASE WHEN f < 2 THEN CAST(ws + 6 AS VARCHAR) ELSE isoyear(rel) || '-w' || lpad(CAST(week(rel) AS VARCHAR), 2, '0') END || CASE WHEN f = 3 THEN '-cells' ELSE '' END AS round_id FROM k), l AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY rel) AS n FROM c WHERE lock > TIMESTAMP '2026-10-01' AND floor(epoch(rel - TIMESTAMP '2026-10-01') / 86400) <= 56)
+  SELECT 'f' || n_nationkey AS family, round_id, strftime(lock, '%Y-%m-%d %H') AS lock_at, strftime(rel, '%Y-%m-%d %H') AS release_at, CASE WHEN f < 2 THEN ws + 6 END AS week_end FROM l WHERE n <= 4""")
+def weekly_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Lists, baskets and profiles of two kinds, each family a week on from its newest round."""
+    f, stamp = F.col("n_nationkey") % 4, lambda t: F.lit(t).cast("timestamp")
+    week = lambda day: F.when(f < 2, F.lit(day).cast("date"))
+    name = F.concat(F.lit("f"), "n_nationkey")
+    templates = table(spark, d, "nation").select(name.alias("family"), name.alias("prefix"), F.when(f == 3, "cells").otherwise("").alias("suffix"), F.when(f < 2, "week_end").otherwise("iso_week").alias("named_by"), stamp("2026-08-29 12:00:00").alias("lock_at"), stamp("2026-09-08 15:00:00").alias("release_at"), week("2026-08-31").alias("week_start"), week("2026-09-06").alias("week_end"))
+    found = season.weekly_candidates(templates, spark.createDataFrame([], "round_id string"), "2026-10-01", 4)
+    return found.select("family", "round_id", F.date_format("lock_at", "yyyy-MM-dd HH").alias("lock_at"), F.date_format("release_at", "yyyy-MM-dd HH").alias("release_at"), "week_end")
+
+
+@query("""WITH m AS (SELECT r_regionkey AS k, strftime(DATE '2026-09-01' + to_months(CAST(r_regionkey AS INTEGER)), '%Y-%m') AS month, CAST(DATE '2026-10-08' + to_months(CAST(r_regionkey AS INTEGER)) AS DATE) AS day FROM region WHERE r_regionkey <> 3), c AS (SELECT month, CAST(day AS TIMESTAMP) + INTERVAL 15 HOURS AS rel FROM m WHERE k BETWEEN 1 AND 2), h AS (SELECT unnest(['1y', '3y']) AS h)
+  SELECT 'sce_' || h AS series, 'sce-' || month || '-' || h AS round_id, strftime(rel, '%Y-%m-%d %H') AS release_at FROM c, h WHERE floor(epoch(rel - TIMESTAMP '2026-10-20') / 86400) <= 56 AND rel - INTERVAL 48 HOURS > TIMESTAMP '2026-10-20'""")
+def monthly_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds of a monthly survey for two horizons, up to the first month that the calendar lacks."""
+    month = lambda day: F.add_months(F.lit(day).cast("date"), F.col("r_regionkey"))
+    releases = table(spark, d, "region").where("r_regionkey <> 3").select(F.date_format(month("2026-09-01"), "yyyy-MM").alias("month"), month("2026-10-08").alias("day"))
+    horizons = spark.createDataFrame([("sce_1y", "sce", "1y"), ("sce_3y", "sce", "3y")], "series string, prefix string, suffix string")
+    found = season.monthly_candidates(horizons, releases, spark.createDataFrame([], "round_id string"), "2026-09", "2026-10-20", 6)
+    return found.select("series", "round_id", F.date_format("release_at", "yyyy-MM-dd HH").alias("release_at"))
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) SELECT day, strftime(CAST(day AS TIMESTAMP) + to_days(CAST(k AS INTEGER)) + INTERVAL 14 HOURS, '%Y-%m-%d %H') AS asof FROM d, range(1, 17) t(k)""")
+def archive_times(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "events").select(F.col("ts").cast("date").alias("day")).distinct()
+    return season.archive_times(days).select("day", F.date_format("asof", "yyyy-MM-dd HH").alias("asof"))
+
+
+@query("""WITH l AS (SELECT event_type AS file, event_id AS line, 'u' || user_id AS entrant, sha256(CAST(floor(value / 10) AS INT)::VARCHAR) AS h, CASE WHEN event_id % 4 <> 0 THEN value END AS topline FROM events), c AS (SELECT DISTINCT entrant, h FROM l WHERE file = 'click'), u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY entrant, h ORDER BY file DESC, line DESC) = 1), m AS (SELECT u.*, c.h IS NOT NULL AS old FROM u LEFT JOIN c USING (entrant, h))
+  SELECT (SELECT count(DISTINCT file) FROM l) AS files, (SELECT count(*) FROM l) AS lines, count(*) AS "unique", (SELECT count(*) FROM l) - count(*) AS superseded, count(*) FILTER (NOT old) AS restored, count(*) FILTER (old) AS skipped_existing, count(*) FILTER (NOT old AND topline IS NOT NULL) AS successful, count(*) FILTER (NOT old AND topline IS NULL) AS failures FROM m""")
+def restored_runs(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "events").select(F.col("event_type").alias("file"), F.col("event_id").alias("line"), F.concat(F.lit("u"), "user_id").alias("entrant"), F.sha2(F.floor(F.col("value") / 10).cast("string"), 256).alias("prompt_sha256"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("topline"))
+    return season.restored_runs(lines, lines.where("file = 'click'"))[1]
+
+
+PARTY = "CASE doc_id % 4 WHEN 0 THEN 'strongly_approve' WHEN 1 THEN 'somewhat_approve' WHEN 2 THEN CASE WHEN toxic = 1 THEN 'disapprove' ELSE 'approve' END ELSE CASE WHEN quality = 1 THEN 'party_a' ELSE 'party_b' END END"
+
+
+@query(f"""WITH p AS (SELECT lang AS grp, 1.0 + n_chars % 7 AS w, {PARTY} AS o FROM labels JOIN documents USING (doc_id)), s AS (SELECT grp, sum(w) AS a, {', '.join(f"sum(CASE WHEN o = '{o}' THEN w ELSE 0 END) AS {o}" for o in ('approve', 'disapprove', 'party_a', 'party_b', 'strongly_approve', 'somewhat_approve'))} FROM p GROUP BY 1)
+  SELECT grp, {r('100 * approve / a')} AS approve_share, {r('100 * (approve - disapprove) / a')} AS net_approve_share, {r('100 * (party_a - party_b) / a')} AS party_margin, {r('100 * strongly_approve / a')} AS strong_share, {r('100 * somewhat_approve / a')} AS weak_share, {r('100 * (strongly_approve + somewhat_approve) / a')} AS four_point_share FROM s""")
+def panel_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """Every registered aggregator over each group of the panel."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("grp"), (1.0 + F.col("n_chars") % 7).alias("w"))
+    k = F.col("doc_id") % 4
+    option = F.when(k == 0, "strongly_approve").when(k == 1, "somewhat_approve").when(k == 2, F.when(F.col("toxic") == 1, "disapprove").otherwise("approve")).otherwise(F.when(F.col("quality") == 1, "party_a").otherwise("party_b"))
+    rows = table(spark, d, "labels").join(docs, "doc_id").select("grp", "w", option.alias("option"))
+    return rows.groupBy("grp").agg(*[rounded(build()).alias(name) for name, build in panel.AGGREGATORS.items()])
+
+
+
+@query(f"""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS pollster, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INTEGER) AS end_date, o_totalprice AS v FROM orders), p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY date ORDER BY end_date DESC, pollster DESC, v DESC) = 1), u AS (SELECT * FROM o WHERE pollster IN ('1-URGENT', '2-HIGH') QUALIFY row_number() OVER (PARTITION BY date ORDER BY end_date DESC, pollster DESC, v DESC) = 1), e AS (SELECT CAST(ts AS DATE) AS date, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b FROM events GROUP BY 1)
+  SELECT 'polls_all' AS series, date, {r('v', 3)} AS value FROM p UNION ALL SELECT 'polls_urgent', date, {r('v / 1000', 3)} FROM u UNION ALL SELECT 'clicks_less_views', date, a - b FROM e""")
+def registered_series(spark: SparkSession, d: str) -> DataFrame:
+    """Series of two sources by their specifications: one poll a date, a filter of pollsters, a difference of columns."""
+    specs = (registry.Series("polls_all", "polls"), registry.Series("polls_urgent", "polls", filters=registry.where(pollster=("1-URGENT", "2-HIGH")), scale=0.001), registry.Series("clicks_less_views", "counts", "a", minus="b"), registry.Series("gone", "lost"))
+    day = F.col("o_orderdate").cast("date")
+    polls = table(spark, d, "orders").select(day.alias("date"), F.col("o_orderpriority").alias("pollster"), F.date_add(day, (F.col("o_orderkey") % 3).cast("int")).alias("end_date"), F.col("o_totalprice").alias("value"))
+    counts = table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("date")).agg(F.count_if(F.col("event_type") == "click").alias("a"), F.count_if(F.col("event_type") == "view").alias("b"))
+    found = registry.build_all({"polls": polls, "counts": counts}, specs, unavailable=["lost"])
+    return found.select("series", "date", rounded("value", 3).alias("value"))

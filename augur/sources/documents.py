@@ -122,6 +122,36 @@ def workbooks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "path string, sheet string, row int, column string, text string")
 
 
+#: Rows of a retail release's headers and marks, what the marks stand for, and the columns of its two blocks.
+MARK_ROW, MARKS, BLOCKS = 9, {"(a)": "advance", "(p)": "preliminary", "(r)": "revised"}, {"nsa": "CDEFGHI", "sa": "JKLMN"}
+
+
+def retail_release(cells: DataFrame, codes: list[str]) -> DataFrame:
+    """path, code, label, measure, value of retail workbooks' cells (as workbooks gives them; first sheet only).
+
+    Columns are found by their marks, never by place; a workbook that doesn't mark all it must fails the job. Numbers of a
+    category may stand in the row below its code. A value in parentheses is suppressed: its row stays, with a null value.
+    """
+    text = F.trim("text")
+    block = F.when(F.col("column").isin(*BLOCKS["nsa"]), "nsa").when(F.col("column").isin(*BLOCKS["sa"]), "sa")
+    role = F.element_at(F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv]), text)
+    marked = cells.where(F.col("row") == MARK_ROW).select("path", "column", F.concat_ws("_", block, F.when(text.isin(*MARKS), role)).alias("measure"), block.alias("b")).where(F.col("b").isNotNull() & F.contains("measure", F.lit("_")))
+    columns = marked.groupBy("path", "measure").agg(F.min("column").alias("column"))
+    need = ["nsa_advance", "sa_advance", "sa_preliminary", "sa_revised"]
+    known = columns.groupBy("path").agg(F.collect_set("measure").alias("_m"))
+    paths = cells.select("path").distinct().join(known, "path", "left")
+    fine = paths.select(F.when(F.size(F.array_except(F.lit(need), F.coalesce("_m", F.array().cast("array<string>")))) == 0, F.col("path")).otherwise(F.raise_error(F.lit("a release that doesn't mark its columns")).cast("string")).alias("path"))
+    code = cells.where((F.col("column") == "A") & text.isin(*codes)).select("path", F.col("row").alias("at"), text.alias("code"))
+    advance = columns.where("measure = 'sa_advance'").select("path", "column")
+    direct = cells.join(advance, ["path", "column"]).select("path", F.col("row").alias("at"), F.lit(True).alias("_here"))
+    placed = code.join(fine, "path").join(direct, ["path", "at"], "left").withColumn("row", F.when(F.col("_here"), F.col("at")).otherwise(F.col("at") + 1))
+    names = cells.where("column = 'B'").select("path", F.col("row").alias("_r"), F.col("text").alias("_b"))
+    labels = placed.join(names, "path").where((F.col("_r") == F.col("at")) | (F.col("_r") == F.col("row"))).groupBy("path", "code").agg(F.array_sort(F.collect_list(F.struct("_r", "_b"))).alias("_l"))
+    wanted = placed.join(columns, "path")
+    found = wanted.join(cells.select("path", "row", "column", "text"), ["path", "row", "column"], "left").join(labels, ["path", "code"], "left")
+    return found.select("path", "code", F.trim(F.regexp_replace(F.array_join(F.col("_l._b"), ""), r"\s+", " ")).alias("label"), "measure", F.when(~F.startswith(F.trim("text"), F.lit("(")), F.trim("text").try_cast("double")).alias("value"))
+
+
 def by_header(cells: DataFrame, header_row: int) -> DataFrame:
     """path, sheet, row, header, text: cells named by the text above them, whatever their place."""
     heads = cells.where(F.col("row") == header_row).select("path", "sheet", "column", F.col("text").alias("header"))

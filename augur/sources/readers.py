@@ -163,17 +163,23 @@ def net_of(points: DataFrame, plus: list[str], minus: list[str]) -> DataFrame:
     return own.where(F.col("n") == len(plus) + len(minus)).drop("n")
 
 
-def bullets(pages: DataFrame) -> DataFrame:
-    """day, category, place, item of wikitext (day, body): leaves only, without markup, the first of equal items."""
+#: The headings whose items a digest takes.
+CATEGORIES = ("Politics and elections", "Business and economy", "Law and crime", "Armed conflicts and attacks", "Disasters and accidents", "Health and environment", "International relations")
+
+
+def bullets(pages: DataFrame, categories: tuple[str, ...] | None = None) -> DataFrame:
+    """day, category, place, item of wikitext (day, body): leaves only, without markup, the first of equal items; of all headings, or of those named."""
     from augur.functions.text import strip_markup
 
     lines = pages.select("day", F.posexplode(F.split("body", "\n")).alias("at", "line"))
     w = W.partitionBy("day").orderBy("at")
     depth = F.length(F.regexp_extract("line", r"^(\*+)", 1))
     marked = lines.withColumns({"depth": depth, "heading": F.nullif(F.regexp_extract("line", r"^'''(.+?)'''", 1), F.lit(""))})
-    marked = marked.withColumn("category", F.last("heading", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).where("depth > 0")
+    marked = marked.withColumn("category", F.last("heading", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).where("depth > 0 and category is not null")
+    if categories is not None:
+        marked = marked.where(F.col("category").isin(*categories))
     leaf = F.coalesce(F.lead("depth").over(w) <= F.col("depth"), F.lit(True)) | (F.lead("category").over(w) != F.col("category"))
-    items = marked.withColumn("leaf", leaf).where("leaf").select("day", "category", "at", strip_markup(F.regexp_replace("line", r"^\*+\s*", "")).alias("item"))
+    items = marked.withColumn("leaf", leaf).where("leaf").select("day", strip_markup(F.col("category")).alias("category"), "at", strip_markup(F.regexp_replace("line", r"^\*+\s*", "")).alias("item")).where("item <> ''")
     first = F.row_number().over(W.partitionBy("day", "item").orderBy("at"))
     return items.withColumn("_n", first).where("_n = 1").select("day", "category", F.row_number().over(w).alias("place"), "item")
 

@@ -215,4 +215,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item of which it holds 0.8 of the shingles or more, over whole texts. Edge cases as in the module's docstring."""
     return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -5,6 +5,12 @@ output shard of SHARD_SLOTS slots draws its source counts from one multinomial;
 quota hands the surplus slots to those drawn less, so the totals are exact. A source's k-th slot takes block
 permutation(k) of its stream, by index, with a new permutation on each pass; k stays below three passes, so no word is
 taken more than three times.
+
+Nulls: a null text has no words and a size of 0, so nothing is taken of it; null is a source like others, the last one;
+a null doc_id takes part. Sources without words have a target of 0, and a table without words makes an empty mix. Ties:
+sources go by code point, documents by a hash of their id and text, then by the text's hash and their size; repeated
+rows each have their own place in the stream. Extra columns are kept by mix_documents, also when their names clash.
+The number of sources is taken to be small: their targets come from one window over a row for each.
 """
 
 from __future__ import annotations
@@ -98,17 +104,18 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     A row's text holds the words (with the white space before each) that its pass takes; n_chars, if there, is theirs.
     """
-    docs = docs.withColumns({"_row": spread(*docs.columns), "size": words(F.col("text"))})
-    placed, _, slots = plan(docs.select("doc_id", "source", "size", F.col("_row").alias("_tie")))
-    spans = uses_by_document(placed, slots).groupBy(F.col("_tie").alias("_row"), "_start").agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi", "uses"))).alias("_spans"))
+    every = docs.columns  # two hashes tell rows apart: 126 bits
+    docs = docs.withColumns({"_row": spread(*every), "_other": F.xxhash64(F.lit(SEED), *reversed(every)), "size": words(F.col("text"))})
+    placed, _, slots = plan(docs.select("doc_id", "source", "size", F.col("_row").alias("_tie"), "_other"))
+    spans = uses_by_document(placed, slots).groupBy(F.col("_tie").alias("_row"), "_other", "_start").agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi", "uses"))).alias("_spans"))
     tokens = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    taken = docs.dropDuplicates(["_row"]).join(spans, "_row")  # equal rows have a span list each
+    taken = docs.dropDuplicates(["_row", "_other"]).join(spans, ["_row", "_other"])  # equal rows have a span list each
     taken = taken.withColumn("_tokens", tokens).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.array_max("_spans.uses") - 1)))
     text = F.array_join(F.flatten(F.transform(F.filter("_spans", lambda b: b["uses"] > F.col("_pass")), lambda b: F.slice(F.col("_tokens"), b["_lo"].cast("int") + 1, (b["_hi"] - b["_lo"]).cast("int")))), "")
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return taken.withColumns(new).drop("_row", "_start", "size", "_spans", "_tokens", "_pass")
+    return taken.withColumns(new).drop("_row", "_other", "_start", "size", "_spans", "_tokens", "_pass")
 
 
 def words(text: Column) -> Column:
@@ -116,6 +123,7 @@ def words(text: Column) -> Column:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document its size, its source's size and target, and the words that the mix takes of it. Edge cases as in the module's docstring."""
     docs = table(spark, sf_dir, "documents")
     placed, sources, slots = plan(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie")))
     placed = placed.withColumn("_id", F.struct("_place", "_tie", "_start", "s"))

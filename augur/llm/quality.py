@@ -1,6 +1,7 @@
 """Quality classifier (2): Bradley-Terry pairwise ranking.
 
-Every document has surface measures of its whole text, all built-in expressions. From a bounded sample of labelled
+Every document has general surface measures of its whole text (lengths, repetition of words and lines, shares of
+capitals, digits and signs, words without letters), all built-in expressions. From a bounded sample of labelled
 documents come preference pairs (a good document over a bad one); logistic loss on the differences of their measures
 gives each document a latent score, as in the Bradley-Terry model. The score's quantile at the share of bad documents
 in the sample is the threshold; a logistic slope around it turns the latent score into the range 0 to 1.
@@ -23,7 +24,7 @@ from augur.llm.util import labelled_sample, shielded, table
 #: Labelled documents that are fitted at most (a sample by hash), pairs for each of them, weight of the L2 penalty.
 MAX_LABELLED, PAIRS, PENALTY, SEED, CLIP = 20_000, 8, 1.0, 20_262, 5.0
 
-MEASURES = ("log_words", "distinct", "upper", "symbols", "pipes", "word_length", "lines", "symbol_runs", "repeats", "digits", "short")
+MEASURES = ("log_words", "distinct", "upper", "symbols", "wordless", "word_length", "lines", "symbol_runs", "repeats", "digits", "short", "long_words", "line_words")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -33,13 +34,14 @@ def measures(docs: DataFrame) -> DataFrame:
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     staged = docs.select(
         *[c for c in docs.columns if c != "text"], F.length(text).cast("double").alias("_n"), words.alias("_words"), (F.size(F.array_distinct(lines)) / F.size(lines)).alias("_lines"),
-        count(r"\p{Lu}").alias("_upper"), count(r"[^\p{L}\p{N}\s.,;:'\"-]").alias("_symbols"), count(r"\|").alias("_pipes"), count(r"[!#$%&*]{2,}").alias("_runs"), count(r"[0-9]").alias("_digits"),
+        count(r"\p{Lu}").alias("_upper"), count(r"[^\p{L}\p{N}\s]").alias("_symbols"), count(r"(?<!\S)[^\p{L}\s]+(?!\S)").alias("_wordless"), count(r"[^\p{L}\p{N}\s]{2,}").alias("_runs"), count(r"\p{N}").alias("_digits"), F.size(lines).cast("double").alias("_rows"),
     )
     w, chars = F.greatest(F.size("_words"), F.lit(1)).cast("double"), F.greatest("_n", F.lit(1.0))
     repeats = F.size(F.filter(F.zip_with(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))), lambda a, b: a == b), lambda same: same))
     found = {
-        "log_words": F.log1p(F.size("_words")), "distinct": F.log1p(F.size(F.array_distinct("_words"))) / F.log1p(w), "upper": F.col("_upper") / chars, "symbols": F.col("_symbols") / chars, "pipes": F.col("_pipes") / w,
+        "log_words": F.log1p(F.size("_words")), "distinct": F.log1p(F.size(F.array_distinct("_words"))) / F.log1p(w), "upper": F.col("_upper") / chars, "symbols": F.col("_symbols") / chars, "wordless": F.col("_wordless") / w,
         "word_length": F.col("_n") / w, "lines": F.col("_lines"), "symbol_runs": F.col("_runs") / w, "repeats": repeats / w, "digits": F.col("_digits") / chars, "short": 1 / (1 + w),
+        "long_words": F.size(F.filter("_words", lambda x: F.length(x) > 14)) / w, "line_words": F.log1p(w / F.greatest("_rows", F.lit(1.0))),
     }
     return staged.select(*[c for c in docs.columns if c != "text"], *[found[m].alias(f"m{i}") for i, m in enumerate(MEASURES)])
 
@@ -114,6 +116,7 @@ def quality_scores(docs: DataFrame, rank: Ranking) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text; labels are learned but from rows whose crc32 of doc_id mod 3 is not 1. Edge cases as in the module's docstring."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     rank = train(docs, labels.where(third != 1).select("doc_id", F.col("quality").alias("label")))

@@ -90,6 +90,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document in 40 shards, by the law `rows`. Edge cases as in the module's docstring."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
     keys = place_columns(docs).select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "_place", "_tie")

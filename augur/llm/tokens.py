@@ -28,8 +28,8 @@ from augur.llm.util import shielded, small_batches, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Pieces in a leaf; pieces whose counts a task remembers, and the longest of those.
-LEAF, KNOWN_PIECES, LONGEST_KNOWN = 32, 250_000, 64
+#: Pieces in a leaf, and how many times as many make it crowded; pieces whose counts a task remembers, and the longest of those.
+LEAF, CROWDED, KNOWN_PIECES, LONGEST_KNOWN = 32, 4, 250_000, 64
 
 CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 EDITS = "array<struct<start:int,end:int,text:string>>"
@@ -64,22 +64,29 @@ class Counts(dict):
 
 
 class Tree:
-    """Sums over the leaves of one text; node i has the children 2 * i and 2 * i + 1."""
+    """Sums over the leaves of one text; node i has the children 2 * i and 2 * i + 1.
+
+    A leaf that edits have filled beyond CROWDED * LEAF pieces is dealt out again, with all others and with the counts
+    that are known, so nothing is encoded for it; that comes once in as many inserted pieces as it takes to fill a leaf.
+    """
 
     def __init__(self, text: str, counts: Counts):
-        self.counts, pieces = counts, CUT.split(text)
+        self.counts, self.encoded, pieces = counts, 0, CUT.split(text)
+        self.deal(pieces, list(map(counts.__getitem__, pieces)))
+
+    def deal(self, pieces: list[str], tokens: list[int]) -> None:
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
+        self.sizes = [tokens[i : i + LEAF] for i in range(0, len(tokens), LEAF)]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for i in range(len(self.leaves)):
             self.measure(i)
         for node in range(self.width - 1, 0, -1):
             self.add(node)
-        self.encoded = 0
 
     def measure(self, leaf: int) -> None:
         self.chars[self.width + leaf] = sum(map(len, self.leaves[leaf]))
-        self.tokens[self.width + leaf] = sum(map(self.counts.__getitem__, self.leaves[leaf]))
+        self.tokens[self.width + leaf] = sum(self.sizes[leaf])
 
     def add(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -117,7 +124,11 @@ class Tree:
         share = max(1, -(-len(pieces) // slots))
         for i in range(slots):
             self.leaves[low + i] = pieces[i * share : (i + 1) * share]
+            self.sizes[low + i] = list(map(self.counts.__getitem__, self.leaves[low + i]))
             self.measure(low + i)
+        if share > CROWDED * LEAF:
+            self.deal([p for leaf in self.leaves for p in leaf], [n for sizes in self.sizes for n in sizes])
+            return
         low, high = (self.width + low) // 2, (self.width + high) // 2
         while high:
             for node in range(max(low, 1), high + 1):

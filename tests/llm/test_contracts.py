@@ -144,3 +144,20 @@ def test_exact_queries(spark, tables):
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == removed(data)
     found = QUERIES["op5_decontamination"](spark, folder).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == sorted((x[0], x[1]) for x in leaked(data, [i for i in items if i[1]]))
+
+
+def test_edited_trees_stay_balanced():
+    """op1: large inserts into one place are dealt out over leaves again, without encoding what is known."""
+    from augur.llm import tokens
+
+    vocabulary = open(tokens.VOCABULARY, "rb").read()
+    encode, rnd = tokens.encoding_of(vocabulary).encode_ordinary, random.Random(2)
+    text = prose(rnd, 50)
+    tree = tokens.Tree(text, tokens.Counts(vocabulary))
+    for n in (20, 4000, 30, 6000, 5):
+        at, new = rnd.randrange(len(text)), " " + prose(rnd, n) + " "
+        before = tree.encoded
+        tree.edit(at, at + 3, new)
+        text = text[:at] + new + text[at + 3 :]
+        assert tree.text() == text and tree.tokens[1] == len(encode(text)) and max(map(len, tree.leaves)) <= tokens.CROWDED * tokens.LEAF
+        assert tree.encoded - before <= len(new) + 5 * tokens.CROWDED * tokens.LEAF * 12

@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
 of documents. Models and test items come from the tables in sf_dir; everything else from the stage's own input.
+
+Nulls, empties, ties, repeats, clashing names: a null or empty text is neither toxic nor a copy nor dirty and stays until
+the mix, which takes words only, so a document without words has no row in it. A null doc_id is a document like others
+and the last of a group of copies. Equal rows are copies of each other unless they are without words. Tables without
+rows give no rows. Extra columns pass all stages as they are.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("mixing sources to target weights", mixing), ("sharding", sharding)]
 
-#: SQL can express neither the learned lexicon nor the join's components: tested against a brute-force version instead.
+#: SQL has no words for the learned lexicon and its automaton, nor for the mix's draws: tested against a brute-force version instead.
 ORACLE_SQL = None
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augur.functions.scores import LEVELS, pooled_values
@@ -23,3 +24,13 @@ def crowd_numbers(forecasts: DataFrame, by: list[str], places: int | None = 4) -
     pooled = values.groupBy(*by).agg(F.countDistinct("entrant").alias("members"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.percentile("x", levels).alias("_q")).where(F.col("members") >= MEMBERS)
     names = F.array(*[F.lit(f"{x:g}") for x in LEVELS])
     return pooled.select(*by, "members", published(F.col("mean")).alias("mean"), F.greatest(published(F.col("sd")), F.lit(LEAST_SD)).alias("sd"), F.map_from_arrays(names, F.transform("_q", published)).alias("quantiles"))
+
+
+def crps_of_draws(draws: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """by, crps of any number of draws a key: the mean distance to the outcome less half the mean distance of all pairs. draws: by, x. outcomes: by, value.
+
+    With the draws in order, the distances of pairs are a sum of places times values, so a sorted window is enough.
+    """
+    order, every = W.partitionBy(*by).orderBy("x"), W.partitionBy(*by)
+    placed = draws.withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(every)}).join(outcomes.select(*by, "value"), by)
+    return placed.groupBy(*by).agg((F.avg(F.abs(F.col("x") - F.col("value"))) - F.sum(F.col("x") * (2 * F.col("_i") - F.col("_n") - 1)) / (F.first("_n").cast("double") * F.first("_n"))).alias("crps"))

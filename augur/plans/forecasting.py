@@ -116,8 +116,9 @@ def crps_of_quantiles(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {OBS}, e AS (SELECT event_type AS series, CAST(ts AS DATE) AS date, list(value) AS xs FROM events GROUP BY 1, 2), p AS (SELECT * FROM e JOIN obs USING (series, date))
   SELECT series, date, {r('list_avg(list_transform(xs, lambda x: abs(x - value))) - 0.5 * list_avg(list_transform(xs, lambda x: list_avg(list_transform(xs, lambda y: abs(x - y)))))')} AS crps FROM p""")
 def crps_of_samples(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("date")).agg(F.collect_list("value").alias("xs"))
-    return e.join(obs_table(spark, d), ["series", "date"]).select("series", "date", rounded(S.crps_samples(F.col("xs"), F.col("value"))).alias("crps"))
+    """Every value of a day is a draw; draws are ranked in a window, so no day is collected into a row."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("date"), F.col("value").alias("x"))
+    return crowd.crps_of_draws(e, obs_table(spark, d), ["series", "date"]).select("series", "date", rounded("crps").alias("crps"))
 
 
 @query(f"""WITH p AS (SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM events GROUP BY 1, 2), q AS (SELECT date, event_type, n / sum(n) OVER (PARTITION BY date) AS p, row_number() OVER (PARTITION BY date ORDER BY event_type) - 1 AS i, row_number() OVER (PARTITION BY date ORDER BY n DESC, event_type) AS best FROM p),

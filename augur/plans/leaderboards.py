@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from augur.plans.fixtures import BRAND_WEEKS, SCORES, brand_weeks, r, rounded, t
 from augur.plans.fixtures import scores as score_table
 from augur.plans.registry import query
 
+#: Shares of a Poisson of mean 1 up to 0, 1, ..., 7: where a uniform draw turns into the next weight.
+POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(8)]
+
 BASE = "base AS (SELECT round_id, loss AS null_loss FROM scores WHERE entrant = 'persistence')"
 SKILL = "CASE WHEN null_loss = 0 THEN 0.0 ELSE 1 - loss / null_loss END"
 
@@ -111,22 +116,23 @@ def median_losses(spark: SparkSession, d: str) -> DataFrame:
     return score_table(spark, d).groupBy("entrant").agg(rounded(F.median("loss")).alias("median_loss"))
 
 
-@query()
+GAPS = f"""{SCORES}, pl AS (SELECT *, count(*) OVER (PARTITION BY round_id) AS n, rank() OVER (PARTITION BY round_id ORDER BY loss) AS place, count(*) OVER (PARTITION BY round_id, loss) AS tied FROM scores), po AS (SELECT *, 100 * (n - place - tied + 1 + 0.5 * (tied - 1)) / (n - 1) AS points FROM pl WHERE n > 1),
+  bs AS (SELECT entrant, row_number() OVER (ORDER BY round(sum(points), 6) DESC, entrant) AS k FROM po GROUP BY 1 QUALIFY k <= 2), g AS (SELECT round_id, sum(CASE WHEN k = 1 THEN points ELSE -points END) AS gap FROM po JOIN bs USING (entrant) GROUP BY 1),
+  dr AS (SELECT b, gap, CAST('0x' || substr(sha256(b || ':' || round_id), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM g, range(0, 5000) t(b)), wt AS (SELECT b, gap, {' + '.join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in POISSON)} AS w FROM dr), mn AS (SELECT b, sum(w * gap) / sum(w) AS m FROM wt GROUP BY 1)"""
+
+
+@query(f"""WITH {GAPS} SELECT {r('quantile_cont(m, 0.025)', 4)} AS low, {r('quantile_cont(m, 0.975)', 4)} AS high, count(*) AS resamples FROM mn""")
 def bootstrap_gap(spark: SparkSession, d: str) -> DataFrame:
     """The gap of the first two of the pairwise board with an interval: resampled rounds as Poisson weights, one pass and no copies of rows."""
     points = boards.pairwise_points(score_table(spark, d))
-    best = boards.pairwise_board(score_table(spark, d)).orderBy(F.desc("pairwise"), "entrant").limit(2).select("entrant", F.row_number().over(boards.W.orderBy(F.desc("pairwise"), "entrant")).alias("k"))
+    totals = points.groupBy("entrant").agg(F.round(F.sum("points"), 6).alias("total"))  # a row for each entrant
+    best = totals.withColumn("k", F.row_number().over(boards.W.partitionBy(F.lit(0)).orderBy(F.desc("total"), "entrant"))).where("k <= 2").select("entrant", "k")
     gaps = points.join(F.broadcast(best), "entrant").groupBy("round_id").agg(F.sum(F.when(F.col("k") == 1, F.col("points")).otherwise(-F.col("points"))).alias("gap"))
-    uniform = lambda b: (F.pmod(F.xxhash64(F.lit(5), "round_id", b), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cumulative, total, steps = 0.0, 1.0, []
-    for k in range(8):
-        cumulative += total * 0.36787944117144233
-        total /= k + 1
-        steps.append(cumulative)
-    weight = lambda u: sum((F.when(u > c, 1).otherwise(0) for c in steps), F.lit(0))
-    drawn = gaps.select("round_id", "gap", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("b")).withColumn("w", weight(uniform(F.col("b"))))
+    uniform = lambda b: F.conv(F.substring(F.sha2(F.concat_ws(":", b, "round_id"), 256), 1, 8), 16, 10).cast("long") / 4294967296.0
+    weight = lambda u: sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    drawn = gaps.select("round_id", "gap", F.explode(F.sequence(F.lit(0), F.lit(4999))).alias("b")).withColumn("w", weight(uniform(F.col("b"))))
     means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("gap")) / F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("*").alias("resamples"))
+    return means.agg(rounded(F.percentile("m", F.lit(0.025)), 4).alias("low"), rounded(F.percentile("m", F.lit(0.975)), 4).alias("high"), F.count("*").alias("resamples"))
 
 
 TOP = f"{BRAND_WEEKS}, pl AS (SELECT *, row_number() OVER (PARTITION BY week_end ORDER BY revenue DESC, brand) AS place, count(*) OVER (PARTITION BY week_end) AS k FROM bw), top AS (SELECT week_end, place, brand, revenue FROM pl WHERE place <= 10 AND k >= 10)"

@@ -18,6 +18,7 @@ of pairs. Every candidate is verified with the shingles of its whole texts.
 
 from __future__ import annotations
 
+import collections
 import functools
 import math
 from collections.abc import Iterator
@@ -163,7 +164,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.lit(6), "text").alias("tie"), F.col("text").cast("binary").alias("text"))
 
 
-#: part 0: pairs of small entries; 1: entries of a bucket, or its common ones; 2: stars of common entries; 3: members.
+#: part 0: pairs of small entries; 1: entries of a bucket; 2: stars of common entries; 3: members; 4: memberships of common entries.
 PACKED = "bucket int, part int, a binary, b binary, names binary, sizes binary, left binary, weights binary"
 PACK = {"bucket": pa.int32(), "part": pa.int32()} | {k: pa.binary() for k in ("a", "b", "names", "sizes", "left", "weights")}
 
@@ -179,8 +180,51 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
 
+Sets = collections.namedtuple("Sets", "name size side left weight")  # of memberships: the set, its size, band, slack and the entry's weight
+
+
+def told(bucket: int, part: int, own: Sets, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """A row of pairs of places, with the weight they share here and the smaller slack; sets from the band above meet in their own band."""
+    keep = near(own.size[a], own.size[b]) & (own.side[a] + own.side[b] < 2) & (own.name[a] != own.name[b])
+    a, b = a[keep], b[keep]
+    swap = own.name[a] > own.name[b]
+    low, high = (np.where(swap, b, a), np.where(swap, a, b)) if part == 0 else (a, b)
+    order = np.lexsort((own.side[high], own.side[low], own.name[high], own.name[low]))
+    low, high = low[order], high[order]
+    new = np.flatnonzero(first_of(own.name[low], own.name[high], own.side[low], own.side[high]))
+    if not len(new):
+        return []
+    return [(bucket, part, own.name[low][new].tobytes(), own.name[high][new].tobytes(), None, (own.side[low] + 2 * own.side[high])[new].astype(np.int32).tobytes(), np.minimum(own.left[low], own.left[high])[new].astype(np.int32).tobytes(), np.add.reduceat(own.weight[low].astype(np.int64), new).astype(np.int32).tobytes())]
+
+
+def stars(bucket: int, entry: np.ndarray, own: Sets, places: np.ndarray, most: int) -> tuple[list[tuple], np.ndarray]:
+    """Of common entries (places, sorted by entry) the rows of their stars, and which of the places are their `most` most central sets.
+
+    The members of an entry are told against its most central set.
+    """
+    distinct, who = np.unique(own.name[places], return_inverse=True)
+    central = np.bincount(np.ravel(who), minlength=len(distinct))[np.ravel(who)]
+    order = np.lexsort((own.name[places], -central, entry[places]))
+    ranked = places[order]
+    start = np.flatnonzero(first_of(entry[ranked]))
+    count = np.diff(np.append(start, len(ranked)))
+    top = np.zeros(len(places), bool)
+    top[order] = np.arange(len(ranked)) - np.repeat(start, count) < most
+    return told(bucket, 2, own, np.repeat(ranked[start], count), ranked), top
+
+
+def memberships(bucket: int, entry: np.ndarray, own: Sets) -> tuple:
+    """A row of common entries (64 bits) with their sets."""
+    distinct, who = np.unique(own.name, return_inverse=True)
+    return bucket, 4, entry.astype(np.int64).tobytes(), np.ravel(who).astype(np.uint32).tobytes(), distinct.tobytes(), own.side.astype(np.int32).tobytes(), own.left.astype(np.int32).tobytes(), own.weight.astype(np.int8).tobytes()
+
+
 def index(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed members, pairs, stars, and common entries with their sets."""
+    """Packed members, pairs, stars, and common entries with their sets.
+
+    An entry that more than COMMON sets of one pack have is common already: its COMMON + 1 most central ones alone go to
+    the entry's bucket, the others stay in rows of their pack. So no bucket gets all of a huge family.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, entries, count, turn = Hashes(bytes.lower), [], 0, 0, 0
@@ -193,6 +237,21 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
             tells[first] = True
             tells = tells[owner // 2]
             entry, owner, weight = entry[tells], owner[tells], weight[tells]
+            order = np.argsort(entry, kind="stable")
+            entry, owner, weight = entry[order], owner[order], weight[order]
+            start = np.flatnonzero(first_of(entry))
+            count = np.diff(np.append(start, len(entry)))
+            hot = np.flatnonzero(np.repeat(count, count) > COMMON)
+            if len(hot):
+                own = Sets(names[owner // 2], size[owner // 2], owner % 2, left[owner], weight)
+                at_home = (turn + int(ties[0])) % buckets
+                found, top = stars(at_home, entry, own, hot, COMMON + 1)
+                rest = hot[~top]
+                code = ((entry[rest] >> U(32)) % U(buckets) << U(32)) | (entry[rest] & U(0xFFFFFFFF))
+                yield from rows(PACK, [*found, memberships(at_home, code, Sets(*(x[rest] for x in own)))]).to_batches()
+                keep = np.ones(len(entry), bool)
+                keep[rest] = False
+                entry, owner, weight = entry[keep], owner[keep], weight[keep]
             for b, at in by_part(((entry >> U(32)) % U(buckets)).astype(np.int32)):
                 distinct, place = short(owner[at])
                 side = (distinct % 2).astype(np.int32)
@@ -214,7 +273,7 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
     def meet(group: pa.Table) -> pa.Table:
         bucket, parts, found = group.column("bucket")[0].as_py(), [], []
         for r in group.to_pylist():
-            if r["part"] == 3:
+            if r["part"] > 1:
                 found.append(tuple(r[k] for k in PACK))
                 continue
             names = np.frombuffer(r["names"], np.int64)
@@ -232,34 +291,17 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((size % 2, name, entry))
         order = order[first_of(entry[order], name[order])]
         entry, name, left, weight = entry[order], name[order], left[order], weight[order]
-        size, side = size[order] // 2, size[order] % 2
+        own = Sets(name, size[order] // 2, size[order] % 2, left, weight)
         start = np.flatnonzero(first_of(entry))
         count = np.diff(np.append(start, len(entry)))
-        many, last, group_of = np.repeat(count, count), np.repeat(start + count, count), np.repeat(np.arange(len(start)), count)
-
-        def told(part: int, a: np.ndarray, b: np.ndarray) -> None:
-            """Pairs of places, with the weight they share here and the smaller slack; sets from the band above meet in their own band."""
-            keep = near(size[a], size[b]) & (side[a] + side[b] < 2) & (name[a] != name[b])
-            a, b = a[keep], b[keep]
-            swap = name[a] > name[b]
-            low, high = (np.where(swap, b, a), np.where(swap, a, b)) if part == 0 else (a, b)
-            order = np.lexsort((side[high], side[low], name[high], name[low]))
-            low, high = low[order], high[order]
-            new = np.flatnonzero(first_of(name[low], name[high], side[low], side[high]))
-            if len(new):
-                found.append((bucket, part, name[low][new].tobytes(), name[high][new].tobytes(), None, (side[low] + 2 * side[high])[new].astype(np.int32).tobytes(), np.minimum(left[low], left[high])[new].astype(np.int32).tobytes(), np.add.reduceat(weight[low].astype(np.int64), new).astype(np.int32).tobytes()))
-
+        many, last = np.repeat(count, count), np.repeat(start + count, count)
         small = np.flatnonzero((many > 1) & (many <= COMMON))
         one = [small[small + gap < last[small]] for gap in range(1, COMMON)]
-        told(0, np.concatenate(one), np.concatenate([a + gap for gap, a in enumerate(one, 1)]))
+        found.extend(told(bucket, 0, own, np.concatenate(one), np.concatenate([a + gap for gap, a in enumerate(one, 1)])))
         hot = np.flatnonzero(many > COMMON)
         if len(hot):
-            distinct, who = np.unique(name[hot], return_inverse=True)
-            central = np.bincount(who, minlength=len(distinct))[who]
-            rank = hot[np.lexsort((name[hot], -central, group_of[hot]))]
-            pivot = rank[first_of(group_of[rank])]
-            told(2, np.repeat(pivot, count[group_of[pivot]]), rank)
-            found.append((bucket, 1, group_of[hot].astype(np.uint32).tobytes(), who.astype(np.uint32).tobytes(), distinct.tobytes(), side[hot].astype(np.int32).tobytes(), left[hot].astype(np.int32).tobytes(), weight[hot].tobytes()))
+            found.extend(stars(bucket, entry, own, hot, 0)[0])
+            found.append(memberships(bucket, (U(bucket) << U(32)) | entry[hot].astype(U), Sets(*(x[hot] for x in own))))
         return rows(PACK, found)
 
     return docs.mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(meet, PACKED)
@@ -308,39 +350,21 @@ def over(packed: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels: node, component; a set without a label is a component of its own.
     """
-    groups = packed.where("part = 1")
+    kinds = {k: pa.int64() for k in ("entry", "name", "side", "left", "weight")}
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, names in zip(b.column("bucket").to_pylist(), b.column("names").to_pylist(), strict=True):
-                names = np.frombuffer(names, np.int64)
-                yield batch({"bucket": pa.int32(), "node": pa.int64()}, [np.full(len(names), bucket), names])
-
-    known = groups.select("bucket", "names").mapInArrow(unpack, "bucket int, node long").join(labels, "node")
-    kinds = {k: pa.int64() for k in ("name", "side", "left", "weight")}
-
-    def weigh(own: pa.Table, known: pa.Table) -> pa.Table:
-        out = [rows(kinds, [])]
-        node = known.column("node").to_numpy()
-        order = np.argsort(node)
-        node, component = node[order], known.column("component").to_numpy()[order]
-        for r in own.to_pylist():
-            names = np.frombuffer(r["names"], np.int64)
-            label = names
-            if len(node):
-                at = np.minimum(np.searchsorted(node, names), len(node) - 1)
-                label = np.where(node[at] == names, component[at], names)
-            group_of, place, side, left, weight = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["left"], np.int32), np.frombuffer(r["weights"], np.int8)
-            order = np.lexsort((label[place], group_of))
-            group_of, place, side, left, weight = group_of[order], place[order], side[order], left[order], weight[order]
-            start = np.flatnonzero(first_of(group_of))
-            mixed = np.repeat(np.add.reduceat(first_of(group_of, label[place]).astype(np.int64), start) > 1, np.diff(np.append(start, len(group_of))))
-            key, at = np.unique(np.stack([place[mixed].astype(np.int64), side[mixed], left[mixed]]), axis=1, return_inverse=True)
-            out.append(pa.Table.from_batches([batch(kinds, [names[key[0]], key[1], key[2], np.bincount(np.ravel(at), weights=weight[mixed], minlength=key.shape[1]).astype(np.int64)])]))
-        return pa.concat_tables(out)
-
-    hot = groups.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(weigh, "name long, side long, left long, weight long")
-    return hot.groupBy("name", "side").agg(F.sum("weight").alias("w"), F.min("left").alias("left")).where("w > greatest(left, 0) div 2").select("name").distinct()
+            for r in b.to_pylist():
+                names = np.frombuffer(r["names"], np.int64)[np.frombuffer(r["b"], np.uint32)]
+                yield batch(kinds, [np.frombuffer(r["a"], np.int64), names, *(np.frombuffer(r[k], t) for k, t in (("sizes", np.int32), ("left", np.int32), ("weights", np.int8)))])
+
+    # equal sets of several packs are one node, and of a set that meets an entry in two bands one counts
+    held = packed.where("part = 4").mapInArrow(unpack, "entry long, name long, side long, left long, weight long")
+    held = save(held.groupBy("entry", "name").agg(F.min(F.struct("side", "left", "weight")).alias("m")).select("entry", "name", "m.*"), "common")
+    known = held.join(labels.withColumnRenamed("node", "name"), "name", "left").select("entry", F.coalesce("component", "name").alias("component"))
+    mixed = known.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry")
+    heavy = held.join(mixed, "entry", "left_semi").groupBy("name", "side").agg(F.sum("weight").alias("w"), F.min("left").alias("left"))
+    return heavy.where("w > greatest(left, 0) div 2").select("name").distinct()
 
 
 def texts_of(docs: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:

@@ -269,9 +269,10 @@ def test_families_that_do_not_link_give_no_square_of_candidates(spark, monkeypat
     assert max(counts) <= 40 and counts[2] <= 1.5 * counts[0] + 1, counts
 
 
-@pytest.mark.parametrize("meet", [3, 40])
-def test_blocks_of_common_shingles_lose_no_link(spark, monkeypatch, meet):
+@pytest.mark.parametrize(("meet", "pack"), [(3, 7), (40, 30_000)])
+def test_blocks_of_common_shingles_lose_no_link(spark, monkeypatch, meet, pack):
     monkeypatch.setattr(jaccard, "MEET", meet)
+    monkeypatch.setattr(jaccard, "PACK_DOCS", pack)
     monkeypatch.setattr(jaccard, "COMMON", 2)
     monkeypatch.setattr(jaccard, "PIVOTS", 1)
     rnd = random.Random(8)

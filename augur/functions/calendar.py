@@ -59,3 +59,28 @@ def midpoint(start: Column, end: Column) -> Column:
 
 def month_index(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
+
+
+def effective_deadline(lock: Column) -> Column:
+    """A round closes at its own lock; the Monday before it is only the label of its batch."""
+    return lock
+
+
+def freeze_at(lock: Column) -> Column:
+    """From when on the answer may exist somewhere: the close. (What a null may read ends at window_opens_at.)"""
+    return effective_deadline(lock)
+
+
+def week_days(end: Column) -> Column:
+    """The seven days of the week that ends on a day, whichever weekday that is."""
+    return F.sequence(F.date_sub(end, 6), end)
+
+
+def saturday_week_end(day: Column) -> Column:
+    """The Saturday of a day's Sunday week."""
+    return F.date_add(day, 6 - (F.weekday(day) + 1) % 7)
+
+
+def months_back(newest: Column, n: int) -> Column:
+    """The n first days of months that end with this one's, oldest first."""
+    return F.transform(F.sequence(F.lit(n - 1), F.lit(0)), lambda k: F.add_months(F.trunc(newest, "month"), -k))

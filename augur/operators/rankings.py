@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from augur.functions.calendar import week_end
 from augur.functions.scores import exact_positions, kendall_loss, rbo
+from augur.functions.text import canonical_title, excluded
 
 
 def complete_weeks(daily: DataFrame, by: list[str]) -> DataFrame:
@@ -63,3 +64,23 @@ def quantile_problems(quantiles: Column) -> Column:
     entries = F.array_sort(F.transform(F.map_entries(quantiles), lambda e: F.struct(e["key"].cast("double").alias("level"), e["value"].alias("value"))))
     falls = F.exists(F.zip_with(F.slice(entries, F.lit(1), F.size(entries) - 1), F.slice(entries, F.lit(2), F.size(entries) - 1), lambda a, b: a["value"] > b["value"]), lambda x: x)
     return F.array_compact(F.array(F.when(~F.exists(entries, lambda e: e["level"] == 0.5), "no_median"), F.when(F.exists(entries, lambda e: (e["level"] <= 0) | (e["level"] >= 1)), "level"), F.when((F.size(entries) > 1) & falls, "order")))
+
+
+def weekly_thousands(daily: DataFrame, by: list[str]) -> DataFrame:
+    """by, date (the Sunday), value: sums of complete weeks in thousands, to one decimal. daily: by, date, value."""
+    return complete_weeks(daily, by).select(*by, F.col("week_end").alias("date"), F.bround(F.col("total") / 1000.0, 1).alias("value"))
+
+
+def ranked_weeks(daily: DataFrame, weeks: DataFrame, n: int, rule: str) -> DataFrame:
+    """week_end, place, title: the n largest of each wanted week, without what a rule keeps out; titles are made canonical after the cut.
+
+    daily: date, title, views. weeks: week_end. The job fails on a week that lacks a day, and on one that keeps fewer than n titles.
+    """
+    dated = daily.withColumn("week_end", week_end(F.col("date"))).join(weeks.select("week_end").distinct(), "week_end", "left_semi")
+    days = weeks.select("week_end").distinct().join(dated.groupBy("week_end").agg(F.countDistinct("date").alias("_days")), "week_end", "left")
+    whole = days.select(F.when(F.col("_days") == 7, F.col("week_end")).otherwise(F.raise_error(F.concat(F.lit("a partial week: "), F.col("week_end").cast("string"))).cast("date")).alias("week_end"))
+    totals = dated.where(~excluded(F.col("title"), rule)).groupBy("week_end", "title").agg(F.sum("views").alias("views"))
+    order, every = W.partitionBy("week_end").orderBy(F.desc("views"), "title"), W.partitionBy("week_end")
+    placed = totals.withColumns({"place": F.row_number().over(order), "_kept": F.count("*").over(every)}).where(F.col("place") <= n)
+    enough = F.when(F.col("_kept") >= n, F.col("place")).otherwise(F.raise_error(F.lit("too few titles for the list")).cast("int"))
+    return placed.join(whole, "week_end").select("week_end", enough.alias("place"), canonical_title(F.col("title")).alias("title"))

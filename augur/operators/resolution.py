@@ -58,10 +58,14 @@ def last_before_lock(versions: DataFrame) -> DataFrame:
 
 
 def cell_outcomes(obs: DataFrame, rounds: DataFrame) -> DataFrame:
-    """round_id, date, value: the last value at or before the release, which must not be older than the freeze."""
-    joined = rounds.select("round_id", "series", "freeze_date", "release_date").join(obs, "series").where("date <= release_date")
-    found = joined.groupBy("round_id", "freeze_date").agg(F.max_by(F.struct("date", "value"), "date").alias("_r")).select("round_id", "freeze_date", "_r.*")
-    return found.where("date >= freeze_date").drop("freeze_date")
+    """round_id, date, value: the last value at or before the release, which must not be older than the freeze.
+
+    Of a source that publishes waves (rounds may have a boolean wave) it must fall in the seven days that end on the release.
+    """
+    wave = F.col("wave") if "wave" in rounds.columns else F.lit(False)
+    joined = rounds.select("round_id", "series", "freeze_date", "release_date", wave.alias("_wave")).join(obs, "series").where("date <= release_date")
+    found = joined.groupBy("round_id", "freeze_date", "release_date", "_wave").agg(F.max_by(F.struct("date", "value"), "date").alias("_r")).select("round_id", "freeze_date", "release_date", "_wave", "_r.*")
+    return found.where("date >= freeze_date and (not _wave or date > date_sub(release_date, 7))").select("round_id", "date", "value")
 
 
 def as_displayed(calendar: DataFrame, snapshots: DataFrame, points: DataFrame) -> DataFrame:

@@ -101,3 +101,12 @@ def source_state(ok: Column, stale: Column, error: Column, at: Column, deadline:
         F.when(ok & stale, "stale").when(ok, "healthy").when(still, F.when(risk, "deadline_risk").otherwise("stale")).when(terminal(error, source=True), "unresolvable")
         .when(risk, "deadline_risk").otherwise("retryable_failure")
     )
+
+
+def still_due(now: str, least_minutes: int = 720) -> Column:
+    """Whether an answer is still to be bought: one that isn't there, whenever; one filed within the window, never; a draft from before the window, until half the window before the lock.
+
+    Columns: filed (whether there is one), in_window, lock_at.
+    """
+    left = F.unix_timestamp("lock_at") - F.unix_timestamp(F.lit(now).cast("timestamp"))
+    return F.when(~F.col("filed"), F.lit(True)).when(F.col("in_window"), F.lit(False)).otherwise(left >= least_minutes * 60)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from augur.functions.calendar import batch_of, deadline_for, governed_by_batch
+from augur.functions.calendar import batch_of, deadline_for, effective_deadline, governed_by_batch
 
 #: Shapes of rounds, fields that each must have, stamps, words of rules that move, and words that pin one down.
 SHAPES = ("continuous_normal", "profile_energy", "ranking_list")
@@ -111,11 +111,6 @@ def calendar_slips(entries: DataFrame) -> DataFrame:
     return found.select("series", F.when(F.col("_waves") < CHECKED_WAVES, "too few waves").when(F.col("_slips") > MAX_SLIPS, "slips").alias("problem"))
 
 
-def effective_deadline(lock: Column) -> Column:
-    """A round closes at its own lock; the Monday before it is only the label of its batch."""
-    return lock
-
-
 def publishable(rounds: DataFrame, now: str) -> DataFrame:
     """Rounds that can still reach entrants. rounds: lock_at, any others."""
     return rounds.where(effective_deadline(F.col("lock_at")) > F.lit(now).cast("timestamp"))
@@ -265,3 +260,8 @@ def restored_runs(lines: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataF
     kept = marked.agg(F.count("*").alias("unique"), F.count_if(new).alias("restored"), F.count_if(~new).alias("skipped_existing"), F.count_if(new & F.col("topline").isNotNull()).alias("successful"), F.count_if(new & F.col("topline").isNull()).alias("failures"))
     counts = lines.agg(F.countDistinct("file").alias("files"), F.count("*").alias("lines")).join(F.broadcast(kept)).withColumn("superseded", F.col("lines") - F.col("unique"))  # one row each
     return marked.where(new).drop("_cached"), counts
+
+
+def freeze_once(frozen: DataFrame, values: DataFrame) -> DataFrame:
+    """round_id, field, value: what was frozen stays as it is, only fields that a round hasn't are added. Both: round_id, field, value."""
+    return frozen.select("round_id", "field", "value").unionByName(values.join(frozen.select("round_id", "field").distinct(), ["round_id", "field"], "left_anti").select("round_id", "field", "value"))

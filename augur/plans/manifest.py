@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.operators import answers, boards, nulls, panel, season
+from augur.functions import calendar as C
+from augur.operators import answers, boards, nulls, panel, rankings, rules, season
 from augur.plans.fixtures import OBS, SCORES, r, rounded, table
 from augur.plans.fixtures import obs as obs_table
 from augur.plans.fixtures import scores as score_table
 from augur.plans.registry import query
-from augur.sources import registry
+from augur.sources import readers, registry
 
 
 def picked(n: str, choices: list[str]) -> Column:
@@ -293,3 +294,41 @@ def registered_series(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("date")).agg(F.count_if(F.col("event_type") == "click").alias("a"), F.count_if(F.col("event_type") == "view").alias("b"))
     found = registry.build_all({"polls": polls, "counts": counts}, specs, unavailable=["lost"])
     return found.select("series", "date", rounded("value", 3).alias("value"))
+
+
+@query("""WITH d AS (SELECT p_name AS title, CAST(l_shipdate AS DATE) AS date, CAST(sum(l_quantity) AS BIGINT) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), w AS (SELECT title, date + CAST(7 - isodow(date) AS INTEGER) AS date, sum(v) AS t FROM d GROUP BY 1, 2 HAVING count(DISTINCT d.date) = 7) SELECT title, date, round_even(t / 1000.0, 1) AS value FROM w""")
+def weekly_thousands(spark: SparkSession, d: str) -> DataFrame:
+    return rankings.weekly_thousands(title_days(spark, d).withColumnRenamed("views", "value"), ["title"])
+
+
+def title_days(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.groupBy(F.col("p_name").alias("title"), F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").cast("long").alias("views"))
+
+
+@query("""WITH d AS (SELECT p_name AS title, CAST(l_shipdate AS DATE) AS date, CAST(sum(l_quantity) AS BIGINT) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), w AS (SELECT *, date + CAST(7 - isodow(date) AS INTEGER) AS week_end FROM d), f AS (SELECT week_end FROM w GROUP BY 1 HAVING count(DISTINCT date) = 7 AND count(DISTINCT title) >= 10), t AS (SELECT week_end, title, sum(v) AS v FROM w SEMI JOIN f USING (week_end) GROUP BY 1, 2)
+  SELECT week_end, row_number() OVER (PARTITION BY week_end ORDER BY v DESC, title) AS place, upper(title[1]) || replace(substr(title, 2), ' ', '_') AS title FROM t QUALIFY place <= 10""")
+def ranked_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """The ten largest titles of every complete week."""
+    daily = title_days(spark, d)
+    weeks = daily.groupBy(C.week_end(F.col("date")).alias("week_end")).agg(F.countDistinct("date").alias("days"), F.countDistinct("title").alias("titles")).where("days = 7 and titles >= 10")
+    return rankings.ranked_weeks(daily, weeks, 10, "main_page_and_namespaces_v1").select("week_end", F.col("place").cast("long").alias("place"), "title")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderstatus = 'O' THEN true WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN false ELSE epoch(CAST(o_orderdate AS TIMESTAMP)) - epoch(TIMESTAMP '1998-03-03 12:00:00') >= 43200 END""")
+def answers_still_due(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") != "O").alias("filed"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("in_window"), F.col("o_orderdate").cast("timestamp").alias("lock_at"))
+    return o.where(rules.still_due("1998-03-03 12:00:00")).select("o_orderkey")
+
+
+@query("""WITH f AS (SELECT o_custkey AS round_id, o_orderpriority AS field, max(o_orderkey) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2), u AS (SELECT o_custkey AS round_id, o_orderpriority AS field, max(o_orderkey) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2) SELECT round_id, field, coalesce(f.value, u.value) AS value FROM f FULL JOIN u USING (round_id, field)""")
+def frozen_once(spark: SparkSession, d: str) -> DataFrame:
+    side = lambda s: table(spark, d, "orders").where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("round_id"), F.col("o_orderpriority").alias("field")).agg(F.max("o_orderkey").alias("value"))
+    return season.freeze_once(side("F"), side("O"))
+
+
+@query("""WITH p AS (SELECT CAST(ts AS DATE) AS date, event_type AS choice, round_even(100.0 * count(*) / 1000, 2) AS v FROM events GROUP BY 1, 2), w AS (SELECT date, max(v) FILTER (choice = 'click') AS click, max(v) FILTER (choice = 'view') AS view FROM p GROUP BY 1) SELECT * FROM w QUALIFY row_number() OVER (ORDER BY date DESC) <= 20""")
+def tracker_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("choice")).agg(F.bround(100.0 * F.count("*") / 1000, 2).alias("value"))
+    points = p.select(F.lit("k").alias("key"), F.lit("2024-02-01").cast("date").alias("capture_day"), "date", "choice", "value")
+    return readers.tracker_snapshot(points, ["click", "view"], 20).select("date", "click", "view")

@@ -151,12 +151,24 @@ def top_articles(days: DataFrame) -> DataFrame:
 
 def tracker_points(snapshots: DataFrame) -> DataFrame:
     """key, capture_day, date, choice, value in percent. snapshots: key, capture_day, body (JSON: choices, points of [ms, share, ...])."""
-    parsed = F.from_json("body", "struct<choices:array<string>,points:array<array<double>>>")
+    kind = "struct<choices:array<string>,points:array<array<double>>>"
+    parsed = F.from_json("body", kind)
+    # an unknown name gets an index page instead of an error, and a page without points would be an empty series
+    parsed = F.when(F.coalesce(F.size(parsed["points"]), F.lit(0)) > 0, parsed).otherwise(refused("a page without a tracker's points", kind))
     rows = snapshots.select("key", "capture_day", parsed.alias("p")).select("key", "capture_day", "p.choices", F.explode("p.points").alias("row"))
     pairs = F.arrays_zip(F.col("choices").alias("choice"), F.slice("row", 2, F.size("choices")).alias("share"))
     return rows.select("key", "capture_day", F.timestamp_millis(F.get("row", F.lit(0)).cast("long")).cast("date").alias("date"), F.explode(pairs).alias("c")).select("key", "capture_day", "date", "c.choice", F.round(F.col("c.share") * 100, 2).alias("value"))
 
 
+def tracker_snapshot(points: DataFrame, choices: list[str], keep: int | None = 60) -> DataFrame:
+    """key, capture_day, date and a column for each choice: all dates that any choice has, the newest `keep` of each capture (None: all)."""
+    wide = points.groupBy("key", "capture_day", "date").pivot("choice", choices).agg(F.max("value"))
+    if keep is None:
+        return wide
+    newest = F.row_number().over(W.partitionBy("key", "capture_day").orderBy(F.desc("date")))
+    return wide.withColumn("_n", newest).where(F.col("_n") <= keep).drop("_n")
+
+
 def net_of(points: DataFrame, plus: list[str], minus: list[str]) -> DataFrame:
     """key, capture_day, date, value: sums of choices that a date has all of, the second from the first."""
     own = points.where(F.col("choice").isin(plus + minus)).groupBy("key", "capture_day", "date").agg(F.sum(F.when(F.col("choice").isin(plus), F.col("value")).otherwise(-F.col("value"))).alias("value"), F.countDistinct("choice").alias("n"))

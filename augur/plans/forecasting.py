@@ -196,12 +196,12 @@ def crowd_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {FORECASTS}, lv AS (SELECT i / 40.0 AS lv FROM range(1, 40) t(i)), x AS (SELECT series, date, entrant, mean + sd * {quantile_sql('lv')} AS x FROM fc, lv), c AS (SELECT series, date, count(DISTINCT entrant) AS members, avg(x) AS mean, stddev_pop(x) AS sd, quantile_cont(x, [i / 40.0 for i in range(1, 40)]) AS q FROM x GROUP BY 1, 2 HAVING count(DISTINCT entrant) >= 2)
-  SELECT series, date, members, {r('mean', 3)} AS mean, {r('sd', 3)} AS sd, [{r('v', 3)} for v in q] AS quantiles FROM c""")
+  SELECT series, date, members, {r('mean', 3)} AS mean, {r('sd', 3)} AS sd, {r('q[1]', 3)} AS low, {r('q[20]', 3)} AS middle, {r('q[39]', 3)} AS high, {r('list_sum(q)', 2)} AS total FROM c""")
 def crowd_of_normals(spark: SparkSession, d: str) -> DataFrame:
     """The mixture of normal answers: their quantiles at 39 levels, pooled."""
     f = forecast_table(spark, d).withColumn("topline", F.struct("mean", "sd", F.expr("map_from_arrays(array_repeat('', 0), array_repeat(0D, 0))").alias("quantiles")))
-    found = crowd.crowd_numbers(f, ["series", "date"], None)
-    return found.select("series", "date", "members", rounded("mean", 3).alias("mean"), rounded("sd", 3).alias("sd"), F.transform(F.map_values("quantiles"), lambda v: rounded(v, 3)).alias("quantiles"))
+    found, q = crowd.crowd_numbers(f, ["series", "date"], None), F.map_values("quantiles")
+    return found.select("series", "date", "members", rounded("mean", 3).alias("mean"), rounded("sd", 3).alias("sd"), *[rounded(F.get(q, F.lit(i)), 3).alias(n) for n, i in (("low", 0), ("middle", 19), ("high", 38))], rounded(F.aggregate(q, F.lit(0.0), lambda acc, x: acc + x), 2).alias("total"))
 
 
 @query(f"""WITH p AS (SELECT CAST(i AS BIGINT) AS id, i / 1000.0 AS p FROM range(1, 1000) t(i)) SELECT id, {r(quantile_sql('p'), 9)} AS z FROM p""")

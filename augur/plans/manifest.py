@@ -37,7 +37,7 @@ def number_answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", answers.number_answer(reply).alias("a")).select("event_id", "a.*")
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'missing cells' WHEN 2 THEN 'cells that were not asked for' WHEN 3 THEN 'b: sd' WHEN 4 THEN 'no JSON object' END AS problem, CASE event_id % 5 WHEN 0 THEN event_id + 0.5 END AS mean_a FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'missing cells' WHEN 2 THEN 'cells that were not asked for' WHEN 3 THEN 'b: sd' WHEN 4 THEN 'no JSON object' END AS problem, CASE event_id % 5 WHEN 0 THEN CAST(event_id + 0.5 AS DOUBLE) END AS mean_a FROM events""")
 def profile_answers(spark: SparkSession, d: str) -> DataFrame:
     cell = lambda name, sd: F.concat(F.lit(f'"{name}": {{"mean": '), F.col("event_id").cast("string"), F.lit(f'.5, "sd": {sd}}}'))
     wrap = lambda *cells: F.concat(F.lit("so {it} is {"), F.concat_ws(", ", *cells), F.lit("}"))
@@ -81,12 +81,12 @@ def single_losses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", answers.loss_of(score).alias("loss"), answers.scoreable(entrant, notes).alias("scoreable"), answers.competes(entrant, notes).alias("competes"))
 
 
-@query(f"""WITH c AS (SELECT vec_id, [{r('CAST(embedding[i] AS DOUBLE) * 100', 3)} for i in range(1, 5)] AS m FROM embeddings) SELECT vec_id, CASE WHEN m[2] < 0 OR m[4] < -20 THEN 'missing ' || ((m[2] < 0)::INT + (m[4] < -20)::INT) || ' of 4 cells' END AS problem, CASE WHEN NOT (m[2] < 0 OR m[4] < -20) THEN m END AS means FROM c""")
+@query(f"""WITH c AS (SELECT vec_id, [{r('CAST(embedding[i] AS DOUBLE) * 100', 3)} for i in range(1, 5)] AS m FROM embeddings) SELECT vec_id, CASE WHEN m[2] < 0 OR m[4] < -20 THEN 'missing ' || ((m[2] < 0)::INT + (m[4] < -20)::INT) || ' of 4 cells' END AS problem, CASE WHEN NOT (m[2] < 0 OR m[4] < -20) THEN m[1] END AS first, CASE WHEN NOT (m[2] < 0 OR m[4] < -20) THEN m[4] END AS last FROM c""")
 def crosstab_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Cells as vectors; a profile with a hole is refused."""
     cells = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x")).select("vec_id", F.concat(F.lit("c"), "i").alias("cell"), rounded(F.col("x").cast("double") * 100, 3).alias("mean"), F.lit(1.0).alias("sd"))
     held = cells.withColumn("mean", F.when(~((F.col("cell") == "c1") & (F.col("mean") < 0) | (F.col("cell") == "c3") & (F.col("mean") < -20)), F.col("mean")))
-    return answers.submission_vectors(held, ["c0", "c1", "c2", "c3"], ["vec_id"]).select("vec_id", "problem", "means")
+    return answers.submission_vectors(held, ["c0", "c1", "c2", "c3"], ["vec_id"]).select("vec_id", "problem", F.get("means", F.lit(0)).alias("first"), F.get("means", F.lit(3)).alias("last"))
 
 
 RULES_TEXT = ["the archived snapshot of the page", "the latest value", "by hand", "certified results"]

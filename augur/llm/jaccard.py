@@ -516,6 +516,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A null or wordless text has no shingles and is a component of its own. A row without doc_id takes part, but names no
     component unless all rows of its component are without (component_id is null then). Repeated rows give repeated rows.
+    Where one document must be chosen, a row without doc_id counts as 2**62, so ids from there on come no sooner than it.
     """
     sets, labels = components(docs)
     own = spread_join(sets, labels.withColumnRenamed("node", "name"), "name").withColumn("component", F.coalesce("component", "name"))

@@ -24,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows where the session has the default of 10,000, which with whole texts fill an executor's memory outside the heap."""
+    """Arrow batches of 1,000 rows where the session has the default of 10,000, which with whole texts fill an executor's memory outside the heap.
+
+    This stays set for the session; a caller who has set another number keeps it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, "1000")

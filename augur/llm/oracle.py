@@ -1,5 +1,6 @@
 """DuckDB SQL for the training-data queries that SQL can express. The others have brute-force tests in tests/llm."""
 
+from augur.llm.chat import SQL as OP13
 from augur.llm.clustering import SQL as OP11
 from augur.llm.resampling import SQL as OP12
 
@@ -26,4 +27,4 @@ OP10 = f"""WITH d AS (SELECT doc_id, {WORDS.replace("{text}", "coalesce(text, ''
   kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY j) AS t FROM a ANTI JOIN x USING (doc_id, j) GROUP BY 1), gone AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1)
   SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
 
-SQL = {"op5_decontamination": OP5, "op6_jaccard": OP6, "op10_substrings": OP10, "op11_clustering": OP11, "op12_resampling": OP12}
+SQL = {"op5_decontamination": OP5, "op6_jaccard": OP6, "op10_substrings": OP10, "op11_clustering": OP11, "op12_resampling": OP12, "op13_chat": OP13}

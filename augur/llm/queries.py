@@ -1,5 +1,6 @@
 """The training-data queries: one for each operator, over its whole table. SQL has those that DuckDB can express."""
 
+from augur.llm.chat import op13_chat
 from augur.llm.clustering import op11_clustering
 from augur.llm.decontamination import op5_decontamination
 from augur.llm.jaccard import op6_jaccard
@@ -14,5 +15,5 @@ from augur.llm.substrings import op10_substrings
 from augur.llm.tokens import op1_tokens
 from augur.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_tokens, op2_quality, op3_pii, op4_sharding, op5_decontamination, op6_jaccard, op7_mixing, op8_toxicity, op9_neighbours, op10_substrings, op11_clustering, op12_resampling)}
+QUERIES = {f.__name__: f for f in (op1_tokens, op2_quality, op3_pii, op4_sharding, op5_decontamination, op6_jaccard, op7_mixing, op8_toxicity, op9_neighbours, op10_substrings, op11_clustering, op12_resampling, op13_chat)}
 

@@ -74,13 +74,35 @@ def poll_history(polls: DataFrame) -> DataFrame:
     return polls.groupBy("date").agg(F.max_by("value", F.struct(F.col("population") == "a", "end_date", "pollster", "value")).alias("value"))
 
 
-def records(raw: DataFrame, subgroups: list[str], pollster: str, populations: list[str], since: str) -> DataFrame:
-    """Typed poll records of a raw sheet; rows with bad or reversed dates go, a missing size counts as 0."""
-    start, end = F.try_to_timestamp("start_date", F.lit("M/d/yyyy")).cast("date"), F.try_to_timestamp("end_date", F.lit("M/d/yyyy")).cast("date")
-    typed = raw.withColumns({"start_date": start, "end_date": end, "n": F.coalesce(F.expr("try_cast(n as int)"), F.lit(0)), "value": F.expr("try_cast(value as double)")})
-    typed = typed.where(F.lower("subgroup").isin([s.lower() for s in subgroups]) & F.contains(F.lower("pollster"), F.lit(pollster.lower())) & F.col("population").isin(populations))
-    typed = typed.where("start_date is not null and end_date >= start_date and value is not null")
-    return typed.withColumn("date", F.date_add("start_date", F.floor(F.datediff("end_date", "start_date") / 2).cast("int"))).where(F.col("date") >= F.lit(since).cast("date"))
+def typed(sheet: DataFrame) -> DataFrame:
+    """Poll records of a sheet as landed (all text): its dates, the field midpoint as date, sizes and shares as numbers.
+
+    Rows with bad or reversed dates go, and those without one of the shares that the sheet has (approve and disapprove;
+    dem, rep and net; or value); a missing size counts as 0. Approval gets its net; the population is in capitals.
+    """
+    shares = [c for c in ("approve", "disapprove", "dem", "rep", "net", "value") if c in sheet.columns]
+    day = lambda c: F.try_to_timestamp(F.trim(c), F.lit("M/d/yyyy")).cast("date")
+    number = lambda c: F.expr(f"try_cast(trim({c}) as double)")
+    found = sheet.withColumns({
+        "start_date": day("start_date"), "end_date": day("end_date"), "n": F.coalesce(F.floor(number("n")).cast("int"), F.lit(0)), **{c: number(c) for c in shares},
+        "pollster": F.trim(F.coalesce("pollster", F.lit(""))), "population": F.upper(F.trim(F.coalesce("population", F.lit("")))),
+    }).where(" and ".join(["start_date is not null", "end_date >= start_date", *(f"{c} is not null and not isnan({c})" for c in shares)]))
+    if "net" not in shares and "approve" in shares:
+        found = found.withColumn("net", F.bround(F.col("approve") - F.col("disapprove"), 2))
+    return found.withColumn("date", F.date_add("start_date", F.floor(F.datediff("end_date", "start_date") / 2).cast("int")))
+
+
+def records(sheet: DataFrame, subgroups: list[str] | None = None, pollster: str | None = None, population: str | None = None, sponsor: str | None = None, since: str | None = None) -> DataFrame:
+    """Typed records of one of the subgroups and of the population, from pollsters and sponsors that hold these texts, all regardless of case; since: the first day on which a poll may end."""
+    found = typed(sheet)
+    if subgroups:
+        found = found.where(F.lower(F.trim("subgroup")).isin([s.strip().lower() for s in subgroups]))
+    for column, text in (("pollster", pollster), ("sponsors", sponsor)):
+        if text:
+            found = found.where(F.contains(F.lower(column), F.lit(text.lower())))
+    if population:
+        found = found.where(F.col("population") == population.upper())
+    return found.where(F.col("end_date") >= F.lit(since).cast("date")) if since else found
 
 
 def running_average(obs: DataFrame, days: int) -> DataFrame:

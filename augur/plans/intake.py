@@ -240,11 +240,11 @@ def quantile_problems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.array_join(rankings.quantile_problems(q), ",").alias("problems"))
 
 
-@query(f"""WITH {POLLS} SELECT pollster, population, count(*) AS n, {r('avg(value)')} AS mean FROM polls WHERE contains(lower(pollster), 'urgent') OR contains(lower(pollster), 'high') GROUP BY 1, 2""")
+@query(f"""WITH {POLLS} SELECT pollster, upper(population) AS population, count(*) AS n, {r('avg(value)')} AS mean FROM polls WHERE contains(lower(pollster), 'urgent') OR contains(lower(pollster), 'high') GROUP BY 1, 2""")
 def poll_filters(spark: SparkSession, d: str) -> DataFrame:
     p = poll_table(spark, d)
     raw = p.select(F.lit("All").alias("subgroup"), "pollster", "population", F.date_format("start_date", "M/d/yyyy").alias("start_date"), F.date_format("end_date", "M/d/yyyy").alias("end_date"), F.col("n").cast("string").alias("n"), F.col("value").cast("string").alias("value"))
-    found = polls.records(raw, ["ALL"], "urgent", ["a", "rv", "lv"], "1990-01-01").unionByName(polls.records(raw, ["all"], "HIGH", ["a", "rv", "lv"], "1990-01-01"))
+    found = polls.records(raw, ["ALL"], "urgent").unionByName(polls.records(raw, ["all"], "HIGH", since="1990-01-01"))
     return found.groupBy("pollster", "population").agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("mean"))
 
 

@@ -71,11 +71,83 @@ def test_registry(spark):
     table = spark.createDataFrame([(dt.date(2026, 1, 1), 40.0, 30.0), (dt.date(2026, 1, 8), 35.1, None)], "date date, bull double, bear double")
     specs = [s for s in registry.REGISTRY if s.source == "aaii"]
     obs = registry.build_all({"aaii": table}, specs)
-    assert [tuple(r) for r in obs.collect()] == [("aaii_spread", dt.date(2026, 1, 1), 10.0)]
+    assert [tuple(r) for r in obs.collect()] == [("aaii_bull_bear_spread", dt.date(2026, 1, 1), 10.0)]
     with pytest.raises(ValueError, match="umich"):
         registry.build_all({"aaii": table}, registry.REGISTRY, unavailable=[s.source for s in registry.REGISTRY if s.source not in ("aaii", "umich")])
     assert [r[0] for r in registry.empty_series(obs, [*specs, registry.Series("none", "x")], spark).collect()] == ["none"]
-    assert len({s.series for s in registry.REGISTRY}) == len(registry.REGISTRY)
+    assert len({s.series for s in registry.REGISTRY}) == len(registry.REGISTRY) == 77
+
+
+SHEET = "subgroup string, pollster string, sponsors string, population string, start_date string, end_date string, n string, approve string, disapprove string, row long"
+
+
+def sheet(spark, *rows):
+    base = {"subgroup": "All polls", "pollster": "YouGov", "sponsors": "The Economist", "population": "A", "start_date": "9/4/2026", "end_date": "9/7/2026", "n": "1500", "approve": "40.5", "disapprove": "55.25"}
+    return spark.createDataFrame([tuple({**base, "row": i, **r}[c.split()[0]] for c in SHEET.split(", ")) for i, r in enumerate(rows)], SHEET)
+
+
+def series_of(spark, *rows):
+    table = sheet(spark, *rows)
+    found = registry.build_all({"sb_approval": table}, [s for s in registry.REGISTRY if s.source == "sb_approval"]).collect()
+    return {(r["series"], str(r["date"])): r["value"] for r in found}
+
+
+def test_polls_of_other_sponsors_and_bases_are_other_series(spark):
+    """Sponsors are parts of the text, populations and cuts whole ones; all regardless of case."""
+    found = series_of(spark, {}, {"sponsors": "CBS News", "approve": "1"}, {"sponsors": None, "approve": "2"}, {"population": " rv ", "subgroup": "voters", "approve": "43"}, {"population": "RV", "start_date": "9/11/2026", "end_date": "9/14/2026", "approve": "42"})
+    assert found == {("yougov_approval", "2026-09-05"): 40.5, ("yougov_rv_approval", "2026-09-05"): 43.0, ("yougov_rv_approval", "2026-09-12"): 42.0}
+
+
+def test_a_moved_base_starts_where_it_became_the_published_one(spark):
+    stray = {"subgroup": "Strong", "population": "RV", "start_date": "2/1/2025", "end_date": "2/4/2025"}
+    assert series_of(spark, stray, {"subgroup": "strong", "population": "RV", "approve": "21"}) == {("yougov_rv_strong_approval", "2026-09-05"): 21.0}
+
+
+def test_of_one_date_the_poll_that_ended_last_holds(spark):
+    first, long, later_row = {"approve": "30"}, {"start_date": "9/3/2026", "end_date": "9/8/2026", "approve": "31"}, {"approve": "32"}
+    assert series_of(spark, first, later_row) == {("yougov_approval", "2026-09-05"): 32.0}
+    assert series_of(spark, first, long, later_row) == {("yougov_approval", "2026-09-05"): 31.0}
+    assert not series_of(spark, {"approve": "x"}, {"disapprove": ""}, {"end_date": "9/1/2026"}, {"start_date": "2026-09-04"})
+
+
+CAPTURE = "key string, capture_day date, end_date date, choices array<string>, points array<struct<date:date,values:array<double>>>, net struct<plus:array<string>,less:array<string>>"
+
+
+def captures(spark, *rows):
+    return spark.createDataFrame([(registry.APPROVAL, d, e, c, p, n) for d, e, c, p, n in rows], CAPTURE)
+
+
+def shown(spark, *rows, series="civiqs_net_approval"):
+    specs = [s for s in registry.REGISTRY if s.series == series]
+    specs = [registry.dataclasses.replace(s, key=registry.APPROVAL) for s in specs]
+    return {str(r["date"]): r["value"] for r in registry.build_all({"civiqs": captures(spark, *rows)}, specs).collect()}
+
+
+def test_a_revised_history_moves_no_point_that_was_displayed(spark):
+    """Fridays as the first capture from that day on shows them; a capture that ends the day before shows its own last day."""
+    day, two = (lambda d: dt.date(2026, 8, d)), ["Approve", "Disapprove"]
+    points = lambda base, *days: [(day(d), [float(base + d), 10.0]) for d in days]
+    first = (day(13), day(12), two, points(0, *range(1, 13)), None)  # a Thursday
+    second = (day(14), day(13), two, points(100, *range(5, 14)), None)  # Friday: shows Thursday
+    third = (day(22), day(21), two, points(200, *range(12, 22)), None)  # the Friday before was captured a day late
+    assert shown(spark, first) == {"2026-08-07": -3.0}
+    assert shown(spark, first, second) == {"2026-08-07": -3.0, "2026-08-14": 103.0}
+    assert shown(spark, first, second, third) == {"2026-08-07": -3.0, "2026-08-14": 103.0, "2026-08-21": 211.0}
+    gap = (day(31), day(30), two, points(300, 29, 30), None)  # its tail has no point for the 28th: skipped
+    assert shown(spark, first, second, third, gap).keys() == {"2026-08-07", "2026-08-14", "2026-08-21"}
+
+
+def test_nets_are_declared_and_never_guessed(spark):
+    day, five = dt.date(2026, 8, 7), ["Very good", "Fairly good", "Fairly bad", "Very bad", "Unsure"]
+    point = [(day, [10.0, 20.0, 15.5, 30.25, 4.0])]
+    assert shown(spark, (day, day, five, point, None), series="civiqs_net_econ_now") == {"2026-08-07": -15.75}
+    assert shown(spark, (day, day, five, point, (["Very good"], ["Unsure"]))) == {"2026-08-07": 6.0}
+    assert not shown(spark, (day, day, five, [(day, [10.0, None, 1.0, 1.0, 1.0])], None), series="civiqs_net_econ_now")
+    with pytest.raises(Exception, match="no net"):
+        shown(spark, (day, day, five, point, None))
+    with pytest.raises(Exception, match="not in a capture"):
+        shown(spark, (day, day, five[:3], [(day, [1.0, 2.0, 3.0])], None), series="civiqs_net_econ_now")
+    assert shown(spark, (day, None, ["Angry", "Proud"], [(day, [33.0, 4.0])], None), series="civiqs_angry_share") == {"2026-08-07": 33.0}
 
 
 def retail(spark, marks):

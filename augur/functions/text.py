@@ -81,7 +81,14 @@ TERMINAL = (
     "invalid_api_key", "incorrect api key", "account_deactivated", "organization has been disabled", "does not exist or you do not have access", "permission denied", "forbidden", "unauthorized", "authentication",
     "insufficient_quota", "credit_balance_exhausted", "no credits remaining", "billing", "unknown entrant", "unknown model", "no configured route",
 )
-MALFORMED = ("malformed", "parsed to zero", "built to zero", "zero points", "parse error", "failed to parse", "structure changed", "schema changed", "missing required", "refusing to guess", "invalid extraction")
+MALFORMED = (
+    "malformed", "parsed to zero", "built to zero", "zero points", "parse error", "failed to parse", "structure changed", "schema changed", "missing required", "refusing to guess", "invalid extraction",
+    "not an xlsx", "not a readable xlsx", "no sheet named", "has no sheetdata element", "the sce header row", "missing median", "reached its data rows before naming", "unreadable cell address", "not a yyyymm", "not a number; a",
+    "not a median expected inflation", "history jumps from", "inflation sheet parsed to", "the sce history starts at", "no conference board headline", "no month is named", "the page says the index moved", "endpoint contract changed",
+    "carries no widgets", "no timeseries widget", "returned an empty timeline", "returned an empty basket timeline", "not weekly", "google trends row carries", "google trends basket row carries", "response does not answer the request",
+    "returned nothing", "no civiqs tracker payload", "carries no line_chart_data", "served its index page", "ignored the subgroup filter", "has no values", "no overlapping dates", "has no dated points", "returned no daily rows",
+    "returned no items", "returned no articles", "refusing to archive it under the wrong day", "top pageviews listed",
+)
 
 
 def error_text(message: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,3 +44,10 @@ def export_lines(df: DataFrame, path: str, *order: str) -> None:
 def document(df: DataFrame) -> DataFrame:
     """One JSON text a row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def rocks(spark: SparkSession) -> None:
+    """State of streams in RocksDB, which keyed state with timers needs; a session that names a store of its own keeps it."""
+    key, plain = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state."
+    if spark.conf.get(key).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, f"{plain}RocksDBStateStoreProvider")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,19 @@ def excluded(title: Column, rule: str) -> Column:
     return reduce(lambda a, b: a | b, [F.startswith(title, F.lit(p)) for p in prefixes], title.isin(list(titles)))
 
 
+def titled(df: DataFrame, column: str, rule: str | None = None) -> DataFrame:
+    """df with title, problem and, by a rule, excluded of the titles in a column.
+
+    In steps that Catalyst keeps apart, so the pattern runs once over a text, and what is refused is tested no further.
+    """
+    plain = df.withColumn("_plain", _plain_title(F.col(column)))
+    problem = F.when(F.col("_plain").isNull(), "missing").when(F.col("_plain") == "", "empty").when(F.length("_plain") > LONGEST_TITLE, "too long")
+    judged = plain.withColumn("problem", problem)
+    canonical = F.when(F.col("problem").isNull(), F.concat(F.upper(F.substring("_plain", 1, 1)), F.substr("_plain", F.lit(2))))
+    found = judged.withColumn("title", canonical).drop("_plain")
+    return found.withColumn("excluded", excluded(F.col("title"), rule)) if rule else found
+
+
 def archive_key(*parts: Column) -> Column:
     return F.regexp_replace(F.concat_ws("__", *parts), "[^A-Za-z0-9._-]+", "_")
 

@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from augur.functions.scores import crps_normal, crps_samples
 from augur.functions.special import normal_quantile
 
-DRAWS, SEED = 400, 0
+#: Draws of a profile, and the seed of their order.
+DRAWS, SEED = 400, 20260811
+
+#: Profiles whose pairs a task holds at once, and those it gets in all.
+AT_ONCE, TASK_PROFILES = 16, 128
 
 
 def permutations(spark: SparkSession, cells: int, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
@@ -67,30 +71,57 @@ def with_energy(profiles: DataFrame) -> DataFrame:
     return profiles.mapInPandas(score, schema)
 
 
-def level(samples: np.ndarray, outcome: np.ndarray) -> float:
-    """CRPS of the mean over the cells, as level_score."""
-    x, y = np.sort(samples.mean(0)), outcome.mean()
-    return float(np.abs(x - y).mean() - (x * (2 * np.arange(len(x)) - len(x) + 1)).sum() / len(x) ** 2)
+def joint(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """energy, structure and level of each profile. x: profiles by draws by cells, y: profiles by cells.
+
+    One Gram matrix a profile gives all pairs of draws; without each draw's mean their squared distances are less by the
+    cells times the squared difference of the means, so the structure's pairs need no second one.
+    """
+    n, cells = x.shape[1], x.shape[2]
+    means, own = x.mean(2), y.mean(1)
+    square = np.einsum("pdc,pdc->pd", x, x)
+    pairs = square[:, :, None] + square[:, None, :]
+    pairs -= 2 * (x @ x.transpose(0, 2, 1))
+    np.maximum(pairs, 0, out=pairs)
+    gaps = means[:, :, None] - means[:, None, :]
+    gaps *= gaps
+    shape = pairs - cells * gaps
+    np.maximum(shape, 0, out=shape)
+    spread_of = lambda d: np.sqrt(d, out=d).sum((1, 2)) / (2 * n * n)
+    error = lambda d: np.sqrt((d * d).sum(2)).mean(1)
+    ordered = np.sort(means, axis=1)
+    level = np.abs(means - own[:, None]).mean(1) - (ordered * (2 * np.arange(n) - n + 1)).sum(1) / n**2
+    return np.stack([error(x - y[:, None, :]) - spread_of(pairs), error(x - means[:, :, None] - (y - own[:, None])[:, None, :]) - spread_of(shape), level], axis=1)
 
 
 def joint_scores(cells: DataFrame, by: list[str], draws: int = DRAWS) -> DataFrame:
-    """by, energy, structure, level: as with_energy and level_score of the cells' samples, which are drawn row by row and never shuffled.
+    """by, energy, structure, level: as with_energy and level_score of the cells' samples, which are drawn in batches of profiles and never shuffled.
 
     cells: by, cell, mean, sd, outcome. The orders of the cells (cells of a profile by draws) are all that reaches the driver.
+    Profiles are few bytes and much work, so they are dealt out by their number, not by their size.
     """
-    count = (cells.agg(F.max("cell")).first()[0] or 0) + 1  # cells of a profile: a fixed, small number
+    size = cells.agg(F.max("cell").alias("most"), F.count("*").alias("rows")).first()
+    count = (size["most"] or 0) + 1  # cells of a profile: a fixed, small number
     order = permutations(cells.sparkSession, count, draws).select("cell", F.transform("levels", lambda p: normal_quantile(F.lit(0.0), F.lit(1.0), p)).alias("z"))
     z = np.array([r["z"] for r in order.orderBy("cell").collect()])
     rows = F.array_sort(F.collect_list(F.struct("cell", "mean", "sd", "outcome")))
-    profiles = spread(cells).groupBy(*by).agg(rows.alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(f"_{c}") for c in ("cell", "mean", "sd", "outcome")])
+    dealt = spread(cells).repartition(max(1, min(100_000, size["rows"] // (count * TASK_PROFILES) + 1)), *by)
+    profiles = dealt.groupBy(*by).agg(rows.alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(f"_{c}") for c in ("cell", "mean", "sd", "outcome")])
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for cell, mean, sd, y in zip(frame["_cell"], frame["_mean"], frame["_sd"], frame["_outcome"], strict=True):
-                x = mean[:, None] + sd[:, None] * z[cell]
-                out.append((energy(x, y), energy(x - x.mean(0), y - y.mean()), level(x, y)))
-            yield frame[by].assign(**dict(zip(("energy", "structure", "level"), np.array(out).reshape(-1, 3).T, strict=True)))
+            out = np.empty((len(frame), 3))
+            shapes: dict[bytes, list[int]] = {}
+            for i, cell in enumerate(frame["_cell"]):  # profiles of the same cells go together
+                shapes.setdefault(np.asarray(cell).tobytes(), []).append(i)
+            column = {c: frame[c].to_numpy() for c in ("_cell", "_mean", "_sd", "_outcome")}
+            for rows in shapes.values():
+                levels = z[column["_cell"][rows[0]]].T
+                for i in range(0, len(rows), AT_ONCE):
+                    at = rows[i : i + AT_ONCE]
+                    mean, sd, y = (np.stack(column[c][at]) for c in ("_mean", "_sd", "_outcome"))
+                    out[at] = joint(mean[:, None, :] + sd[:, None, :] * levels, y)
+            yield frame[by].assign(energy=out[:, 0], structure=out[:, 1], level=out[:, 2])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in profiles.select(*by).schema], "energy double", "structure double", "level double"])
     return profiles.mapInPandas(score, schema)

@@ -54,7 +54,7 @@ def shape_problem() -> Column:
     )
 
 
-def round_problems(rounds: DataFrame, rights: DataFrame, open_rights: tuple[str, ...] = ("approved",)) -> DataFrame:
+def round_problems(rounds: DataFrame, rights: DataFrame, open_rights: tuple[str, ...] = ("approved", "approved-no-redistribution")) -> DataFrame:
     """round_id, kind, problem: all that keeps rounds from being published.
 
     rounds: REQUIRED, place (its order in the manifest), source (null where no audited source is known), has_cells,
@@ -86,7 +86,7 @@ def round_problems(rounds: DataFrame, rights: DataFrame, open_rights: tuple[str,
 MIN_HISTORY, MIN_MOVEMENT, CHECKED_WAVES, MAX_SLIPS, MAX_GAP_DAYS = 12, 0.0, 8, 1, 8
 
 
-def publishing_gate(series: DataFrame, open_rights: tuple[str, ...] = ("approved",), min_history: int = MIN_HISTORY) -> DataFrame:
+def publishing_gate(series: DataFrame, open_rights: tuple[str, ...] = ("approved", "approved-no-redistribution"), min_history: int = MIN_HISTORY) -> DataFrame:
     """series, verdict: the first check that closes the gate, in the published order; ok if none does.
 
     series: series, state (rights), retired, parked, declined (booleans), supported (has a template), schedule (its

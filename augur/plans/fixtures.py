@@ -77,6 +77,9 @@ def profile_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.col("label").alias("entrant"), "cell", rounded(F.col("x").cast("double") * 100 + F.col("cell") % 3, 3).alias("mean"), (F.lit(4.0) + F.col("cell") % 4).alias("sd"), rounded(F.col("x").cast("double") * 90, 3).alias("outcome"))
 
 
+PROFILE_CELLS = f"""pc AS (SELECT vec_id, label, c - 1 AS cell, {r('CAST(embedding[c] AS DOUBLE) * 100 + (c - 1) % 3', 3)} AS mean, 4.0 + (c - 1) % 4 AS sd, {r('CAST(embedding[c] AS DOUBLE) * 90', 3)} AS outcome FROM embeddings, range(1, 17) t(c))"""
+
+
 def brand_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """week_end, brand, revenue of lineitem by part brand."""
     from augur.functions.calendar import week_end

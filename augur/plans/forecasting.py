@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from augur.functions import scores as S
 from augur.functions.special import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, TAIL, erf, normal_quantile
 from augur.operators import boards, crowd, nulls, panel, polls, profiles
-from augur.plans.fixtures import FORECASTS, OBS, PANEL, POLLS, profile_cells, r, rounded
+from augur.plans.fixtures import FORECASTS, OBS, PANEL, POLLS, PROFILE_CELLS, profile_cells, r, rounded
 from augur.plans.fixtures import forecasts as forecast_table
 from augur.plans.fixtures import obs as obs_table
 from augur.plans.fixtures import panel as panel_table
@@ -43,6 +43,16 @@ def crps_sql(mean: str, sd: str, y: str) -> str:
     return f"({sd} * ({z} * {erf_sql(f'({z} / sqrt(2.0))')} + 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())))"
 
 
+def joint_sql(cells: str, by: str, draws: int) -> str:
+    """CTEs: js has energy, structure and level of each `by` of the relation cells (by, cell of 16, mean, sd, outcome)."""
+    return f"""z AS (SELECT dim, list({quantile_sql('p')} ORDER BY h) AS z FROM (SELECT dim, (i + 0.5) / {draws} AS p, sha256('{profiles.SEED}:' || dim || ':' || i) AS h FROM range(0, 16) a(dim), range(0, {draws}) b(i)) GROUP BY dim),
+  vs AS (SELECT {by}, d, list(mean + sd * z[d] ORDER BY cell)::DOUBLE[16] AS x, list(outcome ORDER BY cell)::DOUBLE[16] AS y FROM {cells} JOIN z ON dim = cell, range(1, {draws + 1}) t(d) GROUP BY ALL),
+  vm AS (SELECT *, list_avg(x::DOUBLE[]) AS mx, list_avg(y::DOUBLE[]) AS my FROM vs), vc AS MATERIALIZED (SELECT *, list_transform(x::DOUBLE[], lambda v: v - mx)::DOUBLE[16] AS cx, list_transform(y::DOUBLE[], lambda v: v - my)::DOUBLE[16] AS cy FROM vm),
+  one AS (SELECT {by}, avg(array_distance(x, y)) AS e1, avg(array_distance(cx, cy)) AS s1, avg(abs(mx - my)) AS l1 FROM vc GROUP BY ALL),
+  two AS (SELECT {', '.join(f'a.{c}' for c in by.split(', '))}, sum(array_distance(a.x, b.x)) / {draws}.0 / {draws} AS e2, sum(array_distance(a.cx, b.cx)) / {draws}.0 / {draws} AS s2, sum(abs(a.mx - b.mx)) / {draws}.0 / {draws} AS l2 FROM vc a JOIN vc b ON {' AND '.join(f'a.{c} = b.{c}' for c in by.split(', '))} AND a.d < b.d GROUP BY ALL),
+  js AS (SELECT {by}, e1 - e2 AS energy, s1 - s2 AS structure, l1 - l2 AS level FROM one JOIN two USING ({by}))"""
+
+
 WALK = f"""{OBS}, steps AS (SELECT *, row_number() OVER w - 1 AS n_before, lag(value) OVER w AS last, avg(value) OVER (w ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS clim FROM obs WINDOW w AS (PARTITION BY series ORDER BY date))"""
 
 
@@ -234,11 +244,13 @@ def panel_weights(spark: SparkSession, d: str) -> DataFrame:
     return panel.renormalised(p, F.col("grp") != "en").select("pid", rounded("w", 9).alias("w"))
 
 
-@query()
+@query(f"""WITH {PROFILE_CELLS}, {joint_sql('pc', 'vec_id', profiles.DRAWS)}, cs AS (SELECT vec_id, avg({crps_sql('mean', 'sd', 'outcome')}) AS mean_cell_crps, count(*) AS cells FROM pc GROUP BY 1)
+  SELECT vec_id, {r('energy', 5)} AS energy, {r('structure', 5)} AS structure, {r('level', 5)} AS level, {r('mean_cell_crps', 5)} AS mean_cell_crps, cells FROM js JOIN cs USING (vec_id)""")
 def profile_scores(spark: SparkSession, d: str) -> DataFrame:
     """Energy, level and structure of 400 joint draws of 16 cells, and the mean CRPS of the cells."""
     cells = profile_cells(spark, d)
-    return profiles.joint_scores(cells, ["vec_id"]).join(profiles.cell_scores(cells, ["vec_id"]), "vec_id")
+    found = profiles.joint_scores(cells, ["vec_id"]).join(profiles.cell_scores(cells, ["vec_id"]), "vec_id")
+    return found.select("vec_id", *[rounded(c, 5).alias(c) for c in ("energy", "structure", "level", "mean_cell_crps")], "cells")
 
 
 @query(f"""WITH c AS (SELECT vec_id, [{r('CAST(embedding[i] AS DOUBLE) * 90', 3)} for i in range(1, 5)] AS y, [[{r('CAST(embedding[i + 4 * k] AS DOUBLE) * 100', 3)} for i in range(1, 5)] for k in range(1, 9)] AS xs FROM embeddings)

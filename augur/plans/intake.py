@@ -257,8 +257,7 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
     size, name = F.col("p_size"), F.col("p_name")
     parts = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.when(size == 1, "main page ").when(size == 2, F.concat(F.lit(" special:"), name)).when(size == 3, F.concat(F.lit("Talk:_"), name)).otherwise(name).alias("t"))
     t = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("t")).unionByName(parts)
-    title = T.canonical_title(F.col("t"))
-    return t.select("id", title.alias("title"), T.title_problem(F.col("t")).alias("problem"), T.excluded(title, "main_page_and_namespaces_v1").alias("excluded"))
+    return T.titled(t, "t", "main_page_and_namespaces_v1").select("id", "title", "problem", "excluded")
 
 
 def markup_sql(x: str) -> str:

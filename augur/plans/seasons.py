@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augur.operators import asof, boards, digests, profiles, rankings, rules
-from augur.plans.fixtures import BRAND_WEEKS, OBS, SCORES, brand_weeks, profile_cells, r, rounded, table
+from augur.plans.fixtures import BRAND_WEEKS, OBS, PROFILE_CELLS, SCORES, brand_weeks, profile_cells, r, rounded, table
 from augur.plans.fixtures import obs as obs_table
 from augur.plans.fixtures import scores as score_table
+from augur.plans.forecasting import joint_sql
 from augur.plans.leaderboards import LISTS, list_pairs
 from augur.plans.registry import query
 
@@ -49,13 +50,14 @@ def ranking_board(spark: SparkSession, d: str) -> DataFrame:
     return boards.shape_board(scored, ["loss", "overlap"]).select("entrant", rounded("skill", 5).alias("skill"), rounded("loss").alias("loss"), rounded("overlap").alias("overlap"), "rounds")
 
 
-@query()
+@query(f"""WITH {PROFILE_CELLS}, both_ AS (SELECT vec_id AS round_id, 'own' AS entrant, cell, mean, sd, outcome FROM pc UNION ALL SELECT vec_id, 'persistence', cell, mean, sd * 2, outcome FROM pc), {joint_sql('both_', 'round_id, entrant', 100)}, n AS (SELECT round_id, energy AS null_energy FROM js WHERE entrant = 'persistence')
+  SELECT entrant, {r('avg(CASE WHEN null_energy = 0 THEN 0.0 ELSE 1 - energy / null_energy END)', 5)} AS skill, {r('avg(energy)', 5)} AS energy, {r('avg(structure)', 5)} AS structure, {r('avg(level)', 5)} AS level, count(*) AS rounds FROM js JOIN n USING (round_id) GROUP BY 1""")
 def profile_board(spark: SparkSession, d: str) -> DataFrame:
-    """Energy, level and structure by entrant against a null that spreads wider; draws of a Latin hypercube, which SQL has no normal quantile for."""
+    """Energy, level and structure by entrant against a null that spreads wider."""
     cells = profile_cells(spark, d)
     both = cells.withColumn("who", F.lit("own")).unionByName(cells.withColumn("who", F.lit("persistence")).withColumn("sd", F.col("sd") * 2))
     scored = profiles.joint_scores(both.select(F.col("vec_id").alias("round_id"), F.col("who").alias("entrant"), "cell", "mean", "sd", "outcome"), ["round_id", "entrant"], 100)
-    return boards.shape_board(scored, ["energy", "structure", "level"])
+    return boards.shape_board(scored, ["energy", "structure", "level"]).select("entrant", *[rounded(c, 5).alias(c) for c in ("skill", "energy", "structure", "level")], "rounds")
 
 
 @query(f"""WITH {BRAND_WEEKS}, c AS (SELECT week_end FROM bw GROUP BY 1 HAVING count(*) >= 10), k AS (SELECT week_end FROM c ORDER BY week_end DESC LIMIT 12), p AS (SELECT *, row_number() OVER (PARTITION BY week_end ORDER BY revenue DESC, brand) AS place FROM bw SEMI JOIN k USING (week_end)) SELECT week_end, array_to_string(list(brand ORDER BY place), ',') AS items FROM p WHERE place <= 10 GROUP BY 1""")

@@ -2,7 +2,7 @@
 
 The lexicon is learned: over a bounded sample of labelled documents, words (and word stems that many such words share)
 whose documents are toxic far beyond chance, by a likelihood ratio that holds for as many terms as were tried; copies of
-a document are one witness. There is no cap on terms: the bound on labelled documents is the only one. The terms form a trie; running the
+a document are one witness. There is no cap on terms and no least length of one: the bound on labelled documents is the only one. The terms form a trie; running the
 Levenshtein automata of all terms against it gives one deterministic automaton, whose states (sets of trie nodes with
 the edits spent) are made as texts need them, so a clean word ends after two or three letters. A term of 5 letters may
 be met with one edit, of 9 with two.
@@ -11,7 +11,9 @@ Each hit is scored by its context window: quotation marks around it or words of
 quotation, not abuse. A logistic model over the hits of the sample turns both into a score.
 
 Nulls: a null text counts as empty, and an empty text gets the score of a text without hits. Labels that are null, or
-whose doc_id is null, teach nothing; of several labels of one document the largest holds. Extra columns are kept.
+whose doc_id is null, teach nothing; of several labels of one document the largest holds. Repeated rows are scored each.
+An empty table has no result, and without labels of both classes every document has the smoothed share of the one class.
+Very long texts are read word by word, whole. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -234,9 +236,10 @@ def lexicon(texts: DataFrame) -> list[tuple[str, bool]]:
     if not 0 < toxic < n:
         return []
     word = F.regexp_replace(F.col("w"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    counts = (
+    counts = save(
         texts.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("w"))
-        .groupBy(word.alias("term")).agg(F.count("*").alias("df"), F.sum("label").alias("tf")).where(F.length("term") >= min(STEMS))
+        .groupBy(word.alias("term")).agg(F.count("*").alias("df"), F.sum("label").alias("tf")).where("term <> ''"),
+        "counts",
     )
     chance = chance_ratio(counts.count())
 

@@ -242,3 +242,69 @@ def test_a_rewritten_history_is_learned_once(spark):
     assert [r["sample"] for r in rows] == [0, 0, 1, 1] and [r["rewrites"] for r in rows] == [False, False, True, False]
     learned = [r["piece"][r["text_start"] - r["start"] : r["text_end"] - r["start"]] for r in rows if r["loss"]]
     assert learned == ["<think>x</think>a", "<think>y</think>b"]
+
+
+# --- toxicity: short terms, and scores by a plain version ---
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def plain_features(text, terms):
+    """exact, fuzzy, quoted and density of a text: every word against every term by a table of edits."""
+    from augur.llm import toxicity as tox
+
+    words, exact, fuzzy, told = text.split(), 0, 0, 0
+    for at, raw in enumerate(words):
+        w = tox.normal(raw)
+        whole = [(distance(w, t), False) for t, _ in terms]
+        stems = [(min(distance(w[:k], t) for k in range(len(w) + 1)), True) for t, stem in terms if stem]
+        reached = [d for (d, _), (t, _) in zip(whole, terms, strict=True) if d <= tox.edits(t)] + [d for (d, _), t in zip(stems, [t for t, stem in terms if stem], strict=True) if d <= tox.edits(t)]
+        if not reached:
+            continue
+        if tox.quoted(words, at):
+            told += 1
+        elif min(reached):
+            fuzzy += 1
+        else:
+            exact += 1
+    return math.log1p(exact), math.log1p(fuzzy), math.log1p(told), 10 * (exact + fuzzy) / (10 + len(words))
+
+
+def plain_lexicon_counts(texts):
+    """(df, tf) of every word over (text, label)."""
+    counts = {}
+    for text, label in texts:
+        for w in {re.sub(r"^[\W_]+|[\W_]+$", "", x) for x in text.lower().split()} - {""}:
+            df, tf = counts.get(w, (0, 0))
+            counts[w] = df + 1, tf + label
+    return counts
+
+
+def test_short_terms_are_learned_and_scores_are_those_of_a_plain_version(spark):
+    from augur.llm import toxicity as tox
+
+    rnd, data, labels = random.Random(17), [], []
+    for i in range(400):
+        words, toxic = prose(rnd, 30).split(), i % 4 == 0
+        for _ in range(2 if toxic else 0):
+            words[rnd.randrange(30)] = rnd.choice(["zug", "qx", "blorvath", "blorvathing", '"zug"', "Zug!"])
+        if i % 9 == 0:
+            words[rnd.randrange(30)] = rnd.choice(["zig", "blorvoth", "blorvat", "zugs"])
+        data.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    df = spark.createDataFrame([*data, (900, None), (901, "")], "doc_id long, text string")
+    model = tox.train(df, spark.createDataFrame(labels, "doc_id long, label int"))
+    assert ("zug", False) in model.terms and ("qx", False) in model.terms
+    counts = plain_lexicon_counts([(t, y) for (_, t), (_, y) in zip(data, labels, strict=True)])
+    assert all(counts[t][1] >= tox.SHARE * counts[t][0] for t, stem in model.terms if not stem)
+    found = {r["doc_id"]: r["score"] for r in tox.toxicity_scores(df, model, with_text=False).collect()}
+    for doc_id, text in [*data, (900, ""), (901, "")]:
+        z = sum(w * f for w, f in zip(model.weights, [*plain_features(text, model.terms), 1.0], strict=True))
+        assert found[doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9), text

@@ -134,7 +134,7 @@ def _registry_sql() -> str:
     first = "(SELECT * FROM baskets WHERE NOT partial QUALIFY row_number() OVER (PARTITION BY week_end ORDER BY capture_day) = 1)"
     out += [f"SELECT 'trends_share_{q.lower()}', week_end, round_even(100.0 * q{i} / (q0 + q1 + q2 + q3 + q4), 2) FROM {first} WHERE q0 + q1 + q2 + q3 + q4 > 0" for i, q in enumerate(registry.BASKET)]
     labels = ", ".join(f"('{label}', 'yougov_xtab_approve_{cell}')" for cell, label in registry.XTAB_CELLS)
-    out.append(f"SELECT s, date, round_even(value * 100, 2) FROM yougov_xtab JOIN (VALUES {labels}) l(cell, s) USING (cell) WHERE measure = 'approve' AND date IN (SELECT date FROM yougov_xtab WHERE measure = 'approve' GROUP BY 1 HAVING count(value) = 16)")
+    out.append(f"SELECT s, date, round_even(value * 100, 4) FROM yougov_xtab JOIN (VALUES {labels}) l(cell, s) USING (cell) WHERE measure = 'approve' AND date IN (SELECT date FROM yougov_xtab WHERE measure = 'approve' GROUP BY 1 HAVING count(value) = 16)")
     # trackers: one row a choice, so nets are sums; then the first capture from each Friday on
     keys = ", ".join(f"({i}, {k!r}, {c!r})" for i, (k, c) in enumerate(KEYS.items()))
     sides = ", ".join(f"({s.series!r}, {s.key!r}, {'NULL::VARCHAR[]' if s.plus is None else list(s.plus)}, {'NULL::VARCHAR[]' if s.less is None else list(s.less) or '[]::VARCHAR[]'})" for s in registry.REGISTRY if s.source == "civiqs")

@@ -119,7 +119,7 @@ REGISTRY: tuple[Series, ...] = (
     Series("hh_trump_approval", "hhpoll", "approve"),
     Series("trends_tesla", "trends", filters=where(query="Tesla")), Series("trends_iphone", "trends", filters=where(query="iPhone")),
     *(Series(f"trends_share_{q.lower()}", "trends_basket", filters=where(query=q), places=2) for q in BASKET),
-    *(Series(f"yougov_xtab_approve_{cell}", "yougov_xtab", filters=where(cell=label), scale=100.0, places=2) for cell, label in XTAB_CELLS),
+    *(Series(f"yougov_xtab_approve_{cell}", "yougov_xtab", filters=where(cell=label), scale=100.0, places=4) for cell, label in XTAB_CELLS),
 )
 
 SPECS = "series string, source string, filters map<string,array<string>>, contains map<string,string>, since date, key string, plus array<string>, less array<string>, weekday int, value string, minus string, scale double, places int"
@@ -140,7 +140,7 @@ def specifications(spark, specs: Iterable[Series] = REGISTRY) -> DataFrame:  # n
 def half_even(value: Column, places: Column | int) -> Column:
     """value as it is where places is null."""
     wanted = F.lit(places) if isinstance(places, int) else places
-    return F.when(wanted.isNull(), value).when(wanted == 0, F.bround(value, 0)).when(wanted == 1, F.bround(value, 1)).when(wanted == 2, F.bround(value, 2)).otherwise(F.bround(value, 3))
+    return F.when(wanted.isNull(), value).when(wanted == 0, F.bround(value, 0)).when(wanted == 1, F.bround(value, 1)).when(wanted == 2, F.bround(value, 2)).otherwise(F.bround(value, 4))
 
 
 #: Columns that filters and contains may name; the first of LEADS that a table has is what its rows meet specifications on.

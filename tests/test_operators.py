@@ -145,8 +145,9 @@ def test_every_profile_is_scored(spark, tmp_path):
     drawn = profiles.with_energy(profiles.vectors(profiles.cell_samples(cells), ["vec_id"])).withColumn("level", profiles.level_score(F.col("samples"), F.col("outcome")))
     expected = {r["vec_id"]: [r["energy"], r["structure"], r["level"]] for r in drawn.collect()}
     found = {r["vec_id"]: [r["energy"], r["structure"], r["level"]] for r in registry.QUERIES["profile_scores"](spark, str(tmp_path)).collect()}
-    assert sorted(found) == [0, 59, 60, 61, 5000]
-    assert all(found[k] == pytest.approx(expected[k]) for k in expected)
+    joint = {r["vec_id"]: [r["energy"], r["structure"], r["level"]] for r in profiles.joint_scores(cells, ["vec_id"]).collect()}
+    assert sorted(found) == sorted(joint) == [0, 59, 60, 61, 5000]
+    assert all(joint[k] == pytest.approx(expected[k]) and found[k] == pytest.approx(joint[k], abs=1e-5) for k in expected)
     assert {r["entrant"]: r["rounds"] for r in registry.QUERIES["profile_board"](spark, str(tmp_path)).collect()} == {"own": 5, "persistence": 5}
 
 

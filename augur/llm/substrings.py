@@ -40,7 +40,8 @@ PART_BYTES, BUCKET_BYTES, PACK_ENTRIES, PACK_DOCS = 4 << 20, 20 << 20, 2_000_000
 PRESS = "zstd"
 
 #: A null doc_id comes after all others.
-LAST = np.iinfo(np.int64).max
+#: Where the ids of rows without doc_id begin; to each other, and to doc_ids from here on, they count as one document's.
+LAST = 1 << 62
 
 ENTRIES = "bucket int, part int, keys binary, owners binary, ids binary, ties binary, places binary"
 
@@ -135,7 +136,15 @@ def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
 
 
 def ids_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    return batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column("doc_id").combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False)
+    """The doc_ids; a row without one gets an id by its text, so that such rows are spread over all parts."""
+    column = (lambda c: batch.column(c)) if isinstance(batch, pa.RecordBatch) else (lambda c: batch.column(c).combine_chunks())
+    ids, ties = column("doc_id"), column("tie").to_numpy(zero_copy_only=False)
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), LAST + (ties & (LAST - 1)), ids.fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def ranks(ids: np.ndarray) -> np.ndarray:
+    """ids as they are compared: rows without doc_id are one document, the last."""
+    return np.minimum(ids, LAST)
 
 
 def shared_anchors(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
@@ -194,7 +203,7 @@ def shared_anchors(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
                 found.append({"bucket": bucket, "part": p, "keys": np.full(len(k), bucket, np.uint32).tobytes() + k.tobytes(), "owners": place, "ids": distinct.tobytes()})
         return rows(found, arrow(ENTRIES))
 
-    return docs.select("doc_id", "text").mapInArrow(pack, ENTRIES).groupBy("bucket").applyInArrow(count, ENTRIES).select("part", "keys", "owners", "ids")
+    return docs.select("doc_id", "tie", "text").mapInArrow(pack, ENTRIES).groupBy("bucket").applyInArrow(count, ENTRIES).select("part", "keys", "owners", "ids")
 
 
 def unpacked(flags: pa.Table) -> np.ndarray:
@@ -250,7 +259,8 @@ def repeated_windows(docs: DataFrame, flags: DataFrame, buckets: int, parts: int
         code, other, owner, place, first, group = named(np.concatenate(codes), np.concatenate(others), np.concatenate(owners), np.concatenate(places))
         found = []
         if len(code):
-            least = np.minimum.reduceat(ids[owner], first)[group] == ids[owner]
+            rank = ranks(ids)[owner]
+            least = np.minimum.reduceat(rank, first)[group] == rank
             part = own.column("part")[0].as_py()
             for b, at in by_part(np.where(least, ((other >> U(16)) % U(buckets)).astype(np.int64), -1)):
                 distinct, index = short(owner[at])
@@ -273,7 +283,7 @@ def repeated_windows(docs: DataFrame, flags: DataFrame, buckets: int, parts: int
             places.append(wide(r["places"], len(at)))
         if keys:
             _, _, own, tie, place, first, group_of = named(np.concatenate(keys), np.concatenate(others), np.concatenate(ids), np.concatenate(ties), np.concatenate(places))
-            later = np.flatnonzero(np.minimum.reduceat(own, first)[group_of] < own)
+            later = np.flatnonzero(np.minimum.reduceat(ranks(own), first)[group_of] < ranks(own))
             own, tie, place = own[later], tie[later], place[later]
             row, at_row = np.unique(np.stack([own, tie]), axis=1, return_inverse=True) if len(own) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
             for p, at in by_part(part_of(own, parts)):
@@ -292,8 +302,10 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by a space; null unless with_text).
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller doc_id. A null text
-    has no words; a null doc_id comes after all others; rows with one doc_id don't count against each other. Columns
-    of docs other than doc_id and text are ignored.
+    has no words; a null doc_id comes after all others; rows with one doc_id, or with none, don't count against each other.
+    Rows without doc_id are spread over the tasks by their texts, so they may be very many; rows of one doc_id meet in one
+    task. A doc_id of 2**62 or more counts as none when it is compared. Repeated rows are kept each; no rows give none.
+    Columns of docs other than doc_id and text are ignored.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"))

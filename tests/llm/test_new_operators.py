@@ -308,3 +308,26 @@ def test_short_terms_are_learned_and_scores_are_those_of_a_plain_version(spark):
     for doc_id, text in [*data, (900, ""), (901, "")]:
         z = sum(w * f for w, f in zip(model.weights, [*plain_features(text, model.terms), 1.0], strict=True))
         assert found[doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9), text
+
+
+# --- substring dedup: rows without doc_id ---
+
+
+def test_rows_without_doc_id_are_spread_and_count_as_one(spark):
+    """10,000 of them: no part holds more than its share; they lose what a document has, and nothing to each other."""
+    import collections
+
+    from augur.llm import substrings
+    from tests.llm.test_edges import removed
+
+    rnd = random.Random(23)
+    shared, own = prose(rnd, 40), prose(rnd, 30)
+    data = [(1, shared), (2, own)]
+    data += [(None, f"{prose(rnd, 6)} n{i} {shared if i % 400 == 0 else own if i % 401 == 0 else ''} {prose(rnd, 5)}") for i in range(10_000)] + [(None, f"a {shared} b")] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    found = collections.Counter(map(tuple, substrings.drop_repeats(df, with_text=False).drop("kept").collect()))
+    assert found == removed([(i, t, None) for i, t in data])
+    ties = np.array([r[0] for r in df.where("doc_id is null").select(F.xxhash64("text")).collect()])
+    batch = substrings.pa.RecordBatch.from_pydict({"doc_id": substrings.pa.array([None] * len(ties), substrings.pa.int64()), "tie": ties})
+    parts = np.bincount(substrings.part_of(substrings.ids_of(batch), 50), minlength=50)
+    assert parts.max() < 3 * len(ties) / 50

@@ -74,14 +74,15 @@ VOTES, ROUNDS, BLOCK, CONTEXT, THRESHOLD = 5, 50, 256, 60, 0.5
 FEATURES = ("long", "half_digits", "letters", "separators", "plus_or_bracket", "opened", "closed", "told_for", "told_against", "mixed")
 
 
-def found(text: Column, pattern: str) -> Column:
+def found(text: Column, pattern: str, values: Column | None = None) -> Column:
     """array of (start, end, value, before, after) of the pattern's matches: running sums of what lies between them.
 
-    Sums run within blocks of BLOCK matches, then over the blocks, so many matches in one text are no square.
+    Sums run within blocks of BLOCK matches, then over the blocks, so many matches in one text are no square. values: the
+    matches, where they are known; a text without any isn't split.
     """
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if values is None else values
     blank = F.expr("array_repeat(cast(null as string), 0)")
-    return blocks(F.when(text.rlike(pattern), values).otherwise(blank), F.when(text.rlike(pattern), gaps).otherwise(blank))
+    return blocks(F.coalesce(values, blank), F.when(F.size(values) > 0, F.split(text, pattern, -1)).otherwise(blank))
 
 
 def blocks(values: Column, gaps: Column) -> Column:
@@ -163,7 +164,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     """docs (text, any others) without text, with _candidates: all of a text, of all kinds."""
     others = [c for c in docs.columns if c != "text"]
     text = F.coalesce("text", F.lit(""))
-    staged = docs.select(*others, *[F.when(text.rlike(HINT[k]), found(text, p)).alias(f"_{b}_{k}") for b, by in (("base", BASE), ("loose", LOOSE)) for k, p in by.items()])
+    patterns = [(f"_{b}_{k}", k, p) for b, by in (("base", BASE), ("loose", LOOSE)) for k, p in by.items()]
+    matched = docs.select(*others, text.alias("text"), *[F.when(text.rlike(HINT[k]), F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias(name) for name, k, p in patterns])
+    staged = matched.select(*others, *[found(F.col("text"), p, F.col(name)).alias(name) for name, _, p in patterns])
     none = F.expr("array_repeat(named_struct('kind', 0, 'start', 0, 'end', 0, 'base', true, 'loose', true, 'v0', 0, 'v1', 0, 'v2', 0, 'v3', 0, 'v4', 0, 'f', 0), 0)")
     voted = lambda kind, base: lambda x: candidate(kind, x, base)
     parts = [F.coalesce(F.transform(f"_{b}_{k}", voted(k, b == "base")), none) for b, by in (("base", BASE), ("loose", LOOSE)) for k in by]

@@ -63,7 +63,7 @@ def in_sequence(rows: DataFrame, first: str | None) -> DataFrame:
     before = F.lag("date").over(w)
     problem = F.when(before.isNull() & (F.lit(first).cast("date") != F.col("date")), F.concat(F.lit("the history starts at "), "date")).when(before.isNotNull() & (F.add_months(before, 1) != F.col("date")), F.concat(F.lit("the history jumps from "), before, F.lit(" to "), "date"))
     checked = rows.withColumn("_problem", problem)
-    return checked.select(F.when(F.col("_problem").isNull(), F.col("date")).otherwise(F.raise_error("_problem").cast("date")).alias("date"), *HEADERS)
+    return checked.select(F.when(F.col("_problem").isNull(), F.col("date")).otherwise(F.raise_error(F.col("_problem")).cast("date")).alias("date"), *HEADERS)
 
 
 @udtf

@@ -12,7 +12,7 @@ from augur.plans.fixtures import table
 from augur.plans.registry import query
 from augur.plans.streams import drained, utc
 from augur.session import shared_dir
-from augur.sources import books, registry, trees, versions
+from augur.sources import books, corpus, registry, trees, versions
 from augur.streaming import intake
 
 CELLS = [label for _, label in registry.XTAB_CELLS]
@@ -105,3 +105,14 @@ def stream_intake(spark: SparkSession, d: str) -> DataFrame:
     """The same by keyed state."""
     told = drained(spark, d, lambda e: intake.intake(submissions(e)), "append").where("key is not null")
     return told.select("key", "seq", "outcome", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_at"))
+
+
+@query("""WITH c AS (SELECT DATE '2026-01-01' + CAST(conv_id % 7 AS INTEGER) AS day, conv_id AS revision, CAST(turn AS INTEGER) AS place, role AS category, text FROM conversations), n AS (SELECT day, count(DISTINCT (category, text)) AS n_items FROM c GROUP BY 1) SELECT c.*, n_items FROM c JOIN n USING (day)""")
+def growing_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Revisions after three loads, of which each holds what the one before held: texts by their references, and how many items each day's pool holds."""
+    path = own_folder(spark, "corpus")
+    turns = table(spark, d, "conversations").select(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("conv_id") % 7).cast("int")).alias("day"), F.col("conv_id").alias("revision"), F.col("turn").cast("int").alias("place"), F.col("role").alias("category"), "text")
+    for share in (2, 4, 5):
+        corpus.load(path, turns.where(F.col("revision") % 5 < share))
+    pools = corpus.held(spark, f"{path}/items", corpus.ITEMS).groupBy("day").agg(F.count("*").alias("n_items"))
+    return corpus.read(spark, path).join(F.broadcast(pools), "day")

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from augur.sources import books, trees, versions
+from augur.sources import books, corpus, trees, versions
 from augur.streaming import intake
 
 TREE = "round_id string, entrant string, failed boolean, path string, modified timestamp, body string"
@@ -209,3 +209,30 @@ def test_waves_of_a_crosstab_workbook(spark):
 def test_workbooks_whose_sheets_disagree_are_refused(spark, change, problem):
     with pytest.raises(Exception, match=problem):
         crosstab(spark, change).collect()
+
+
+def revisions(spark, *rows):
+    return spark.createDataFrame([(dt.date(2026, 8, d), r, i, c, t) for d, r, items in rows for i, (c, t) in enumerate(items)], "day date, revision long, place int, category string, text string")
+
+
+def test_a_corpus_stores_every_item_once(spark, tmp_path):
+    path, a, b, c = str(tmp_path / "corpus"), ("Law", "one"), ("Law", "two"), ("Health", "one")
+    assert corpus.load(path, revisions(spark, (1, 10, [a, b]), (1, 11, [b, a, c, a]), (2, 20, [a]))) == {"items": 4, "revisions": 7}
+    before = parquet_files(path)
+    assert corpus.load(path, revisions(spark, (1, 11, [b, a, c, a]), (2, 20, [a]))) == {"items": 0, "revisions": 0}
+    assert {f for f in parquet_files(path) if "/items/" in f} == {f for f in before if "/items/" in f}
+    assert corpus.load(path, revisions(spark, (1, 12, [b, ("Law", None), c]), (1, 11, [("Law", "other")]))) == {"items": 1, "revisions": 3}
+    found = {}
+    for r in corpus.read(spark, path).orderBy("place").collect():
+        found.setdefault(r["revision"], []).append((r["category"], r["text"]))
+    assert found == {10: [a, b], 11: [b, a, c, a], 12: [b, ("Law", None), c], 20: [a]}
+    assert corpus.load(path, revisions(spark).limit(0)) == {"items": 0, "revisions": 0}
+
+
+def test_a_bloom_filter_loses_nothing(spark):
+    ids = spark.range(5_000).select(F.sha2(F.col("id").cast("string"), 256).alias("item_id"))
+    size = 2 * corpus.BITMAP
+    filter_ = corpus.bloom(ids.where("true"), "item_id", size)
+    assert corpus.maybe(ids, "item_id", filter_, size).count() == 5_000
+    others = spark.range(10_000, 30_000).select(F.sha2(F.col("id").cast("string"), 256).alias("item_id"))
+    assert corpus.maybe(others, "item_id", filter_, size).count() < 20_000 * 0.05

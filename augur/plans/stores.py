@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.operators import health
-from augur.plans.fixtures import table
+from augur.operators import health, prompts, rankings
+from augur.plans.fixtures import BRAND_WEEKS, OBS, brand_weeks, r, rounded, table
+from augur.plans.fixtures import obs as obs_table
 from augur.plans.registry import query
 from augur.plans.streams import drained, utc
 from augur.session import shared_dir
@@ -116,3 +118,65 @@ def growing_corpus(spark: SparkSession, d: str) -> DataFrame:
         corpus.load(path, turns.where(F.col("revision") % 5 < share))
     pools = corpus.held(spark, f"{path}/items", corpus.ITEMS).groupBy("day").agg(F.count("*").alias("n_items"))
     return corpus.read(spark, path).join(F.broadcast(pools), "day")
+
+
+def sql_text(template: str, **values: str) -> str:
+    """A template as SQL's concatenation."""
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(template):
+        parts += ["'" + literal.replace("'", "''") + "'"] if literal else []
+        parts += [f"CAST({values[field]} AS VARCHAR)"] if field is not None else []
+    return " || ".join(parts)
+
+
+_ROUND = {"publisher": "'p ' || s", "question": "'what of ' || s", "unit": "'points'", "methodology": "'not stated'", "cadence": "'daily'", "release": "'2024-02-01'"}
+_POINTS = "array_to_string(list_transform(list_slice(h, greatest(len(h) - 9, 1), len(h)), lambda p: '{pad}' || p.d || ': ' || p.v), chr(10))"
+
+
+@query(f"""WITH {OBS}, o AS (SELECT series AS s, list({{'d': CAST(date AS VARCHAR), 'v': CAST(value AS VARCHAR)}} ORDER BY date) AS h FROM obs GROUP BY 1)
+  SELECT s AS series, 'recent10' AS kind, {sql_text(prompts.HEADER, **_ROUND)} || {sql_text(prompts.WITH_HISTORY, history=_POINTS.format(pad='  '))} || {sql_text(prompts.SUPERFC + prompts.FOOTER)} AS prompt FROM o
+  UNION ALL SELECT s, 'none', {sql_text(prompts.HEADER + prompts.NO_HISTORY + prompts.FOOTER, **_ROUND)} FROM o
+  UNION ALL SELECT s, 'news', {sql_text(prompts.HEADER, **_ROUND)} || {sql_text(prompts.WITH_HISTORY, history=_POINTS.format(pad='  '))} || {sql_text(prompts.NEWS.replace('news.', ''), asof="'today'", text="'- ' || s || ' moved'")} || {sql_text(prompts.FOOTER)} FROM o
+  UNION ALL SELECT s, 'query', {sql_text(prompts.HEADER, **_ROUND)} || {sql_text(prompts.WITH_HISTORY, history=_POINTS.format(pad='  '))} || {sql_text(prompts.QUERY_TURN, most='3', days='14')} FROM o""")
+def number_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of rounds about a number, in four conditions."""
+    rounds = obs_table(spark, d).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("date", "value"))).alias("history")).select(
+        "series", "history", F.concat(F.lit("p "), "series").alias("publisher"), F.concat(F.lit("what of "), "series").alias("question"), F.lit("points").alias("unit"), F.lit("daily").alias("cadence"), F.lit("2024-02-01T14:00:00Z").alias("release_at"),
+        F.struct(F.lit("today").alias("asof"), F.concat(F.lit("- "), "series", F.lit(" moved")).alias("text")).alias("news"),
+    )
+    kinds = {"recent10": prompts.number_prompt(rounds, "recent10", "superfc"), "none": prompts.number_prompt(rounds, "none"), "news": prompts.number_prompt(rounds, "news"), "query": prompts.query_prompt(rounds)}
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("prompt")) for k, p in kinds.items()]))
+    return rounds.select("series", every.alias("p")).select("series", "p.*")
+
+
+_PROFILE = {"publisher": "'not stated'", "question": "''", "unit": "'points'", "methodology": "'a panel'", "cadence": "'not stated'", "release": "'2024-02-01'", "noun": "'group'", "count": "len(cells)"}
+
+
+@query(f"""WITH u AS (SELECT user_id % 20 AS g, event_type AS e, CAST(ts AS DATE) AS date, {r('avg(value)', 2)} AS v FROM events GROUP BY 1, 2, 3), c AS (SELECT g, e, list({{'d': CAST(date AS VARCHAR), 'v': CAST(v AS VARCHAR)}} ORDER BY date) AS h FROM u GROUP BY 1, 2),
+  t AS (SELECT g, list(e ORDER BY e) AS cells, string_agg('  ' || e || CASE WHEN e < 'd' THEN '  (group ' || e || ')' ELSE '' END || chr(10) || {_POINTS.format(pad='    ')}, chr(10) ORDER BY e) AS lines FROM c GROUP BY 1)
+  SELECT g, {sql_text(prompts.PROFILE_HEADER + prompts.PROFILE_WITH_HISTORY, **_PROFILE)} || lines || chr(10) || {sql_text(prompts.PROFILE_FOOTER, **_PROFILE)} AS prompt FROM t""")
+def profile_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of rounds about a profile: a nested list, cells with their histories."""
+    daily = table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("g"), F.col("event_type").alias("id"), F.col("ts").cast("date").alias("date")).agg(rounded(F.avg("value"), 2).alias("value"))
+    cells = daily.groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("date", "value"))).alias("history"))
+    own = F.struct("id", F.when(F.col("id") < "d", F.concat(F.lit("group "), "id")).alias("label"), "history")
+    rounds = cells.groupBy("g").agg(F.array_sort(F.collect_list(own)).alias("cells")).withColumns({"unit": F.lit("points"), "methodology": F.lit("a panel"), "noun": F.lit("group"), "release_at": F.lit("2024-02-01T14:00:00Z")})
+    return rounds.select("g", prompts.profile_prompt(rounds).alias("prompt"))
+
+
+_RANKING = {"publisher": "'not stated'", "question": "'which ten'", "unit": "'a list'", "methodology": "'not stated'", "cadence": "'weekly'", "release": "'2001-01-09'", "week_start": "'2001-01-01'", "week_end": "'2001-01-07'", "universe": "'Brands.' || chr(10)", "length": "10"}
+
+
+@query(f"""WITH {BRAND_WEEKS}, p AS (SELECT *, row_number() OVER (PARTITION BY week_end ORDER BY revenue DESC, brand) AS place FROM bw), l AS (SELECT week_end, string_agg('    ' || place || '. ' || brand, chr(10) ORDER BY place) AS lines FROM p WHERE place <= 10 GROUP BY 1 HAVING count(*) = 10),
+  k AS (SELECT isodow(week_end) AS one, week_end, lines FROM l QUALIFY row_number() OVER (ORDER BY week_end DESC) <= 10), w AS (SELECT one, string_agg('  week ending ' || week_end || chr(10) || lines, chr(10) ORDER BY week_end) AS weeks FROM k GROUP BY 1)
+  SELECT 'recent10' AS kind, {sql_text(prompts.RANKING_HEADER + prompts.RANKING_WITH_HISTORY, **_RANKING)} || weeks || chr(10) || {sql_text(prompts.RANKING_SUPERFC + prompts.RANKING_FOOTER, **_RANKING)} AS prompt FROM w
+  UNION ALL SELECT 'none', {sql_text(prompts.RANKING_HEADER + prompts.RANKING_NO_HISTORY + prompts.RANKING_FOOTER, **_RANKING)} FROM w""")
+def ranking_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of a round about a list, with the lists of its last ten weeks and without."""
+    lists = rankings.lists(rankings.top_n(brand_weeks(spark, d), ["week_end"], "brand", "revenue", 10), ["week_end"], "brand").where(F.size("items") == 10)
+    recent = lists.orderBy(F.desc("week_end")).limit(10)  # ten weeks are the feature
+    weeks = recent.agg(F.array_sort(F.collect_list(F.struct(F.col("week_end").cast("string").alias("date"), "items"))).alias("weeks"))
+    texts = {"question": "which ten", "unit": "a list", "cadence": "weekly", "release_at": "2001-01-09T14:00:00Z", "week_start": "2001-01-01", "week_end": "2001-01-07", "universe": "Brands.\n"}
+    rounds = weeks.withColumns({k: F.lit(v) for k, v in texts.items()} | {"length": F.lit(10)})
+    kinds = {"recent10": prompts.ranking_prompt(rounds, "recent10", "superfc"), "none": prompts.ranking_prompt(rounds, "none")}
+    return rounds.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("prompt")) for k, p in kinds.items()])).alias("p")).select("p.*")

@@ -214,3 +214,31 @@ def series_of_days(trajectory: DataFrame, places: int = 2) -> DataFrame:
     """entrant, dates, values: each entrant's cumulative means as two arrays in order of days, for a chart. trajectory: entrant, date, pairwise."""
     points = F.array_sort(F.collect_list(F.struct("date", F.round("pairwise", places).alias("value"))))
     return trajectory.groupBy("entrant").agg(points.alias("_p")).select("entrant", F.col("_p.date").alias("dates"), F.col("_p.value").alias("values"))
+
+
+def pooled_baselines(scores: DataFrame, baselines: list[str], by: list[str]) -> DataFrame:
+    """Rows of the baselines on the points (by) that any other entrant answered, and of all others: one release set for a backtest's board. scores: by, entrant, any others."""
+    null = F.col("entrant").isin(*baselines)
+    asked = scores.where(~null).select(*by).distinct()
+    return scores.where(~null).unionByName(scores.where(null).join(asked, by, "left_semi"))
+
+
+def matched_trajectory(scores: DataFrame, by: list[str], baselines: list[str], null: str = "persistence", checkpoints: int = 30) -> DataFrame:
+    """n, date, entrant, loss, skill, place: cumulative means over the first n points that every entrant answered, at evenly spaced n.
+
+    scores: by (a point), date, entrant, loss. Points come by date, then by key; all curves are over the same points. skill is
+    against the null's mean over the same points, places go by skill, then name. Points are releases: one window orders them.
+    """
+    roster = scores.where(~F.col("entrant").isin(*baselines)).agg(F.countDistinct("entrant").alias("_all"))  # one row
+    answered = scores.where(~F.col("entrant").isin(*baselines)).groupBy(*by, "date").agg(F.countDistinct("entrant").alias("_n")).crossJoin(F.broadcast(roster)).where("_n = _all")
+    nulled = answered.join(scores.where(F.col("entrant") == null).select(*by), by, "left_semi")
+    every = W.partitionBy(F.lit(0))
+    points = nulled.select(*by, F.row_number().over(every.orderBy("date", *by)).alias("n"), F.count("*").over(every).alias("_points"))
+    step = F.greatest(F.col("_points") / checkpoints, F.lit(1.0))
+    c = F.sequence(F.lit(1), F.least(F.lit(checkpoints), F.col("_points").cast("int")))
+    at = F.array_contains(F.transform(c, lambda i: F.greatest(F.bround(i * step, 0).cast("int"), F.lit(1))), F.col("n"))
+    run = W.partitionBy("entrant").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    sums = scores.join(points.where("_points >= 2").withColumn("_at", at), by).withColumn("loss", F.avg("loss").over(run)).where("_at")
+    nulls = sums.where(F.col("entrant") == null).select("n", F.col("loss").alias("_null"))
+    skilled = sums.join(nulls, "n").withColumn("skill", skill(F.col("loss"), F.col("_null")))
+    return skilled.select("n", "date", "entrant", "loss", "skill", F.row_number().over(W.partitionBy("n").orderBy(F.desc("skill"), "entrant")).alias("place"))

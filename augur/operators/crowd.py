@@ -26,6 +26,20 @@ def crowd_numbers(forecasts: DataFrame, by: list[str], places: int | None = 4) -
     return pooled.select(*by, "members", published(F.col("mean")).alias("mean"), F.greatest(published(F.col("sd")), F.lit(LEAST_SD)).alias("sd"), F.map_from_arrays(names, F.transform("_q", published)).alias("quantiles"))
 
 
+def crowd_profiles(forecasts: DataFrame, by: list[str], cells: list[str], places: int | None = 4) -> DataFrame:
+    """by, cell and the crowd's numbers of each cell, pooled cell by cell from the members whose profiles are complete: of two such members at least.
+
+    forecasts: by, entrant, profile (a map of cell to mean, sd, quantiles). A profile is complete if every cell has
+    quantiles, or a mean and a positive sd; cells beyond the round's are not read.
+    """
+    named = F.lit(cells)
+    answer = lambda c: F.try_element_at("profile", c)
+    fine = lambda c: (F.coalesce(F.size(answer(c)["quantiles"]), F.lit(0)) > 0) | F.coalesce(answer(c)["mean"].isNotNull() & (answer(c)["sd"] > 0), F.lit(False))
+    whole = forecasts.where(F.forall(named, fine))
+    each = whole.select(*by, "entrant", F.explode(F.transform(named, lambda c: F.struct(c.alias("cell"), answer(c).alias("topline")))).alias("c")).select(*by, "entrant", "c.*")
+    return crowd_numbers(each, [*by, "cell"], places)
+
+
 def crps_of_draws(draws: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFrame:
     """by, crps of any number of draws a key: the mean distance to the outcome less half the mean distance of all pairs. draws: by, x. outcomes: by, value.
 

@@ -15,6 +15,17 @@ def renormalised(panel: DataFrame, keep: Column) -> DataFrame:
     return kept.crossJoin(F.broadcast(kept.agg(F.sum("w").alias("_all")))).withColumn("w", F.col("w") / F.col("_all")).drop("_all")  # one row
 
 
+def population_weights(panel: DataFrame, population: str | None) -> DataFrame:
+    """panel (w, registered, any others) weighted for the population that a tracker reports: adults (A, or none named) by their own weights, voters (RV, LV) by these times the rate of registration.
+
+    Nobody is left out, so a small panel stays whole; weights sum to 1. A population that nobody is in fails the job.
+    """
+    raw = panel if (population or "A").upper() == "A" else panel.withColumn("w", F.col("w") * F.col("registered"))
+    total = raw.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("_all"))  # one row
+    held = total.select(F.when(F.col("_all") > 0, F.col("_all")).otherwise(F.raise_error(F.lit(f"population {population!r} left the panel empty")).cast("double")).alias("_all"))
+    return raw.crossJoin(F.broadcast(held)).withColumn("w", F.col("w") / F.col("_all")).drop("_all")
+
+
 def tally(answers: DataFrame, by: list[str]) -> DataFrame:
     """by, item, option, w: weights of those who answered."""
     return answers.where("option is not null").groupBy(*by, "item", "option").agg(F.sum("w").alias("w"))

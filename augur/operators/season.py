@@ -111,6 +111,36 @@ def calendar_slips(entries: DataFrame) -> DataFrame:
     return found.select("series", F.when(F.col("_waves") < CHECKED_WAVES, "too few waves").when(F.col("_slips") > MAX_SLIPS, "slips").alias("problem"))
 
 
+#: Readings whose weekday is checked, and the hour at which a sampled tracker is read.
+CHECKED_READINGS, SAMPLED_HOUR = 26, 14
+
+
+def schedule_contract(series: DataFrame, entries: DataFrame, history: DataFrame) -> DataFrame:
+    """series, weekday, hour, problem: when a series' next releases come, or why it can't be said.
+
+    series: series, source (`field_dates`: dated by field midpoints, `sampled`: read on a weekday, or another), weekday (the
+    sampled one), entry, release, hour (of the recorded calendar, or null). entries: series, day (on which a wave entered).
+    history: series, date. Dates of field work say nothing of releases, so those series follow their calendar alone, while
+    the newest waves confirm it; it must release on the day of entry or the day after, or the lock could not come before the
+    entry: another calendar fails the job. A sampled series must have had its weekday in its last CHECKED_READINGS.
+    """
+    field, sampled = F.col("source") == "field_dates", F.col("source") == "sampled"
+    late = F.pmod(F.col("release") - F.col("entry"), F.lit(7)) > 1
+    entry = F.when(field & late, F.raise_error(F.concat(F.lit("the lock must come before the entry of "), "series")).cast("int")).otherwise(F.col("entry"))
+    w = W.partitionBy("series").orderBy(F.desc("day"))
+    recent = entries.withColumns({"_n": F.row_number().over(w), "_gap": F.datediff("day", F.lead("day").over(w))}).where(F.col("_n") <= CHECKED_WAVES).join(series.select("series", entry.alias("_entry")), "series")
+    waves = recent.groupBy("series").agg(F.count("*").alias("_waves"), (F.count_if(F.weekday("day") != F.col("_entry")) + F.count_if((F.col("_n") < CHECKED_WAVES) & ~F.coalesce(F.col("_gap").between(1, MAX_GAP_DAYS), F.lit(True)))).alias("_slips"))
+    readings = history.join(series.where(sampled).select("series", F.col("weekday").alias("_weekday")), "series").withColumn("_n", F.row_number().over(W.partitionBy("series").orderBy(F.desc("date")))).where(F.col("_n") <= CHECKED_READINGS)
+    off = readings.groupBy("series").agg(F.min(F.when(F.weekday("date") != F.col("_weekday"), F.col("date"))).alias("_off"))
+    joined = series.join(waves, "series", "left").join(off, "series", "left")
+    problem = (
+        F.when(field & entry.isNull(), "no calendar is recorded").when(field & (F.coalesce("_waves", F.lit(0)) < CHECKED_WAVES), "too few waves").when(field & (F.col("_slips") > MAX_SLIPS), "slips").when(~field & ~sampled, "no calendar is known")
+        .when(sampled & ~F.coalesce(F.col("weekday").between(0, 6), F.lit(False)), "no sampled weekday").when(sampled & F.col("_off").isNotNull(), F.concat(F.lit("read off its weekday on "), "_off"))
+    )
+    fine = problem.isNull()
+    return joined.select("series", F.when(fine, F.when(field, F.col("release")).otherwise(F.col("weekday"))).cast("int").alias("weekday"), F.when(fine, F.when(field, F.col("hour")).otherwise(F.lit(SAMPLED_HOUR))).cast("int").alias("hour"), problem.alias("problem"))
+
+
 def publishable(rounds: DataFrame, now: str) -> DataFrame:
     """Rounds that can still reach entrants. rounds: lock_at, any others."""
     return rounds.where(effective_deadline(F.col("lock_at")) > F.lit(now).cast("timestamp"))

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from augur.plans import forecasting, intake, landed, leaderboards, manifest, seasons, stores, streams  # noqa: E402, F401  they register their queries
+from augur.plans import backtests, forecasting, intake, landed, leaderboards, manifest, seasons, stores, streams  # noqa: E402, F401  they register their queries

@@ -9,11 +9,14 @@ role's marking (the first turn, which may come with a preamble, is always probed
 turn is probed again in its place, and after that it has no span and no loss.
 
 The output has a row for each turn, never for a whole conversation: pieces in order are the formatted text, and their
-start, text_start and text_end are places in it (code points, end exclusive). So a conversation of any length passes
-through a task in constant memory: rows arrive sorted, and a prefix is shortened to its last TURNS turns when twice as
-many have gathered, provided that the shortened prefix gives the next turn the very same piece; a template that looks
-farther back keeps its whole prefix. All turns of a conversation pass through one task in order, as their rendering and
-their digests are sequential by definition: a conversation with a third of all rows takes that task's time, not its memory.
+start, text_start and text_end are places in it (code points, end exclusive). What a template may look back at can't be
+told from some of its outputs, so every turn is rendered after all turns before it: work grows with the square of a
+conversation's length, memory with its length. A template may declare a bound, reach: a turn's piece depends on that turn
+and at most so many turns before it, and history is never rewritten. Then turns beyond it are let go, a conversation of any
+length passes through a task in constant memory, and work grows with its length; the library's own template declares 0.
+A declaration is tried whenever turns are let go, and one that doesn't hold is an error. All turns of a conversation pass
+through one task in order, as their rendering and their digests are sequential by definition: with a declared reach, a
+conversation with a third of all rows takes that task's time, not its memory.
 
 Nulls, empties, ties, repeats, clashing names: a null text or role is empty. Turns come by number, those without one
 last, equal ones by role and text; repeated rows are turns of their own. Rows without conv_id are one conversation. An
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from augur.llm.util import small_batches, table
 
-#: Turns that a shortened prefix keeps; turns and characters of an output batch.
+#: Turns that a shortened prefix keeps at least; turns and characters of an output batch.
 TURNS, BATCH_TURNS, BATCH_CHARS = 16, 1_000, 8_000_000
 
 PIECES = "conv_id long, turn_index long, sample int, role string, piece string, start long, text_start long, text_end long, loss boolean, rewrites boolean"
@@ -52,6 +55,8 @@ class Marked:
     markers stand only where a turn begins or ends and every text can be read back.
     """
 
+    reach = 0
+
     IN_TEXT, IN_ROLE, ESCAPED = re.compile(r"\\|#(?=##)|<(?=/turn>)"), re.compile(r"[\\:]|#(?=##)|<(?=/turn>)"), re.compile(r"\\([\\#<:])")
     WRITTEN = re.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 
@@ -81,17 +86,24 @@ def shared(a: str, b: str) -> int:
 
 
 class Rendering:
-    """The pieces of one conversation, turn by turn. loss: roles whose texts are learned."""
+    """The pieces of one conversation, turn by turn. loss: roles whose texts are learned.
+
+    prefix: the last turns; local: so far they have given their last one the piece that it has after all turns. older: the
+    turns before them, rendered with them, for a template without a declared reach.
+    """
 
     def __init__(self, template: object, loss: frozenset[str], markings: dict[str, tuple[str, str] | None]) -> None:
         self.template, self.loss, self.markings = template, loss, markings
         self.plain = getattr(template, "unescape", lambda text: text)
+        self.reach: int | None = getattr(template, "reach", None)
+        self.keep = max(TURNS, (self.reach or 0) + 1)
+        self.older: list[Turn] = []
         self.prefix: list[Turn] = []
         self.before, self.length, self.sample, self.index, self.local = "", 0, 0, 0, True
 
     def add(self, role: str, text: str) -> tuple:
         """(index, sample, piece, start, text_start, text_end, rewrites) of the next turn."""
-        output = self.template.render([*self.prefix, (role, text)])
+        output = self.template.render([*self.older, *self.prefix, (role, text)])
         rewrites = not output.startswith(self.before)
         if rewrites:  # the whole output is a new sample; the turn's own part begins where its text can be found
             self.sample, self.length, base = self.sample + 1, 0, 0
@@ -104,18 +116,22 @@ class Rendering:
         self.index += 1
         self.prefix.append((role, text))
         self.before = output
-        if self.local and len(self.prefix) >= 2 * TURNS:
+        if self.local and len(self.prefix) >= 2 * self.keep:
             self.shorten(piece, rewrites)
         return out
 
     def shorten(self, piece: str, rewrites: bool) -> None:
-        """Only the last TURNS turns are rendered from now on, if the last of them would have got the same piece by them alone."""
-        short = self.prefix[-TURNS:]
+        """The prefix becomes its last turns. Those before are let go if a declared reach doesn't extend to them, and else stay as older ones."""
+        short = self.prefix[-self.keep :]
         less, output = self.template.render(short[:-1]), self.template.render(short)
-        if not rewrites and output.startswith(less) and output[len(less) :] == piece:
+        self.local = not rewrites and output.startswith(less) and output[len(less) :] == piece
+        if self.reach is not None and not self.local:
+            raise ValueError(f"the template looks back farther than the {self.reach} turns it declares")
+        if self.reach is not None:
             self.prefix, self.before = short, output
-        else:
-            self.local = False
+        elif self.local:
+            self.older += self.prefix[: -self.keep]
+            self.prefix = short
 
     def span(self, role: str, text: str, piece: str, base: int, known: bool) -> tuple[int, int] | None:
         """Where the text lies in its piece, which begins at base of the output. known: markings found at other turns may hold here."""
@@ -129,7 +145,7 @@ class Rendering:
 
     def probe(self, role: str, base: int) -> tuple[str, str] | None:
         """What stands before and after any text of the role as the next turn."""
-        one, two = (self.template.render([*self.prefix, (role, c)])[base:] for c in "ab")
+        one, two = (self.template.render([*self.older, *self.prefix, (role, c)])[base:] for c in "ab")
         head = shared(one, two)
         tail = len(one) - head - 1
         return (one[:head], one[len(one) - tail :]) if tail >= 0 and len(one) == len(two) and one[head + 1 :] == two[head + 1 :] and one[head : head + 1] == "a" else None

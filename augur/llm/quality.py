@@ -35,7 +35,7 @@ from augur.llm.util import save, shielded, table
 PAIRS, PENALTY, CLIP = 8, 1.0, 5.0
 
 #: Distance of two nodes, rounds of Newton's method at most, decimals that weights keep (sums in any order give the same model).
-STEP, ROUNDS, DECIMALS = 1 / 16, 30, 6
+STEP, ROUNDS, DECIMALS = 1 / 16, 100, 6
 
 MEASURES = ("log_words", "distinct", "upper", "symbols", "wordless", "word_length", "lines", "symbol_runs", "repeats", "digits", "short", "long_words", "line_words")
 
